@@ -10,8 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner import standins as S
+from gleaner.functions import dates as D
+from gleaner.functions import frontmatter as FM
+from gleaner.functions import links as L
+from gleaner.functions import text as T
+from gleaner.operators.dedup import dedup_first, note_collisions, skip_known
+from gleaner.operators.items import community_items
 from gleaner.plans.digest import feed_digest
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -31,8 +38,145 @@ def q_feed_digest(spark: SparkSession, d: str) -> DataFrame:
                        as_of=S.AS_OF, taxonomy=S.TAXONOMY, top_n=5)
 
 
+def _docs(spark, d):
+    return S.table(spark, d, "documents")
+
+
+def q_strip_html(spark, d):
+    p = S.table(spark, d, "pages")
+    return p.select("page_id", T.strip_html("html").alias("text"), T.strip_html("html", 500).alias("body"))
+
+
+def q_pick_body(spark, d):
+    e = S.feed_entries(spark, d)
+    return e.select(F.col("pos").alias("page_id"),
+                    T.strip_html(T.pick_body("summary", "content"), 500).alias("rss_body"),
+                    T.strip_html(T.pick_body(F.lit(""), "summary", default=F.col("feed")), 500).alias("alt_body"))
+
+
+def q_item_date(spark, d):
+    e = S.dated_entries(spark, d)
+    return e.select("event_id", D.item_date("published", "updated", S.AS_OF).cast("string").alias("item_date"))
+
+
+def q_item_tags(spark, d):
+    e = S.feed_entries(spark, d)
+    return e.select(F.col("pos").alias("page_id"),
+                    F.array_join(L.feed_tags("categories"), "|").alias("rss_tags"),
+                    F.array_join(L.community_tags("feed", "categories"), "|").alias("community_tags"),
+                    L.first_flair("feed", "categories").alias("flair"))
+
+
+def q_link_meta(spark, d):
+    e = S.community_entries(spark, d)
+    m = L.link_meta("content")
+    return e.select(F.col("link").alias("source_url"), m["is_self"].alias("is_self"), m["domain"].alias("domain"))
+
+
+def q_slugify(spark, d):
+    r = S.note_rows(spark, d)
+    return r.select("doc_id", T.slugify(F.concat_ws(" ", "source", "lang", F.lit("News!"))).alias("slug"),
+                    T.slugify(F.regexp_extract("text", r"^(\S*)", 1)).alias("word_slug"))
+
+
+def q_note_id(spark, d):
+    r = S.note_rows(spark, d)
+    return r.select("doc_id", T.note_id("date", "source", "source_url").alias("note_id"))
+
+
+def q_yaml_quote(spark, d):
+    return _docs(spark, d).select("doc_id", T.yaml_quote("text").alias("quoted"))
+
+
+def q_sentences(spark, d):
+    s = T.sentences("text")
+    return _docs(spark, d).select(
+        "doc_id", F.size(s).cast("bigint").alias("n_sentences"), F.get(s, 0).alias("first"),
+        F.try_element_at(s, F.lit(-1)).alias("last"), F.md5(F.array_join(s, "\n")).alias("digest"))
+
+
+def q_clean_list(spark, d):
+    c = T.clean_list(F.split("text", ","))
+    return _docs(spark, d).select("doc_id", F.size(c).cast("bigint").alias("n_items"),
+                                  F.md5(F.array_join(c, "|")).alias("digest"))
+
+
+def q_time_sensitivity(spark, d):
+    r = S.note_rows(spark, d)
+    return r.select("doc_id", D.time_sensitivity("date", S.AS_OF).alias("time_sensitivity"),
+                    D.time_sensitivity(F.concat(F.lit("x"), "date"), S.AS_OF).alias("bad_date"))
+
+
+def q_frontmatter(spark, d):
+    n = S.note_files(spark, d)
+    m = FM.frontmatter_map("value")
+    return n.select("path", FM.fm_get(m, "title").alias("title"), FM.fm_get(m, "status").alias("status"),
+                    FM.fm_get(m, "source_url").alias("source_url"), FM.fm_get(m, "date").alias("date"),
+                    F.array_join(FM.inline_list(FM.fm_get(m, "tags")), "|").alias("tags"),
+                    F.size(F.map_keys(m)).cast("bigint").alias("n_keys"))
+
+
+def q_observation_text(spark, d):
+    n = S.note_files(spark, d)
+    o = T.observation_text(FM.note_body("value"))
+    return n.select("path", F.md5(o).alias("digest"), F.length(o).cast("bigint").alias("n_chars"))
+
+
+def q_first_sentence(spark, d):
+    return _docs(spark, d).select("doc_id", T.first_sentence("text").alias("first_sentence"))
+
+
+def q_url_segment(spark, d):
+    r = S.note_rows(spark, d)
+    return r.select("doc_id", T.url_segment("source_url").alias("community"))
+
+
+def q_dedup_first(spark, d):
+    docs = _docs(spark, d).select("doc_id", "text")
+    return dedup_first(docs, ["text"], ["doc_id"]).select("doc_id", F.md5("text").alias("digest"))
+
+
+def q_skip_known(spark, d):
+    r = S.note_rows(spark, d)
+    known = r.where(F.col("status") != "inbox").select("source_url")
+    return skip_known(r.select("doc_id", "source_url"), known)
+
+
+def q_top_n_per_source(spark, d):
+    items = community_items(S.community_entries(spark, d), S.AS_OF, top_n=5)
+    return items.select("source", "source_url", "title", "body", F.col("published_date").cast("string").alias("published_date"),
+                        F.array_join("raw_tags", "|").alias("raw_tags"), F.col("wire.feed_rank").alias("feed_rank"),
+                        F.col("wire.is_self").alias("is_self"), F.col("wire.domain").alias("domain"),
+                        F.col("wire.permalink").alias("permalink"))
+
+
+def q_note_collisions(spark, d):
+    r = S.note_rows(spark, d).select(F.substring(F.md5("source_url"), 1, 4).alias("url_hash"), "source_url")
+    return note_collisions(r, "url_hash", "source_url").withColumn("n_urls", F.col("n_urls").cast("bigint"))
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_digest": q_feed_digest,
+    "strip_html": q_strip_html,
+    "pick_body": q_pick_body,
+    "item_date": q_item_date,
+    "item_tags": q_item_tags,
+    "link_meta": q_link_meta,
+    "slugify": q_slugify,
+    "note_id": q_note_id,
+    "yaml_quote": q_yaml_quote,
+    "sentences": q_sentences,
+    "clean_list": q_clean_list,
+    "time_sensitivity": q_time_sensitivity,
+    "frontmatter": q_frontmatter,
+    "observation_text": q_observation_text,
+    "first_sentence": q_first_sentence,
+    "url_segment": q_url_segment,
+    "dedup_first": q_dedup_first,
+    "skip_known": q_skip_known,
+    "top_n_per_source": q_top_n_per_source,
+    "note_collisions": q_note_collisions,
 }
 
 
@@ -93,5 +237,249 @@ SELECT source, source_url, dedup_key, title, published_date, wire_pre_score, CAS
 FROM r WHERE rank <= 5"""
 
 
+def TRIMWS(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def STRIPH(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def UNQ(x: str) -> str:
+    return f"regexp_replace(regexp_replace({TRIMWS(x)}, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')"
+
+
+def SLUG(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return f"(CASE WHEN {s} = '' THEN 'src' ELSE {s} END)"
+
+
+def TSENS(x: str, as_of: str = "DATE '2024-03-01'") -> str:
+    dd = (f"(CASE WHEN regexp_matches(substr(coalesce({x}, ''), 1, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') "
+          f"THEN try_cast(substr({x}, 1, 10) AS DATE) END)")
+    return (f"(CASE WHEN {dd} IS NULL THEN 'unknown' WHEN date_diff('day', {dd}, {as_of}) <= 30 THEN 'high' "
+            f"WHEN date_diff('day', {dd}, {as_of}) <= 365 THEN 'medium' ELSE 'low' END)")
+
+
+def LINKMETA(html: str) -> tuple[str, str]:
+    cand = (f"list_filter(list_transform(regexp_extract_all(coalesce({html}, ''), 'href=\"([^\"]+)\"', 1), "
+            f"lambda h: {{'h': h, 'host': lower(regexp_extract(h, '{HOST_RE}', 1))}}), "
+            f"lambda x: instr(x.h, '/comments/') = 0 AND x.host <> '')[1]")
+    is_self = f"(CASE WHEN {cand} IS NULL THEN NULL ELSE instr(({cand}).host, 'reddit.com') > 0 END)"
+    domain = f"(CASE WHEN {cand} IS NULL OR instr(({cand}).host, 'reddit.com') > 0 THEN '' ELSE ({cand}).host END)"
+    return is_self, domain
+
+
+NL = "chr(10)"
+
+NOTE_ROWS = r"""
+nr AS (
+  SELECT d.doc_id, d.source, d.lang, d.text,
+    CASE WHEN l.quality IS NULL THEN 'inbox' WHEN l.toxic = 1 THEN 'queued'
+         WHEN l.quality = 1 THEN 'reacted' ELSE 'archived' END AS status,
+    CASE WHEN d.lang = 'en' THEN 'https://www.reddit.com/r/' || d.source || '/comments/' || CAST(d.doc_id AS VARCHAR) || '/'
+         ELSE 'https://' || d.source || '.example.org/a/' || CAST(d.doc_id AS VARCHAR) END AS source_url,
+    substring(regexp_extract(d.text, '^([^\n]*)', 1), 1, 60) AS title,
+    CAST(DATE '2023-01-01' + CAST(d.doc_id % 500 AS INTEGER) AS VARCHAR) AS date
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+nr2 AS (SELECT *, CASE WHEN status = 'archived' THEN 'Archived' ELSE 'Observation Inbox' END AS folder FROM nr)"""
+
+NOTE_FILES = NOTE_ROWS + """,
+nf AS (
+  SELECT '/vault/' || folder || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path,
+    '---' || chr(10) || 'title: ' || title || chr(10) || 'date: ' || date || chr(10)
+    || 'source: ' || source || chr(10) || 'source_url: ' || source_url || chr(10)
+    || 'tags: [' || lang || ', ' || source || ']' || chr(10) || 'status: ' || status || chr(10)
+    || '---' || chr(10) || chr(10) || '## Observation' || chr(10) || chr(10) || text
+    || chr(10) || chr(10) || '**Source:** [' || source || '](' || source_url || ')' || chr(10) || chr(10)
+    || '## Questions' || chr(10) AS value
+  FROM nr2)"""
+
+FM_TEXT = ("(CASE WHEN starts_with(value, '---') AND strpos(substr(value, 4), '---') > 0 "
+           "THEN substr(value, 4, strpos(substr(value, 4), '---') - 1) END)")
+NOTE_BODY = ("(CASE WHEN starts_with(value, '---') AND strpos(substr(value, 4), '---') > 0 "
+             "THEN substr(value, strpos(substr(value, 4), '---') + 6) ELSE value END)")
+
+
+def FM_ENTRIES(fm: str) -> str:
+    return (f"list_transform(list_filter(string_split_regex(coalesce({fm}, ''), '\\r\\n|[\\n\\r]'), "
+            f"lambda l: instr(l, ':') > 0), lambda l: {{'k': {TRIMWS('split_part(l, chr(58), 1)')}, "
+            f"'v': {UNQ('substr(l, instr(l, chr(58)) + 1)')}}})")
+
+
+def FM_GET(entries: str, key: str) -> str:
+    return f"list_filter({entries}, lambda fe_: fe_.k = '{key}')[-1].v"
+
+
+def OBS_TEXT(body: str) -> str:
+    a = (f"(CASE WHEN strpos({body}, '## Observation') > 0 "
+         f"THEN substr({body}, strpos({body}, '## Observation') + 14) ELSE {body} END)")
+    b = f"(CASE WHEN strpos({a}, '**Source:**') > 0 THEN substr({a}, 1, strpos({a}, '**Source:**') - 1) ELSE {a} END)"
+    c = f"(CASE WHEN strpos({b}, '## Questions') > 0 THEN substr({b}, 1, strpos({b}, '## Questions') - 1) ELSE {b} END)"
+    return TRIMWS(c)
+
+
+LISTING = r"""
+ev AS (
+  SELECT user_id,
+    count(*) FILTER (WHERE event_type = 'view') AS views,
+    count(*) FILTER (WHERE event_type = 'click') AS clicks,
+    count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+    count(*) FILTER (WHERE event_type = 'error') AS errors,
+    count(*) FILTER (WHERE event_type = 'signup') AS signups,
+    min(event_id) AS first_event, min(ts) AS first_ts,
+    arg_min(event_type, (ts, event_id)) AS first_type,
+    arg_max(event_type, (ts, event_id)) AS last_type
+  FROM events GROUP BY user_id),
+lc AS (
+  SELECT 'sub' || CAST(user_id % 7 AS VARCHAR) AS community,
+    '/r/sub' || CAST(user_id % 7 AS VARCHAR) || '/comments/' || CAST(user_id AS VARCHAR) || '/' AS permalink,
+    concat_ws(' ', first_type, 'then', last_type, 'by user', CAST(user_id AS VARCHAR)) AS title,
+    CASE WHEN signups > errors THEN 'Signed up ' || CAST(signups AS VARCHAR) || ' times.' ELSE '' END AS selftext,
+    views AS score, clicks AS num_comments,
+    CASE WHEN purchases + errors = 0 THEN NULL
+         ELSE CAST(purchases AS DOUBLE) / CAST(purchases + errors AS DOUBLE) END AS upvote_ratio,
+    CAST(floor(epoch(first_ts)) AS DOUBLE) AS created_utc,
+    first_type AS link_flair_text,
+    (user_id % 11) = 0 AS stickied,
+    signups > errors AS is_self,
+    errors > purchases AS is_video,
+    CASE WHEN signups > errors THEN 'self.sub' || CAST(user_id % 7 AS VARCHAR)
+         WHEN user_id % 3 = 0 THEN 'v.redd.it'
+         WHEN user_id % 3 = 1 THEN 'news' || CAST(user_id % 5 AS VARCHAR) || '.example.com'
+         ELSE '' END AS domain,
+    first_event AS rank
+  FROM ev)"""
+
+COMMUNITY_ENTRIES = LISTING + r""",
+ce AS (
+  SELECT community AS feed, CAST(substr(community, 4, 3) AS INTEGER) AS feed_ord, CAST(rank AS INTEGER) AS pos,
+    'https://www.reddit.com' || permalink AS link, title, '' AS summary,
+    '<div><a href="https://www.reddit.com' || permalink || '">[comments]</a>'
+      || coalesce(' <a href="' || (CASE WHEN domain LIKE 'self.%' THEN 'https://old.reddit.com/r/' || community || '/'
+                                        WHEN domain <> '' THEN 'https://' || domain || '/story/' || CAST(rank AS VARCHAR) END)
+                  || '">[link]</a>', '')
+      || '<p>' || selftext || '</p></div>' AS content,
+    strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS published,
+    CAST(NULL AS VARCHAR) AS updated,
+    [community, link_flair_text] AS categories
+  FROM lc)"""
+
+_SQL["strip_html"] = f"SELECT page_id, {STRIPH('html')} AS text, substring({STRIPH('html')}, 1, 500) AS body FROM pages"
+
+_SQL["pick_body"] = "WITH " + FEED_ENTRIES + f"""
+SELECT pos AS page_id,
+  substring({STRIPH("coalesce(nullif(summary, ''), nullif(content, ''))")}, 1, 500) AS rss_body,
+  substring({STRIPH("coalesce(nullif(summary, ''), feed)")}, 1, 500) AS alt_body
+FROM fe"""
+
+_SQL["item_date"] = r"""
+WITH de AS (
+  SELECT event_id,
+    CASE WHEN event_type = 'purchase' THEN strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') END AS published,
+    CASE WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS updated
+  FROM events)
+SELECT event_id, CAST(coalesce(
+    CAST(timezone('UTC', try_strptime(published, '%a, %d %b %Y %H:%M:%S %z')) AS DATE),
+    CAST(try_strptime(updated, '%Y-%m-%dT%H:%M:%SZ') AS DATE),
+    DATE '2024-03-01') AS VARCHAR) AS item_date
+FROM de"""
+
+_FLAIR = "coalesce(list_filter(categories, lambda t: coalesce(t, '') <> '' AND lower(t) <> lower(coalesce(feed, '')))[1], '')"
+_SQL["item_tags"] = "WITH " + FEED_ENTRIES + f""",
+t AS (SELECT pos, feed, categories, {_FLAIR} AS flair FROM fe)
+SELECT pos AS page_id,
+  array_to_string(list_filter(categories, lambda t: coalesce(t, '') <> ''), '|') AS rss_tags,
+  array_to_string(list_concat([feed], CASE WHEN flair <> '' THEN [replace(lower(flair), ' ', '-')] ELSE []::VARCHAR[] END), '|') AS community_tags,
+  flair
+FROM t"""
+
+_LM = LINKMETA("content")
+_SQL["link_meta"] = "WITH " + COMMUNITY_ENTRIES + f"""
+SELECT link AS source_url, {_LM[0]} AS is_self, {_LM[1]} AS domain FROM ce"""
+
+_SQL["slugify"] = "WITH " + NOTE_ROWS + f"""
+SELECT doc_id, {SLUG("concat_ws(' ', source, lang, 'News!')")} AS slug,
+  {SLUG("regexp_extract(text, '^(\\S*)', 1)")} AS word_slug FROM nr"""
+
+_SQL["note_id"] = "WITH " + NOTE_ROWS + f"""
+SELECT doc_id, concat_ws('-', date, substring({SLUG('source')}, 1, 8), substring(md5(coalesce(source_url, '')), 1, 4)) AS note_id
+FROM nr"""
+
+_YQ_INNER = TRIMWS("replace(replace(text, chr(13), ''), chr(10), ' ')")
+_SQL["yaml_quote"] = f"""
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '""'
+  ELSE '"' || replace(replace({_YQ_INNER}, '\\', '\\\\'), '"', '\\"') || '"' END AS quoted
+FROM documents"""
+
+_SENT = (f"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
+         f"lambda x: {TRIMWS('x')}), lambda x: x <> '')")
+_SQL["sentences"] = f"""
+WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, s[1] AS first, s[-1] AS last,
+  md5(array_to_string(s, chr(10))) AS digest FROM s"""
+
+_CL = f"list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: {TRIMWS('x')}), lambda x: x <> '')"
+_SQL["clean_list"] = f"""
+WITH c AS (SELECT doc_id, {_CL} AS c FROM documents)
+SELECT doc_id, CAST(len(c) AS BIGINT) AS n_items, md5(array_to_string(c, '|')) AS digest FROM c"""
+
+_SQL["time_sensitivity"] = "WITH " + NOTE_ROWS + f"""
+SELECT doc_id, {TSENS('date')} AS time_sensitivity, {TSENS("'x' || date")} AS bad_date FROM nr"""
+
+_FME = FM_ENTRIES(FM_TEXT)
+_TAGV = TRIMWS(f"coalesce({FM_GET('e', 'tags')}, '')")
+_SQL["frontmatter"] = "WITH " + NOTE_FILES + f""",
+f AS (SELECT path, {_FME} AS e FROM nf),
+g AS (SELECT path, e, {_TAGV} AS tv FROM f)
+SELECT path, {FM_GET('e', 'title')} AS title, {FM_GET('e', 'status')} AS status,
+  {FM_GET('e', 'source_url')} AS source_url, {FM_GET('e', 'date')} AS date,
+  array_to_string(CASE WHEN regexp_matches(tv, '^\\[.*\\]$')
+      THEN list_filter(list_transform(string_split(regexp_extract(tv, '^\\[(.*)\\]$', 1), ','), lambda x: {UNQ('x')}), lambda x: x <> '')
+      WHEN tv <> '' THEN [{UNQ('tv')}] ELSE []::VARCHAR[] END, '|') AS tags,
+  CAST(len(list_distinct(list_transform(e, lambda x: x.k))) AS BIGINT) AS n_keys
+FROM g"""
+
+_SQL["observation_text"] = "WITH " + NOTE_FILES + f""",
+o AS (SELECT path, {OBS_TEXT('b')} AS o FROM (SELECT path, {NOTE_BODY} AS b FROM nf))
+SELECT path, md5(o) AS digest, CAST(length(o) AS BIGINT) AS n_chars FROM o"""
+
+_FS_BODY = TRIMWS("regexp_replace(coalesce(text, ''), '(?m)^#+.*$', '', 'g')")
+_SQL["first_sentence"] = f"""
+SELECT doc_id, {TRIMWS(f"regexp_extract({_FS_BODY}, '^([^.!?]+[.!?])', 1)")} AS first_sentence FROM documents"""
+
+_SQL["url_segment"] = "WITH " + NOTE_ROWS + r"""
+SELECT doc_id, CASE WHEN instr(source_url, 'reddit.com/r/') > 0
+  THEN regexp_extract(source_url, 'reddit\.com/r/([^/]+)/', 1) ELSE '' END AS community FROM nr"""
+
+_SQL["dedup_first"] = """
+SELECT doc_id, md5(text) AS digest FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+
+_SQL["skip_known"] = "WITH " + NOTE_ROWS + """
+SELECT doc_id, source_url FROM nr a
+WHERE NOT EXISTS (SELECT 1 FROM nr b WHERE b.status <> 'inbox' AND b.source_url = a.source_url)"""
+
+_CE_HTML = "coalesce(nullif(content, ''), nullif(summary, ''), '')"
+_LM2 = LINKMETA("html")
+_SQL["top_n_per_source"] = "WITH " + COMMUNITY_ENTRIES + f""",
+i1 AS (SELECT * FROM ce WHERE coalesce(link, '') <> '' QUALIFY row_number() OVER (PARTITION BY feed, link ORDER BY pos) = 1),
+i2 AS (SELECT * FROM i1 QUALIFY row_number() OVER (PARTITION BY feed ORDER BY pos) <= 5),
+i3 AS (SELECT *, {_CE_HTML} AS html, {_FLAIR} AS flair FROM i2
+       QUALIFY row_number() OVER (PARTITION BY link ORDER BY feed_ord, pos) = 1)
+SELECT 'Reddit/r/' || feed AS source, link AS source_url, coalesce(title, '(no title)') AS title,
+  coalesce(nullif(substring({STRIPH('html')}, 1, 500), ''), 'Posted in r/' || feed || '.') AS body,
+  CAST(coalesce(CAST(timezone('UTC', try_strptime(published, '%Y-%m-%dT%H:%M:%S%z')) AS DATE), DATE '2024-03-01') AS VARCHAR) AS published_date,
+  array_to_string(list_concat([feed], CASE WHEN flair <> '' THEN [replace(lower(flair), ' ', '-')] ELSE []::VARCHAR[] END), '|') AS raw_tags,
+  CAST(pos AS INTEGER) AS feed_rank, coalesce({_LM2[0]}, false) AS is_self, {_LM2[1]} AS domain,
+  replace(link, 'https://www.reddit.com', '') AS permalink
+FROM i3"""
+
+_SQL["note_collisions"] = "WITH " + NOTE_ROWS + """
+SELECT url_hash, CAST(count(*) AS BIGINT) AS n_urls
+FROM (SELECT DISTINCT substring(md5(source_url), 1, 4) AS url_hash, source_url FROM nr)
+GROUP BY url_hash HAVING count(*) > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}

@@ -56,7 +56,7 @@ def epoch_date(seconds, as_of) -> Column:
 def iso_prefix_date(c) -> Column:
     """``date.fromisoformat(str(x)[:10])`` for the plain ``YYYY-MM-DD`` layout."""
     s = F.substring(F.coalesce(col_of(c).cast("string"), F.lit("")), 1, 10)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(s, F.lit("yyyy-MM-dd")))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(s, "yyyy-MM-dd"))
 
 
 def time_sensitivity(published, as_of) -> Column:

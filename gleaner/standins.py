@@ -104,10 +104,10 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown note files (path, value) from ``documents`` left join
-    ``labels``. Status: no label inbox, toxic queued, quality reacted, else
-    archived. Archived notes live in ``Archived/``, the rest in the inbox."""
+def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored-note facts from ``documents`` left join ``labels``: status (no
+    label inbox, toxic queued, quality reacted, else archived), folder,
+    community-style URL for English documents, a date, a title line."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "left")
@@ -122,19 +122,26 @@ def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 60)
     date = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 500).cast("int")).cast("string")
     folder = F.when(status == "archived", F.lit("Archived")).otherwise(F.lit("Observation Inbox"))
+    return j.select("doc_id", "source", "lang", "text", status.alias("status"), url.alias("source_url"),
+                    title.alias("title"), date.alias("date"), folder.alias("folder"))
+
+
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown note files (path, value) built from ``note_rows``."""
+    r = note_rows(spark, sf_dir)
     value = F.concat(
         F.lit("---\n"),
-        F.lit("title: "), title, F.lit("\n"),
-        F.lit("date: "), date, F.lit("\n"),
+        F.lit("title: "), F.col("title"), F.lit("\n"),
+        F.lit("date: "), F.col("date"), F.lit("\n"),
         F.lit("source: "), F.col("source"), F.lit("\n"),
-        F.lit("source_url: "), url, F.lit("\n"),
+        F.lit("source_url: "), F.col("source_url"), F.lit("\n"),
         F.lit("tags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\n"),
-        F.lit("status: "), status, F.lit("\n"),
+        F.lit("status: "), F.col("status"), F.lit("\n"),
         F.lit("---\n\n## Observation\n\n"), F.col("text"),
-        F.lit("\n\n**Source:** ["), F.col("source"), F.lit("]("), url, F.lit(")\n\n## Questions\n"),
+        F.lit("\n\n**Source:** ["), F.col("source"), F.lit("]("), F.col("source_url"), F.lit(")\n\n## Questions\n"),
     )
-    return j.select(
-        F.concat(F.lit("/vault/"), folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+    return r.select(
+        F.concat(F.lit("/vault/"), F.col("folder"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         value.alias("value"),
     )
 
@@ -210,3 +217,33 @@ def known_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Title keywords used as the interest taxonomy on the test tables (frequent
 # short words of the generated prose).
 TAXONOMY = ("the", "and", "des", "der", "que")
+
+
+def community_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Community feed entries (Atom shape) from the listing stand-in: content
+    carries a ``[comments]`` anchor to the post and, unless the post has no
+    link, a ``[link]`` anchor (a community page for self posts, an outside
+    story otherwise); categories = [community, flair]."""
+    c = listing_children(spark, sf_dir)
+    link = F.concat(F.lit("https://www.reddit.com"), F.col("permalink"))
+    target = (F.when(F.col("domain").startswith("self."),
+                     F.concat(F.lit("https://old.reddit.com/r/"), F.col("community"), F.lit("/")))
+              .when(F.col("domain") != "", F.concat(F.lit("https://"), F.col("domain"), F.lit("/story/"),
+                                                     F.col("rank").cast("string"))))
+    content = F.concat(
+        F.lit('<div><a href="'), link, F.lit('">[comments]</a>'),
+        F.coalesce(F.concat(F.lit(' <a href="'), target, F.lit('">[link]</a>')), F.lit("")),
+        F.lit("<p>"), F.col("selftext"), F.lit("</p></div>"))
+    return c.select(
+        F.col("community").alias("feed"),
+        F.substring("community", 4, 3).cast("int").alias("feed_ord"),
+        F.col("rank").cast("int").alias("pos"),
+        link.alias("link"),
+        F.col("title"),
+        F.lit("").alias("summary"),
+        content.alias("content"),
+        F.date_format(F.col("created_utc").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("published"),
+        F.lit(None).cast("string").alias("updated"),
+        F.lit(None).cast("string").alias("author"),
+        F.array(F.col("community"), F.col("link_flair_text")).alias("categories"),
+    )
