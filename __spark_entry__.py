@@ -20,6 +20,15 @@ from gleaner.functions import text as T
 from gleaner.operators.dedup import dedup_first, note_collisions, skip_known
 from gleaner.operators.items import community_items
 from gleaner.plans.digest import feed_digest
+from gleaner.functions import replies as R
+from gleaner.operators.gate import gate_prompts, survivor_budget, triage_gate
+from gleaner.operators.infer import infer_batch
+from gleaner.operators.items import listing_items, feed_items, union_sources
+from gleaner.operators.lenses import lens_library, summary_col
+from gleaner.operators.score import wire_prerank
+from gleaner.plans.funnel import run_funnel
+from gleaner.session import stage
+from pyspark.sql import Window
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -156,7 +165,100 @@ def q_note_collisions(spark, d):
 
 
 
+def _listing(spark, d):
+    return listing_items(S.listing_children(spark, d), S.AS_OF)
+
+
+def _lib(spark, d):
+    return lens_library(S.lens_files(spark, d))
+
+
+def _replied(spark, d):
+    """Listing items with gate prompts and model replies (staged once)."""
+    items = wire_prerank(_listing(spark, d), S.LISTING_TAXONOMY)
+    p = gate_prompts(items, summary_col(_lib(spark, d)), F.lit(""))
+    return stage(infer_batch(p, S.gate_backends()))
+
+
+def q_wire_score(spark, d):
+    return wire_prerank(_listing(spark, d), S.LISTING_TAXONOMY).select("source_url", "wire_pre_score")
+
+
+def q_wire_prerank(spark, d):
+    s = wire_prerank(_listing(spark, d), S.LISTING_TAXONOMY)
+    w = Window.partitionBy("wire.subreddit").orderBy(F.col("wire_pre_score").desc(), F.col("seq").asc())
+    return s.select("source_url", F.col("wire.subreddit").alias("subreddit"), "wire_pre_score",
+                    F.row_number().over(w).cast("int").alias("prerank"))
+
+
+def q_infer_batch(spark, d):
+    return _replied(spark, d).select("source_url", "backend", "error")
+
+
+def q_parse_reply(spark, d):
+    v = R.parse_reply(F.col("reply"))
+    return _replied(spark, d).select("source_url", F.coalesce(R.kind(v), F.lit("UNPARSABLE")).alias("reply_kind"))
+
+
+def q_clamp_int(spark, d):
+    v = R.parse_reply(F.col("reply"))
+    return _replied(spark, d).select("source_url", R.clamp_int(v, "reaction_worthiness", 0, 5, 0).alias("rw"))
+
+
+def q_triage_gate(spark, d):
+    g = triage_gate(_replied(spark, d), threshold=3, maybe_band=1)
+    return g.select("source_url", "triage_score", "bucket", F.col("triage.best_lens").alias("best_lens"),
+                    F.col("triage.why").alias("why"), F.col("triage.error").isNotNull().alias("failed"))
+
+
+def q_survivor_budget(spark, d):
+    g = survivor_budget(triage_gate(_replied(spark, d), 3, 1), 5)
+    return g.select("source_url", "bucket", "overflow")
+
+
+def q_deep_dive(spark, d):
+    from gleaner.operators.gate import deep_dive
+    g = deep_dive(triage_gate(_replied(spark, d), 3, 1), S.comments(spark, d), 12)
+    return g.select("source_url", "deep_dived", F.md5("body").alias("body_digest"),
+                    F.length("body").cast("bigint").alias("body_chars"))
+
+
+def _funnel(spark, d):
+    items = union_sources(feed_items(S.feed_entries(spark, d), S.AS_OF), _listing(spark, d))
+    return run_funnel(items, backends=S.gate_backends(), lens_summary=summary_col(_lib(spark, d)),
+                      exemplar_block=F.lit(""), taxonomy=S.LISTING_TAXONOMY, threshold=3,
+                      comments=S.comments(spark, d))
+
+
+def q_funnel(spark, d):
+    return _funnel(spark, d).select("source_url", "bucket", "triage_score", "wire_pre_score", "deep_dived")
+
+
+def q_funnel_stats(spark, d):
+    from gleaner.operators.metrics import funnel_stats
+    return funnel_stats(_funnel(spark, d))
+
+
+def q_gate_prompt(spark, d):
+    items = _listing(spark, d)
+    p = gate_prompts(items, summary_col(_lib(spark, d)), F.lit(""))
+    return p.select("source_url", F.md5("system").alias("system_digest"), F.md5("user").alias("user_digest"),
+                    F.length("user").cast("bigint").alias("user_chars"))
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "wire_score": q_wire_score,
+    "wire_prerank": q_wire_prerank,
+    "infer_batch": q_infer_batch,
+    "parse_reply": q_parse_reply,
+    "clamp_int": q_clamp_int,
+    "triage_gate": q_triage_gate,
+    "survivor_budget": q_survivor_budget,
+    "deep_dive": q_deep_dive,
+    "funnel": q_funnel,
+    "funnel_stats": q_funnel_stats,
+    "gate_prompt": q_gate_prompt,
     "feed_digest": q_feed_digest,
     "strip_html": q_strip_html,
     "pick_body": q_pick_body,
@@ -481,5 +583,152 @@ FROM (SELECT DISTINCT substring(md5(source_url), 1, 4) AS url_hash, source_url F
 GROUP BY url_hash HAVING count(*) > 1"""
 
 
+def _sql_text(t: str) -> str:
+    """A SQL string expression for literal text (newlines via chr(10))."""
+    parts = t.split("\n")
+    lit = [("'" + x.replace("'", "''") + "'") for x in parts]
+    return "(" + " || chr(10) || ".join(lit) + ")"
+
+
+def _sql_fill(template: str, **exprs) -> str:
+    """SQL concat for a gleaner prompt template with {name} placeholders."""
+    import re as _re
+    out, pos = [], 0
+    for m in _re.finditer(r"\{\{|\}\}|\{([a-zA-Z_][a-zA-Z0-9_]*)\}", template):
+        if m.start() > pos:
+            out.append(_sql_text(template[pos:m.start()]))
+        tok = m.group(0)
+        if tok in ("{{", "}}"):
+            out.append(_sql_text(tok[0]))
+        else:
+            out.append(f"coalesce(CAST({exprs[m.group(1)]} AS VARCHAR), '')")
+        pos = m.end()
+    if pos < len(template):
+        out.append(_sql_text(template[pos:]))
+    return "(" + " || ".join(out) + ")"
+
+
+LISTING_ITEMS = LISTING + f""",
+li AS (
+  SELECT (CAST(1 AS BIGINT) << 56) + CAST(rank AS BIGINT) AS seq,
+    'Reddit/r/' || community AS source,
+    'https://www.reddit.com' || coalesce(permalink, '') AS source_url,
+    coalesce(title, '') AS title,
+    CASE WHEN {TRIMWS("coalesce(selftext, '')")} <> '' THEN substring({TRIMWS("coalesce(selftext, '')")}, 1, 500)
+         ELSE 'Posted in r/' || community || ' with ' || CAST(coalesce(score, 0) AS VARCHAR) || ' upvotes.' END AS body,
+    community AS subreddit, CAST(coalesce(score, 0) AS BIGINT) AS score,
+    CAST(coalesce(num_comments, 0) AS BIGINT) AS num_comments,
+    CAST(coalesce(upvote_ratio, 0.0) AS DOUBLE) AS upvote_ratio, coalesce(is_video, false) AS is_video,
+    coalesce(is_self, false) AS is_self, coalesce(domain, '') AS domain, coalesce(permalink, '') AS permalink
+  FROM lc WHERE NOT coalesce(stickied, false))"""
+
+_PASSIVE = " OR ".join(f"instr(lower(domain), '{x}') > 0" for x in
+                       ("i.redd.it", "v.redd.it", "i.imgur.com", "imgur.com", "gfycat.com", "youtube.com", "youtu.be"))
+WIRE_SCORE = f"""round(least(CAST(greatest(num_comments, 0) AS DOUBLE) / (CAST(greatest(score, 0) AS DOUBLE) + 10.0), 1.0) * 5.0
+  + ((CASE WHEN is_self THEN 2.0 ELSE 0.0 END) + (CASE WHEN is_video THEN -1.5 ELSE 0.0 END)
+     + (CASE WHEN {_PASSIVE} THEN -1.0 WHEN lower(domain) <> '' AND NOT starts_with(lower(domain), 'self.') THEN 1.0 ELSE 0.0 END))
+  + (upvote_ratio - 0.5) * 2.0
+  + CAST(least(len(list_filter(['view', 'purchase', 'signup', 'user 1'], lambda k: instr(lower(coalesce(title, '')), k) > 0)), 3) AS DOUBLE) * 1.5
+  + log10(CAST(greatest(score, 0) AS DOUBLE) + 1.0), 4)"""
+
+GATED = LISTING_ITEMS + f""",
+g0 AS (SELECT li.*, {WIRE_SCORE} AS wire_pre_score, length(title) AS n FROM li),
+g1 AS (SELECT *, n % 13 AS r, n % 6 AS s FROM g0),
+g2 AS (SELECT *,
+  CAST(CASE WHEN r = 0 THEN 2 WHEN r IN (1, 4, 6, 12) THEN s WHEN r = 9 THEN 5 ELSE 0 END AS INTEGER) AS triage_score,
+  CASE WHEN r IN (1, 4, 7, 12) THEN 'NATION_' || CAST(n % 25 AS VARCHAR) END AS best_lens,
+  CASE WHEN r = 0 THEN NULL WHEN r IN (2, 3, 5, 8, 11) THEN 'unparsable' WHEN r = 1 THEN 'fenced'
+       WHEN r = 6 THEN 'float' WHEN r = 9 THEN 'over' WHEN r = 12 THEN 'plain' END AS why,
+  r = 0 AS failed,
+  CAST(CASE r WHEN 1 THEN s WHEN 4 THEN s WHEN 6 THEN s WHEN 7 THEN 0 WHEN 9 THEN 5 WHEN 10 THEN 0 WHEN 12 THEN s END AS INTEGER) AS rw,
+  CASE WHEN r IN (0, 2) THEN 'UNPARSABLE' WHEN r = 3 THEN 'ARRAY' WHEN r = 11 THEN 'VOID' ELSE 'OBJECT' END AS reply_kind
+  FROM g1),
+g3 AS (SELECT *, CASE WHEN failed THEN 'maybe' WHEN triage_score >= 3 THEN 'survivor'
+                      WHEN triage_score >= 2 THEN 'maybe' ELSE 'rejected' END AS bucket FROM g2)"""
+
+COMMENTS_TOP = r"""
+cm AS (SELECT '/r/sub' || CAST(conv_id % 7 AS VARCHAR) || '/comments/' || CAST(conv_id AS VARCHAR) || '/' AS permalink,
+              CAST(turn AS INTEGER) AS pos, text FROM conversations WHERE role <> 'system'),
+tc AS (SELECT permalink, string_agg(text, ' | ' ORDER BY pos, text) AS top
+       FROM (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY permalink ORDER BY pos, text) <= 12)
+       GROUP BY permalink)"""
+
+DEEP = GATED + "," + COMMENTS_TOP + """,
+dd AS (
+  SELECT g3.*, (g3.bucket = 'survivor' AND g3.permalink <> '' AND tc.top IS NOT NULL) AS deep_dived,
+    CASE WHEN g3.bucket = 'survivor' AND g3.permalink <> '' AND tc.top IS NOT NULL
+         THEN substring(g3.body || chr(10) || chr(10) || 'Top comments: ' || tc.top, 1, 1500) ELSE g3.body END AS body2
+  FROM g3 LEFT JOIN tc ON g3.permalink = tc.permalink)"""
+
+LENS_FILES = r"""
+lf AS (SELECT '/vault/lenses/' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || '.md' AS path,
+  '---' || chr(10) || 'name: ' || n_name || chr(10) || '---' || chr(10) || '# ' || n_name || chr(10)
+  || 'Reads an item through region ' || CAST(n_regionkey AS VARCHAR) || '. Asks who gains!' || chr(10) AS value
+  FROM nation)"""
+
+_LENS_BODY = "(CASE WHEN strpos(substr(value, 4), '---') > 0 THEN substr(value, strpos(substr(value, 4), '---') + 6) ELSE value END)"
+_LENS_FS = TRIMWS(f"regexp_extract({TRIMWS(f'regexp_replace({_LENS_BODY}, {chr(39)}(?m)^#+.*${chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, '^([^.!?]+[.!?])', 1)")
+LENSES = LENS_FILES + f""",
+lr AS (SELECT path,
+  coalesce({UNQ("substr(list_filter(string_split_regex(coalesce(" + FM_TEXT + ", ''), '\\r\\n|[\\n\\r]'), lambda l: starts_with(l, 'name:'))[1], 6)")}, '') AS name,
+  {_LENS_FS} AS first_sentence FROM lf),
+lo AS (SELECT *, row_number() OVER (ORDER BY path) AS ord FROM lr),
+lsum AS (SELECT coalesce(string_agg(CAST(ord AS VARCHAR) || '. ' || name || ': ' || coalesce(first_sentence, ''), chr(10) ORDER BY ord)
+                         FILTER (WHERE coalesce(name, '') <> ''), '(No lenses available.)') AS lens_summary FROM lo)"""
+
+_SQL["wire_score"] = "WITH " + LISTING_ITEMS + f"\nSELECT source_url, {WIRE_SCORE} AS wire_pre_score FROM li"
+
+_SQL["wire_prerank"] = "WITH " + LISTING_ITEMS + f""",
+w AS (SELECT *, {WIRE_SCORE} AS wire_pre_score FROM li)
+SELECT source_url, subreddit, wire_pre_score,
+  CAST(row_number() OVER (PARTITION BY subreddit ORDER BY wire_pre_score DESC, seq) AS INTEGER) AS prerank FROM w"""
+
+_SQL["infer_batch"] = "WITH " + GATED + """
+SELECT source_url, CASE WHEN r = 0 THEN NULL ELSE 'rule-model' END AS backend,
+  CASE WHEN r = 0 THEN 'RuntimeError: model unavailable' END AS error FROM g3"""
+
+_SQL["parse_reply"] = "WITH " + GATED + "\nSELECT source_url, reply_kind FROM g3"
+_SQL["clamp_int"] = "WITH " + GATED + "\nSELECT source_url, rw FROM g3"
+_SQL["triage_gate"] = "WITH " + GATED + "\nSELECT source_url, triage_score, bucket, best_lens, why, failed FROM g3"
+
+_SQL["survivor_budget"] = "WITH " + GATED + """,
+b AS (SELECT *, CASE WHEN bucket = 'survivor' THEN row_number() OVER (PARTITION BY bucket = 'survivor'
+      ORDER BY triage_score DESC, wire_pre_score DESC, seq) END AS rk FROM g3)
+SELECT source_url, CASE WHEN bucket = 'survivor' AND rk > 5 THEN 'maybe' ELSE bucket END AS bucket,
+  coalesce(bucket = 'survivor' AND rk > 5, false) AS overflow FROM b"""
+
+_SQL["deep_dive"] = "WITH " + DEEP + """
+SELECT source_url, deep_dived, md5(body2) AS body_digest, CAST(length(body2) AS BIGINT) AS body_chars FROM dd"""
+
+FUNNEL = DEEP + ",\n" + FEED_ITEMS.lstrip() + """,
+fn AS (
+  SELECT source_url, 'ungated' AS bucket, CAST(NULL AS INTEGER) AS triage_score, CAST(NULL AS DOUBLE) AS wire_pre_score,
+         false AS deep_dived FROM fi
+  UNION ALL
+  SELECT source_url, bucket, triage_score, wire_pre_score, deep_dived FROM dd)"""
+
+_SQL["funnel"] = "WITH " + FUNNEL + "\nSELECT * FROM fn"
+_SQL["funnel_stats"] = "WITH " + FUNNEL + """
+SELECT CAST(count(*) FILTER (WHERE bucket <> 'ungated') AS BIGINT) AS n_in,
+  CAST(count(*) FILTER (WHERE bucket = 'survivor') AS BIGINT) AS survivors,
+  CAST(count(*) FILTER (WHERE bucket = 'maybe') AS BIGINT) AS maybe,
+  CAST(count(*) FILTER (WHERE bucket = 'rejected') AS BIGINT) AS rejected,
+  CAST(count(*) FILTER (WHERE bucket = 'ungated') AS BIGINT) AS ungated FROM fn"""
+
+
+def _gate_prompt_sql():
+    from gleaner.functions.prompts import GATE_SYSTEM, GATE_USER
+    system = _sql_fill(GATE_SYSTEM, lens_summary="(SELECT lens_summary FROM lsum)")
+    user = _sql_fill(GATE_USER, exemplar_block="''", subreddit="subreddit", title="title",
+                     body="substring(coalesce(body, ''), 1, 500)", score="score", num_comments="num_comments",
+                     upvote_ratio="upvote_ratio")
+    return ("WITH " + LISTING_ITEMS + "," + LENSES + f"""
+SELECT source_url, md5({system}) AS system_digest, md5({user}) AS user_digest,
+  CAST(length({user}) AS BIGINT) AS user_chars FROM li""")
+
+
+_SQL["gate_prompt"] = _gate_prompt_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}

@@ -72,7 +72,8 @@ def clamp_int(v, name: str, lo: int, hi: int, default: int | None) -> Column:
     """
     f = field(v, name)
     n = F.when(f.isNull(), F.lit(default).cast("double")).otherwise(py_int(f))
-    out = F.least(F.greatest(n, F.lit(float(lo))), F.lit(float(hi))).cast("int")
+    # greatest/least skip NULLs, so an unusable value is kept NULL explicitly
+    out = F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(float(lo))), F.lit(float(hi))).cast("int"))
     return F.when(is_object(v), out)
 
 

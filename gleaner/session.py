@@ -75,3 +75,24 @@ def _count():
 
 
 _counter = _count()
+
+
+def stage(df, how: str = "checkpoint"):
+    """Materialise ``df`` once so later actions reuse it (model replies must
+    not be requested twice) and lineage is cut.
+
+    ``checkpoint`` writes to the shared checkpoint folder (survives executor
+    loss); ``table`` writes Parquet under it and reads it back. Never a
+    machine-local cache.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    if how == "table":
+        path = staging_path(spark, "stage")
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    if how == "none":
+        return df
+    raise ValueError(how)

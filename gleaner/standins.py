@@ -247,3 +247,124 @@ def community_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("author"),
         F.array(F.col("community"), F.col("link_flair_text")).alias("categories"),
     )
+
+
+# ---------------------------------------------------------------- model stand-ins
+# The model is an external service. For the test tables it is replaced by a
+# deterministic backend whose reply depends only on the length n of the
+# prompt's "Title:" line, cycling through well-formed, fenced, broken,
+# list-shaped, string-number, null, out-of-range and failing replies so that
+# every parsing branch of the library runs. The oracles reproduce the same
+# verdicts from the same title lengths.
+
+import json as _json  # noqa: E402
+import re as _re  # noqa: E402
+
+from .operators.infer import Backend  # noqa: E402
+
+_TITLE_LINE = _re.compile(r"(?m)^\s*Title: (.*)$")
+
+
+def prompt_title(user: str) -> str:
+    m = _TITLE_LINE.search(user or "")
+    return m.group(1) if m else ""
+
+
+def gate_reply(n: int) -> str:
+    """Triage reply for title length ``n`` (raises for one residue)."""
+    r, s = n % 13, n % 6
+    lens = f"NATION_{n % 25}"
+    if r == 0:
+        raise RuntimeError("model unavailable")
+    if r == 1:
+        return "```json\n" + _json.dumps({"reaction_worthiness": s, "best_lens": lens, "why": "fenced"}) + "\n```"
+    if r == 2:
+        return '{"reaction_worthiness": '
+    if r == 3:
+        return f"[{s}]"
+    if r == 4:
+        return _json.dumps({"reaction_worthiness": str(s), "best_lens": lens})
+    if r == 5:
+        return _json.dumps({"reaction_worthiness": f"{s}.5"})
+    if r == 6:
+        return '{"reaction_worthiness": %d.7, "why": "float"}' % s
+    if r == 7:
+        return _json.dumps({"best_lens": lens})
+    if r == 8:
+        return '{"reaction_worthiness": null}'
+    if r == 9:
+        return '{"reaction_worthiness": 9, "why": "over"}'
+    if r == 10:
+        return '{"reaction_worthiness": -2}'
+    if r == 11:
+        return "null"
+    return _json.dumps({"reaction_worthiness": s, "best_lens": lens, "why": "plain"})
+
+
+def enrich_reply(m: int) -> str:
+    """Enrichment reply for title length ``m`` (raises for one residue)."""
+    r = m % 9
+    a, b = f"NATION_{m % 25}", f"NATION_{(m + 1) % 25}"
+    full = {
+        "observation": f"Item of length {m}.",
+        "tags": [f"len-{m % 5}", " Techno Mixing ", "", "bandcamp"],
+        "interest_level": m % 6,
+        "lenses": [a, {"name": b}],
+        "questions": {a: ["Who gains?", "Why now?"], b: []},
+        "expanded_context": "First point here. Second point!",
+        "claims": [] if m % 2 == 0 else [f"Claim {m}."],
+        "entities": [f"E{m % 3}"],
+        "time_sensitivity": "" if m % 2 == 0 else "medium",
+    }
+    if r == 0:
+        raise RuntimeError("backend timeout")
+    if r == 1:
+        return "```json\n" + _json.dumps(full) + "\n```"
+    if r == 2:
+        return "Sorry, no JSON today."
+    if r == 3:
+        return "[1, 2]"
+    if r == 4:
+        return _json.dumps({**full, "observation": None})
+    if r == 5:
+        return _json.dumps({**full, "interest_level": "high"})
+    if r == 6:
+        return _json.dumps({**full, "interest_level": 7, "lenses": [{"name": a}, {"lens": b}]})
+    if r == 7:
+        d = {k: v for k, v in full.items() if k not in ("interest_level", "observation")}
+        d["lenses"] = [a.lower(), {"title": b}]
+        return _json.dumps(d)
+    return _json.dumps({**full, "interest_level": "4", "lenses": [{"x": 1}, 7]})
+
+
+class TitleRuleModel(Backend):
+    """Deterministic stand-in backend (``kind`` = "gate" or "enrich")."""
+
+    def __init__(self, kind: str = "gate", name: str = "rule-model"):
+        self.kind = kind
+        self.name = name
+
+    def generate(self, system: str, user: str) -> str:
+        n = len(prompt_title(user))
+        return gate_reply(n) if self.kind == "gate" else enrich_reply(n)
+
+
+class DownModel(Backend):
+    """A backend that is never available (exercises the fallback path)."""
+
+    name = "down"
+
+    def available(self) -> bool:
+        return False
+
+
+def gate_backends():
+    return [DownModel(), TitleRuleModel("gate")]
+
+
+def enrich_backends():
+    return [DownModel(), TitleRuleModel("enrich")]
+
+
+# Title keywords for the listing stand-in (its titles are event-type words).
+LISTING_TAXONOMY = ("view", "purchase", "signup", "user 1")
