@@ -24,7 +24,9 @@ from gleaner.functions import replies as R
 from gleaner.operators.gate import gate_prompts, survivor_budget, triage_gate
 from gleaner.operators.infer import infer_batch
 from gleaner.operators.items import listing_items, feed_items, union_sources
-from gleaner.operators.lenses import lens_library, summary_col
+from gleaner.operators.lenses import first_lens_col, lens_library, lookup_col, match_lenses, summary_col
+from gleaner.operators.enrich import enrich_prompts, interest_filter, parse_enrichment, split_quarantine
+from gleaner.functions.metadata import build_metadata, derive_relevance
 from gleaner.operators.score import wire_prerank
 from gleaner.plans.funnel import run_funnel
 from gleaner.session import stage
@@ -247,7 +249,101 @@ def q_gate_prompt(spark, d):
 
 
 
+def q_lens_summary(spark, d):
+    lib = _lib(spark, d)
+    rows = lib.select(F.explode("lenses").alias("l")).select("l.*")
+    return rows.select(F.col("ord").cast("bigint").alias("ord"), "name", "first_sentence",
+                       summary_col(lib).alias("lens_summary"))
+
+
+def _enriched(spark, d):
+    """Feed items -> enrichment prompts -> model (staged) -> parsed rows."""
+    items = feed_items(S.feed_entries(spark, d), S.AS_OF).withColumn("bucket", F.lit("ungated"))
+    lib = _lib(spark, d)
+    p = enrich_prompts(items, summary_col(lib), purpose="Notice what changes in music culture.")
+    replied = stage(infer_batch(p, S.enrich_backends()))
+    return parse_enrichment(replied, lookup_col(lib), first_lens_col(lib), S.AS_OF)
+
+
+def _j(c):
+    return F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit("<none>"))), "|")
+
+
+def q_lens_names(spark, d):
+    v = R.parse_reply(F.col("reply"))
+    return _enriched(spark, d).select("source_url", _j(R.lens_names(v)).alias("names"))
+
+
+def q_match_lenses(spark, d):
+    return _enriched(spark, d).where(F.col("error_kind").isNull()).select("source_url", _j(F.col("lenses")).alias("lenses"))
+
+
+def q_scope_questions(spark, d):
+    q = F.col("questions")
+    return _enriched(spark, d).where(F.col("error_kind").isNull()).select(
+        "source_url", F.array_join(F.map_keys(q), "|").alias("question_lenses"),
+        F.aggregate(F.map_values(q), F.lit(0), lambda a, x: a + F.size(x)).cast("bigint").alias("n_questions"))
+
+
+def q_enrich(spark, d):
+    e = _enriched(spark, d)
+    return e.select("source_url", "error_kind", "interest_level", "observation", _j(F.col("tags")).alias("tags"),
+                    _j(F.col("lenses")).alias("lenses"), F.array_join(F.map_keys("questions"), "|").alias("question_lenses"),
+                    F.col("meta.time_sensitivity").alias("time_sensitivity"),
+                    F.array_join("meta.relevance", "|").alias("relevance"),
+                    F.size("meta.claims").cast("bigint").alias("n_claims"),
+                    F.array_join("meta.topics", "|").alias("topics"), "backend")
+
+
+def q_quarantine(spark, d):
+    good, bad = split_quarantine(_enriched(spark, d))
+    return bad.select("source_url", "stage", "error_kind")
+
+
+def q_interest_threshold(spark, d):
+    good, bad = split_quarantine(_enriched(spark, d))
+    return interest_filter(good, 2).select("source_url", "interest_level")
+
+
+def q_fail_open(spark, d):
+    g = triage_gate(_replied(spark, d), 3, 1).where(F.col("triage.error").isNotNull()).select(
+        "source_url", F.lit("gate").alias("stage"), F.col("bucket").alias("routed_to"))
+    e = _enriched(spark, d).where(F.col("error").isNotNull()).select(
+        "source_url", F.lit("enrich").alias("stage"), F.lit("quarantine").alias("routed_to"))
+    return g.unionByName(e)
+
+
+def q_derive_relevance(spark, d):
+    topics = F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")
+    return _docs(spark, d).select("doc_id", F.array_join(derive_relevance(topics), "|").alias("relevance"),
+                                  F.array_join(derive_relevance(topics, mode="token"), "|").alias("relevance_token"))
+
+
+def q_build_metadata(spark, d):
+    r = S.note_rows(spark, d)
+    m = build_metadata(as_of=S.AS_OF, title="title", source="source", source_url="source_url",
+                       published_date="date", raw_tags=F.array("lang", "source"),
+                       p_observation=F.lit(None).cast("string"), p_expanded_context="text")
+    r = r.select("doc_id", m.alias("m"))
+    return r.select("doc_id", F.col("m.title").alias("title"), F.col("m.publication").alias("publication"),
+                    F.col("m.publication_date").alias("publication_date"), F.col("m.summary").alias("summary"),
+                    F.size("m.claims").cast("bigint").alias("n_claims"), F.md5(F.array_join("m.claims", "\n")).alias("claims_digest"),
+                    F.array_join("m.topics", "|").alias("topics"), F.array_join("m.relevance", "|").alias("relevance"),
+                    F.col("m.time_sensitivity").alias("time_sensitivity"))
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "lens_summary": q_lens_summary,
+    "lens_names": q_lens_names,
+    "match_lenses": q_match_lenses,
+    "scope_questions": q_scope_questions,
+    "enrich": q_enrich,
+    "quarantine": q_quarantine,
+    "interest_threshold": q_interest_threshold,
+    "fail_open": q_fail_open,
+    "derive_relevance": q_derive_relevance,
+    "build_metadata": q_build_metadata,
     "wire_score": q_wire_score,
     "wire_prerank": q_wire_prerank,
     "infer_batch": q_infer_batch,
@@ -730,5 +826,103 @@ SELECT source_url, md5({system}) AS system_digest, md5({user}) AS user_digest,
 _SQL["gate_prompt"] = _gate_prompt_sql()
 
 
+def _aliases_sql():
+    from gleaner.functions.metadata import RELEVANCE_TAXONOMY, TAXONOMY_ALIASES
+    al = "[" + ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in TAXONOMY_ALIASES) + "]"
+    tax = "[" + ", ".join(f"'{t}'" for t in RELEVANCE_TAXONOMY) + "]"
+    return al, tax
+
+
+def DERIVE(t: str, mode: str = "substring") -> str:
+    al, tax = _aliases_sql()
+    direct = f"list_transform({t}, lambda x_: coalesce(list_filter({al}, lambda al_: al_.k = replace(lower(x_), '-', ' '))[1].v, x_))"
+    blob = f"lower(array_to_string({t}, ' '))"
+    if mode == "token":
+        hit = f"list_contains(string_split_regex({blob}, '\\s+'), al_.k)"
+    else:
+        hit = f"instr({blob}, al_.k) > 0"
+    found = f"list_transform(list_filter({al}, lambda al_: {hit}), lambda al_: al_.v)"
+    rel = f"list_filter(list_concat({direct}, {found}), lambda x_: list_contains({tax}, x_))"
+    dist = f"list_filter({rel}, lambda x_, i_: list_position({rel}, x_) = i_)"
+    return f"(CASE WHEN len({dist}) > 0 THEN {dist} ELSE ['music_production'] END)"
+
+
+def CLEAN(t: str) -> str:
+    item = TRIMWS("coalesce(x, 'None')")
+    return f"coalesce(list_filter(list_transform({t}, lambda x: {item}), lambda x: x <> ''), []::VARCHAR[])"
+
+
+def JNONE(t: str) -> str:
+    return f"array_to_string(list_transform({t}, lambda x: coalesce(x, '<none>')), '|')"
+
+
+_SQL["lens_summary"] = "WITH " + LENSES + """
+SELECT CAST(ord AS BIGINT) AS ord, name, first_sentence, (SELECT lens_summary FROM lsum) AS lens_summary FROM lo"""
+
+_RAW_TAGS = "list_filter(categories, lambda t: coalesce(t, '') <> '')"
+ENRICHED = "WITH " + FEED_ENTRIES + r""",
+fi AS (
+  SELECT link AS source_url, coalesce(title, '(no title)') AS title, """ + _RAW_TAGS + r""" AS raw_tags
+  FROM fe WHERE coalesce(link, '') <> '' QUALIFY row_number() OVER (PARTITION BY feed, link ORDER BY pos) = 1),
+en AS (
+  SELECT source_url, title, raw_tags, length(title) AS m, length(title) % 9 AS r,
+    'NATION_' || CAST(length(title) % 25 AS VARCHAR) AS a, 'NATION_' || CAST((length(title) + 1) % 25 AS VARCHAR) AS b
+  FROM fi),
+e2 AS (
+  SELECT *, r IN (0, 2, 3) AS no_obj,
+    CASE r WHEN 0 THEN 'inference_error' WHEN 2 THEN 'unparsable' WHEN 3 THEN 'not_object'
+           WHEN 4 THEN 'bad_observation' WHEN 5 THEN 'bad_interest_level' END AS error_kind,
+    CAST(CASE WHEN r IN (1, 4) THEN greatest(least(m % 6, 5), 1) WHEN r = 6 THEN 5 WHEN r = 7 THEN 1
+              WHEN r = 8 THEN 4 END AS INTEGER) AS interest_level,
+    CASE WHEN r IN (0, 2, 3, 7) THEN substring(title, 1, 120) WHEN r = 4 THEN NULL
+         ELSE 'Item of length ' || CAST(m AS VARCHAR) || '.' END AS observation,
+    CASE WHEN r IN (0, 2, 3) THEN raw_tags
+         ELSE ['len-' || CAST(m % 5 AS VARCHAR), ' Techno Mixing ', '', 'bandcamp'] END AS tags,
+    CASE WHEN r IN (0, 2, 3) THEN []::VARCHAR[] WHEN r = 7 THEN [lower(a), b] WHEN r = 8 THEN [NULL, NULL]::VARCHAR[]
+         ELSE [a, b] END AS names,
+    CASE WHEN r IN (0, 2, 3, 8) THEN ['NATION_0'] ELSE [a, b] END AS lenses,
+    CASE WHEN r IN (0, 2, 3) THEN '' WHEN r = 8 THEN (CASE WHEN a = 'NATION_0' THEN 'NATION_0' ELSE '' END)
+         ELSE a END AS question_lenses,
+    CASE WHEN r IN (0, 2, 3) THEN 'unknown' WHEN m % 2 = 0 THEN 'high' ELSE 'medium' END AS time_sensitivity,
+    CAST(CASE WHEN r IN (0, 2, 3) THEN 0 WHEN m % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_claims,
+    CASE WHEN r = 0 THEN NULL ELSE 'rule-model' END AS backend
+  FROM en),
+e3 AS (SELECT *, """ + CLEAN("tags") + """ AS topics FROM e2)"""
+
+_SQL["lens_names"] = ENRICHED + f"\nSELECT source_url, {JNONE('names')} AS names FROM e3"
+_SQL["match_lenses"] = ENRICHED + f"\nSELECT source_url, {JNONE('lenses')} AS lenses FROM e3 WHERE error_kind IS NULL"
+_SQL["scope_questions"] = ENRICHED + """
+SELECT source_url, question_lenses, CAST(CASE WHEN question_lenses = '' THEN 0 ELSE 2 END AS BIGINT) AS n_questions
+FROM e3 WHERE error_kind IS NULL"""
+_SQL["enrich"] = ENRICHED + f"""
+SELECT source_url, error_kind, interest_level, observation, {JNONE('tags')} AS tags, {JNONE('lenses')} AS lenses,
+  question_lenses, time_sensitivity, array_to_string({DERIVE('topics')}, '|') AS relevance, n_claims,
+  array_to_string(topics, '|') AS topics, backend
+FROM e3"""
+_SQL["quarantine"] = ENRICHED + "\nSELECT source_url, 'enrich' AS stage, error_kind FROM e3 WHERE error_kind IS NOT NULL"
+_SQL["interest_threshold"] = ENRICHED + "\nSELECT source_url, interest_level FROM e3 WHERE error_kind IS NULL AND interest_level >= 2"
+_SQL["fail_open"] = (ENRICHED + ",\n" + GATED.lstrip() + """
+SELECT source_url, 'gate' AS stage, bucket AS routed_to FROM g3 WHERE failed
+UNION ALL
+SELECT source_url, 'enrich' AS stage, 'quarantine' AS routed_to FROM e3 WHERE r = 0""")
+
+_TOPICS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
+_SQL["derive_relevance"] = f"""
+WITH t AS (SELECT doc_id, {_TOPICS} AS topics FROM documents)
+SELECT doc_id, array_to_string({DERIVE('topics')}, '|') AS relevance,
+  array_to_string({DERIVE('topics', 'token')}, '|') AS relevance_token FROM t"""
+
+_SENT2 = (f"list_filter(list_transform(string_split(regexp_replace({TRIMWS('coalesce(text, chr(39)||chr(39))')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
+          f"lambda x: {TRIMWS('x')}), lambda x: x <> '')")
+_SQL["build_metadata"] = "WITH " + NOTE_ROWS + f""",
+bm AS (SELECT doc_id, title, source, date, {_SENT2} AS claims, {CLEAN('[lang, source]')} AS topics FROM nr)
+SELECT doc_id, {TRIMWS("coalesce(nullif(title, ''), '')")} AS title, {TRIMWS("coalesce(nullif(source, ''), '')")} AS publication,
+  {TRIMWS("coalesce(nullif(date, ''), '')")} AS publication_date, {TRIMWS("coalesce(nullif(title, ''), '')")} AS summary,
+  CAST(len(claims) AS BIGINT) AS n_claims, md5(array_to_string(claims, chr(10))) AS claims_digest,
+  array_to_string(topics, '|') AS topics, array_to_string({DERIVE('topics')}, '|') AS relevance,
+  {TSENS('date')} AS time_sensitivity
+FROM bm"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}

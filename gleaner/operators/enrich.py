@@ -55,6 +55,9 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
     tags, time_sensitivity <- 'unknown'); a present but wrong-typed value is
     an error, not a default.
     """
+    # scalar subqueries cannot sit inside lambdas: project them first
+    replied = replied.withColumn("__lens_map", lookup).withColumn("__first_lens", first_lens)
+    lookup, first_lens = F.col("__lens_map"), F.col("__first_lens")
     v = R.parse_reply(F.col("reply"))
     title = F.coalesce(F.col("title"), F.lit(""))
     tags = _str_list_or(v, "tags", F.coalesce(F.col("raw_tags"), empty_str_array()))
@@ -85,7 +88,8 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
         published_date="date", author="author", raw_tags="tags", p_observation="observation",
         p_expanded_context="expanded_context", p_claims="p_claims", p_topics="p_topics", p_tags="tags",
         p_entities="p_entities", p_time_sensitivity="p_time_sensitivity")
-    return out.withColumn("meta", meta).drop("p_topics", "p_entities", "p_claims", "p_time_sensitivity")
+    return out.withColumn("meta", meta).drop("p_topics", "p_entities", "p_claims", "p_time_sensitivity",
+                                             "__lens_map", "__first_lens")
 
 
 OBSERVATION_COLS = ["seq", "source", "source_url", "date", "title", "author", "observation", "tags",
