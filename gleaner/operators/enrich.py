@@ -35,9 +35,8 @@ def _str_list_or(v: Column, key: str, fallback: Column) -> Column:
             .otherwise(empty_str_array()))
 
 
-def error_kind(reply: str = "reply", error: str = "error") -> Column:
-    """Why a reply cannot be used, NULL when it can."""
-    v = R.parse_reply(F.col(reply))
+def error_kind(v: Column, error: str = "error") -> Column:
+    """Why a parsed reply ``v`` cannot be used, NULL when it can."""
     obs = R.field(v, "observation")
     return (F.when(F.col(error).isNotNull(), F.lit("inference_error"))
             .when(v.isNull(), F.lit("unparsable"))
@@ -58,7 +57,9 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
     # scalar subqueries cannot sit inside lambdas: project them first
     replied = replied.withColumn("__lens_map", lookup).withColumn("__first_lens", first_lens)
     lookup, first_lens = F.col("__lens_map"), F.col("__first_lens")
-    v = R.parse_reply(F.col("reply"))
+    # parse the reply once; every field below reads the VARIANT column
+    replied = replied.withColumn("__v", R.parse_reply(F.col("reply")))
+    v = F.col("__v")
     title = F.coalesce(F.col("title"), F.lit(""))
     tags = _str_list_or(v, "tags", F.coalesce(F.col("raw_tags"), empty_str_array()))
     obs_present = R.field(v, "observation").isNotNull()
@@ -71,7 +72,7 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
     ctx_field = R.field(v, "expanded_context")
     ctx = F.when(ctx_field.isNull(), F.lit("")).otherwise(F.coalesce(R.get_string(v, "expanded_context"), F.lit("")))
     out = (replied
-           .withColumn("error_kind", error_kind())
+           .withColumn("error_kind", error_kind(v))
            .withColumn("date", F.col("published_date").cast("string"))
            .withColumn("observation", observation)
            .withColumn("tags", tags)
@@ -89,7 +90,7 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
         p_expanded_context="expanded_context", p_claims="p_claims", p_topics="p_topics", p_tags="tags",
         p_entities="p_entities", p_time_sensitivity="p_time_sensitivity")
     return out.withColumn("meta", meta).drop("p_topics", "p_entities", "p_claims", "p_time_sensitivity",
-                                             "__lens_map", "__first_lens")
+                                             "__lens_map", "__first_lens", "__v")
 
 
 OBSERVATION_COLS = ["seq", "source", "source_url", "date", "title", "author", "observation", "tags",

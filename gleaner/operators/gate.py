@@ -24,14 +24,13 @@ def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
                                  upvote_ratio=F.coalesce(w["upvote_ratio"], F.lit(0.0))))
 
 
-def triage_verdict(reply: str = "reply", error: str = "error", threshold: int = 3) -> tuple[Column, Column]:
-    """(triage struct, triage_score) from a reply and a call error.
+def triage_verdict(v: Column, error: str = "error", threshold: int = 3) -> tuple[Column, Column]:
+    """(triage struct, triage_score) from a parsed reply ``v`` and a call error.
 
     A call error scores ``threshold - 1`` (fail open to maybe); an unparsable
     reply, a non-object reply (T9: a row-level fix, not a funnel failure) or a
     score that is not an integer scores 0; the score is clamped to 0..5.
     """
-    v = R.parse_reply(F.col(reply))
     rw = R.clamp_int(v, "reaction_worthiness", 0, 5, 0)
     err = F.col(error)
     score = F.when(err.isNotNull(), F.lit(threshold - 1)).otherwise(F.coalesce(rw, F.lit(0))).cast("int")
@@ -49,8 +48,9 @@ def triage_verdict(reply: str = "reply", error: str = "error", threshold: int =
 def triage_gate(replied: DataFrame, threshold: int = 3, maybe_band: int = 1) -> DataFrame:
     """Bucket each replied row: score >= threshold survivor, >= threshold
     - band maybe, else rejected; a call error is always maybe."""
-    triage, score = triage_verdict(threshold=threshold)
-    out = replied.withColumn("triage", triage).withColumn("triage_score", score)
+    replied = replied.withColumn("__v", R.parse_reply(F.col("reply")))
+    triage, score = triage_verdict(F.col("__v"), threshold=threshold)
+    out = replied.withColumn("triage", triage).withColumn("triage_score", score).drop("__v")
     s = F.col("triage_score")
     bucket = (F.when(F.col("triage.error").isNotNull(), F.lit("maybe"))
               .when(s >= threshold, F.lit("survivor"))
