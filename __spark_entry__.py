@@ -29,6 +29,13 @@ from gleaner.operators.enrich import enrich_prompts, interest_filter, parse_enri
 from gleaner.functions.metadata import build_metadata, derive_relevance
 from gleaner.operators.score import wire_prerank
 from gleaner.plans.funnel import run_funnel
+from gleaner.plans.feedback import feedback_block
+from gleaner.plans.backfill import backfill
+from gleaner.operators.metrics import adapter_counts
+from gleaner.operators.notes import harvest_labels, inbox_view, note_table, queue_view, select_exemplars
+from gleaner.operators.items import drop_blank_url
+from gleaner.sources.charts import chart_items, html_items
+from gleaner.sources.registry import classify_fetch, enabled_sources
 from gleaner.session import stage
 from pyspark.sql import Window
 
@@ -333,7 +340,96 @@ def q_build_metadata(spark, d):
 
 
 
+_CHART_HTML = {"row_pattern": S.CHART_ROW, "artist_pattern": S.CHART_ARTIST, "title_pattern": S.CHART_TITLE}
+
+
+def _charts(spark, d):
+    return chart_items(S.chart_pages(spark, d), S.AS_OF, 10, html_kw=_CHART_HTML)
+
+
+def q_html_items(spark, d):
+    h = html_items(S.chart_pages(spark, d), S.AS_OF, 10, **_CHART_HTML)
+    return h.select("source_url", "title", F.col("chart_pos").cast("int").alias("chart_pos"), "body",
+                    F.array_join("raw_tags", "|").alias("raw_tags"))
+
+
+def q_json_items(spark, d):
+    c = _charts(spark, d).where(F.col("via") == "json")
+    return c.select("source_url", "title", F.col("chart_pos").cast("int").alias("chart_pos"))
+
+
+def q_enabled_sources(spark, d):
+    return enabled_sources(S.registry(spark, d)).select("name", "slug", "url")
+
+
+def q_drop_blank_url(spark, d):
+    return drop_blank_url(S.registry(spark, d), "url").select("name", "slug", "url")
+
+
+def q_classify_fetch(spark, d):
+    return classify_fetch(S.responses(spark, d)).select("url", "attempt", "status", "outcome")
+
+
+def _all_items(spark, d):
+    return union_sources(feed_items(S.feed_entries(spark, d), S.AS_OF), _listing(spark, d), _charts(spark, d))
+
+
+def q_union_sources(spark, d):
+    return _all_items(spark, d).select("seq", "adapter", "source", "source_url", "title")
+
+
+def q_adapter_counts(spark, d):
+    return adapter_counts(_all_items(spark, d))
+
+
+def q_harvest_labels(spark, d):
+    return harvest_labels(S.note_files(spark, d)).select("path", "title", "subreddit", "source_url", "status", "positive")
+
+
+def q_select_exemplars(spark, d):
+    ex = select_exemplars(harvest_labels(S.note_files(spark, d)), 4, 4)
+    return ex.select("path", "positive", F.col("grp").cast("int").alias("grp"), "date")
+
+
+def q_feedback_block(spark, d):
+    fb = feedback_block(S.note_files(spark, d))
+    return fb.totals.select("positives", "negatives", fb.block.alias("block"))
+
+
+def q_inbox_view(spark, d):
+    v = inbox_view(note_table(S.note_files(spark, d)))
+    return v.select("date", "source", "observation", "interest_level", F.array_join("lenses", "|").alias("lenses"), "status")
+
+
+def q_queue_view(spark, d):
+    v = queue_view(note_table(S.note_files(spark, d)))
+    return v.select("date", "source", "observation", F.array_join("lenses", "|").alias("lenses"), "notes")
+
+
+def q_backfill(spark, d):
+    rows, counts = backfill(S.note_files(spark, d), S.AS_OF)
+    m = F.col("meta")
+    return rows.select("path", "changed", m["note_id"].alias("note_id"), m["title"].alias("title"),
+                       m["summary"].alias("summary"), F.array_join(m["topics"], "|").alias("topics"),
+                       F.array_join(m["relevance"], "|").alias("relevance"),
+                       F.size(m["claims"]).cast("bigint").alias("n_claims"), m["time_sensitivity"].alias("time_sensitivity"))
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "html_items": q_html_items,
+    "json_items": q_json_items,
+    "enabled_sources": q_enabled_sources,
+    "drop_blank_url": q_drop_blank_url,
+    "classify_fetch": q_classify_fetch,
+    "union_sources": q_union_sources,
+    "adapter_counts": q_adapter_counts,
+    "harvest_labels": q_harvest_labels,
+    "select_exemplars": q_select_exemplars,
+    "feedback_block": q_feedback_block,
+    "inbox_view": q_inbox_view,
+    "queue_view": q_queue_view,
+    "backfill": q_backfill,
     "lens_summary": q_lens_summary,
     "lens_names": q_lens_names,
     "match_lenses": q_match_lenses,
@@ -487,7 +583,11 @@ nf AS (
   SELECT '/vault/' || folder || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path,
     '---' || chr(10) || 'title: ' || title || chr(10) || 'date: ' || date || chr(10)
     || 'source: ' || source || chr(10) || 'source_url: ' || source_url || chr(10)
-    || 'tags: [' || lang || ', ' || source || ']' || chr(10) || 'status: ' || status || chr(10)
+    || 'tags: [' || lang || ', ' || source || ']' || chr(10)
+    || 'observation: "' || title || '"' || chr(10)
+    || 'interest_level: ' || CAST(doc_id % 5 + 1 AS VARCHAR) || chr(10)
+    || 'lenses: [NATION_' || CAST(doc_id % 25 AS VARCHAR) || ']' || chr(10)
+    || 'status: ' || status || chr(10) || 'notes: ""' || chr(10)
     || '---' || chr(10) || chr(10) || '## Observation' || chr(10) || chr(10) || text
     || chr(10) || chr(10) || '**Source:** [' || source || '](' || source_url || ')' || chr(10) || chr(10)
     || '## Questions' || chr(10) AS value
@@ -924,5 +1024,151 @@ SELECT doc_id, {TRIMWS("coalesce(nullif(title, ''), '')")} AS title, {TRIMWS("co
 FROM bm"""
 
 
+def NODE(x: str) -> str:
+    return TRIMWS(f"regexp_replace(coalesce({x}, ''), '\\s*<[^>]*>\\s*', '', 'g')")
+
+
+def LABEL(a: str, t: str) -> str:
+    return (f"(CASE WHEN coalesce({a}, '') <> '' AND coalesce({t}, '') <> '' THEN {a} || ' — ' || {t} "
+            f"WHEN coalesce({a}, '') <> '' THEN {a} WHEN coalesce({t}, '') <> '' THEN {t} END)")
+
+
+_LI = "'<li><a href=\"/([^\"]*)\">([^<]*)</a></li>'"
+CHARTS = f"""
+cp0 AS (SELECT page_id, url, html, regexp_extract_all(html, {_LI}, 2) AS its, regexp_extract_all(html, {_LI}, 1) AS pths,
+          regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS genre FROM pages),
+cp AS (SELECT url, genre, regexp_replace(genre, '[^a-z0-9]+', '-', 'g') AS slug, CAST(page_id AS INTEGER) AS ord,
+  CASE WHEN page_id % 2 = 1 THEN replace(html, '<li>', '<span>')
+    || '<script id="__NEXT_DATA__" type="application/json">{{"props":{{"pageProps":{{"chart":{{"tracks":'
+    || CAST(to_json(list_transform(generate_series(1, len(its)), lambda i_: {{'name': its[i_], 'artists': [{{'name': pths[i_]}}]}})) AS VARCHAR)
+    || '}}}}}}}}</script>' ELSE html END AS html FROM cp0),
+hr AS (SELECT url, genre, slug, ord, unnest(rws) AS row, unnest(generate_series(0, len(rws) - 1)) AS pos
+       FROM (SELECT *, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS rws FROM cp)),
+hl AS (SELECT *, {LABEL(NODE("regexp_extract(row, 'href=\"/([^\"]*)\"', 1)"), NODE("regexp_extract(row, '>([^<]*)</a>', 1)"))} AS label
+       FROM hr WHERE pos < 10),
+hi AS (SELECT * FROM hl WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url, lower(label) ORDER BY pos) = 1),
+jp AS (SELECT url, genre, slug, ord, regexp_extract(html, '(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1) AS blob
+       FROM cp WHERE url NOT IN (SELECT url FROM hi)),
+jt AS (SELECT url, genre, slug, ord, CAST(json_extract(blob, '$.props.pageProps.chart.tracks') AS JSON[]) AS tracks
+       FROM jp WHERE json_valid(blob) AND blob <> ''),
+ju AS (SELECT url, genre, slug, ord, unnest(tracks) AS t, unnest(generate_series(0, len(tracks) - 1)) AS pos FROM jt),
+jl AS (SELECT url, genre, slug, ord, pos, {LABEL(
+    "array_to_string(list_filter(list_transform(CAST(json_extract(t, '$.artists') AS JSON[]), lambda a_: json_extract_string(a_, '$.name')), lambda x_: coalesce(x_, '') <> ''), ', ')",
+    "coalesce(json_extract_string(t, '$.name'), '')")} AS label FROM ju WHERE pos < 10),
+ji AS (SELECT * FROM jl WHERE label IS NOT NULL),
+ci AS (SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos AS seq, 'beatport' AS adapter, 'Chart' AS source,
+         url AS source_url, label AS title FROM hi
+       UNION ALL
+       SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'beatport', 'Chart', url, label FROM ji)"""
+
+_SQL["html_items"] = "WITH " + CHARTS + """
+SELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos, 'Track in the ' || genre || ' chart.' AS body,
+  slug || '|chart|beatport' AS raw_tags FROM hi"""
+_SQL["json_items"] = "WITH " + CHARTS + "\nSELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos FROM ji"
+
+REGISTRY = r"""
+rg AS (SELECT 'rss' AS adapter, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS name, CAST(page_id AS VARCHAR) AS slug,
+  CASE WHEN page_id % 7 = 3 THEN '' ELSE url END AS url, page_id % 4 <> 1 AS enabled FROM pages)"""
+_SQL["enabled_sources"] = "WITH " + REGISTRY + "\nSELECT name, slug, url FROM rg WHERE coalesce(enabled, false) AND nullif(url, '') IS NOT NULL"
+_SQL["drop_blank_url"] = "WITH " + REGISTRY + "\nSELECT name, slug, url FROM rg WHERE coalesce(url, '') <> ''"
+
+_HD = "lower(substring(regexp_replace(coalesce(body, ''), '^\\s+', ''), 1, 200))"
+_SQL["classify_fetch"] = f"""
+WITH rs AS (
+  SELECT url, CAST(page_id % 4 AS INTEGER) AS attempt,
+    CAST(CASE WHEN page_id % 10 = 0 THEN 429 WHEN page_id % 10 = 1 THEN 503 WHEN page_id % 10 = 2 THEN 403 ELSE 200 END AS INTEGER) AS status,
+    CASE WHEN page_id % 3 = 0 THEN html ELSE '  <?xml version="1.0"?><feed><title>' || regexp_extract(html, '<title>([^<]*)</title>', 1)
+      || '</title></feed>' END AS body FROM pages)
+SELECT url, attempt, status, CASE WHEN status = 429 OR status >= 500 THEN 'retry' WHEN status <> 200 THEN 'give_up'
+  WHEN starts_with({_HD}, '<!doctype html') OR starts_with({_HD}, '<html') OR instr({_HD}, '<head') > 0
+       OR instr({_HD}, 'theme-beta') > 0 THEN 'retry' ELSE 'ok' END AS outcome FROM rs"""
+
+ALL_ITEMS = "WITH " + FEED_ITEMS + ",\n" + LISTING_ITEMS.lstrip() + "," + CHARTS + """,
+ai AS (SELECT seq, 'rss' AS adapter, source, source_url, title FROM fi
+       UNION ALL SELECT seq, 'reddit', source, source_url, title FROM li
+       UNION ALL SELECT seq, adapter, source, source_url, title FROM ci)"""
+_SQL["union_sources"] = ALL_ITEMS + "\nSELECT * FROM ai"
+_SQL["adapter_counts"] = ALL_ITEMS + "\nSELECT adapter, source, CAST(count(*) AS BIGINT) AS n_items FROM ai GROUP BY adapter, source"
+
+_FOLDER = "regexp_extract(path, '([^/]*)/[^/]*$', 1)"
+_FNAME = "regexp_extract(path, '([^/]*)$', 1)"
+NOTES_PARSED = "WITH " + NOTE_FILES + f""",
+np AS (SELECT path, value, {_FOLDER} AS folder, {FM_ENTRIES(FM_TEXT)} AS e, {NOTE_BODY} AS body, {FM_TEXT} IS NOT NULL AS has_fm
+       FROM nf WHERE instr(path, '/lenses/') = 0 AND lower({_FNAME}) <> 'readme.md')"""
+
+LABELS = NOTES_PARSED + f""",
+lb0 AS (SELECT path, coalesce({FM_GET('e', 'source_url')}, '') AS url, lower(coalesce({FM_GET('e', 'status')}, '')) AS status,
+          coalesce(nullif({FM_GET('e', 'title')}, ''), {FM_GET('e', 'observation')}, '') AS title,
+          coalesce({FM_GET('e', 'date')}, '') AS date FROM np),
+lb AS (SELECT path, title, CASE WHEN instr(url, 'reddit.com/r/') > 0 THEN regexp_extract(url, 'reddit\\.com/r/([^/]+)/', 1) ELSE '' END AS subreddit,
+         url AS source_url, status,
+         CASE WHEN status IN ('reacted', 'queued', 'published', 'posted') THEN true
+              WHEN status IN ('archived', 'ignored', 'skipped') THEN false END AS positive, date
+       FROM lb0 WHERE instr(url, 'reddit.com/r/') > 0),
+lab AS (SELECT * FROM lb WHERE positive IS NOT NULL),
+ex AS (SELECT *, CASE WHEN positive THEN 0 ELSE 1 END AS grp FROM lab
+       QUALIFY row_number() OVER (PARTITION BY positive ORDER BY date DESC, source_url, path) <= 4)"""
+
+_SQL["harvest_labels"] = LABELS + "\nSELECT path, title, subreddit, source_url, status, positive FROM lab"
+_SQL["select_exemplars"] = LABELS + "\nSELECT path, positive, CAST(grp AS INTEGER) AS grp, date FROM ex"
+_EXLINE = "'- [' || CASE WHEN positive THEN 'WORTH A LOOK' ELSE 'PASSED OVER' END || '] r/' || coalesce(subreddit, '?') || ': ' || substring(coalesce(title, ''), 1, 120)"
+_SQL["feedback_block"] = LABELS + f"""
+SELECT CAST((SELECT count(*) FILTER (WHERE positive) FROM lab) AS BIGINT) AS positives,
+  CAST((SELECT count(*) FILTER (WHERE NOT positive) FROM lab) AS BIGINT) AS negatives,
+  (SELECT CASE WHEN count(*) = 0 THEN '' ELSE 'Examples of past verdicts:' || chr(10)
+     || string_agg({_EXLINE}, chr(10) ORDER BY grp, date DESC, source_url, path) || chr(10) || chr(10) END FROM ex) AS block"""
+
+def INLINE(v: str) -> str:
+    tv = TRIMWS(f"coalesce({v}, '')")
+    return (f"(CASE WHEN regexp_matches({tv}, '^\\[.*\\]$') THEN list_filter(list_transform(string_split(regexp_extract({tv}, '^\\[(.*)\\]$', 1), ','), "
+            f"lambda x_: {UNQ('x_')}), lambda x_: x_ <> '') WHEN {tv} <> '' THEN [{UNQ(tv)}] ELSE []::VARCHAR[] END)")
+
+
+NOTE_TABLE = NOTES_PARSED + f""",
+nt AS (SELECT path, folder, {FM_GET('e', 'date')} AS date, {FM_GET('e', 'source')} AS source,
+         {FM_GET('e', 'observation')} AS observation, try_cast({FM_GET('e', 'interest_level')} AS INTEGER) AS interest_level,
+         array_to_string({INLINE(FM_GET('e', 'lenses'))}, '|') AS lenses, lower(coalesce({FM_GET('e', 'status')}, '')) AS status,
+         coalesce({FM_GET('e', 'notes')}, '') AS notes FROM np)"""
+_SQL["inbox_view"] = NOTE_TABLE + """
+SELECT date, source, observation, interest_level, lenses, status FROM nt WHERE folder = 'Observation Inbox' AND status = 'inbox'"""
+_SQL["queue_view"] = NOTE_TABLE + """
+SELECT date, source, observation, lenses, notes FROM nt WHERE folder IN ('Observation Inbox', 'Reaction Queue') AND status = 'queued'"""
+
+_BF_SENT = (f"list_filter(list_transform(string_split(regexp_replace(ctx, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
+            f"lambda x_: {TRIMWS('x_')}), lambda x_: x_ <> '')")
+
+
+def _g(k):
+    return FM_GET('e', k)
+
+
+_SQL["backfill"] = NOTES_PARSED + f""",
+b0 AS (SELECT path, e, {TRIMWS("coalesce(nullif(coalesce(" + _g('id') + ", regexp_replace(" + _FNAME + ", '\\.md$', '')), ''), '')")} AS note_id,
+         {TRIMWS("coalesce(nullif(coalesce(nullif(" + _g('title') + ", ''), " + _g('observation') + "), ''), '')")} AS title,
+         {TRIMWS("coalesce(nullif(" + _g('source') + ", ''), '')")} AS publication,
+         {TRIMWS("coalesce(nullif(" + _g('date') + ", ''), '')")} AS publication_date,
+         {TRIMWS("coalesce(nullif(" + _g('author') + ", ''), '')")} AS author,
+         {INLINE(_g('tags'))} AS tags, {INLINE(_g('entities'))} AS old_entities,
+         {TRIMWS(OBS_TEXT('body'))} AS ctx
+       FROM np WHERE folder IN ('Observation Inbox', 'Archived') AND has_fm),
+b1 AS (SELECT *, {CLEAN("CASE WHEN len(tags) > 0 THEN tags ELSE tags END")} AS topics,
+         {TRIMWS("coalesce(nullif(coalesce(nullif(" + _g('observation') + ", ''), title), ''), '')")} AS summary,
+         {_BF_SENT} AS claims, {TSENS('publication_date')} AS time_sensitivity FROM b0),
+b2 AS (SELECT *, {DERIVE('topics')} AS relevance, CASE WHEN len(old_entities) > 0 THEN old_entities ELSE []::VARCHAR[] END AS entities FROM b1)
+SELECT path,
+  ({_g('note_id')} IS DISTINCT FROM note_id OR {_g('title')} IS DISTINCT FROM title
+   OR {_g('publication')} IS DISTINCT FROM publication OR {_g('publication_date')} IS DISTINCT FROM publication_date
+   OR {_g('author')} IS DISTINCT FROM author
+   OR array_to_string({INLINE(_g('topics'))}, '|') IS DISTINCT FROM array_to_string(topics, '|')
+   OR array_to_string({INLINE(_g('entities'))}, '|') IS DISTINCT FROM array_to_string(entities, '|')
+   OR {_g('summary')} IS DISTINCT FROM summary
+   OR array_to_string({INLINE(_g('claims'))}, '|') IS DISTINCT FROM array_to_string(claims, '|')
+   OR array_to_string({INLINE(_g('relevance'))}, '|') IS DISTINCT FROM array_to_string(relevance, '|')
+   OR {_g('time_sensitivity')} IS DISTINCT FROM time_sensitivity) AS changed,
+  note_id, title, summary, array_to_string(topics, '|') AS topics, array_to_string(relevance, '|') AS relevance,
+  CAST(len(claims) AS BIGINT) AS n_claims, time_sensitivity
+FROM b2"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}

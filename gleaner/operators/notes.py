@@ -36,7 +36,7 @@ def parse_notes(files: DataFrame) -> DataFrame:
     keep = (F.instr(p, "/lenses/") == 0) & (F.lower(_file_name(p)) != "readme.md")
     return files.where(keep).select(
         "path", _folder(p).alias("folder"), FM.frontmatter_map("value").alias("fm"),
-        FM.note_body("value").alias("body"), F.col("value").startswith("---").alias("has_fm"))
+        FM.note_body("value").alias("body"), FM.frontmatter_text("value").isNotNull().alias("has_fm"))
 
 
 def harvest_labels(files: DataFrame, reddit_only: bool = True) -> DataFrame:
@@ -109,7 +109,7 @@ def note_table(files: DataFrame) -> DataFrame:
         g("title").alias("title"), g("date").alias("date"), g("source").alias("source"),
         g("source_url").alias("source_url"), g("observation").alias("observation"),
         FM.inline_list(g("tags")).alias("tags"), FM.inline_list(g("lenses")).alias("lenses"),
-        F.try_cast(g("interest_level"), "int").alias("interest_level"),
+        g("interest_level").try_cast("int").alias("interest_level"),
         F.lower(F.coalesce(g("status"), F.lit(""))).alias("status"),
         F.coalesce(g("notes"), F.lit("")).alias("notes"), "body", "has_fm")
 

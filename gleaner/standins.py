@@ -136,7 +136,11 @@ def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("source: "), F.col("source"), F.lit("\n"),
         F.lit("source_url: "), F.col("source_url"), F.lit("\n"),
         F.lit("tags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\n"),
+        F.lit("observation: \""), F.col("title"), F.lit("\"\n"),
+        F.lit("interest_level: "), (F.col("doc_id") % 5 + 1).cast("string"), F.lit("\n"),
+        F.lit("lenses: [NATION_"), (F.col("doc_id") % 25).cast("string"), F.lit("]\n"),
         F.lit("status: "), F.col("status"), F.lit("\n"),
+        F.lit("notes: \"\"\n"),
         F.lit("---\n\n## Observation\n\n"), F.col("text"),
         F.lit("\n\n**Source:** ["), F.col("source"), F.lit("]("), F.col("source_url"), F.lit(")\n\n## Questions\n"),
     )
@@ -189,7 +193,15 @@ def chart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.when(odd, F.concat(F.regexp_replace("html", "<li>", "<span>"), blob)).otherwise(F.col("html"))
     genre = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     return p.select(F.col("url"), genre.alias("genre"),
-                    F.regexp_replace(genre, r"[^a-z0-9]+", "-").alias("slug"), html.alias("html"))
+                    F.regexp_replace(genre, r"[^a-z0-9]+", "-").alias("slug"),
+                    F.col("page_id").cast("int").alias("ord"), html.alias("html"))
+
+
+# Patterns that find artist and title inside the stand-in chart rows
+# (<li><a href="/artist">title</a></li>).
+CHART_ROW = r"<li>(.*?)</li>"
+CHART_ARTIST = r'href="/([^"]*)"'
+CHART_TITLE = r">([^<]*)</a>"
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
