@@ -31,6 +31,8 @@ from gleaner.operators.score import wire_prerank
 from gleaner.plans.funnel import run_funnel
 from gleaner.plans.feedback import feedback_block
 from gleaner.plans.backfill import backfill
+from gleaner.plans.daily import daily_run, dry_run_view
+from gleaner.operators.notes import render_note
 from gleaner.operators.metrics import adapter_counts
 from gleaner.operators.notes import harvest_labels, inbox_view, note_table, queue_view, select_exemplars
 from gleaner.operators.items import drop_blank_url
@@ -416,7 +418,47 @@ def q_backfill(spark, d):
 
 
 
+def q_render_note(spark, d):
+    good, bad = split_quarantine(_enriched(spark, d))
+    r = render_note(good)
+    return r.select("source_url", "note_id", F.md5("markdown").alias("digest"),
+                    F.length("markdown").cast("bigint").alias("n_chars"))
+
+
+def _known(spark, d):
+    notes = note_table(S.note_files(spark, d)).select("source_url")
+    return notes.unionByName(S.known_page_urls(spark, d))
+
+
+def _daily(spark, d, known=True):
+    fb = feedback_block(S.note_files(spark, d))
+    return daily_run(
+        [feed_items(S.feed_entries(spark, d), S.AS_OF), _listing(spark, d), _charts(spark, d)],
+        known=_known(spark, d) if known else None, lens_files=S.lens_files(spark, d),
+        gate_backends=S.gate_backends(), enrich_backends=S.enrich_backends(), as_of=S.AS_OF,
+        exemplar_block=fb.block, taxonomy=S.LISTING_TAXONOMY, triage_threshold=3,
+        comments=S.comments(spark, d), interest_threshold=2, purpose="Notice what changes in music culture.")
+
+
+def q_daily_run(spark, d):
+    r = _daily(spark, d)
+    return r.notes.select("source_url", "note_id", "interest_level", "bucket")
+
+
+def q_run_summary(spark, d):
+    return _daily(spark, d).summary
+
+
+def q_dry_run(spark, d):
+    return dry_run_view(_daily(spark, d, known=False))
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "render_note": q_render_note,
+    "daily_run": q_daily_run,
+    "run_summary": q_run_summary,
+    "dry_run": q_dry_run,
     "html_items": q_html_items,
     "json_items": q_json_items,
     "enabled_sources": q_enabled_sources,
@@ -1170,5 +1212,131 @@ SELECT path,
 FROM b2"""
 
 
+def ENRICH_FROM(src: str) -> str:
+    """en/e2/e3 CTEs: the enrichment verdict for every row of ``src``
+    (needs source_url, title, raw_tags)."""
+    return f""",
+en AS (
+  SELECT *, length(title) AS m, length(title) % 9 AS r,
+    'NATION_' || CAST(length(title) % 25 AS VARCHAR) AS a, 'NATION_' || CAST((length(title) + 1) % 25 AS VARCHAR) AS b
+  FROM {src}),
+e2 AS (
+  SELECT *,
+    CASE r WHEN 0 THEN 'inference_error' WHEN 2 THEN 'unparsable' WHEN 3 THEN 'not_object'
+           WHEN 4 THEN 'bad_observation' WHEN 5 THEN 'bad_interest_level' END AS error_kind,
+    CAST(CASE WHEN r IN (1, 4) THEN greatest(least(m % 6, 5), 1) WHEN r = 6 THEN 5 WHEN r = 7 THEN 1
+              WHEN r = 8 THEN 4 END AS INTEGER) AS interest_level,
+    CASE WHEN r IN (0, 2, 3, 7) THEN substring(title, 1, 120) WHEN r = 4 THEN NULL
+         ELSE 'Item of length ' || CAST(m AS VARCHAR) || '.' END AS observation,
+    CASE WHEN r IN (0, 2, 3) THEN raw_tags
+         ELSE ['len-' || CAST(m % 5 AS VARCHAR), ' Techno Mixing ', '', 'bandcamp'] END AS tags,
+    CASE WHEN r IN (0, 2, 3, 8) THEN ['NATION_0'] ELSE [a, b] END AS lenses,
+    CASE WHEN r IN (0, 2, 3) THEN '' WHEN r = 8 THEN (CASE WHEN a = 'NATION_0' THEN 'NATION_0' ELSE '' END)
+         ELSE a END AS question_lenses
+  FROM en)"""
+
+
+def YQ(x: str) -> str:
+    inner = TRIMWS(f"replace(replace({x}, chr(13), ''), chr(10), ' ')")
+    return f"(CASE WHEN coalesce({x}, '') = '' THEN '\"\"' ELSE '\"' || replace(replace({inner}, '\\', '\\\\'), '\"', '\\\"') || '\"' END)"
+
+
+def NOTE_ID(date: str, source: str, url: str) -> str:
+    return f"concat_ws('-', {date}, substring({SLUG(source)}, 1, 8), substring(md5(coalesce({url}, '')), 1, 4))"
+
+
+_RN_SRC = "WITH " + FEED_ENTRIES + """,
+fi AS (
+  SELECT feed AS source, link AS source_url, coalesce(title, '(no title)') AS title,
+    list_filter(categories, lambda t: coalesce(t, '') <> '') AS raw_tags, '2024-03-01' AS date
+  FROM fe WHERE coalesce(link, '') <> '' QUALIFY row_number() OVER (PARTITION BY feed, link ORDER BY pos) = 1)"""
+
+_CTX = "'First point here. Second point!'"
+_MD = f"""'---' || chr(10) || 'id: ' || {NOTE_ID('date', 'source', 'source_url')} || chr(10)
+  || 'title: ' || {YQ(TRIMWS("coalesce(title, '')"))} || chr(10)
+  || 'date: ' || date || chr(10)
+  || 'source: ' || {YQ('source')} || chr(10)
+  || 'source_url: ' || {YQ('source_url')} || chr(10)
+  || 'publication: ' || {YQ(TRIMWS("coalesce(source, '')"))} || chr(10)
+  || 'publication_date: ' || {YQ('date')} || chr(10)
+  || 'author: ""' || chr(10)
+  || 'observation: ' || {YQ('observation')} || chr(10)
+  || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10)
+  || 'topics: [' || array_to_string(topics, ', ') || ']' || chr(10)
+  || 'entities: [E' || CAST(m % 3 AS VARCHAR) || ']' || chr(10)
+  || 'summary: ' || {YQ(TRIMWS("coalesce(nullif(observation, ''), title, '')"))} || chr(10)
+  || 'claims: [' || (CASE WHEN m % 2 = 0 THEN '"First point here.", "Second point!"' ELSE '"Claim ' || CAST(m AS VARCHAR) || '."' END) || ']' || chr(10)
+  || 'relevance: [' || array_to_string({DERIVE('topics')}, ', ') || ']' || chr(10)
+  || 'time_sensitivity: ' || (CASE WHEN m % 2 = 0 THEN 'high' ELSE 'medium' END) || chr(10)
+  || 'interest_level: ' || CAST(interest_level AS VARCHAR) || chr(10)
+  || 'lenses: [' || array_to_string(lenses, ', ') || ']' || chr(10)
+  || 'status: inbox' || chr(10) || 'notes: ""' || chr(10) || '---' || chr(10) || chr(10)
+  || '## Observation' || chr(10) || chr(10) || {_CTX} || chr(10) || chr(10)
+  || '**Source:** [' || source || '](' || source_url || ')' || chr(10) || chr(10) || '## Questions'
+  || (CASE WHEN question_lenses <> '' THEN chr(10) || chr(10) || '### ' || question_lenses || chr(10) || '- Who gains?' || chr(10) || '- Why now?' ELSE '' END)
+  || chr(10)"""
+
+_SQL["render_note"] = _RN_SRC + ENRICH_FROM("fi") + f""",
+e3 AS (SELECT *, {CLEAN('tags')} AS topics FROM e2 WHERE error_kind IS NULL),
+md AS (SELECT source_url, {NOTE_ID('date', 'source', 'source_url')} AS note_id, {_MD} AS markdown FROM e3)
+SELECT source_url, note_id, md5(markdown) AS digest, CAST(length(markdown) AS BIGINT) AS n_chars FROM md"""
+
+
+def _daily_sql(known: bool = True) -> str:
+    base = ("WITH " + FEED_ENTRIES + """,
+fi AS (
+  SELECT (CAST(feed_ord AS BIGINT) << 32) + pos AS seq, feed AS source, link AS source_url,
+    coalesce(title, '(no title)') AS title, list_filter(categories, lambda t: coalesce(t, '') <> '') AS raw_tags,
+    '2024-03-01' AS date
+  FROM fe WHERE coalesce(link, '') <> '' QUALIFY row_number() OVER (PARTITION BY feed, link ORDER BY pos) = 1),
+""" + GATED.lstrip() + "," + CHARTS + "," + NOTE_ROWS + """,
+known AS (SELECT source_url FROM nr UNION ALL SELECT url FROM pages WHERE page_id IN (SELECT doc_id FROM labels)),
+lc2 AS (SELECT *, 'https://www.reddit.com' || permalink AS url2 FROM lc),
+ai AS (
+  SELECT seq, source, source_url, title, raw_tags, date, 'ungated' AS bucket, CAST(NULL AS INTEGER) AS triage_score,
+         CAST(NULL AS DOUBLE) AS wire_pre_score FROM fi
+  UNION ALL
+  SELECT g3.seq, g3.source, g3.source_url, g3.title,
+    list_concat([g3.subreddit], CASE WHEN coalesce(lc2.link_flair_text, '') <> '' THEN [replace(lower(lc2.link_flair_text), ' ', '-')] ELSE []::VARCHAR[] END),
+    CAST(CAST(make_timestamp(CAST(lc2.created_utc * 1000000 AS BIGINT)) AS DATE) AS VARCHAR),
+    g3.bucket, g3.triage_score, g3.wire_pre_score
+  FROM g3 JOIN lc2 ON g3.source_url = lc2.url2
+  UNION ALL
+  SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'Chart', url, label, [slug, 'chart', 'beatport'],
+         '2024-03-01', 'ungated', NULL, NULL FROM hi
+  UNION ALL
+  SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'Chart', url, label, [slug, 'chart', 'beatport'],
+         '2024-03-01', 'ungated', NULL, NULL FROM ji),""")
+    stored = "source_url IN (SELECT source_url FROM known)" if known else "false"
+    return base + f"""
+led0 AS (SELECT *, CASE WHEN {stored} THEN 'already_stored' WHEN bucket = 'rejected' THEN 'rejected' END AS fate0 FROM ai),
+kept AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY
+           CASE bucket WHEN 'ungated' THEN 0 WHEN 'survivor' THEN 1 WHEN 'maybe' THEN 2 ELSE 3 END,
+           coalesce(triage_score, 99) DESC, coalesce(wire_pre_score, 0.0) DESC, seq) AS rn
+         FROM led0 WHERE fate0 IS NULL),
+uq AS (SELECT * FROM kept WHERE rn = 1)""" + ENRICH_FROM("uq") + """,
+led AS (
+  SELECT fate0 AS fate FROM led0 WHERE fate0 IS NOT NULL
+  UNION ALL SELECT 'dup_in_run' FROM kept WHERE rn > 1
+  UNION ALL SELECT CASE WHEN error_kind IS NOT NULL THEN 'failed' WHEN interest_level < 2 THEN 'below_threshold'
+                        ELSE 'written' END FROM e2)"""
+
+
+_SQL["daily_run"] = _daily_sql() + f"""
+SELECT source_url, {NOTE_ID('date', 'source', 'source_url')} AS note_id, interest_level, bucket
+FROM e2 WHERE error_kind IS NULL AND interest_level >= 2"""
+
+_FATES = ("blank_url", "already_stored", "rejected", "dup_in_run", "failed", "below_threshold", "written")
+_SQL["run_summary"] = _daily_sql() + """,
+c AS (SELECT CAST(count(*) AS BIGINT) AS fetched, """ + ", ".join(
+    f"CAST(count(*) FILTER (WHERE fate = '{f}') AS BIGINT) AS {f}" for f in _FATES) + """ FROM led)
+SELECT *, blank_url + already_stored + dup_in_run + rejected AS skipped_dedup, below_threshold + written AS processed FROM c"""
+
+_SQL["dry_run"] = _daily_sql(known=False) + """
+SELECT source, source_url, observation, interest_level, array_to_string(lenses, ', ') AS lenses,
+  array_to_string(tags, ', ') AS tags
+FROM e2 WHERE error_kind IS NULL AND interest_level >= 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}
