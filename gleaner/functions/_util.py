@@ -21,3 +21,11 @@ def get0(arr) -> Column:
 
 def empty_str_array() -> Column:
     return F.array().cast("array<string>")
+
+
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` (a Column -> Column
+    function). Composed column helpers otherwise copy a sub-expression into
+    every place it is used, which repeats the work per row and can make the
+    generated code too large to compile."""
+    return F.get(F.transform(F.array(expr), fn), 0)

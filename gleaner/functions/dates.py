@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of
+from ._util import col_of, let
 
 # Feed date layouts tried in order. RFC 822 day names are removed first
 # ("Mon, 02 Jun 2025 ..."), as Spark's parser does not take day-of-week text.
@@ -62,9 +62,10 @@ def iso_prefix_date(c) -> Column:
 def time_sensitivity(published, as_of) -> Column:
     """P20: age <= 30 days (future too) high, <= 365 medium, else low;
     unparsable unknown. ``as_of`` is explicit (the reference uses today)."""
-    d = iso_prefix_date(published)
-    age = F.datediff(as_date_col(as_of), d)
-    return (F.when(d.isNull(), F.lit("unknown"))
-            .when(age <= 30, F.lit("high"))
-            .when(age <= 365, F.lit("medium"))
-            .otherwise(F.lit("low")))
+    def bucket(age):
+        return (F.when(age.isNull(), F.lit("unknown"))
+                .when(age <= 30, F.lit("high"))
+                .when(age <= 365, F.lit("medium"))
+                .otherwise(F.lit("low")))
+
+    return let(F.datediff(as_date_col(as_of), iso_prefix_date(published)), bucket)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of, empty_str_array, lit_of
+from ._util import col_of, empty_str_array, let, lit_of
 from .dates import time_sensitivity
 from .text import clean_list, sentences, strip_ws
 
@@ -48,20 +48,24 @@ def derive_relevance(topics, aliases=TAXONOMY_ALIASES, taxonomy=RELEVANCE_TAXONO
     hits ``techno``), as the reference does; ``mode="token"`` matches whole
     words only.
     """
-    t = F.coalesce(col_of(topics), empty_str_array())
     amap = _alias_map(aliases)
-    direct = F.transform(t, lambda x: F.coalesce(
-        F.try_element_at(amap, F.replace(F.lower(x), F.lit("-"), F.lit(" "))), x))
-    blob = F.lower(F.array_join(t, " "))
-    if mode == "token":
-        words = F.split(blob, r"(?U)\s+")
-        hit = lambda a: F.array_contains(words, a["k"])
-    else:
-        hit = lambda a: F.instr(blob, a["k"]) > 0
-    found = F.transform(F.filter(_alias_array(aliases), hit), lambda a: a["v"])
     tax = F.array(*[F.lit(x) for x in taxonomy])
-    rel = F.array_distinct(F.filter(F.concat(direct, found), lambda x: F.array_contains(tax, x)))
-    return F.when(F.size(rel) > 0, rel).otherwise(F.array(F.lit(default)))
+
+    def derive(t):
+        direct = F.transform(t, lambda x: F.coalesce(
+            F.try_element_at(amap, F.replace(F.lower(x), F.lit("-"), F.lit(" "))), x))
+
+        def found_in(blob):
+            if mode == "token":
+                return let(F.split(blob, r"(?U)\s+"), lambda words: F.transform(
+                    F.filter(_alias_array(aliases), lambda a: F.array_contains(words, a["k"])), lambda a: a["v"]))
+            return F.transform(F.filter(_alias_array(aliases), lambda a: F.instr(blob, a["k"]) > 0), lambda a: a["v"])
+
+        found = let(F.lower(F.array_join(t, " ")), found_in)
+        return F.array_distinct(F.filter(F.concat(direct, found), lambda x: F.array_contains(tax, x)))
+
+    rel = let(F.coalesce(col_of(topics), empty_str_array()), derive)
+    return let(rel, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(F.lit(default))))
 
 
 def _truthy_str(c) -> Column:
@@ -101,10 +105,19 @@ def build_metadata(*, as_of, note_id=None, title=None, source=None, source_url=N
 
     pub_date = strip_ws(first_truthy_str(c(published_date)))
     context = strip_ws(first_truthy_str(c(p_expanded_context)))
-    claims = first_truthy_arr(clean_list(c(p_claims, "a")), sentences(context))
-    topics = first_truthy_arr(clean_list(c(p_topics, "a")),
-                              clean_list(first_truthy_arr(c(p_tags, "a"), c(raw_tags, "a"))))
+    claims = let(clean_list(c(p_claims, "a")),
+                 lambda cl: F.when(F.size(cl) > 0, cl).otherwise(sentences(context)))
+    topics_in = let(clean_list(c(p_topics, "a")), lambda tp: F.when(F.size(tp) > 0, tp).otherwise(
+        clean_list(first_truthy_arr(c(p_tags, "a"), c(raw_tags, "a")))))
     ts = first_truthy_str(c(p_time_sensitivity))
+    # bind the values used more than once
+    return let(F.struct(topics_in.alias("topics"), pub_date.alias("pub_date")), lambda b: _meta_struct(
+        b["topics"], b["pub_date"], claims, ts, c, note_id, title, p_title, source, source_url, author,
+        p_entities, p_observation, aliases, taxonomy, as_of))
+
+
+def _meta_struct(topics, pub_date, claims, ts, c, note_id, title, p_title, source, source_url, author,
+                 p_entities, p_observation, aliases, taxonomy, as_of) -> Column:
     return F.struct(
         strip_ws(first_truthy_str(c(note_id))).alias("note_id"),
         strip_ws(first_truthy_str(c(title), c(p_title))).alias("title"),
@@ -117,5 +130,5 @@ def build_metadata(*, as_of, note_id=None, title=None, source=None, source_url=N
         strip_ws(first_truthy_str(c(p_observation), c(title))).alias("summary"),
         claims.alias("claims"),
         derive_relevance(topics, aliases, taxonomy).alias("relevance"),
-        F.when(ts != "", ts).otherwise(time_sensitivity(pub_date, as_of)).alias("time_sensitivity"),
+        let(ts, lambda t: F.when(t != "", t).otherwise(time_sensitivity(pub_date, as_of))).alias("time_sensitivity"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of
+from ._util import col_of, let
 from .text import strip_ws
 
 
@@ -55,13 +55,16 @@ def py_int(x) -> Column:
     happens before narrowing.
     """
     x = col_of(x)
-    k = kind(x)
-    as_num = F.try_variant_get(x, "$", "double")
-    from_str = F.try_variant_get(x, "$", "string")
-    str_ok = from_str.rlike(r"^(?U)\s*[+-]?\d+\s*$")
-    return (F.when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"),
-                   F.when(as_num >= 0, F.floor(as_num)).otherwise(F.ceil(as_num)).cast("double"))
-            .when((k == "STRING") & str_ok, strip_ws(from_str).cast("double")))
+
+    def conv(b):
+        k, as_num, from_str = b["k"], b["n"], b["s"]
+        str_ok = from_str.rlike(r"^(?U)\s*[+-]?\d+\s*$")
+        return (F.when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"),
+                       F.when(as_num >= 0, F.floor(as_num)).otherwise(F.ceil(as_num)).cast("double"))
+                .when((k == "STRING") & str_ok, strip_ws(from_str).cast("double")))
+
+    return let(F.struct(kind(x).alias("k"), F.try_variant_get(x, "$", "double").alias("n"),
+                        F.try_variant_get(x, "$", "string").alias("s")), conv)
 
 
 def clamp_int(v, name: str, lo: int, hi: int, default: int | None) -> Column:
@@ -73,7 +76,7 @@ def clamp_int(v, name: str, lo: int, hi: int, default: int | None) -> Column:
     f = field(v, name)
     n = F.when(f.isNull(), F.lit(default).cast("double")).otherwise(py_int(f))
     # greatest/least skip NULLs, so an unusable value is kept NULL explicitly
-    out = F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(float(lo))), F.lit(float(hi))).cast("int"))
+    out = let(n, lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))).cast("int")))
     return F.when(is_object(v), out)
 
 

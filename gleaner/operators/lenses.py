@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as FM
+from ..functions._util import let
 from ..functions.text import first_sentence
 
 MAX_LENSES = 2000
@@ -82,7 +83,7 @@ def match_lenses(names, lookup: Column, first: Column, max_lenses: int = 3) -> C
     first lens (when the library has one)."""
     n = F.col(names) if isinstance(names, str) else names
     canon = F.filter(F.transform(n, lambda x: F.try_element_at(lookup, F.lower(x))), lambda x: x.isNotNull())
-    got = F.slice(F.array_distinct(canon), 1, max_lenses)
-    return (F.when(F.size(got) > 0, got)
-            .when(first.isNotNull(), F.array(first))
-            .otherwise(F.array().cast("array<string>")))
+    return let(F.slice(F.array_distinct(canon), 1, max_lenses), lambda got: (
+        F.when(F.size(got) > 0, got)
+        .when(first.isNotNull(), F.array(first))
+        .otherwise(F.array().cast("array<string>"))))

@@ -10,7 +10,7 @@ from ..functions import frontmatter as FM
 from ..functions.metadata import build_metadata, first_truthy_str
 from ..functions.prompts import exemplar_block_from_lines, exemplar_line
 from ..functions.text import nonblank, note_id as note_id_col, observation_text, url_segment, yaml_quote
-from ..functions._util import empty_str_array
+from ..functions._util import empty_str_array, let
 
 # Status words that label a note (reference status chain).
 REACTED_STATES = ("reacted", "queued", "published", "posted")
@@ -179,7 +179,7 @@ def render_note(obs: DataFrame, status: str = "inbox") -> DataFrame:
         "\n", F.lit("## Observation"), F.lit(""),
         first_truthy_str(F.col("expanded_context"), F.col("observation")),
         F.lit(""), F.concat(F.lit("**Source:** "), source_line), F.lit(""), F.lit("## Questions"),
-        F.when(F.size(sections) > 0, F.array_join(sections, "\n")))
+        let(sections, lambda sc: F.when(F.size(sc) > 0, F.array_join(sc, "\n"))))
     return obs.withColumn("note_id", nid).withColumn(
         "markdown", F.concat(fm, F.lit("\n\n"), body, F.lit("\n")))
 
