@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of
+from ._util import col_of, let
 from .text import strip_ws
 
 # Line breaks Python's ``str.splitlines`` recognises.
@@ -45,9 +45,14 @@ def frontmatter_map(c) -> Column:
     entries = F.transform(lines, lambda l: F.struct(
         strip_ws(F.substring_index(l, ":", 1)).alias("key"),
         _unquote(F.substr(l, F.instr(l, ":") + F.lit(1))).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
-                                                   lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(let(entries, last_per_key))
+
+
+def last_per_key(entries: Column) -> Column:
+    """Entries (struct key, value) keeping only the last one of each key, in
+    order. ``entries`` must be a bound value (see ``let``)."""
+    return F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
 
 
 def fm_get(m, key: str) -> Column:

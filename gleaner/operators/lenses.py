@@ -66,10 +66,8 @@ def summary_col(lib: DataFrame) -> Column:
 def lookup_col(lib: DataFrame) -> Column:
     """``map<lower(name), name>``; with repeated names the last file
     wins -- as a scalar subquery column."""
-    entries = F.transform(_named(F.col("lenses")), lambda x: F.struct(F.lower(x["name"]).alias("k"), x["name"].alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
-                                                   lambda y: y["k"] == e["k"]))
-    return lib.select(F.map_from_entries(last).alias("m")).scalar()
+    entries = F.transform(_named(F.col("lenses")), lambda x: F.struct(F.lower(x["name"]).alias("key"), x["name"].alias("value")))
+    return lib.select(F.map_from_entries(let(entries, FM.last_per_key)).alias("m")).scalar()
 
 
 def first_lens_col(lib: DataFrame) -> Column:
