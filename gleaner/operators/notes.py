@@ -206,11 +206,15 @@ def backfill_metadata(files: DataFrame, as_of, folders=(INBOX_FOLDER, ARCHIVE_FO
         as_of=as_of, note_id=F.coalesce(g("id"), stem), title=F.coalesce(nonblank(g("title")), g("observation")),
         source=g("source"), source_url=g("source_url"), published_date=g("date"), raw_tags=tags,
         p_observation=g("observation"), p_expanded_context=observation_text(F.col("body")), p_tags=tags)
+    out = n.where(F.col("has_fm")).select("path", "folder", "fm", "body", meta.alias("meta"))
     if not overwrite:
+        # override from the computed column (a separate projection, so the
+        # metadata expression is not re-inlined into every field access)
+        m0 = F.col("meta")
         old_entities = FM.inline_list(g("entities"))
-        meta = meta.withField("author", F.coalesce(nonblank(g("author")), meta["author"])) \
-                   .withField("entities", F.when(F.size(old_entities) > 0, old_entities).otherwise(meta["entities"]))
-    out = n.where(F.col("has_fm")).select("path", "folder", "fm", "body", meta.alias("meta"))
+        out = out.withColumn("meta", m0.withField("author", F.coalesce(nonblank(g("author")), m0["author"]))
+                             .withField("entities", F.when(F.size(old_entities) > 0, old_entities)
+                                        .otherwise(m0["entities"])))
     old = F.struct(
         g("note_id").alias("note_id"), g("title").alias("title"), g("publication").alias("publication"),
         g("publication_date").alias("publication_date"), g("author").alias("author"),
