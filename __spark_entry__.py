@@ -33,6 +33,8 @@ from gleaner.plans.feedback import feedback_block
 from gleaner.plans.backfill import backfill
 from gleaner.plans.daily import daily_run, dry_run_view
 from gleaner.operators.notes import render_note
+from gleaner.streaming.ingest import dedup_stream, ingest_stream, read_stream_parquet, run_to_parquet
+from gleaner.session import staging_path
 from gleaner.operators.metrics import adapter_counts
 from gleaner.operators.notes import harvest_labels, inbox_view, note_table, queue_view, select_exemplars
 from gleaner.operators.items import drop_blank_url
@@ -454,7 +456,29 @@ def q_dry_run(spark, d):
 
 
 
+def q_stream_ingest(spark, d):
+    """R1 over the pages table landed as a file stream (available-now)."""
+    pages = S.table(spark, d, "pages")
+    stream = read_stream_parquet(spark, f"{d.rstrip('/')}/pages*.parquet", pages.schema)
+    sink = staging_path(spark, "ingest-sink")
+    q = ingest_stream(stream, sink, as_of=S.AS_OF, to_entries=S.pages_as_entries)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("source", "source_url", "title")
+
+
+def q_stream_dedup(spark, d):
+    """R2 over the events table landed as a file stream: keys kept once."""
+    ev = S.table(spark, d, "events")
+    stream = read_stream_parquet(spark, f"{d.rstrip('/')}/events*.parquet", ev.schema)
+    sink = staging_path(spark, "dedup-sink")
+    run_to_parquet(dedup_stream(stream, ["user_id", "event_type"], "ts", "1 hour"), sink)
+    return spark.read.parquet(sink).select("user_id", "event_type")
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_ingest": q_stream_ingest,
+    "stream_dedup": q_stream_dedup,
     "render_note": q_render_note,
     "daily_run": q_daily_run,
     "run_summary": q_run_summary,
@@ -1338,5 +1362,10 @@ SELECT source, source_url, observation, interest_level, array_to_string(lenses,
 FROM e2 WHERE error_kind IS NULL AND interest_level >= 2"""
 
 
+_SQL["stream_ingest"] = "WITH " + FEED_ITEMS + """
+SELECT source, source_url, title FROM fi QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY seq) = 1"""
+_SQL["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}

@@ -23,7 +23,11 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSS-like entries from ``pages``: feed = host, link = url, title =
     ``<title>``, summary = the ``<article>`` markup, content = the whole page,
     categories = the navigation link texts, position = page_id."""
-    p = table(spark, sf_dir, "pages")
+    return pages_as_entries(table(spark, sf_dir, "pages"))
+
+
+def pages_as_entries(p: DataFrame) -> DataFrame:
+    """``feed_entries`` over any (also streaming) frame of ``pages`` rows."""
     return p.select(
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("feed"),
         F.lit(0).alias("feed_ord"),
