@@ -17,8 +17,8 @@ _S = T.StringType()
 
 RSS_ITEM = T.StructType([
     T.StructField("title", _S), T.StructField("link", _S), T.StructField("description", _S),
-    T.StructField("encoded", _S), T.StructField("pubDate", _S), T.StructField("updated", _S),
-    T.StructField("author", _S), T.StructField("creator", _S),
+    T.StructField("content:encoded", _S), T.StructField("pubDate", _S), T.StructField("updated", _S),
+    T.StructField("author", _S), T.StructField("dc:creator", _S),
     T.StructField("category", T.ArrayType(T.StructType([T.StructField("_VALUE", _S), T.StructField("_domain", _S)]))),
 ])
 RSS_DOC = T.StructType([T.StructField("channel", T.StructType([
@@ -49,10 +49,11 @@ LISTING_DOC = T.StructType([T.StructField("data", T.StructType([
 
 def read_whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, value) for every file under ``path`` (recursive)."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    # text()'s own wholetext keyword defaults to False and wins over options
+    r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
 
 
 def _file_stem(path) -> F.Column:
@@ -81,9 +82,9 @@ def parse_feed_files(files: DataFrame, kind: str = "rss") -> tuple[DataFrame, Da
         out = e.select(
             "feed", "feed_ord", F.col("pos").cast("int").alias("pos"),
             F.col("e.link").alias("link"), F.col("e.title").alias("title"),
-            F.col("e.description").alias("summary"), F.col("e.encoded").alias("content"),
+            F.col("e.description").alias("summary"), F.col("e").getField("content:encoded").alias("content"),
             F.col("e.pubDate").alias("published"), F.col("e.updated").alias("updated"),
-            F.coalesce(F.col("e.author"), F.col("e.creator")).alias("author"),
+            F.coalesce(F.col("e.author"), F.col("e").getField("dc:creator")).alias("author"),
             F.transform(F.col("e.category"), lambda c: c["_VALUE"]).alias("categories"))
     else:
         alt = F.filter(F.col("e.link"), lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
