@@ -16,7 +16,8 @@ AS_OF = "2024-03-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from .sources.tables import read_table
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
