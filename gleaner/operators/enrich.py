@@ -20,10 +20,11 @@ from .lenses import match_lenses
 def enrich_prompts(items: DataFrame, lens_summary: Column, purpose: str = "",
                    system_template: str = ENRICH_SYSTEM, user_template: str = ENRICH_USER) -> DataFrame:
     """P27 (enrich): ``system`` / ``user`` prompt columns."""
-    return items.withColumn("system", fill(system_template, purpose=F.lit(purpose.strip()), lens_summary=lens_summary)) \
-        .withColumn("user", fill(user_template, source=F.col("source"), source_url=F.col("source_url"),
-                                 title=F.col("title"), body=F.col("body"),
-                                 published_date=F.col("published_date").cast("string")))
+    return items.withColumns({
+        "system": fill(system_template, purpose=F.lit(purpose.strip()), lens_summary=lens_summary),
+        "user": fill(user_template, source=F.col("source"), source_url=F.col("source_url"),
+                     title=F.col("title"), body=F.col("body"),
+                     published_date=F.col("published_date").cast("string"))})
 
 
 def _str_list_or(v: Column, key: str, fallback: Column) -> Column:
@@ -55,7 +56,7 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
     an error, not a default.
     """
     # scalar subqueries cannot sit inside lambdas: project them first
-    replied = replied.withColumn("__lens_map", lookup).withColumn("__first_lens", first_lens)
+    replied = replied.withColumns({"__lens_map": lookup, "__first_lens": first_lens})
     lookup, first_lens = F.col("__lens_map"), F.col("__first_lens")
     # parse the reply once; every field below reads the VARIANT column
     replied = replied.withColumn("__v", R.parse_reply(F.col("reply")))
@@ -71,19 +72,21 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
         F.coalesce(R.get_string(v, "time_sensitivity"), F.to_json(ts_field)))
     ctx_field = R.field(v, "expanded_context")
     ctx = F.when(ctx_field.isNull(), F.lit("")).otherwise(F.coalesce(R.get_string(v, "expanded_context"), F.lit("")))
-    out = (replied
-           .withColumn("error_kind", error_kind(v))
-           .withColumn("date", F.col("published_date").cast("string"))
-           .withColumn("observation", observation)
-           .withColumn("tags", tags)
-           .withColumn("interest_level", R.clamp_int(v, "interest_level", 1, 5, 1))
-           .withColumn("lenses", lenses)
-           .withColumn("questions", R.scope_questions(R.questions_map(v), F.col("lenses")))
-           .withColumn("expanded_context", ctx)
-           .withColumn("p_topics", _str_list_or(v, "topics", F.col("tags")))
-           .withColumn("p_entities", _str_list_or(v, "entities", empty_str_array()))
-           .withColumn("p_claims", _str_list_or(v, "claims", empty_str_array()))
-           .withColumn("p_time_sensitivity", p_ts))
+    out = replied.withColumns({
+        "error_kind": error_kind(v),
+        "date": F.col("published_date").cast("string"),
+        "observation": observation,
+        "tags": tags,
+        "interest_level": R.clamp_int(v, "interest_level", 1, 5, 1),
+        "lenses": lenses,
+        "expanded_context": ctx,
+        "p_entities": _str_list_or(v, "entities", empty_str_array()),
+        "p_claims": _str_list_or(v, "claims", empty_str_array()),
+        "p_time_sensitivity": p_ts,
+    }).withColumns({
+        "questions": R.scope_questions(R.questions_map(v), F.col("lenses")),
+        "p_topics": _str_list_or(v, "topics", F.col("tags")),
+    })
     meta = build_metadata(
         as_of=as_of, title=None, p_title="title", source="source", source_url="source_url",
         published_date="date", author="author", raw_tags="tags", p_observation="observation",

@@ -17,11 +17,12 @@ def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
     """P27 (gate): ``system`` and ``user`` prompt columns; the body is cut to
     ``body_chars``."""
     w = F.col("wire")
-    return items.withColumn("system", fill(system_template, lens_summary=F.coalesce(lens_summary, F.lit("(none)")))) \
-        .withColumn("user", fill(user_template, exemplar_block=exemplar_block, subreddit=w["subreddit"],
+    return items.withColumns({
+        "system": fill(system_template, lens_summary=F.coalesce(lens_summary, F.lit("(none)"))),
+        "user": fill(user_template, exemplar_block=exemplar_block, subreddit=w["subreddit"],
                                  title=F.col("title"), body=F.substring(F.coalesce(F.col("body"), F.lit("")), 1, body_chars),
                                  score=F.coalesce(w["score"], F.lit(0)), num_comments=F.coalesce(w["num_comments"], F.lit(0)),
-                                 upvote_ratio=F.coalesce(w["upvote_ratio"], F.lit(0.0))))
+                                 upvote_ratio=F.coalesce(w["upvote_ratio"], F.lit(0.0)))})
 
 
 def triage_verdict(v: Column, error: str = "error", threshold: int = 3) -> tuple[Column, Column]:
@@ -50,13 +51,13 @@ def triage_gate(replied: DataFrame, threshold: int = 3, maybe_band: int = 1) ->
     - band maybe, else rejected; a call error is always maybe."""
     replied = replied.withColumn("__v", R.parse_reply(F.col("reply")))
     triage, score = triage_verdict(F.col("__v"), threshold=threshold)
-    out = replied.withColumn("triage", triage).withColumn("triage_score", score).drop("__v")
+    out = replied.withColumns({"triage": triage, "triage_score": score}).drop("__v")
     s = F.col("triage_score")
     bucket = (F.when(F.col("triage.error").isNotNull(), F.lit("maybe"))
               .when(s >= threshold, F.lit("survivor"))
               .when(s >= threshold - maybe_band, F.lit("maybe"))
               .otherwise(F.lit("rejected")))
-    return out.withColumn("bucket", bucket).withColumn("overflow", F.lit(False))
+    return out.withColumns({"bucket": bucket, "overflow": F.lit(False)})
 
 
 def survivor_order() -> list[Column]:

@@ -58,7 +58,9 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
               interest_threshold: int = 2, dedup_keys: Sequence[str] = ("source_url",),
               funnel_enabled: bool = True, purpose: str = "", staging: str = "checkpoint") -> RunResult:
     """Q2. ``known=None`` skips the stored-URL check (dry run, K3)."""
-    items = union_sources(*sources)
+    # staged once: every ledger branch below reads this checkpoint instead of
+    # re-running the scans
+    items = stage(union_sources(*sources), staging)
     key = F.coalesce(F.col("source_url"), F.lit(""))
     blank = items.where(key == "").select("seq", "source_url", F.lit("blank_url").alias("fate"))
     items = drop_blank_url(items)
@@ -71,10 +73,10 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
 
     lib = lens_library(lens_files)
     summary = summary_col(lib)
-    gated = run_funnel(items, backends=gate_backends, lens_summary=summary,
-                       exemplar_block=exemplar_block if exemplar_block is not None else F.lit(""),
-                       taxonomy=taxonomy, threshold=triage_threshold, max_survivors=max_survivors,
-                       comments=comments, enabled=funnel_enabled, staging=staging)
+    gated = stage(run_funnel(items, backends=gate_backends, lens_summary=summary,
+                             exemplar_block=exemplar_block if exemplar_block is not None else F.lit(""),
+                             taxonomy=taxonomy, threshold=triage_threshold, max_survivors=max_survivors,
+                             comments=comments, enabled=funnel_enabled, staging=staging), staging)
     rejected = gated.where(F.col("bucket") == "rejected").select("seq", "source_url", F.lit("rejected").alias("fate"))
     kept = gated.where(F.col("bucket") != "rejected")
     # first row per key in run order (group-limited window: a hot key sends

@@ -27,12 +27,10 @@ def run_funnel(items: DataFrame, *, backends: Sequence[Backend], lens_summary: C
     The model replies are staged once (checkpoint in the shared folder)
     before buckets and budget read them.
     """
-    base = items.withColumn("wire_pre_score", F.lit(None).cast("double")) \
-        .withColumn("triage", F.lit(None).cast(TRIAGE)) \
-        .withColumn("triage_score", F.lit(None).cast("int")) \
-        .withColumn("bucket", F.lit("ungated")) \
-        .withColumn("overflow", F.lit(False)) \
-        .withColumn("deep_dived", F.lit(False))
+    base = items.withColumns({
+        "wire_pre_score": F.lit(None).cast("double"), "triage": F.lit(None).cast(TRIAGE),
+        "triage_score": F.lit(None).cast("int"), "bucket": F.lit("ungated"),
+        "overflow": F.lit(False), "deep_dived": F.lit(False)})
     if not enabled:
         return base
     other = base.where(F.col("wire").isNull())
