@@ -476,7 +476,16 @@ def q_stream_dedup(spark, d):
 
 
 
+def q_exemplar_block(spark, d):
+    """The few-shot block built from the selected exemplars."""
+    from gleaner.operators.notes import exemplar_block
+    ex = select_exemplars(harvest_labels(S.note_files(spark, d)), 4, 4)
+    return ex.agg(F.count(F.lit(1)).cast("bigint").alias("n_lines")).select("n_lines", exemplar_block(ex).alias("block"))
+
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "exemplar_block": q_exemplar_block,
     "stream_ingest": q_stream_ingest,
     "stream_dedup": q_stream_dedup,
     "render_note": q_render_note,
@@ -1367,5 +1376,12 @@ SELECT source, source_url, title FROM fi QUALIFY row_number() OVER (PARTITION BY
 _SQL["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
 
 
+_SQL["exemplar_block"] = LABELS + f"""
+SELECT CAST(count(*) AS BIGINT) AS n_lines,
+  CASE WHEN count(*) = 0 THEN '' ELSE 'Examples of past verdicts:' || chr(10)
+    || string_agg({_EXLINE}, chr(10) ORDER BY grp, date DESC, source_url, path) || chr(10) || chr(10) END AS block
+FROM ex"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in _SQL.items() if k in _QUERIES}
