@@ -65,16 +65,16 @@ def harvest_labels(files: DataFrame, reddit_only: bool = True) -> DataFrame:
 def select_exemplars(labels: DataFrame, n_pos: int = 4, n_neg: int = 4) -> DataFrame:
     """The ``n_pos`` most recent positives and ``n_neg`` most recent
     negatives (date desc, url asc -- T7 fix: the reference takes file-system
-    order). Two distributed top-k's (TakeOrderedAndProject), no window over
-    the two-valued label."""
-    order = [F.col("date").desc(), F.col("source_url").asc(), F.col("path").asc()]
-
-    def top(flag: bool, n: int) -> DataFrame:
-        t = labels.where(F.col("positive") == flag).orderBy(*order).limit(n)
-        return t.withColumn("grp", F.lit(0 if flag else 1))
+    order). One pass: ``row_number() <= k`` over the two-valued label is
+    planned with a partial WindowGroupLimit, so each map task sends at most
+    k rows per label and the hot groups never gather in one task."""
+    from .dedup import first_per_key
 
-    out = top(True, n_pos).unionByName(top(False, n_neg))
-    return out
+    order = [F.col("date").desc(), F.col("source_url").asc(), F.col("path").asc()]
+    k = max(n_pos, n_neg)
+    top = first_per_key(labels, ["positive"], order, k, rank_col="__rk")
+    keep = F.when(F.col("positive"), F.col("__rk") <= n_pos).otherwise(F.col("__rk") <= n_neg)
+    return top.where(keep).withColumn("grp", F.when(F.col("positive"), F.lit(0)).otherwise(F.lit(1))).drop("__rk")
 
 
 def exemplar_block(exemplars: DataFrame, max_lines: int = 8) -> Column:
