@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Upper bound on sources for the sequential (one anti join per source) form.
+MAX_SOURCES = 1000
+
 
 def _order(cols):
     out = []
@@ -61,7 +64,11 @@ def sequential_top_n(entries: DataFrame, source: str, source_ord: str, key: str,
     the configured list, so small).
     """
     inside = dedup_first(entries, [source, key], [pos])
-    srcs = [r[0] for r in inside.select(source_ord).distinct().orderBy(source_ord).collect()]
+    # the source list is the configured one (small); take at most the bound + 1
+    # ordinals to the driver and refuse anything larger
+    srcs = [r[0] for r in inside.select(source_ord).distinct().orderBy(source_ord).limit(MAX_SOURCES + 1).collect()]
+    if len(srcs) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: use top_n_per_source")
     kept = None
     for s in srcs:
         cand = inside.where(F.col(source_ord) == s)

@@ -56,8 +56,10 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
               exemplar_block: Column | None = None, taxonomy=None, triage_threshold: int = 3,
               max_survivors: int | None = None, comments: DataFrame | None = None,
               interest_threshold: int = 2, dedup_keys: Sequence[str] = ("source_url",),
-              funnel_enabled: bool = True, purpose: str = "", staging: str = "checkpoint") -> RunResult:
-    """Q2. ``known=None`` skips the stored-URL check (dry run, K3)."""
+              funnel_enabled: bool = True, purpose: str = "", staging: str = "checkpoint",
+              model_partitions: int | None = None) -> RunResult:
+    """Q2. ``known=None`` skips the stored-URL check (dry run, K3).
+    ``model_partitions`` sets the number of concurrent model-call tasks."""
     # staged once: every ledger branch below reads this checkpoint instead of
     # re-running the scans
     items = stage(union_sources(*sources), staging)
@@ -76,7 +78,8 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
     gated = stage(run_funnel(items, backends=gate_backends, lens_summary=summary,
                              exemplar_block=exemplar_block if exemplar_block is not None else F.lit(""),
                              taxonomy=taxonomy, threshold=triage_threshold, max_survivors=max_survivors,
-                             comments=comments, enabled=funnel_enabled, staging=staging), staging)
+                             comments=comments, enabled=funnel_enabled, staging=staging,
+                             partitions=model_partitions), staging)
     rejected = gated.where(F.col("bucket") == "rejected").select("seq", "source_url", F.lit("rejected").alias("fate"))
     kept = gated.where(F.col("bucket") != "rejected")
     # first row per key in run order (group-limited window: a hot key sends
@@ -86,6 +89,8 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
         "seq", "source_url", F.lit("dup_in_run").alias("fate"))
 
     prompts = enrich_prompts(unique, summary, purpose)
+    if model_partitions:
+        prompts = prompts.repartition(model_partitions)
     replied = stage(infer_batch(prompts, enrich_backends), staging)
     parsed = parse_enrichment(replied, lookup_col(lib), first_lens_col(lib), as_of)
     good, bad = split_quarantine(parsed)
