@@ -73,3 +73,19 @@ def test_stream_ingest_second_run_adds_nothing(spark, tmpdir_path):
     stream = read_stream_parquet(spark, f"{SF}/pages*.parquet", pages.schema)
     ingest_stream(stream, sink, ckpt + "2", as_of=S.AS_OF, to_entries=S.pages_as_entries).awaitTermination()
     assert spark.read.parquet(sink).count() == got.count()
+
+
+def test_stream_multi_batch_equals_batch(spark, tmpdir_path):
+    from gleaner.operators.dedup import dedup_first
+    pages = S.table(spark, SF, "pages")
+    landing = os.path.join(tmpdir_path, "landing")
+    pages.repartition(4).write.parquet(landing)           # several files -> several micro-batches
+    sink = os.path.join(tmpdir_path, "sink2")
+    stream = read_stream_parquet(spark, landing, pages.schema, max_files=1)
+    q = ingest_stream(stream, sink, os.path.join(tmpdir_path, "ck"), as_of=S.AS_OF, to_entries=S.pages_as_entries)
+    q.awaitTermination()
+    got = spark.read.parquet(sink)
+    assert got.select("batch_id").distinct().count() >= 2
+    batch = dedup_first(E.feed_items(S.pages_as_entries(pages), S.AS_OF), ["source_url"], ["seq"])
+    cols = ["source", "source_url", "title", "body"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
