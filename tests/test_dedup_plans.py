@@ -57,3 +57,18 @@ def test_only_model_stage_leaves_the_jvm(spark):
     assert "Python" not in plan and "ArrowEvalPython" not in plan
     fplan = _plan(E.queries()["feed_digest"](spark, "/root/testdata/sf0.001"))
     assert "PushedFilters" in fplan or "FileScan" in fplan
+
+
+def test_hot_key_results_stay_whole(spark):
+    # one key holds a third of all rows: results must still be complete and exact
+    rows = [("hot", i, f"v{i}") for i in range(300)] + [(f"k{i}", i, f"w{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, s int, v string").repartition(8)
+    first = {r.k: r.v for r in dedup_first(df, ["k"], ["s"]).collect()}
+    assert len(first) == 601 and first["hot"] == "v0"
+    known = spark.createDataFrame([("k1",), ("k2",)], "source_url string")
+    items = df.withColumnRenamed("k", "source_url")
+    assert skip_known(items, known).count() == 900 - 2
+    e = spark.createDataFrame([("hot", 0, f"u{i}", i) for i in range(300)] + [("a", 1, f"x{i}", i) for i in range(10)],
+                              "feed string, feed_ord int, link string, pos int").repartition(8)
+    top = top_n_per_source(e, "feed", "feed_ord", "link", "pos", 3)
+    assert sorted((r.feed, r.pos) for r in top.collect()) == [("a", 0), ("a", 1), ("a", 2), ("hot", 0), ("hot", 1), ("hot", 2)]
