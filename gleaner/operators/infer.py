@@ -29,6 +29,18 @@ class Backend:
     def generate(self, system: str, user: str) -> str:  # pragma: no cover - interface
         raise NotImplementedError
 
+    def generate_batch(self, systems: list, users: list) -> list:
+        """Replies for many prompts at once; an item may be an exception
+        (that row then falls back to the next backend). Backends that can
+        send one request for many prompts override this."""
+        out = []
+        for s, u in zip(systems, users):
+            try:
+                out.append(self.generate(s, u))
+            except Exception as exc:  # per row
+                out.append(exc)
+        return out
+
 
 class FunctionBackend(Backend):
     """Wrap a plain function ``fn(system, user) -> text`` as a backend."""
@@ -58,6 +70,35 @@ def _ship(obj_module_names=("gleaner",)):
             pass
 
 
+def call_batch(live: Sequence[Backend], systems: list, users: list):
+    """(reply, backend, error) per prompt: each backend answers the prompts
+    still open, in order; rows it fails on go to the next backend."""
+    n = len(systems)
+    res: list = [None] * n
+    errs: list = ["no backend available"] * n
+    open_rows = list(range(n))
+    for b in live:
+        if not open_rows:
+            break
+        try:
+            got = b.generate_batch([systems[i] or "" for i in open_rows], [users[i] or "" for i in open_rows])
+        except Exception as exc:  # the whole call failed: every open row keeps trying
+            got = [exc] * len(open_rows)
+        if len(got) != len(open_rows):
+            got = [RuntimeError(f"{b.name} returned {len(got)} replies for {len(open_rows)} prompts")] * len(open_rows)
+        still = []
+        for i, g in zip(open_rows, got):
+            if isinstance(g, BaseException):
+                errs[i] = f"{type(g).__name__}: {g}"
+                still.append(i)
+            else:
+                res[i] = (g, b.name, None)
+        open_rows = still
+    for i in open_rows:
+        res[i] = (None, None, errs[i])
+    return res
+
+
 def call_backends(live: Sequence[Backend], system: str, user: str):
     """(reply, backend, error) for one prompt: first backend that answers."""
     if not live:
@@ -101,7 +142,7 @@ def infer_batch(df: DataFrame, backends: Sequence[Backend], system_col: str = "s
         for rb in batches:
             systems = rb.column(rb.schema.get_field_index(system_col)).to_pylist()
             users = rb.column(rb.schema.get_field_index(user_col)).to_pylist()
-            res = [call_backends(live, s, u) for s, u in zip(systems, users)]
+            res = call_batch(live, systems, users)
             cols = list(rb.columns) + [
                 pa.array([r[0] for r in res], pa.string()),
                 pa.array([r[1] for r in res], pa.string()),

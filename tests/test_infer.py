@@ -76,3 +76,17 @@ def test_model_called_once_when_staged(spark):
     out.count()
     out.groupBy("backend").count().collect()
     assert len(os.listdir(d)) == 50
+
+
+class Batching(Backend):
+    """Answers a whole batch in one call; fails the rows whose user text is 'bad'."""
+    name = "batch"
+
+    def generate_batch(self, systems, users):
+        return [RuntimeError("bad row") if u == "bad" else f"B:{u}" for u in users]
+
+
+def test_batch_backend_with_row_fallback(spark):
+    df = spark.createDataFrame([(1, "s", "ok"), (2, "s", "bad")], "id long, system string, user string")
+    got = {r.user: (r.reply, r.backend) for r in infer_batch(df, [Batching(), Flaky("single")]).collect()}
+    assert got == {"ok": ("B:ok", "batch"), "bad": ("single:bad", "single")}
