@@ -89,3 +89,19 @@ def test_stream_multi_batch_equals_batch(spark, tmpdir_path):
     batch = dedup_first(E.feed_items(S.pages_as_entries(pages), S.AS_OF), ["source_url"], ["seq"])
     cols = ["source", "source_url", "title", "body"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def test_sinks_quarantine_and_partitioned_notes(spark, tmpdir_path):
+    from gleaner.sinks.notes import write_quarantine
+    bad = spark.createDataFrame([("u1", "enrich", "unparsable", "x")], "source_url string, stage string, error_kind string, payload string")
+    qpath = os.path.join(tmpdir_path, "q")
+    write_quarantine(bad, qpath)
+    write_quarantine(bad, qpath)
+    assert spark.read.parquet(qpath).count() == 2          # an audit log: every failure is kept
+    notes = spark.createDataFrame([("u1", "2024-01-01", "m1"), ("u2", "2024-01-02", "m2")],
+                                  "source_url string, date string, markdown string")
+    npath = os.path.join(tmpdir_path, "n")
+    write_notes(notes, npath)
+    day = spark.read.parquet(npath).where(F.col("date") == "2024-01-02")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert [r.source_url for r in day.collect()] == ["u2"] and "PartitionFilters" in plan
