@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,20 @@ def _alias_array(aliases) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in aliases])
 
 
+_SEP = "\u0001"
+
+
+def _candidate_pattern(aliases, taxonomy) -> str:
+    """Whole topics (between separators) that are an alias key in any case,
+    or a taxonomy value as written. Keys containing a space would also match
+    the '-' spelling."""
+    def key_alt(k):
+        return "".join("[ -]" if ch == " " else re.escape(ch) for ch in k)
+    keys = "|".join(key_alt(k) for k, _ in aliases)
+    tax = "|".join(re.escape(x) for x in taxonomy)
+    return r"(?:^|\x01)((?iu:" + keys + r")|" + tax + r")(?=\x01|$)"
+
+
 def derive_relevance(topics, aliases=TAXONOMY_ALIASES, taxonomy=RELEVANCE_TAXONOMY,
                      default: str = DEFAULT_RELEVANCE, mode: str = "substring") -> Column:
     """Direct alias per topic (``-`` read as space; unknown topics stay as
@@ -50,9 +66,15 @@ def derive_relevance(topics, aliases=TAXONOMY_ALIASES, taxonomy=RELEVANCE_TAXONO
     """
     amap = _alias_map(aliases)
     tax = F.array(*[F.lit(x) for x in taxonomy])
+    cand_pattern = _candidate_pattern(aliases, taxonomy)
 
     def derive(t):
-        direct = F.transform(t, lambda x: F.coalesce(
+        # Only a topic equal to an alias key (case-insensitive, '-' read as a
+        # space) or to a taxonomy value can survive the taxonomy filter, so
+        # one regex pass over the joined topics picks those, in order; the
+        # lookup then runs on the few candidates instead of every topic.
+        cands = F.regexp_extract_all(F.array_join(t, _SEP), F.lit(cand_pattern), 1)
+        direct = F.transform(cands, lambda x: F.coalesce(
             F.try_element_at(amap, F.replace(F.lower(x), F.lit("-"), F.lit(" "))), x))
 
         def found_in(blob):
