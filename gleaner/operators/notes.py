@@ -39,10 +39,16 @@ def parse_notes(files: DataFrame) -> DataFrame:
         FM.note_body("value").alias("body"), FM.frontmatter_text("value").isNotNull().alias("has_fm"))
 
 
-def harvest_labels(files: DataFrame, reddit_only: bool = True) -> DataFrame:
+def harvest_labels(files: DataFrame, reddit_only: bool = True, min_score: float | None = None,
+                   score_key: str = "wire_pre_score") -> DataFrame:
     """Label notes from their status: reacted/queued/published/
     posted -> positive, archived/ignored/skipped -> negative, others none.
-    Only community URLs unless ``reddit_only=False``."""
+    Only community URLs unless ``reddit_only=False``.
+
+    T6: by default every ignored note is a negative (the reference never
+    checks the score); with ``min_score`` only ignored notes whose
+    ``score_key`` frontmatter value is at least that are kept as (hard)
+    negatives."""
     n = parse_notes(files)
     fm = F.col("fm")
     url = F.coalesce(FM.fm_get(fm, "source_url"), F.lit(""))
@@ -55,11 +61,14 @@ def harvest_labels(files: DataFrame, reddit_only: bool = True) -> DataFrame:
         F.coalesce(nonblank(FM.fm_get(fm, "title")), FM.fm_get(fm, "observation"), F.lit("")).alias("title"),
         F.when(is_reddit, url_segment(url)).otherwise(F.lit("")).alias("subreddit"),
         url.alias("source_url"), status.alias("status"), positive.alias("positive"),
-        F.coalesce(FM.fm_get(fm, "date"), F.lit("")).alias("date"), is_reddit.alias("is_reddit"))
+        F.coalesce(FM.fm_get(fm, "date"), F.lit("")).alias("date"), is_reddit.alias("is_reddit"),
+        FM.fm_get(fm, score_key).try_cast("double").alias("__score"))
     out = out.where(F.col("positive").isNotNull())
+    if min_score is not None:
+        out = out.where(F.col("positive") | (F.coalesce(F.col("__score"), F.lit(float("-inf"))) >= min_score))
     if reddit_only:
         out = out.where(F.col("is_reddit"))
-    return out.drop("is_reddit")
+    return out.drop("is_reddit", "__score")
 
 
 def select_exemplars(labels: DataFrame, n_pos: int = 4, n_neg: int = 4) -> DataFrame:

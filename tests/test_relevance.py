@@ -144,3 +144,14 @@ def test_select_exemplars_caps_and_recency(spark):
     block = files.limit(1).select(exemplar_block(ex).alias("b")).first().b
     lines = block.split("\n")
     assert lines[1].startswith(f"- [{POSITIVE_VERDICT}] r/s: p9.md") and block.endswith("\n\n")
+
+
+def test_hard_negative_score_floor_is_optional(spark):
+    files = spark.createDataFrame([
+        ("/v/Archived/a.md", "---\nstatus: archived\nsource_url: https://reddit.com/r/s/c/1/\nwire_pre_score: 6.5\n---\n"),
+        ("/v/Archived/b.md", "---\nstatus: archived\nsource_url: https://reddit.com/r/s/c/2/\nwire_pre_score: 0.5\n---\n"),
+        ("/v/Archived/c.md", "---\nstatus: reacted\nsource_url: https://reddit.com/r/s/c/3/\n---\n"),
+    ], "path string, value string")
+    assert harvest_labels(files).count() == 3                       # reference: score not checked
+    kept = sorted(r.path for r in harvest_labels(files, min_score=5.0).collect())
+    assert kept == ["/v/Archived/a.md", "/v/Archived/c.md"]
