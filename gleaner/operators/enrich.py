@@ -96,10 +96,6 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
                                              "__lens_map", "__first_lens", "__v")
 
 
-OBSERVATION_COLS = ["seq", "source", "source_url", "date", "title", "author", "observation", "tags",
-                    "interest_level", "lenses", "questions", "expanded_context", "meta", "bucket", "backend"]
-
-
 def split_quarantine(parsed: DataFrame, stage_name: str = "enrich") -> tuple[DataFrame, DataFrame]:
     """K5: (good rows, quarantine rows). Quarantine keeps the URL, the stage,
     the reason and the error text or reply."""

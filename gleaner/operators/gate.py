@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import replies as R
 from ..functions.prompts import GATE_SYSTEM, GATE_USER, fill
 
-BUCKET_ORDER = {"ungated": 0, "survivor": 1, "maybe": 2, "rejected": 3}
-
-
 def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
                  system_template: str = GATE_SYSTEM, user_template: str = GATE_USER,
                  body_chars: int = 500) -> DataFrame:

@@ -99,19 +99,6 @@ def call_batch(live: Sequence[Backend], systems: list, users: list):
     return res
 
 
-def call_backends(live: Sequence[Backend], system: str, user: str):
-    """(reply, backend, error) for one prompt: first backend that answers."""
-    if not live:
-        return None, None, "no backend available"
-    err = None
-    for b in live:
-        try:
-            return b.generate(system or "", user or ""), b.name, None
-        except Exception as exc:  # fail open per row
-            err = f"{type(exc).__name__}: {exc}"
-    return None, None, err
-
-
 def infer_batch(df: DataFrame, backends: Sequence[Backend], system_col: str = "system",
                 user_col: str = "user", reply_col: str = "reply", backend_col: str = "backend",
                 error_col: str = "error") -> DataFrame:
