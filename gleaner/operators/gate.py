@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import replies as R
 from ..functions.prompts import GATE_SYSTEM, GATE_USER, fill
 
+# Largest survivor budget whose key set is broadcast by hint (8-byte keys).
+BROADCAST_BUDGET_MAX = 1_000_000
+
 def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
                  system_template: str = GATE_SYSTEM, user_template: str = GATE_USER,
                  body_chars: int = 500) -> DataFrame:
@@ -74,7 +77,10 @@ def survivor_budget(gated: DataFrame, max_survivors: int | None, key: str = "seq
         return gated
     top = (gated.where(F.col("bucket") == "survivor").orderBy(*survivor_order())
            .limit(int(max_survivors)).select(F.col(key), F.lit(True).alias("__keep")))
-    j = gated.join(F.broadcast(top), key, "left")
+    # the key set is at most max_survivors rows; hint a broadcast only while
+    # that bound is small, otherwise AQE picks the join from the runtime size
+    side = F.broadcast(top) if max_survivors <= BROADCAST_BUDGET_MAX else top
+    j = gated.join(side, key, "left")
     over = (F.col("bucket") == "survivor") & F.col("__keep").isNull()
     return (j.withColumn("overflow", over)
             .withColumn("bucket", F.when(over, F.lit("maybe")).otherwise(F.col("bucket")))
