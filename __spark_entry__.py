@@ -565,8 +565,17 @@ def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+try:  # the corpus operators are optional: the library works without that subpackage
+    from gleaner.llm import registry as _corpus
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("gleaner.llm", "corpus_pipeline")):
+        raise
+    _corpus = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _utc(v) for k, v in _QUERIES.items()}
+    own = {k: _utc(v) for k, v in _QUERIES.items()}
+    return own | ({k: _utc(v) for k, v in _corpus.queries().items()} if _corpus else {})
 
 
 # ---------------------------------------------------------------- oracles
@@ -1395,4 +1404,5 @@ FROM ex"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in _SQL.items() if k in _QUERIES}
+    own = {k: v for k, v in _SQL.items() if k in _QUERIES}
+    return own | (_corpus.oracle_sql() if _corpus else {})

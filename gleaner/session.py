@@ -46,14 +46,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    On a cluster this is the folder named by ``spark.checkpoint.dir`` (shared
-    storage every executor can reach). Only when it is unset -- local runs and
-    tests -- a fresh scratch folder is made and registered.
+    It is the folder named by ``spark.checkpoint.dir`` (shared storage every
+    executor can reach). Where that is unset, a scratch folder is made for a
+    local master only (driver and tasks are one process, as in tests); on a
+    cluster the call raises, because a driver's own folder would lose data.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="gleaner-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
