@@ -6,7 +6,7 @@ run of words inside the window; equal windows have equal anchors), the sketches
 are added up, and only the cells counted twice or more are kept. A window whose
 anchor has a cell with a count of one is in one document only; the sketch never
 counts too little, so none is lost. Second pass: the windows estimated as
-repeated are grouped exactly, by 128 bits of their word sequence, and the
+repeated are grouped exactly, by 96 bits of their word sequence, and the
 smallest doc_id of each group is found. Within a slice of a partition a window
 is sent once, for its smallest document; larger ones are settled there. So a
 passage in a third of all rows sends one row per slice.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import SPLIT_BLANKS, encode_words, in_filter, staged, table, text_slices
+from ._common import SPLIT_BLANKS, encode_words, in_filter, table, text_slices
 
 WINDOW_WORDS = 50
 GRAM_WORDS = 8
@@ -151,30 +151,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, cells: int = CEL
                 sent = ids == lowest
                 pos = (at - w.starts[text]).astype(np.int32)
                 th = hashes[first + text]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[sent].view(np.int64)), pa.array(h2[sent].view(np.int64)), pa.array(ids[sent]),
-                     pa.array(th[sent]), pa.array(pos[sent]), pa.array(pos[sent] + window)], names)
+                back = np.lexsort((at[sent], text[sent]))  # by document again: its columns repeat
+                yield rows(*(x[sent][back] for x in (h1, h2, ids, th, pos)), np.full(len(back), window), False)
                 # Settled here: runs of neighbouring windows as one range.
-                text, pos, ids, th = (x[~sent] for x in (text, pos, ids, th))
+                h1, h2, text, pos, ids, th = (x[~sent] for x in (h1, h2, text, pos, ids, th))
                 if len(text):
                     order = np.lexsort((pos, text))
-                    text, pos, ids, th = (x[order] for x in (text, pos, ids, th))
-                    cut = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(pos) > 1)))
-                    a = np.flatnonzero(cut)
+                    h1, h2, text, pos, ids, th = (x[order] for x in (h1, h2, text, pos, ids, th))
+                    a = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(pos) > 1))))
                     z = np.concatenate((a[1:], [len(pos)])) - 1
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [none, none, pa.array(ids[a]), pa.array(th[a]), pa.array(pos[a]), pa.array(pos[z] + window)], names)
-
-    names = ["h1", "h2", "doc_id", "text_hash", "start", "stop"]
-    found = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(
-        find, "h1 long, h2 long, doc_id long, text_hash long, start int, stop int"), "windows")
-    group = Window.partitionBy("h1", "h2")
-    later = (found.where("h1 is not null").withColumn("first_id", F.min("doc_id").over(group))
-             .where("doc_id > first_id"))
-    out = ["doc_id", "text_hash", "start", "stop"]
-    return (later.select(*out).union(found.where("h1 is null").select(*out))
-            .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+                    # A key of its own: a settled range only travels along.
+                    own = _mix(th[a].view(np.uint64) + pos[a].astype(np.uint64), 3)
+                    yield rows(own, own, ids[a], th[a], pos[a], pos[z] - pos[a] + window, True)
+
+    def rows(h1, h2, ids, th, pos, words, settled):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h1.view(np.int64)), pa.array((h2 >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(ids),
+             pa.array(th), pa.array(pos), pa.array(words.astype(np.int32)), pa.array(np.full(len(pos), settled))],
+            ["h1", "h2", "doc_id", "text_hash", "start", "words", "settled"])
+
+    found = docs.select("doc_id", "text_hash", "text").mapInArrow(
+        find, "h1 long, h2 int, doc_id long, text_hash long, start int, words int, settled boolean")
+    # Settled rows take no part in the minimum, even if their key should meet another's.
+    lowest = F.min(F.when(~F.col("settled"), F.col("doc_id"))).over(Window.partitionBy("h1", "h2"))
+    return (found.withColumn("first_id", lowest).where("settled or doc_id > first_id")
+            .groupBy("doc_id", "text_hash").agg(F.collect_set(
+                F.struct("start", (F.col("start") + F.col("words")).alias("stop"))).alias("spans")))
 
 
 def _cut(words: list[bytes], spans) -> list[bytes]:
