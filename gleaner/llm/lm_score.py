@@ -41,7 +41,7 @@ BATCH = 2048
 ROUNDS = 3
 RATE = 0.05
 #: Words whose counts are sent to every task (some 20 bytes each).
-LOOKUP_WORDS = 200_000
+LOOKUP_WORDS = 120_000
 END = ""  # no word is empty
 
 
@@ -63,6 +63,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def common_words(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``counts`` with at least some count, the lowest that leaves
+    ``limit`` or fewer; found with a histogram over steps of an eighth of a power of two."""
+    step = F.floor(8 * F.log2("n"))
+    kept, least = 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        kept += r["count"]
+        if kept > limit:
+            break
+        least = r["step"]
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 class Classes:
     """Class of every word: 0 the end, then the head words, then the tail classes."""
 
@@ -225,15 +238,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                        (id_remainder(F.col(id_col), fold[0]) == fold[1]).alias("held_out"))
     train = rows.where(~F.col("held_out")).withColumn("share", F.xxhash64("doc_id", "text"))
     counts = staged(word_counts(train), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP_WORDS).collect()
+    top = sorted(common_words(counts, LOOKUP_WORDS).collect(), key=lambda r: (-r["n"], r["word"]))
     head = [r["word"].encode() for r in top if r["word"] != END][:HEAD_CLASSES]
     classes = Classes(head, TAIL_CLASSES)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_head = {r["word"].encode(): r["n"] for r in top if r["word"].encode() in set(head) or r["word"] == END}
+    headed = set(head)
+    end_count = (counts.where(F.col("word") == END).first() or {"n": 0})["n"]
+    n_head = {r["word"].encode(): r["n"] for r in top if r["word"].encode() in headed}
     last = F.expr("substring(cast(word as binary), -3, 3)")
     tails = (counts.where(~F.col("word").isin([h.decode() for h in head] + [END]))
              .groupBy((F.crc32(last) % TAIL_CLASSES).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect())
-    mass = np.array([n_head.get(b"", 0), *(n_head[h] for h in head), *[0] * TAIL_CLASSES], dtype=np.float64)
+    mass = np.array([end_count, *(n_head[h] for h in head), *[0] * TAIL_CLASSES], dtype=np.float64)
     tail_share = np.ones(TAIL_CLASSES)  # N_k + V_k + 1
     for r in tails:
         mass[1 + len(head) + r["k"]] = r["n"]
@@ -243,7 +258,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     known = pa.array([r["word"].encode() for r in top], pa.large_binary())
     log_count = np.append(np.log10(np.array([r["n"] for r in top], dtype=np.float64) + 1), 0.0)
     state = spark.sparkContext.broadcast((classes, model.log_tables(), known, log_count, np.log10(tail_share)))
-    end_count = n_head.get(b"", 0)
     first_tail = 1 + len(head)
 
     def score(batches):
