@@ -29,8 +29,8 @@ BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 KEEP = 0.2
-SAMPLE_TOXIC = 2500
-SAMPLE_CLEAN = 5000
+SAMPLE_TOXIC = 1800
+SAMPLE_CLEAN = 3200
 STEPS = 100
 RATE = 0.1
 _U = np.uint64
