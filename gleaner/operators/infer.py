@@ -91,6 +91,9 @@ def call_batch(live: Sequence[Backend], systems: list, users: list):
             if isinstance(g, BaseException):
                 errs[i] = f"{type(g).__name__}: {g}"
                 still.append(i)
+            elif not isinstance(g, str):  # not a reply: the next backend is asked
+                errs[i] = f"TypeError: {b.name} replied with {type(g).__name__}"
+                still.append(i)
             else:
                 res[i] = (g, b.name, None)
         open_rows = still

@@ -34,10 +34,10 @@ def looks_like_html(body) -> F.Column:
 
 def classify_fetch(responses: DataFrame) -> DataFrame:
     """Outcome per landed response (url, attempt, status, body):
-    ``retry`` for 429, 5xx or an HTML challenge page; ``give_up`` for any
-    other non-200; ``ok`` otherwise."""
+    ``retry`` for no response at all (NULL status), 429, 5xx or an HTML
+    challenge page; ``give_up`` for any other non-200; ``ok`` otherwise."""
     st = F.col("status")
-    outcome = (F.when((st == 429) | (st >= 500), F.lit("retry"))
+    outcome = (F.when(st.isNull() | (st == 429) | (st >= 500), F.lit("retry"))
                .when(st != 200, F.lit("give_up"))
                .when(looks_like_html(F.col("body")), F.lit("retry"))
                .otherwise(F.lit("ok")))
