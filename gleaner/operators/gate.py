@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import replies as R
 from ..functions.prompts import GATE_SYSTEM, GATE_USER, fill
 
-# Largest survivor budget whose key set is broadcast by hint (8-byte keys).
-BROADCAST_BUDGET_MAX = 1_000_000
 
 def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
                  system_template: str = GATE_SYSTEM, user_template: str = GATE_USER,
@@ -70,21 +68,20 @@ def survivor_budget(gated: DataFrame, max_survivors: int | None, key: str = "seq
     (``overflow`` = true).
 
     The top-n is a ``TakeOrderedAndProject`` (each partition keeps n rows,
-    then one merge), and the n chosen keys -- a size bounded by the budget --
-    are broadcast back as a flag. No global window.
+    then one merge); the n chosen rows are joined back as a flag, by the item's
+    identity: ``key`` with its adapter, source, URL and title, because positions
+    start anew in every source. No global window, and AQE picks the join.
     """
     if max_survivors is None:
         return gated
-    top = (gated.where(F.col("bucket") == "survivor").orderBy(*survivor_order())
-           .limit(int(max_survivors)).select(F.col(key), F.lit(True).alias("__keep")))
-    # the key set is at most max_survivors rows; hint a broadcast only while
-    # that bound is small, otherwise AQE picks the join from the runtime size
-    side = F.broadcast(top) if max_survivors <= BROADCAST_BUDGET_MAX else top
-    j = gated.join(side, key, "left")
+    named = [c for c in (key, "adapter", "source", "source_url", "title") if c in gated.columns]
+    marked = gated.withColumn("__item", F.xxhash64(F.to_json(F.struct(*named), {"ignoreNullFields": "false"})))
+    top = (marked.where(F.col("bucket") == "survivor").orderBy(*survivor_order())
+           .limit(int(max_survivors)).select("__item").distinct().withColumn("__keep", F.lit(True)))
     over = (F.col("bucket") == "survivor") & F.col("__keep").isNull()
-    return (j.withColumn("overflow", over)
+    return (marked.join(top, "__item", "left").withColumn("overflow", over)
             .withColumn("bucket", F.when(over, F.lit("maybe")).otherwise(F.col("bucket")))
-            .drop("__keep"))
+            .select(*gated.columns, "overflow"))
 
 
 def top_comments(comments: DataFrame, k: int = 12, key: str = "permalink") -> DataFrame:

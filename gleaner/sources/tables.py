@@ -1,39 +1,10 @@
-"""Reading provided tables with a parallelism floor."""
+"""Reading provided tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a scan yields fewer partitions than
-    the cluster can run at once (small single-file inputs). Large inputs
-    already split into many partitions and pass through untouched, so this
-    adds no shuffle at scale. Row order is never relied on (``seq`` columns
-    carry order)."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
-MIN_BYTES_TO_SPREAD = 1 << 20
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def read_table(spark: SparkSession, path: str, min_partitions: int | None = None,
-               min_bytes: int = MIN_BYTES_TO_SPREAD) -> DataFrame:
-    """Parquet scan; spread over the cluster when it is worth a shuffle
-    (at least ``min_bytes`` in too few partitions)."""
-    df = spark.read.parquet(path)
-    if input_bytes(spark, path) < min_bytes:
-        return df
-    return ensure_parallelism(df, min_partitions)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan; Spark's own split sizes set the parallelism."""
+    return spark.read.parquet(path)
