@@ -23,13 +23,12 @@ from __future__ import annotations
 import re
 import zlib
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import hash_filter, in_filter, staged, table
+from ._common import hash_filter, staged, table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 60
@@ -151,7 +150,7 @@ def _occurrences(docs: DataFrame, terms: DataFrame, positions: bool) -> DataFram
     names = ["doc_id", "text_hash", "word", "start", "stop"] if positions else ["word", "n"]
 
     def run(batches):
-        bits, known = wanted.value, {}
+        bits, known = wanted.value.tobytes(), {}
         size = len(bits) * 8
         for b in batches:
             counts: dict[str, int] = {}
@@ -164,7 +163,8 @@ def _occurrences(docs: DataFrame, terms: DataFrame, positions: bool) -> DataFram
                 hit = False
                 for w in set(words):
                     if w not in known:
-                        known[w] = bool(in_filter(bits, np.array([zlib.crc32(w.lower().encode()) % size]))[0])
+                        cell = zlib.crc32(w.lower().encode()) % size
+                        known[w] = bits[cell >> 3] >> (cell & 7) & 1 == 1
                     hit = hit or known[w]
                 if not hit:
                     continue
