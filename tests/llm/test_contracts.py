@@ -211,6 +211,7 @@ def test_op8(spark, small):
 def test_op8_binomial_and_cutoffs(spark):
     from math import comb
 
+    from gleaner.llm._common import staged
     from gleaner.llm.quality import binomial_at_most, certified_cutoffs, with_features
     from pyspark.sql import functions as F
 
@@ -223,6 +224,7 @@ def test_op8_binomial_and_cutoffs(spark):
     rows = [(i, good + (" ###" * 60 if i % 500 == 0 else "")) for i in range(4000)]
     f = with_features(spark.createDataFrame(rows, "q_id long, t string").withColumn("stratum", F.lit("s")), "t").drop("t")
     labels = spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id long, quality int")
+    f = staged(f, "features")  # as the operator does: its features are columns, not expressions
     cuts = {r["rule"]: r["cutoff"] for r in certified_cutoffs(f, labels).collect()}
     assert cuts["symbols"] == 0.01  # 8 of 4000 good ones over it is surely below the share allowed
     few = certified_cutoffs(f.where("q_id < 50"), labels).collect()
