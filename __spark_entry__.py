@@ -1010,9 +1010,10 @@ SELECT CAST(count(*) FILTER (WHERE bucket <> 'ungated') AS BIGINT) AS n_in,
 def _gate_prompt_sql():
     from gleaner.functions.prompts import GATE_SYSTEM, GATE_USER
     system = _sql_fill(GATE_SYSTEM, lens_summary="(SELECT lens_summary FROM lsum)")
-    user = _sql_fill(GATE_USER, exemplar_block="''", subreddit="subreddit", title="title",
-                     body="substring(coalesce(body, ''), 1, 500)", score="score", num_comments="num_comments",
-                     upvote_ratio="upvote_ratio")
+    item = ("json_object('subreddit', coalesce(subreddit, ''), 'title', coalesce(title, ''), "
+            "'body', substring(coalesce(body, ''), 1, 500), 'score', score, 'num_comments', num_comments, "
+            "'upvote_ratio', upvote_ratio)")
+    user = _sql_fill(GATE_USER, exemplar_block="''", item=item)
     return ("WITH " + LISTING_ITEMS + "," + LENSES + f"""
 SELECT source_url, md5({system}) AS system_digest, md5({user}) AS user_digest,
   CAST(length({user}) AS BIGINT) AS user_chars FROM li""")

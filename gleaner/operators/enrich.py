@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions import replies as R
 from ..functions.metadata import build_metadata
-from ..functions.prompts import ENRICH_SYSTEM, ENRICH_USER, fill
+from ..functions.prompts import ENRICH_SYSTEM, ENRICH_USER, fill, item_json
 from ..functions._util import empty_str_array
 from .lenses import match_lenses
 
 
 def enrich_prompts(items: DataFrame, lens_summary: Column, purpose: str = "",
                    system_template: str = ENRICH_SYSTEM, user_template: str = ENRICH_USER) -> DataFrame:
-    """P27 (enrich): ``system`` / ``user`` prompt columns."""
+    """P27 (enrich): ``system`` / ``user`` prompt columns. Templates may use
+    ``{item}`` (all fields as JSON) or the single fields."""
+    fields = {c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+              for c in ("source", "source_url", "title", "body", "published_date")}
     return items.withColumns({
         "system": fill(system_template, purpose=F.lit(purpose.strip()), lens_summary=lens_summary),
-        "user": fill(user_template, source=F.col("source"), source_url=F.col("source_url"),
-                     title=F.col("title"), body=F.col("body"),
-                     published_date=F.col("published_date").cast("string"))})
+        "user": fill(user_template, item=item_json(**fields), **fields)})
 
 
 def _str_list_or(v: Column, key: str, fallback: Column) -> Column:

@@ -6,21 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
-from ..functions.prompts import GATE_SYSTEM, GATE_USER, fill
+from ..functions.prompts import GATE_SYSTEM, GATE_USER, fill, item_json
 
 
 def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
                  system_template: str = GATE_SYSTEM, user_template: str = GATE_USER,
                  body_chars: int = 500) -> DataFrame:
     """P27 (gate): ``system`` and ``user`` prompt columns; the body is cut to
-    ``body_chars``."""
+    ``body_chars``. Templates may use ``{item}`` (all fields as JSON) or the
+    single fields."""
     w = F.col("wire")
+    fields = {
+        "subreddit": F.coalesce(w["subreddit"], F.lit("")),
+        "title": F.coalesce(F.col("title"), F.lit("")),
+        "body": F.substring(F.coalesce(F.col("body"), F.lit("")), 1, body_chars),
+        "score": F.coalesce(w["score"], F.lit(0)),
+        "num_comments": F.coalesce(w["num_comments"], F.lit(0)),
+        "upvote_ratio": F.coalesce(w["upvote_ratio"], F.lit(0.0)),
+    }
     return items.withColumns({
         "system": fill(system_template, lens_summary=F.coalesce(lens_summary, F.lit("(none)"))),
-        "user": fill(user_template, exemplar_block=exemplar_block, subreddit=w["subreddit"],
-                                 title=F.col("title"), body=F.substring(F.coalesce(F.col("body"), F.lit("")), 1, body_chars),
-                                 score=F.coalesce(w["score"], F.lit(0)), num_comments=F.coalesce(w["num_comments"], F.lit(0)),
-                                 upvote_ratio=F.coalesce(w["upvote_ratio"], F.lit(0.0)))})
+        "user": fill(user_template, exemplar_block=exemplar_block, item=item_json(**fields), **fields)})
 
 
 def triage_verdict(v: Column, error: str = "error", threshold: int = 3) -> tuple[Column, Column]:

@@ -269,22 +269,18 @@ def community_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- model stand-ins
 # The model is an external service. For the test tables it is replaced by a
 # deterministic backend whose reply depends only on the length n of the
-# prompt's "Title:" line, cycling through well-formed, fenced, broken,
+# prompt's title field, cycling through well-formed, fenced, broken,
 # list-shaped, string-number, null, out-of-range and failing replies so that
 # every parsing branch of the library runs. The oracles reproduce the same
 # verdicts from the same title lengths.
 
 import json as _json  # noqa: E402
-import re as _re  # noqa: E402
 
 from .operators.infer import Backend  # noqa: E402
 
-_TITLE_LINE = _re.compile(r"(?m)^\s*Title: (.*)$")
-
-
 def prompt_title(user: str) -> str:
-    m = _TITLE_LINE.search(user or "")
-    return m.group(1) if m else ""
+    """Title of the item, which is the JSON object on the prompt's last line."""
+    return _json.loads(user.rstrip("\n").rsplit("\n", 1)[-1]).get("title", "")
 
 
 def gate_reply(n: int) -> str:

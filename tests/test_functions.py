@@ -94,19 +94,19 @@ def test_parse_reply_and_clamp(spark):
     assert got == cases
 
 
-def test_lens_names_and_match(spark):
+@pytest.mark.parametrize("lenses,names,matched", [
+    ('["tide tables"]', ["tide tables"], ["Tide Tables"]),
+    ('[{"title": "MAP ROOM"}, "Map Room"]', ["MAP ROOM", "Map Room"], ["Map Room"]),
+    ('[{"colour": 3}, false]', [None, None], ["Fallback"]),
+    ('[{"name": "unheard of"}, {"lens": "tide tables"}]', ["unheard of", "tide tables"], ["Tide Tables"]),
+])
+def test_lens_names_and_match(spark, lenses, names, matched):
     from gleaner.operators.lenses import match_lenses
-    reply = '{"lenses": ["historical context", {"name": "Underground vs Mainstream"}, {"no_name": 1}, 7, {"title": " "}]}'
-    df = spark.createDataFrame([(reply,)], "v string")
-    names = df.select(R.lens_names(R.parse_reply("v")).alias("n")).first().n
-    assert names == ["historical context", "Underground vs Mainstream", None, None, None]
-    lookup = F.create_map(F.lit("historical context"), F.lit("Historical Context"),
-                          F.lit("underground vs mainstream"), F.lit("Underground vs Mainstream"))
-    m = df.select(match_lenses(R.lens_names(R.parse_reply("v")), lookup, F.lit("Historical Context")).alias("m")).first().m
-    assert m == ["Historical Context", "Underground vs Mainstream"]
-    bad = spark.createDataFrame([('{"lenses": [{"no_name": 1}, 7]}',)], "v string")
-    m = bad.select(match_lenses(R.lens_names(R.parse_reply("v")), lookup, F.lit("Historical Context")).alias("m")).first().m
-    assert m == ["Historical Context"]
+    known = F.create_map(*[F.lit(x) for n in ("Tide Tables", "Map Room") for x in (n.lower(), n)])
+    got = R.lens_names(R.parse_reply("v"))
+    row = spark.createDataFrame([('{"lenses": %s}' % lenses,)], "v string").select(
+        got.alias("names"), match_lenses(got, known, F.lit("Fallback")).alias("matched")).first()
+    assert (row.names, row.matched) == (names, matched)
 
 
 def test_scope_questions(spark):
@@ -125,16 +125,18 @@ def test_derive_relevance_alias_and_substring(spark):
     assert tok == ["music_production"]
 
 
-def test_build_metadata_preserves_source_facts(spark):
-    df = spark.createDataFrame([("Bandcamp changes discovery", "Music Ally", "https://example.test/article",
-                                 "2026-07-28", ["bandcamp", "music-business"], "Bandcamp changes discovery.",
-                                 "The platform changes how listeners find releases.")],
-                               "title string, source string, url string, d string, tags array<string>, obs string, ctx string")
-    m = df.select(build_metadata(as_of="2026-08-01", title="title", source="source", source_url="url",
-                                 published_date="d", raw_tags="tags", p_observation="obs",
-                                 p_expanded_context="ctx", p_tags="tags").alias("m")).first().m
-    assert m.publication == "Music Ally" and m.publication_date == "2026-07-28"
-    assert "platform_economics" in m.relevance and m.claims and m.time_sensitivity == "high"
+@pytest.mark.parametrize("day,urgency", [("2031-02-27", "high"), ("2030-01-05", "low"), (None, "unknown")])
+def test_build_metadata(spark, day, urgency):
+    cols = {"t": "Vinyl plant reopens", "s": "Pressing Weekly", "u": "https://plant.invalid/42", "d": day,
+            "o": "A pressing plant reopens in spring.", "c": "Waiting times had grown past a year."}
+    df = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{k} string" for k in cols)).withColumn(
+        "tags", F.array(F.lit("vinyl")))
+    m = df.select(build_metadata(as_of="2031-03-01", title="t", source="s", source_url="u", published_date="d",
+                                 raw_tags="tags", p_observation="o", p_expanded_context="c",
+                                 p_tags="tags").alias("m")).first().m
+    assert (m.publication, m.time_sensitivity) == (cols["s"], urgency)
+    assert (m.publication_date or None) == day
+    assert any("pressing plant" in c or "Waiting times" in c for c in m.claims)
 
 
 def test_frontmatter_last_key_wins_and_colons(spark):
@@ -148,8 +150,8 @@ def test_frontmatter_last_key_wins_and_colons(spark):
 
 
 @pytest.mark.parametrize("content,name,first", [
-    ("---\nname: scene-economics\n---\nHow money moves through a scene. More.", "scene-economics",
-     "How money moves through a scene."),
+    ("---\nname: night-shift\n---\nWho is awake when? Ask them.", "night-shift",
+     "Who is awake when?"),
     ("---\ntitle: x\n---\n# Head\nNo name here!", "", "No name here!"),
 ])
 def test_lens_file_parse(spark, content, name, first):

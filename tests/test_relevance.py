@@ -1,157 +1,174 @@
-"""Funnel behaviour: pre-rank, gate buckets, fail-open, budget, deep dive,
-label harvest and exemplars (written from scratch for every case)."""
+"""Listing scores, the gate, the survivor budget, the deep dive and stored labels."""
 
 from __future__ import annotations
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions.prompts import POSITIVE_VERDICT
-from gleaner.operators.gate import deep_dive, survivor_budget, triage_gate
+from gleaner.functions.prompts import NEGATIVE_VERDICT, POSITIVE_VERDICT
+from gleaner.operators.gate import deep_dive, gate_prompts, survivor_budget, triage_gate
 from gleaner.operators.infer import FunctionBackend, infer_batch
 from gleaner.operators.notes import exemplar_block, harvest_labels, select_exemplars
 from gleaner.operators.score import wire_prerank
 from gleaner.schemas import RAW_ITEM
 
-
-def _item(seq, title, *, score=100, comments=10, ratio=0.9, is_self=True, is_video=False,
-          domain="self.x", sub="x", permalink=None):
-    permalink = permalink or f"/r/{sub}/c/{seq}/"
-    return (seq, "reddit", f"Reddit/r/{sub}", f"https://reddit.com{permalink}", title, "b", None, None,
-            [sub], (sub, score, comments, ratio, is_video, is_self, domain, "", permalink, seq, True))
+QUIET = {"subreddit": "kites", "score": 0, "num_comments": 0, "upvote_ratio": 0.5, "is_self": False,
+         "is_video": False, "domain": "", "flair": "", "metrics_available": True}
 
 
-def _items(spark, rows):
+def posts(spark, wires):
+    """Raw items from {title: fields of ``wire`` that differ from QUIET}."""
+    rows = []
+    for at, (title, wire) in enumerate(wires.items()):
+        link = f"/r/kites/comments/k{at}/"
+        rows.append({"seq": at, "adapter": "listing", "source": "kites", "title": title, "body": f"about {title}",
+                     "source_url": f"https://forum.invalid{link}",
+                     "wire": {**QUIET, "permalink": link, "feed_rank": at, **wire}})
     return spark.createDataFrame(rows, RAW_ITEM)
 
 
-def test_discussion_beats_eye_candy_at_equal_score(spark):
-    df = _items(spark, [
-        _item(1, "festival clip", score=200, comments=3, is_self=False, is_video=True, domain="v.redd.it"),
-        _item(2, "debate", score=200, comments=180, is_self=True, domain="self.x"),
-    ])
-    r = {x.title: x.wire_pre_score for x in wire_prerank(df).collect()}
-    assert r["debate"] > r["festival clip"]
-
-
-def test_taxonomy_title_hit_boosts(spark):
-    df = _items(spark, [_item(1, "new track out now"), _item(2, "underground breakbeat scene shift")])
-    r = {x.title: x.wire_pre_score for x in wire_prerank(df, ["breakbeat", "underground", "scene"]).collect()}
-    assert abs(r["underground breakbeat scene shift"] - r["new track out now"] - 4.5) < 1e-9
-
-
-def test_metrics_missing_score_matches_formula(spark):
-    # RSS mode: zero metrics -> density 0, popularity 0, ratio term -1.0
-    df = _items(spark, [_item(1, "t", score=0, comments=0, ratio=0.0, is_self=False, domain="")])
-    assert wire_prerank(df).first().wire_pre_score == -1.0
-
-
-def _replied(spark, gen, titles):
-    rows = [_item(i, t) for i, t in enumerate(titles)]
-    df = _items(spark, rows).withColumn("wire_pre_score", F.lit(1.0)).withColumn("system", F.lit("s")) \
-        .withColumn("user", F.concat(F.lit("Title: "), F.col("title")))
-    return infer_batch(df, [FunctionBackend("fake", gen)])
-
-
-def _gen_for(mapping, default=0):
-    def gen(system, user):
-        for key, score in mapping.items():
-            if key in user:
-                return '{"reaction_worthiness": %d, "best_lens": "x", "why": "w"}' % score
-        return '{"reaction_worthiness": %d}' % default
-    return gen
-
-
-def test_gate_splits_survivor_maybe_rejected(spark):
-    g = triage_gate(_replied(spark, _gen_for({"KEEP": 5, "MAYBE": 2, "DROP": 0}), ["KEEP", "MAYBE", "DROP"]), 3, 1)
-    assert {r.title: r.bucket for r in g.collect()} == {"KEEP": "survivor", "MAYBE": "maybe", "DROP": "rejected"}
-
+def gated(spark, replies, **params):
+    """Gate decisions by title, the model answering ``replies[title]``; an exception is raised."""
 
-def test_inference_error_routes_to_maybe(spark):
-    def boom(system, user):
-        raise RuntimeError("model down")
-    g = triage_gate(_replied(spark, boom, ["X"]), 3).first()
-    assert g.bucket == "maybe" and g.triage_score == 2 and "model down" in g.triage.error
+    def answer(system, user):
+        reply = replies[json.loads(user)["title"]]
+        if isinstance(reply, Exception):
+            raise reply
+        return reply if isinstance(reply, str) else json.dumps(reply)
 
+    prompts = gate_prompts(wire_prerank(posts(spark, {t: {} for t in replies})), F.lit("angles"), F.lit(""))
+    return triage_gate(infer_batch(prompts, [FunctionBackend("scripted", answer)]), **params)
 
-def test_non_object_reply_is_row_level_unparsable(spark):
-    # T9 fix: a list or null reply scores 0 for that row only
-    def gen(system, user):
-        return "[1]" if "A" in user else ("null" if "B" in user else '{"reaction_worthiness": 4}')
-    g = {r.title: (r.triage_score, r.bucket, r.triage.why) for r in triage_gate(_replied(spark, gen, ["A", "B", "C"]), 3).collect()}
-    assert g["A"] == (0, "rejected", "unparsable") and g["B"] == (0, "rejected", "unparsable")
-    assert g["C"][1] == "survivor"
 
-
-def test_unparsable_with_threshold_one_lands_in_maybe(spark):
-    g = triage_gate(_replied(spark, lambda s, u: "not json", ["X"]), threshold=1, maybe_band=1).first()
-    assert (g.triage_score, g.bucket) == (0, "maybe")
-
-
-def test_reply_shapes(spark):
-    replies = {"F": "```json\n{\"reaction_worthiness\": 4}\n```", "S": '{"reaction_worthiness": "3"}',
-               "D": '{"reaction_worthiness": "3.7"}', "R": '{"reaction_worthiness": 3.7}',
-               "N": '{"reaction_worthiness": 9}', "M": '{"why": "no key"}'}
-
-    def gen(system, user):
-        return replies[user.split("Title: ")[1]]
-    g = {r.title: r.triage_score for r in triage_gate(_replied(spark, gen, list(replies)), 3).collect()}
-    assert g == {"F": 4, "S": 3, "D": 0, "R": 3, "N": 5, "M": 0}
-
-
-def test_budget_overflow_goes_to_maybe(spark):
-    g = survivor_budget(triage_gate(_replied(spark, _gen_for({}, default=5), [f"P{i}" for i in range(4)]), 3), 2)
-    rows = g.collect()
-    assert sum(r.bucket == "survivor" for r in rows) == 2
-    assert sum(r.bucket == "maybe" and r.overflow for r in rows) == 2
-
-
-def test_deep_dive_only_survivors(spark):
-    gen = _gen_for({"KEEP": 5, "DROP": 0})
-    g = triage_gate(_replied(spark, gen, ["KEEP", "DROP"]), 3)
-    comments = spark.createDataFrame([("/r/x/c/0/", 1, "second"), ("/r/x/c/0/", 0, "first"),
-                                      ("/r/x/c/1/", 0, "never")], "permalink string, pos int, text string")
-    out = {r.title: r for r in deep_dive(g, comments, k=12).collect()}
-    assert out["KEEP"].deep_dived and out["KEEP"].body.endswith("Top comments: first | second")
-    assert not out["DROP"].deep_dived and "Top comments" not in out["DROP"].body
-
-
-def _note(name, status, url, date="2024-01-01", title=None):
-    return (f"/vault/Observation Inbox/{name}",
-            f"---\ntitle: {title or name}\nstatus: {status}\nsource_url: {url}\ndate: {date}\n---\nbody\n")
-
-
-def test_harvest_positives_and_hard_negatives(spark):
-    files = spark.createDataFrame([
-        _note("a.md", "reacted", "https://reddit.com/r/ableton/c/1/"),
-        _note("b.md", "archived", "https://reddit.com/r/aves/c/2/"),
-        _note("c.md", "inbox", "https://reddit.com/r/x/c/3/"),
-        _note("d.md", "reacted", "https://example.com/post"),
-        ("/vault/lenses/l.md", "---\nstatus: reacted\nsource_url: https://reddit.com/r/l/c/9/\n---\n"),
-    ], "path string, value string")
-    labels = {r.subreddit: r.positive for r in harvest_labels(files).collect()}
-    assert labels == {"ableton": True, "aves": False}
+def rated(n):
+    return {"reaction_worthiness": n, "best_lens": "wind", "why": f"rated {n}"}
+
+
+@pytest.mark.parametrize("wire,score", [
+    ({}, 0.0),
+    ({"upvote_ratio": 0.0}, -1.0),
+    ({"score": 90, "num_comments": 50}, 2.5 + 1.959),
+    ({"num_comments": 7000}, 5.0),
+    ({"is_self": True}, 2.0),
+    ({"is_video": True, "domain": "V.redd.it"}, -2.5),
+    ({"domain": "paper.invalid"}, 1.0),
+    ({"domain": "self.kites"}, 0.0),
+    ({"score": -40, "num_comments": -3}, 0.0),
+])
+def test_terms_of_the_score(spark, wire, score):
+    assert wire_prerank(posts(spark, {"calm": wire})).first().wire_pre_score == pytest.approx(score, abs=1e-3)
+
+
+def test_title_keywords_count_up_to_three(spark):
+    titles = ["Rope", "Rope, sail and KEEL", "rope sail keel mast", "none of them"]
+    df = wire_prerank(posts(spark, {t: {} for t in titles}), ["rope", "sail", "keel", "mast"])
+    assert [r.wire_pre_score for r in df.orderBy("seq").collect()] == [1.5, 4.5, 4.5, 0.0]
+
+
+def test_prompt_holds_the_item_as_json(spark):
+    p = gate_prompts(posts(spark, {'A "quoted"\ntitle': {"score": 12}}), F.lit("- wind: gusts"), F.lit("earlier\n\n")).first()
+    assert p.user.startswith("earlier\n\n{") and "- wind: gusts" in p.system
+    item = json.loads(p.user.rsplit("\n\n", 1)[1])
+    assert (item["title"], item["score"], item["subreddit"]) == ('A "quoted"\ntitle', 12, "kites")
+
+
+@pytest.mark.parametrize("threshold,band,buckets", [
+    (3, 1, ["rejected", "rejected", "maybe", "survivor", "survivor", "survivor"]),
+    (4, 2, ["rejected", "rejected", "maybe", "maybe", "survivor", "survivor"]),
+    (1, 1, ["maybe", "survivor", "survivor", "survivor", "survivor", "survivor"]),
+])
+def test_buckets_by_threshold_and_band(spark, threshold, band, buckets):
+    g = gated(spark, {f"post {n}": rated(n) for n in range(6)}, threshold=threshold, maybe_band=band)
+    assert [r.bucket for r in g.orderBy("seq").collect()] == buckets
+
+
+@pytest.mark.parametrize("reply,score,why", [
+    ('```json\n{"reaction_worthiness": 2, "why": "in a fence"}\n```', 2, "in a fence"),
+    ('{"reaction_worthiness": "4", "why": "as text"}', 4, "as text"),
+    ('{"reaction_worthiness": 2.9, "why": "cut"}', 2, "cut"),
+    ('{"reaction_worthiness": "2.9"}', 0, "unparsable"),
+    ('{"reaction_worthiness": 70, "why": "over"}', 5, "over"),
+    ('{"reaction_worthiness": -70, "why": "under"}', 0, "under"),
+    ('{"why": "no rating"}', 0, "no rating"),
+    ("[5, 5]", 0, "unparsable"),
+    ("null", 0, "unparsable"),
+    ("I would rather not say.", 0, "unparsable"),
+])
+def test_shapes_of_a_reply(spark, reply, score, why):
+    r = gated(spark, {"one": reply, "other": rated(4)}).orderBy("seq").collect()
+    assert r[0].triage_score == score and r[0].triage.why == why
+    assert r[1].bucket == "survivor"  # a bad reply touches its own row only
+
+
+def test_failed_call_is_a_maybe(spark):
+    r = gated(spark, {"lost": ConnectionError("line cut")}, threshold=4).first()
+    assert (r.bucket, r.triage_score) == ("maybe", 3) and "line cut" in r.triage.error
+
+
+@pytest.mark.parametrize("budget", [0, 1, 5, 9])
+def test_budget_keeps_the_best(spark, budget):
+    ratings = [3, 5, 4, 1, 5, 3, 4]
+    out = survivor_budget(gated(spark, {f"no. {i}": rated(n) for i, n in enumerate(ratings)}), budget).collect()
+    best = sorted((i for i, n in enumerate(ratings) if n >= 3), key=lambda i: (-ratings[i], i))
+    assert {r.seq for r in out if r.bucket == "survivor"} == set(best[:budget])
+    assert {r.seq for r in out if r.overflow} == set(best[budget:])
+    assert all(r.bucket == "maybe" for r in out if r.overflow) and len(out) == len(ratings)
+
+
+def test_comments_reach_survivors_only(spark):
+    g = gated(spark, {"storm": rated(5), "drizzle": rated(2), "calm": rated(0)})
+    comments = spark.createDataFrame([(f"/r/kites/comments/k{at}/", pos, f"{at}-{pos}") for at in range(3) for pos in (2, 0, 1)],
+                                     "permalink string, pos int, text string")
+    got = {r.title: (r.deep_dived, r.body) for r in deep_dive(g, comments, k=2).collect()}
+    assert got["storm"][0] and got["storm"][1].endswith("0-0 | 0-1")
+    assert got["drizzle"] == (False, "about drizzle") and got["calm"] == (False, "about calm")
+
+
+def note(folder, name, **head):
+    lines = "\n".join(f"{k}: {v}" for k, v in head.items())
+    return f"/store/{folder}/{name}.md", f"---\n{lines}\n---\ntext of {name}\n"
+
+
+def stored(spark, notes):
+    return spark.createDataFrame(notes, "path string, value string")
+
+
+def test_labels_of_stored_notes(spark):
+    link = "https://www.reddit.com/r/{}/comments/z/".format
+    files = stored(spark, [
+        note("Inbox", "kite", status="reacted", source_url=link("kites")),
+        note("Archived", "pond", status="archived", source_url=link("ponds")),
+        note("Inbox", "fresh", status="inbox", source_url=link("fresh")),
+        note("Inbox", "none", source_url=link("none")),
+        note("Inbox", "essay", status="reacted", source_url="https://essays.invalid/7"),
+        note("lenses", "angle", status="reacted", source_url=link("angles")),
+    ])
+    assert {(r.subreddit, r.positive) for r in harvest_labels(files).collect()} == {("kites", True), ("ponds", False)}
     assert harvest_labels(files, reddit_only=False).count() == 3
 
 
-def test_select_exemplars_caps_and_recency(spark):
-    rows = [_note(f"p{i}.md", "reacted", f"https://reddit.com/r/s/c/p{i}/", date=f"2024-01-{i + 1:02d}") for i in range(10)]
-    rows += [_note(f"n{i}.md", "archived", f"https://reddit.com/r/s/c/n{i}/", date=f"2024-02-{i + 1:02d}") for i in range(10)]
-    files = spark.createDataFrame(rows, "path string, value string")
-    ex = select_exemplars(harvest_labels(files), n_pos=3, n_neg=2)
-    got = sorted((r.positive, r.date) for r in ex.collect())
-    assert got == [(False, "2024-02-09"), (False, "2024-02-10"),
-                   (True, "2024-01-08"), (True, "2024-01-09"), (True, "2024-01-10")]
-    block = files.limit(1).select(exemplar_block(ex).alias("b")).first().b
-    lines = block.split("\n")
-    assert lines[1].startswith(f"- [{POSITIVE_VERDICT}] r/s: p9.md") and block.endswith("\n\n")
-
-
-def test_hard_negative_score_floor_is_optional(spark):
-    files = spark.createDataFrame([
-        ("/v/Archived/a.md", "---\nstatus: archived\nsource_url: https://reddit.com/r/s/c/1/\nwire_pre_score: 6.5\n---\n"),
-        ("/v/Archived/b.md", "---\nstatus: archived\nsource_url: https://reddit.com/r/s/c/2/\nwire_pre_score: 0.5\n---\n"),
-        ("/v/Archived/c.md", "---\nstatus: reacted\nsource_url: https://reddit.com/r/s/c/3/\n---\n"),
-    ], "path string, value string")
-    assert harvest_labels(files).count() == 3                       # reference: score not checked
-    kept = sorted(r.path for r in harvest_labels(files, min_score=5.0).collect())
-    assert kept == ["/v/Archived/a.md", "/v/Archived/c.md"]
+def test_floor_holds_for_negatives_only(spark):
+    link = "https://www.reddit.com/r/kites/comments/{}/".format
+    files = stored(spark, [
+        note("Archived", "near", status="archived", source_url=link(1), wire_pre_score=8.25),
+        note("Archived", "far", status="archived", source_url=link(2), wire_pre_score=7.75),
+        note("Archived", "taken", status="reacted", source_url=link(3), wire_pre_score=0),
+    ])
+    assert harvest_labels(files).count() == 3
+    assert {r.path.rsplit("/", 1)[1] for r in harvest_labels(files, min_score=8.0).collect()} == {"near.md", "taken.md"}
+
+
+@pytest.mark.parametrize("n_pos,n_neg", [(2, 1), (0, 4), (9, 9)])
+def test_latest_labels_become_examples(spark, n_pos, n_neg):
+    link = "https://www.reddit.com/r/kites/comments/{}/".format
+    days = {"reacted": ["2019-11-03", "2021-04-30", "2020-08-08", "2018-01-19"],
+            "archived": ["2022-12-25", "2017-06-11", "2023-09-01"]}
+    files = stored(spark, [note("Inbox", f"{s}-{d}", status=s, date=d, title=f"{s} on {d}", source_url=link(f"{s}{d}"))
+                           for s, ds in days.items() for d in ds])
+    chosen = select_exemplars(harvest_labels(files), n_pos=n_pos, n_neg=n_neg)
+    latest = {True: sorted(days["reacted"])[::-1][:n_pos], False: sorted(days["archived"])[::-1][:n_neg]}
+    assert {(r.positive, r.date) for r in chosen.collect()} == {(k, d) for k, ds in latest.items() for d in ds}
+    block = files.limit(1).select(exemplar_block(chosen).alias("b")).first().b
+    assert block.count(POSITIVE_VERDICT) == len(latest[True]) and block.count(NEGATIVE_VERDICT) == len(latest[False])
