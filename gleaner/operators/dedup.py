@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on sources for the sequential (one anti join per source) form.
-MAX_SOURCES = 1000
-
+from ..session import stage
 
 def _order(cols):
     out = []
@@ -55,30 +53,32 @@ def top_n_per_source(entries: DataFrame, source: str, source_ord: str, key: str,
 
 def sequential_top_n(entries: DataFrame, source: str, source_ord: str, key: str, pos: str,
                      n: int) -> DataFrame:
-    """X1, exact sequential form: sources are visited in ordinal order; each
-    keeps its first ``n`` keys not kept by an earlier source.
-
-    One anti-join per source against the keys kept so far, which hold at most
-    ``n`` x sources rows, so they are broadcast (a proven size bound). The
-    source list comes from the data (a distinct of the source column; it is
-    the configured list, so small).
+    """X1, exact for keys shared by sources: as if the sources were visited in
+    order (by ordinal, then name), each keeping its first ``n`` keys that no
+    earlier source kept.
+
+    Done for all sources at once, in rounds: every source proposes its first
+    ``n`` keys, a key several propose stays with the earliest, the others lose
+    it for good and propose their next one. All keys rank the sources alike, so
+    the rounds end in the sequential result. The number of rounds is that of
+    the longest chain of lost keys, whatever the number of sources; each round's
+    pool is staged, so the plan stays the same size.
     """
-    inside = dedup_first(entries, [source, key], [pos])
-    # the source list is the configured one (small); take at most the bound + 1
-    # ordinals to the driver and refuse anything larger
-    srcs = [r[0] for r in inside.select(source_ord).distinct().orderBy(source_ord).limit(MAX_SOURCES + 1).collect()]
-    if len(srcs) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: use top_n_per_source")
-    kept = None
-    for s in srcs:
-        cand = inside.where(F.col(source_ord) == s)
-        if kept is not None:
-            cand = cand.join(F.broadcast(kept.select(key)), key, "left_anti")
-        step = first_per_key(cand, [source], [pos], n)
-        kept = step if kept is None else kept.unionByName(step)
-    if kept is None:
-        return inside.limit(0)
-    return kept
+    pool = stage(dedup_first(entries, [source, key], [pos]), how="table")
+    while True:
+        proposed = stage(first_per_key(pool, [source], [pos, key], n), how="table")
+        won = dedup_first(proposed, [key], [source_ord, source])
+        lost = _without(proposed, won, [source, key]).select(source, key)
+        if not lost.head(1):
+            return proposed
+        pool = stage(_without(pool, lost, [source, key]), how="table")
+
+
+def _without(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``cols`` are not in ``other`` (null equals null)."""
+    o = other.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(cols)])
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(cols)]
+    return df.join(o, same, "left_anti")
 
 
 def skip_known(items: DataFrame, known: DataFrame, key: str = "source_url") -> DataFrame:

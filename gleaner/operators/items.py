@@ -60,17 +60,16 @@ def feed_items(entries: DataFrame, as_of, body_chars: int = BODY_CHARS) -> DataF
 
 
 def community_items(entries: DataFrame, as_of, top_n: int = 5, body_chars: int = BODY_CHARS,
-                    base: str = COMMUNITY_BASE, exact_shared_urls: bool = False) -> DataFrame:
+                    base: str = COMMUNITY_BASE, exact_shared_urls: bool = True) -> DataFrame:
     """Community feed entries (``feed`` = community name, ``feed_ord`` =
     its position in the configured list) -> raw items with a metrics-less wire.
 
     Keeps the first ``top_n`` entries per community in feed order after
     dropping blank and repeated links. A link kept by an earlier community is
-    not kept again. With ``exact_shared_urls`` the communities are folded in
-    order (one anti-join per community) so that a link cut from an earlier
-    community can still be kept by a later one, exactly as a sequential
-    reader would; otherwise the window form is used, which is the same
-    whenever a link belongs to one community (community permalinks do).
+    not kept again, and one cut from an earlier community can still be kept by
+    a later one, exactly as a sequential reader would. Without
+    ``exact_shared_urls`` the lazy window form is used, which gives the same
+    only where every link belongs to one community.
     """
     from .dedup import sequential_top_n, top_n_per_source
 

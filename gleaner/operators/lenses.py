@@ -1,10 +1,10 @@
 """Lens library.
 
-The library is a small dimension (hand-written lens files) and its summary
-goes into every prompt, so it is folded into ONE row: the lenses sorted by
-file path and numbered from 1. That row feeds prompts and lens matching as
-scalar subqueries (computed once, no join, no cross join). Its size is
-checked before use.
+The library's summary goes whole into every prompt, so it is folded into ONE
+row: the lenses sorted by file path and numbered from 1. That row feeds prompts
+and lens matching as scalar subqueries (computed once, no join, no cross join).
+Its text is summed first, and a library beyond ``max_chars`` (more than a prompt
+can hold) raises before anything is gathered.
 """
 
 from __future__ import annotations
@@ -16,14 +16,11 @@ from ..functions import frontmatter as FM
 from ..functions._util import let
 from ..functions.text import first_sentence
 
-MAX_LENSES = 2000
+#: Characters of names and first sentences, about a quarter million tokens.
+MAX_CHARS = 1 << 20
 NO_LENSES = "(No lenses available.)"
 
 
-class LibraryTooLarge(ValueError):
-    pass
-
-
 def lens_rows(files: DataFrame) -> DataFrame:
     """S7 per file: (path, name, first_sentence). ``name`` is '' for a file
     without a ``name:`` line; such files still take a number (T26)."""
@@ -34,14 +31,17 @@ def lens_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def lens_library(files: DataFrame, max_lenses: int = MAX_LENSES) -> DataFrame:
+def lens_library(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """One row: ``lenses`` = array<struct<ord, name, first_sentence>> in file
-    path order (ord from 1). Raises when the library exceeds ``max_lenses``
-    files (the bound that makes the one-row form safe)."""
-    n = files.count()
-    if n > max_lenses:
-        raise LibraryTooLarge(f"{n} lens files > {max_lenses}")
+    path order (ord from 1). The job fails when names and first sentences sum
+    to more than ``max_chars`` characters (a file counts as one at least)."""
     rows = lens_rows(files)
+    size = F.greatest(F.lit(1), F.length(F.concat_ws("", "name", "first_sentence")))
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).scalar()
+    fits = F.when(total > max_chars, F.raise_error(F.concat(
+        F.lit("lens library of "), total.cast("string"), F.lit(f" characters, more than {max_chars}"))).cast("boolean")
+    ).otherwise(F.lit(True))
+    rows = rows.where(fits)
     arr = F.array_sort(F.collect_list(F.struct("path", "name", "first_sentence")))
     return rows.agg(F.transform(arr, lambda x, i: F.struct(
         (i + 1).cast("int").alias("ord"), x["name"].alias("name"), x["first_sentence"].alias("first_sentence")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from pyspark.sql import functions as F
 
 from gleaner.operators.dedup import dedup_first, sequential_top_n, skip_known, top_n_per_source
@@ -34,6 +38,40 @@ def test_shared_url_sequential_vs_window(spark):
     assert win2 == [("a", "x")]  # window form: documented difference for shared links
 
 
+def _one_after_another(rows, n):
+    kept = set()
+    by_source = {}
+    for feed, ord_, link, pos in rows:
+        by_source.setdefault((ord_, feed), []).append((pos, link))
+    taken = set()
+    for (_, feed), links in sorted(by_source.items()):
+        own = []
+        for _, link in sorted(links):
+            if link not in taken and link not in own and len(own) < n:
+                own.append(link)
+        taken.update(own)
+        kept |= {(feed, link) for link in own}
+    return kept
+
+
+@pytest.mark.parametrize("sources", [8, 16])
+def test_shared_urls_match_sequential_reading(spark, sources):
+    rng = random.Random(sources)
+    rows = [(f"s{s:02d}", s, f"u{rng.randrange(30)}", p) for s in range(sources) for p in range(12)]
+    got = sequential_top_n(_entries(spark, rows), "feed", "feed_ord", "link", "pos", 3)
+    assert {(r.feed, r.link) for r in got.collect()} == _one_after_another(rows, 3)
+    assert len(_plan(got).splitlines()) < 20  # whatever the number of sources
+
+
+def test_lens_library_size_is_checked(spark):
+    from gleaner.operators.lenses import lens_library
+    files = spark.createDataFrame([(f"/l/{i}.md", f"---\nname: n{i}\n---\nShort one.") for i in range(5)],
+                                  "path string, value string")
+    assert len(lens_library(files).first().lenses) == 5
+    with pytest.raises(Exception, match="lens library of 60 characters"):
+        lens_library(files, max_chars=59).collect()
+
+
 def test_dedup_keeps_first_and_plans_group_limit(spark):
     df = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("k", 2, "b"), ("j", 5, "z")], "k string, s int, v string")
     out = dedup_first(df, ["k"], ["s"])
