@@ -31,7 +31,7 @@ from gleaner.operators.score import wire_prerank
 from gleaner.plans.funnel import run_funnel
 from gleaner.plans.feedback import feedback_block
 from gleaner.plans.backfill import backfill
-from gleaner.plans.daily import daily_run, dry_run_view
+from gleaner.plans.daily import daily_run, dry_run_view, fates_by_adapter
 from gleaner.operators.notes import render_note
 from gleaner.streaming.ingest import dedup_stream, ingest_stream, read_stream_parquet, run_to_parquet
 from gleaner.session import staging_path
@@ -451,6 +451,10 @@ def q_run_summary(spark, d):
     return _daily(spark, d).summary
 
 
+def q_fates_by_adapter(spark, d):
+    return fates_by_adapter(_daily(spark, d).ledger)
+
+
 def q_dry_run(spark, d):
     return dry_run_view(_daily(spark, d, known=False))
 
@@ -491,6 +495,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "render_note": q_render_note,
     "daily_run": q_daily_run,
     "run_summary": q_run_summary,
+    "fates_by_adapter": q_fates_by_adapter,
     "dry_run": q_dry_run,
     "html_items": q_html_items,
     "json_items": q_json_items,
@@ -559,6 +564,7 @@ def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     session time zone whatever the caller's session uses."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         return fn(spark, sf_dir)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
@@ -1152,13 +1158,13 @@ jl AS (SELECT url, genre, slug, ord, pos, {LABEL(
     "array_to_string(list_filter(list_transform(CAST(json_extract(t, '$.artists') AS JSON[]), lambda a_: json_extract_string(a_, '$.name')), lambda x_: coalesce(x_, '') <> ''), ', ')",
     "coalesce(json_extract_string(t, '$.name'), '')")} AS label FROM ju WHERE pos < 10),
 ji AS (SELECT * FROM jl WHERE label IS NOT NULL),
-ci AS (SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos AS seq, 'beatport' AS adapter, 'Chart' AS source,
+ci AS (SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos AS seq, 'beatport' AS adapter, 'Beatport Charts' AS source,
          url AS source_url, label AS title FROM hi
        UNION ALL
-       SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'beatport', 'Chart', url, label FROM ji)"""
+       SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'beatport', 'Beatport Charts', url, label FROM ji)"""
 
 _SQL["html_items"] = "WITH " + CHARTS + """
-SELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos, 'Track in the ' || genre || ' chart.' AS body,
+SELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos, 'Track charting in Beatport ' || genre || ' Top 100.' AS body,
   slug || '|chart|beatport' AS raw_tags FROM hi"""
 _SQL["json_items"] = "WITH " + CHARTS + "\nSELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos FROM ji"
 
@@ -1348,31 +1354,31 @@ known AS (SELECT source_url FROM nr UNION ALL SELECT url FROM pages WHERE page_i
 lc2 AS (SELECT *, 'https://www.reddit.com' || permalink AS url2 FROM lc),
 ai AS (
   SELECT seq, source, source_url, title, raw_tags, date, 'ungated' AS bucket, CAST(NULL AS INTEGER) AS triage_score,
-         CAST(NULL AS DOUBLE) AS wire_pre_score FROM fi
+         CAST(NULL AS DOUBLE) AS wire_pre_score, 'rss' AS adapter FROM fi
   UNION ALL
   SELECT g3.seq, g3.source, g3.source_url, g3.title,
     list_concat([g3.subreddit], CASE WHEN coalesce(lc2.link_flair_text, '') <> '' THEN [replace(lower(lc2.link_flair_text), ' ', '-')] ELSE []::VARCHAR[] END),
     CAST(CAST(make_timestamp(CAST(lc2.created_utc * 1000000 AS BIGINT)) AS DATE) AS VARCHAR),
-    g3.bucket, g3.triage_score, g3.wire_pre_score
+    g3.bucket, g3.triage_score, g3.wire_pre_score, 'reddit'
   FROM g3 JOIN lc2 ON g3.source_url = lc2.url2
   UNION ALL
-  SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'Chart', url, label, [slug, 'chart', 'beatport'],
-         '2024-03-01', 'ungated', NULL, NULL FROM hi
+  SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'Beatport Charts', url, label, [slug, 'chart', 'beatport'],
+         '2024-03-01', 'ungated', NULL, NULL, 'beatport' FROM hi
   UNION ALL
-  SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'Chart', url, label, [slug, 'chart', 'beatport'],
-         '2024-03-01', 'ungated', NULL, NULL FROM ji),""")
-    stored = "source_url IN (SELECT source_url FROM known)" if known else "false"
+  SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos, 'Beatport Charts', url, label, [slug, 'chart', 'beatport'],
+         '2024-03-01', 'ungated', NULL, NULL, 'beatport' FROM ji),""")
+    stored = "adapter <> 'beatport' AND source_url IN (SELECT source_url FROM known)" if known else "false"
     return base + f"""
 led0 AS (SELECT *, CASE WHEN {stored} THEN 'already_stored' WHEN bucket = 'rejected' THEN 'rejected' END AS fate0 FROM ai),
-kept AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY
+kept AS (SELECT *, row_number() OVER (PARTITION BY source_url, CASE WHEN adapter = 'beatport' THEN title END ORDER BY
            CASE bucket WHEN 'ungated' THEN 0 WHEN 'survivor' THEN 1 WHEN 'maybe' THEN 2 ELSE 3 END,
            coalesce(triage_score, 99) DESC, coalesce(wire_pre_score, 0.0) DESC, seq) AS rn
          FROM led0 WHERE fate0 IS NULL),
 uq AS (SELECT * FROM kept WHERE rn = 1)""" + ENRICH_FROM("uq") + """,
 led AS (
-  SELECT fate0 AS fate FROM led0 WHERE fate0 IS NOT NULL
-  UNION ALL SELECT 'dup_in_run' FROM kept WHERE rn > 1
-  UNION ALL SELECT CASE WHEN error_kind IS NOT NULL THEN 'failed' WHEN interest_level < 2 THEN 'below_threshold'
+  SELECT adapter, fate0 AS fate FROM led0 WHERE fate0 IS NOT NULL
+  UNION ALL SELECT adapter, 'dup_in_run' FROM kept WHERE rn > 1
+  UNION ALL SELECT adapter, CASE WHEN error_kind IS NOT NULL THEN 'failed' WHEN interest_level < 2 THEN 'below_threshold'
                         ELSE 'written' END FROM e2)"""
 
 
@@ -1386,6 +1392,9 @@ c AS (SELECT CAST(count(*) AS BIGINT) AS fetched, """ + ", ".join(
     f"CAST(count(*) FILTER (WHERE fate = '{f}') AS BIGINT) AS {f}" for f in _FATES) + """ FROM led)
 SELECT *, blank_url + already_stored + dup_in_run + rejected AS skipped_dedup, below_threshold + written AS processed FROM c"""
 
+_SQL["fates_by_adapter"] = _daily_sql() + """
+SELECT adapter, fate, CAST(count(*) AS BIGINT) AS n FROM led GROUP BY adapter, fate"""
+
 _SQL["dry_run"] = _daily_sql(known=False) + """
 SELECT source, source_url, observation, interest_level, array_to_string(lenses, ', ') AS lenses,
   array_to_string(tags, ', ') AS tags

@@ -75,7 +75,7 @@ def parse_enrichment(replied: DataFrame, lookup: Column, first_lens: Column, as_
     ctx = F.when(ctx_field.isNull(), F.lit("")).otherwise(F.coalesce(R.get_string(v, "expanded_context"), F.lit("")))
     out = replied.withColumns({
         "error_kind": error_kind(v),
-        "date": F.col("published_date").cast("string"),
+        "date": F.coalesce(F.col("published_date"), F.lit(as_of).cast("date")).cast("string"),
         "observation": observation,
         "tags": tags,
         "interest_level": R.clamp_int(v, "interest_level", 1, 5, 1),

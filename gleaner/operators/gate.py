@@ -75,12 +75,12 @@ def survivor_budget(gated: DataFrame, max_survivors: int | None, key: str = "seq
 
     The top-n is a ``TakeOrderedAndProject`` (each partition keeps n rows,
     then one merge); the n chosen rows are joined back as a flag, by the item's
-    identity: ``key`` with its adapter, source, URL and title, because positions
-    start anew in every source. No global window, and AQE picks the join.
+    identity: ``key`` with its run number (``item_no``, where it has one), adapter,
+    source, URL and title, because positions start anew in every source. No global window, and AQE picks the join.
     """
     if max_survivors is None:
         return gated
-    named = [c for c in (key, "adapter", "source", "source_url", "title") if c in gated.columns]
+    named = [c for c in (key, "item_no", "adapter", "source", "source_url", "title") if c in gated.columns]
     marked = gated.withColumn("__item", F.xxhash64(F.to_json(F.struct(*named), {"ignoreNullFields": "false"})))
     top = (marked.where(F.col("bucket") == "survivor").orderBy(*survivor_order())
            .limit(int(max_survivors)).select("__item").distinct().withColumn("__keep", F.lit(True)))

@@ -30,6 +30,17 @@ def make_seq(adapter: str, source_ord, pos) -> Column:
             + F.coalesce(F.col(pos) if isinstance(pos, str) else pos, F.lit(0)).cast("long"))
 
 
+def item_key(df: DataFrame) -> Column:
+    """What makes an item of ``df`` the same on another day: its URL; for a
+    chart track, whose URL is the chart's page, also its title and date."""
+    url = F.coalesce(F.col("source_url"), F.lit(""))
+    if not {"adapter", "title", "published_date"} <= set(df.columns):
+        return url
+    track = F.concat_ws("\x1f", url, F.coalesce(F.col("title"), F.lit("")),
+                        F.coalesce(F.col("published_date").cast("string"), F.lit("")))
+    return F.when(F.col("adapter") == "beatport", track).otherwise(url)
+
+
 def drop_blank_url(df: DataFrame, col: str = "source_url") -> DataFrame:
     """drop rows whose URL is NULL or empty."""
     return df.where(F.coalesce(F.col(col), F.lit("")) != "")

@@ -3,10 +3,14 @@
 union sources -> drop blank URLs (F1) -> drop stored URLs (J1, before the
 funnel: T3) -> relevance funnel (Q1) -> keep-first dedup in run order (X3,
 T30) -> enrichment (U2) -> quarantine (K5) -> interest threshold (F3) ->
-rendered notes (K2) and optional append to the note table (K1).
-
-Every item ends with exactly one ``fate``; the run summary is one
-aggregate over that ledger (T2: separate counters plus their sum).
+rendered notes (K2) and, given their paths, append to the note table (K1) and
+the quarantine log (K5).
+
+An item is known by its ``item_key`` in all of J1, X3 and K1 (a chart track is
+more than its page's URL, T1) and within the run by ``item_no``, which is unique
+whatever the sources' own positions. Every item ends with exactly one ``fate``;
+the run summary is one aggregate over that ledger (T2: separate counters plus
+their sum).
 """
 
 from __future__ import annotations
@@ -17,24 +21,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import first_per_key, skip_known
+from ..operators.dedup import first_per_key
 from ..operators.enrich import enrich_prompts, interest_filter, parse_enrichment, split_quarantine
 from ..operators.gate import run_order
 from ..operators.infer import Backend, infer_batch
-from ..operators.items import drop_blank_url, union_sources
+from ..operators.items import drop_blank_url, item_key, union_sources
 from ..operators.lenses import first_lens_col, lens_library, lookup_col, summary_col
 from ..operators.notes import render_note
 from ..session import stage
+from ..sinks.notes import write_notes, write_quarantine
 from .funnel import run_funnel
 
 FATES = ("blank_url", "already_stored", "rejected", "dup_in_run", "failed", "below_threshold", "written")
 
+# Columns of the note table (K1).
+NOTE_COLUMNS = ("item_no", "seq", "item_key", "adapter", "source", "source_url", "note_id", "date", "observation",
+                "tags", "interest_level", "lenses", "bucket", "meta", "markdown")
+
 
 @dataclass
 class RunResult:
     notes: DataFrame        # rendered notes that pass the threshold
     quarantine: DataFrame   # rows whose enrichment could not be used
-    ledger: DataFrame       # (seq, source_url, fate) for every fetched item
+    ledger: DataFrame       # (item_no, seq, adapter, source_url, fate) for every fetched item
     summary: DataFrame      # one row of counters
 
 
@@ -55,23 +64,36 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
               gate_backends: Sequence[Backend], enrich_backends: Sequence[Backend], as_of,
               exemplar_block: Column | None = None, taxonomy=None, triage_threshold: int = 3,
               max_survivors: int | None = None, comments: DataFrame | None = None,
-              interest_threshold: int = 2, dedup_keys: Sequence[str] = ("source_url",),
+              interest_threshold: int = 2, dedup_keys: Sequence[str] = ("item_key",),
               funnel_enabled: bool = True, purpose: str = "", staging: str = "checkpoint",
-              model_partitions: int | None = None) -> RunResult:
-    """Q2. ``known=None`` skips the stored-URL check (dry run, K3).
-    ``model_partitions`` sets the number of concurrent model-call tasks."""
-    # staged once: every ledger branch below reads this checkpoint instead of
-    # re-running the scans
-    items = stage(union_sources(*sources), staging)
-    key = F.coalesce(F.col("source_url"), F.lit(""))
-    blank = items.where(key == "").select("seq", "source_url", F.lit("blank_url").alias("fate"))
-    items = drop_blank_url(items)
-    if known is not None:
-        k = known.select("source_url").where(F.col("source_url").isNotNull())
-        stored = items.join(k, "source_url", "left_semi").select("seq", "source_url", F.lit("already_stored").alias("fate"))
-        items = skip_known(items, k)
+              model_partitions: int | None = None, out_path: str | None = None,
+              quarantine_path: str | None = None) -> RunResult:
+    """Q2. ``known`` has the stored notes' ``item_key`` or, of tables without it,
+    ``source_url`` (and ``adapter``, ``title``, ``published_date``, without which
+    no stored chart track is recognised); None skips the check (dry run, K3).
+    ``model_partitions`` sets the number of concurrent model-call tasks. With
+    ``out_path`` the notes are appended there, and ``written`` counts those
+    that were; a note found there already is ``already_stored``."""
+    # staged once, with the run's row numbers: every ledger branch below reads
+    # this checkpoint instead of re-running the scans
+    items = union_sources(*sources)
+    items = items.withColumn("item_key", item_key(items))
+    if known is None:
+        flagged = items.withColumn("__stored", F.lit(False))
     else:
-        stored = None
+        k = known if "item_key" in known.columns else known.select(item_key(known).alias("item_key"))
+        k = k.where(F.coalesce(F.col("item_key"), F.lit("")) != "").select("item_key").distinct()
+        flagged = (items.join(k.withColumn("__stored", F.lit(True)), "item_key", "left")
+                   .withColumn("__stored", F.coalesce("__stored", F.lit(False))))
+    flagged = stage(flagged.withColumn("item_no", F.monotonically_increasing_id()), staging)
+
+    def fate_of(rows: DataFrame, fate) -> DataFrame:
+        return rows.select("item_no", "seq", "adapter", "source_url", (F.lit(fate) if isinstance(fate, str) else fate).alias("fate"))
+
+    is_blank = F.coalesce(F.col("source_url"), F.lit("")) == ""
+    dropped = fate_of(flagged.where(is_blank | F.col("__stored")),
+                      F.when(is_blank, "blank_url").otherwise("already_stored"))
+    items = drop_blank_url(flagged).where(~F.col("__stored")).drop("__stored")
 
     lib = lens_library(lens_files)
     summary = summary_col(lib)
@@ -80,13 +102,12 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
                              taxonomy=taxonomy, threshold=triage_threshold, max_survivors=max_survivors,
                              comments=comments, enabled=funnel_enabled, staging=staging,
                              partitions=model_partitions), staging)
-    rejected = gated.where(F.col("bucket") == "rejected").select("seq", "source_url", F.lit("rejected").alias("fate"))
+    rejected = fate_of(gated.where(F.col("bucket") == "rejected"), "rejected")
     kept = gated.where(F.col("bucket") != "rejected")
     # first row per key in run order (group-limited window: a hot key sends
-    # one row per map task); the rest are found by an anti join on seq
-    unique = first_per_key(kept, list(dedup_keys), run_order(), 1)
-    dups = kept.join(unique.select("seq"), "seq", "left_anti").select(
-        "seq", "source_url", F.lit("dup_in_run").alias("fate"))
+    # one row per map task); the rest are found by an anti join on the row number
+    unique = first_per_key(kept, list(dedup_keys), [*run_order(), F.col("item_no")], 1)
+    dups = fate_of(kept.join(unique.select("item_no"), "item_no", "left_anti"), "dup_in_run")
 
     prompts = enrich_prompts(unique, summary, purpose)
     if model_partitions:
@@ -98,16 +119,28 @@ def daily_run(sources: Sequence[DataFrame], *, known: DataFrame | None, lens_fil
     fate = (F.when(F.col("error_kind").isNotNull(), F.lit("failed"))
             .when(F.col("interest_level") < interest_threshold, F.lit("below_threshold"))
             .otherwise(F.lit("written")))
-    processed = parsed.select("seq", "source_url", fate.alias("fate"))
-
-    parts = [blank] + ([stored] if stored is not None else []) + [rejected, dups, processed]
-    ledger = parts[0]
-    for p in parts[1:]:
-        ledger = ledger.unionByName(p)
+    processed = fate_of(parsed, fate)
     notes = render_note(passed)
+    if out_path:
+        notes = write_notes(notes.select(*NOTE_COLUMNS), out_path)
+        added = notes.select("item_no", F.lit(True).alias("__added"))
+        late = (F.col("fate") == "written") & F.col("__added").isNull()
+        processed = (processed.join(added, "item_no", "left")
+                     .withColumn("fate", F.when(late, "already_stored").otherwise(F.col("fate"))).drop("__added"))
+    if quarantine_path:
+        write_quarantine(bad, quarantine_path, as_of)
+
+    ledger = dropped
+    for p in (rejected, dups, processed):
+        ledger = ledger.unionByName(p)
     return RunResult(notes=notes, quarantine=bad, ledger=ledger, summary=run_summary(ledger))
 
 
+def fates_by_adapter(ledger: DataFrame) -> DataFrame:
+    """A1 per adapter: (adapter, fate, n), so that a source losing all its items shows."""
+    return ledger.groupBy("adapter", "fate").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dry_run_view(result: RunResult) -> DataFrame:
     """K3: what would be written: source, URL, observation, interest,
     lenses, tags; nothing is stored."""

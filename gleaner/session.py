@@ -9,13 +9,14 @@ from pyspark.sql import SparkSession
 
 # Settings every job relies on. Dates are compared in UTC; AQE re-plans joins
 # (broadcast only when the runtime size is under the threshold) and splits
-# skewed shuffle partitions.
+# skewed shuffle partitions. Of a key repeated in a JSON reply the last counts.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -38,7 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    for k in ("spark.sql.session.timeZone",):
+    for k in ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys"):
         spark.conf.set(k, conf[k])
     return spark
 

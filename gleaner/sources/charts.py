@@ -7,19 +7,49 @@ plus ``posexplode``, so a page never leaves its partition.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
+from ..functions._util import let
 from ..functions.prompts import fill
 from ..functions.text import strip_ws
 from ..operators.dedup import dedup_first
 from ..operators.items import make_seq
 
-# Row and field patterns for chart list items (first capture group).
-ROW_PATTERN = r"(?s)<li[^>]*>(.*?)</li>"
-ARTIST_PATTERN = r'(?s)<[^>]*class="[^"]*artist[^"]*"[^>]*>(.*?)</'
-TITLE_PATTERN = r'(?s)<[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</'
+
+
+def _classed(tag: str, css: str) -> str:
+    """Start tag of an element with a class as given (a regular expression over the attribute)."""
+    return rf'<{tag}\b[^>]*?\bclass="{css}"[^>]*>'
+
+
+def _token(name: str) -> str:
+    return rf'(?:[^"]*\s)?{name}(?:\s[^"]*)?'
+
+
+_ANY_TAG = r"(\w+)"
+
+
+def _element(css: str) -> str:
+    return rf"(?s){_classed(_ANY_TAG, css)}(.*?)</\1>"
+
+
+# The class names that mark chart rows, their lists and fields, in the order they are tried.
+# A pattern gives its last capture group, or the whole match without its start tag. A row division ends
+# where the next one starts, as it may hold further divisions.
+_ROW_LI = f"(?:{_classed('li', _token('bucket-item'))}|{_classed('li', '[^\"]*track[^\"]*')})"
+_ROW_DIV = _classed("div", '[^"]*track-row[^"]*')
+ROW_PATTERN = rf"(?s){_ROW_LI}.*?</li>|{_ROW_DIV}.*?(?={_ROW_DIV}|\z)"
+LIST_PATTERN = (rf"(?s)(?:{_classed('ol', _token('bucket-items'))}.*?</ol>"
+                rf"|{_classed('ul', _token('tracks'))}.*?</ul>)")
+LIST_ROW_PATTERN = r"(?s)<li\b[^>]*>(.*?)</li>"
+ARTIST_PATTERNS = tuple(map(_element, (_token("artists"), _token("track-artists"), '[^"]*artist[^"]*')))
+TITLE_PATTERNS = (*map(_element, (_token("title"), _token("track-title"), '[^"]*title[^"]*')),
+                  rf"(?s){_classed('(span)', _token('name'))}(.*?)</\1>")
 SCRIPT_PATTERN = r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 # Where a track list may sit inside the embedded JSON, tried in order.
 TRACK_PATHS = (
@@ -29,8 +59,9 @@ TRACK_PATHS = (
     "$.tracks", "$.items", "$.results", "$.data",
 )
 
-CHART_SOURCE = "Chart"
-CHART_BODY = "Track in the {genre} chart."
+# Both are part of a note and its id.
+CHART_SOURCE = "Beatport Charts"
+CHART_BODY = "Track charting in Beatport {genre} Top 100."
 DASH = " — "
 
 
@@ -69,18 +100,38 @@ def _chart_rows(pages: DataFrame, label: Column, pos_col: str, as_of, source_nam
     )
 
 
+def _groups(pattern: str) -> int:
+    return re.compile(pattern.replace(r"\z", r"\Z")).groups
+
+
+def _all_rows(c: Column, pattern: str) -> Column:
+    n = _groups(pattern)
+    found = F.regexp_extract_all(c, F.lit(pattern), n)
+    return found if n else F.transform(found, lambda r: F.regexp_replace(r, r"^<[^>]*>", ""))
+
+
+def _first_field(row: str, patterns: str | Sequence[str]) -> Column:
+    """Text of the first pattern that matches (an element found empty counts), else ''."""
+    patterns = [patterns] if isinstance(patterns, str) else patterns
+    return F.coalesce(*[F.when(F.col(row).rlike(p), node_text(F.regexp_extract(row, p, _groups(p)))) for p in patterns],
+                      F.lit(""))
+
+
 def html_items(pages: DataFrame, as_of, top_n: int = 10, row_pattern: str = ROW_PATTERN,
-               artist_pattern: str = ARTIST_PATTERN, title_pattern: str = TITLE_PATTERN,
-               source_name: str = CHART_SOURCE, body_template: str = CHART_BODY) -> DataFrame:
-    """The first ``top_n`` list rows of each page (cut before dedup, so a
-    page may give fewer, T24), text of the artist and title parts, rows with
-    neither dropped, first row per page and lower-cased label kept."""
-    rows = pages.select("url", "genre", "slug", "ord",
-                        F.posexplode(F.regexp_extract_all("html", F.lit(row_pattern), 1)).alias("pos", "row"))
+               artist_pattern: str | Sequence[str] = ARTIST_PATTERNS,
+               title_pattern: str | Sequence[str] = TITLE_PATTERNS, source_name: str = CHART_SOURCE, body_template: str = CHART_BODY) -> DataFrame:
+    """The first ``top_n`` chart rows of each page (cut before dedup, so a
+    page may give fewer, T24; without a row by class, the items of its track
+    lists), whole text of the artist and title parts, rows with neither dropped,
+    first row per page and lower-cased label kept."""
+    by_class = _all_rows(F.col("html"), row_pattern)
+    listed = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(LIST_PATTERN), 0),
+                                   lambda part: F.regexp_extract_all(part, F.lit(LIST_ROW_PATTERN), 1)))
+    found = let(by_class, lambda r: F.when(F.size(r) > 0, r).otherwise(listed))
+    rows = pages.select("url", "genre", "slug", "ord", F.posexplode(found).alias("pos", "row"))
     rows = rows.where(F.col("pos") < top_n)
-    artist = node_text(F.regexp_extract("row", artist_pattern, 1))
-    title = node_text(F.regexp_extract("row", title_pattern, 1))
-    rows = rows.withColumn("label", chart_label(artist, title)).where(F.col("label").isNotNull())
+    rows = rows.withColumn("label", chart_label(_first_field("row", artist_pattern), _first_field("row", title_pattern)))
+    rows = rows.where(F.col("label").isNotNull())
     rows = dedup_first(rows.withColumn("__k", F.lower("label")), ["url", "__k"], ["pos"])
     return _chart_rows(rows, F.col("label"), "pos", as_of, source_name, body_template, "html")
 
@@ -97,14 +148,22 @@ def _track_label(t: Column) -> Column:
     return chart_label(artist, title)
 
 
+def _track_list(v: Column, path: str) -> Column:
+    def tracks(a):
+        first = F.get(a, 0)
+        return F.when(R.field(first, "name").isNotNull() | R.field(first, "title").isNotNull(), a)
+
+    return let(F.try_variant_get(v, path, "array<variant>"), tracks)
+
+
 def json_items(pages: DataFrame, as_of, top_n: int = 10, script_pattern: str = SCRIPT_PATTERN,
                paths=TRACK_PATHS, source_name: str = CHART_SOURCE, body_template: str = CHART_BODY) -> DataFrame:
-    """The track list of the page's embedded JSON (first path that holds
-    an array, in the given order), first ``top_n`` tracks, label per track;
+    """The track list of the page's embedded JSON (first path, in the given
+    order, whose list starts with an object that has a name or title), first ``top_n`` tracks, label per track;
     no dedup on this path (T22)."""
     blob = F.try_parse_json(F.regexp_extract("html", script_pattern, 1))
     p = pages.withColumn("__v", blob)
-    tracks = F.coalesce(*[F.try_variant_get(F.col("__v"), path, "array<variant>") for path in paths])
+    tracks = F.coalesce(*[_track_list(F.col("__v"), path) for path in paths])
     rows = p.select("url", "genre", "slug", "ord", F.posexplode(tracks).alias("pos", "t")).where(F.col("pos") < top_n)
     rows = rows.withColumn("label", _track_label(F.col("t"))).where(F.col("label").isNotNull())
     return _chart_rows(rows, F.col("label"), "pos", as_of, source_name, body_template, "json")

@@ -92,6 +92,39 @@ def _page(url, html, ord_=0):
     return (url, "Techno", "techno", ord_, html)
 
 
+CHART_PAGE = "url string, genre string, slug string, ord int, html string"
+
+
+def _titles(spark, *pages, n=10):
+    df = spark.createDataFrame([_page(f"https://c/{i}", h, i) for i, h in enumerate(pages)], CHART_PAGE)
+    return sorted((r.source_url[-1], r.chart_pos, r.title) for r in html_items(df, "2024-01-01", n).collect())
+
+
+def test_chart_rows_by_class_skip_the_menu_and_keep_every_artist(spark):
+    menu = "<ul>" + "".join(f"<li><a>Menu {i}</a></li>" for i in range(12)) + "</ul>"
+    rows = ('<li class="row bucket-item"><p class="artists"><a>Ann</a>, <a>Ben</a></p><b class="title">Up <i>mix</i></b></li>'
+            '<li class="item bucket-item-x"><b class="title">no row</b></li>'
+            '<li class="my-track"><span class="name">Plain</span></li>')
+    assert _titles(spark, menu + rows) == [("0", 0, "Ann,Ben — Upmix"), ("0", 1, "Plain")]
+
+
+def test_chart_row_divisions_and_lists_without_row_classes(spark):
+    div = ('<div class="track-row"><div class="c"><span class="track-artists">Ann</span></div>'
+           '<div class="track-title">One</div></div><div class="track-row"><div class="title">Two</div></div>')
+    ol = ('<ul><li><b class="title">menu</b></li></ul><ol class="bucket-items"><li><b class="title">T</b>'
+          '<b class="subtitle">S</b></li></ol>')
+    assert _titles(spark, div, ol, "", "<ul><li>x</li></ul>", None) == [
+        ("0", 0, "Ann — One"), ("0", 1, "Two"), ("1", 0, "T")]
+
+
+def test_chart_json_skips_empty_lists_and_lists_of_other_things(spark):
+    blob = json.dumps({"props": {"pageProps": {"chart": {"tracks": []}, "tracks": [{"id": 1}]}},
+                       "items": [{"name": "Found"}]})
+    page = _page("https://c/1", f'<script id="__NEXT_DATA__" type="application/json">{blob}</script>', 0)
+    rows = chart_items(spark.createDataFrame([page], CHART_PAGE), "2024-01-01").collect()
+    assert [(r.title, r.via) for r in rows] == [("Found", "json")]
+
+
 def test_chart_html_then_json_fallback(spark):
     li = lambda a, t: f'<li class="track"><span class="artists">{a}</span><span class="title">{t}</span></li>'
     html1 = "<ol>" + li("A", "One") + li("a", "one") + li("", "Solo") + li("", "") + li("B", "Two") + "</ol>"
@@ -105,7 +138,7 @@ def test_chart_html_then_json_fallback(spark):
     # top 4 rows cut before dedup: 'a — one' repeats 'A — One' (case-insensitive), '' has neither
     assert by == [("https://c/1", 0, "A — One"), ("https://c/1", 2, "Solo"),
                   ("https://c/2", 0, "P, Q — X"), ("https://c/2", 1, "Y")]
-    assert rows[0].body == "Track in the Techno chart." and rows[0].raw_tags == ["techno", "chart", "beatport"]
+    assert rows[0].body == "Track charting in Beatport Techno Top 100." and rows[0].raw_tags == ["techno", "chart", "beatport"]
 
 
 def test_registry_and_fetch(spark):

@@ -34,8 +34,8 @@ def _counter():
 
 
 def _charts(spark):
-    html = '<ol><li class="t"><span class="artist">A</span><span class="title">One</span></li>' \
-           '<li class="t"><span class="artist">B</span><span class="title">Two</span></li></ol>'
+    html = '<ol><li class="track"><span class="artist">A</span><span class="title">One</span></li>' \
+           '<li class="track"><span class="artist">B</span><span class="title">Two</span></li></ol>'
     pages = spark.createDataFrame([("https://c/top", "Techno", "techno", 0, html)],
                                   "url string, genre string, slug string, ord int, html string")
     return html_items(pages, "2024-01-01", 10)
@@ -50,19 +50,57 @@ def _listing(spark):
     return listing_items(ch, "2024-01-01")
 
 
-def _run(spark, sources, known=None, dedup_keys=("source_url",), gate=None):
+def _run(spark, sources, known=None, dedup_keys=("item_key",), gate=None, **more):
     lens = spark.createDataFrame(LENSES, "path string, value string")
     return daily_run(sources, known=known, lens_files=lens,
                      gate_backends=[FunctionBackend("g", gate or (lambda s, u: '{"reaction_worthiness": 5}'))],
                      enrich_backends=[FunctionBackend("e", lambda s, u: GOOD)], as_of="2024-01-10",
-                     dedup_keys=dedup_keys)
+                     dedup_keys=dedup_keys, **more)
 
 
-def test_t1_chart_rows_survive_with_a_wider_dedup_key(spark):
+def test_t1_chart_tracks_survive(spark):
+    by_url = _run(spark, [_charts(spark)], dedup_keys=("source_url",)).summary.first()
+    assert (by_url.dup_in_run, by_url.written) == (1, 1)     # one per chart URL
     default = _run(spark, [_charts(spark)]).summary.first()
-    assert (default.dup_in_run, default.written) == (1, 1)     # reference behaviour: one per chart URL
-    wide = _run(spark, [_charts(spark)], dedup_keys=("source_url", "title", "published_date")).summary.first()
-    assert (wide.dup_in_run, wide.written) == (0, 2)
+    assert (default.dup_in_run, default.written) == (0, 2)
+
+
+def test_t1_second_day_writes_only_new_tracks_of_a_stored_chart(spark):
+    import gleaner.sinks.notes as N
+    root = tempfile.mkdtemp(prefix="notes-")
+    out, bad = os.path.join(root, "notes"), os.path.join(root, "bad")
+    charts = _charts(spark)
+    first = _run(spark, [charts.where("title like 'A%'")], out_path=out, quarantine_path=bad)
+    assert first.summary.first().written == 1
+    known = N.stored_keys(spark, out, "item_key")
+    again = _run(spark, [charts, _listing(spark)], known=known, out_path=out)
+    s = again.summary.first()
+    assert (s.already_stored, s.written, s.fetched) == (1, 3, 4)
+    assert spark.read.parquet(out).count() == 4 and again.notes.count() == 3
+    replay = _run(spark, [charts], out_path=out).summary.first()   # no check up front: the sink finds both
+    assert (replay.already_stored, replay.written) == (2, 0)
+    assert spark.read.parquet(out).count() == 4 and spark.read.parquet(bad).count() == 0
+
+
+def test_items_with_equal_positions_keep_one_fate_each(spark):
+    s = _run(spark, [_listing(spark), _listing(spark).withColumn("source_url", F.concat("source_url", F.lit("b"))),
+                     _charts(spark), _charts(spark)])
+    fates = {r.fate: r["count"] for r in s.ledger.groupBy("fate").count().collect()}
+    assert fates == {"written": 6, "dup_in_run": 2}
+    assert s.ledger.select("item_no").distinct().count() == 8
+
+
+def test_item_without_a_date_gets_the_day_of_the_run(spark):
+    undated = _listing(spark).withColumn("published_date", F.lit(None).cast("date"))
+    notes = _run(spark, [undated]).notes.collect()
+    assert {n.date for n in notes} == {"2024-01-10"} and all("\ndate: 2024-01-10\n" in n.markdown for n in notes)
+
+
+def test_last_of_a_repeated_reply_key_counts(spark):
+    from gleaner.functions.replies import clamp_int, parse_reply
+    got = spark.createDataFrame([('{"n": 1, "n": 4}',)], "r string").select(parse_reply("r").alias("v")).select(
+        clamp_int(F.col("v"), "n", 1, 5, 1).alias("n")).first()
+    assert got.n == 4
 
 
 def test_t3_stored_urls_never_reach_the_gate(spark):
