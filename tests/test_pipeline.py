@@ -29,13 +29,16 @@ def test_daily_run_every_item_has_one_fate(spark):
 
 
 def test_note_table_append_is_idempotent(spark, tmpdir_path):
-    notes = E._daily(spark, SF).notes.select("source_url", "note_id", "markdown", F.col("date"))
+    notes = E._daily(spark, SF).notes.select("item_key", "source_url", "note_id", "markdown", F.col("date"))
     path = os.path.join(tmpdir_path, "notes")
     n1 = write_notes(notes, path)
     first = spark.read.parquet(path).count()
     write_notes(notes, path)
     assert spark.read.parquet(path).count() == first == notes.count()
-    assert n1 is not None
+    assert n1.count() == first
+    by_url = os.path.join(tmpdir_path, "by-url")                  # without item_key: one note per URL
+    write_notes(notes.drop("item_key"), by_url)
+    assert spark.read.parquet(by_url).count() == notes.select("source_url").distinct().count() < first
 
 
 def test_funnel_disabled_passes_everything_ungated(spark):
