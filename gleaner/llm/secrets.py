@@ -3,7 +3,9 @@
 A text is scanned, then unwrapped: URL escapes, Unicode escapes, base64 runs and
 the compressed data inside them each give a new layer, which is scanned and
 unwrapped in turn, until no layer gives a new one. A layer is put on the
-worklist once (by its text), so encodings that lead back to themselves end.
+worklist once (by its text and the stretch of the original it came from, so a
+blob that repeats counts at every place), so encodings that lead back to
+themselves end.
 Every layer carries, for each of its characters, the stretch of the original
 text it came from; a secret found in a layer is reported at that stretch with
 the names of the layers, e.g. ``base64/url/assign``.
@@ -169,7 +171,7 @@ def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | None]
 
 def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str, int, int]], int]:
     """All (kind, start, end) of one text, plain ones first, and the number of oversized layers."""
-    work, seen, spans, oversized = [Layer(text, None, None, ())], {text}, {}, 0
+    work, seen, spans, oversized = [Layer(text, None, None, ())], {(text, 0, len(text))}, {}, 0
     while work:
         layer = work.pop()
         for kind, a, z in scan(layer.text):
@@ -178,8 +180,8 @@ def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str,
         for new in unwrapped(layer, limit):
             if new is None:
                 oversized += 1
-            elif new.text not in seen:
-                seen.add(new.text)
+            elif (key := (new.text, *new.span(0, len(new.text)))) not in seen:
+                seen.add(key)
                 work.append(new)
     # A secret that a decoded layer only repeats from its surroundings is no new one.
     plain = {(k, a, z) for k, a, z in spans if "/" not in k}

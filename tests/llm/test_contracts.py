@@ -164,6 +164,19 @@ def test_op5_layers():
     assert redacted(None) is None and redacted("") == ""
 
 
+def test_op5_repeated_blob():
+    import base64
+
+    from gleaner.llm.secrets import find_secrets, redacted
+
+    blob = base64.b64encode(b"password: hunter2hunter2").decode()
+    spans, _ = find_secrets(f"x {blob} y {blob}")
+    n = len(blob)
+    assert [(a, z) for _, a, z in spans] == [(2, 2 + n), (5 + n, 5 + 2 * n)]
+    assert redacted(f"x {blob} y {blob}") == "x [SECRET] y [SECRET]"
+    assert redacted(f"%41 {blob}\n{blob}.") == "%41 [SECRET]\n[SECRET]."
+
+
 def test_op6(spark, small):
     got = Q["op6_pareto_mix"](spark, small[0]).collect()
     con = duckdb.connect()
