@@ -3,8 +3,9 @@
 Patterns find the protected entities (an e-mail address, IP address, card or
 phone number). How much a term tells about an entity is estimated from corpus
 co-occurrence: among all occurrences of the term, the share ``p`` that stand
-within ``REACH`` characters of the entity, against the entity's own frequency
-``q`` among all contexts. The term discloses ``1 - log p / log q`` of the
+within ``REACH`` characters of the entity (both counted by occurrence in
+every row, copies included), against the entity's own frequency ``q`` among all
+different contexts. The term discloses ``1 - log p / log q`` of the
 entity's information content (1: it always stands beside it). A term that stands
 beside an entity in at least ``MIN_CONTEXTS`` different contexts (copies of a
 passage are one context) and discloses ``GENERALISE_AT`` or more is generalised,
@@ -112,8 +113,10 @@ def _as_structs(spans):
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, spans, contexts): base spans, and for each of them the
-    entity, a hash of its context and the context's terms."""
-    context = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))])
+    entity, a hash of its context, the context's terms and how many of their
+    occurrences no earlier context of the entity in the text holds (``times``)."""
+    context = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string())),
+                         ("times", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
@@ -122,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 found = base_spans(text)
                 spans.append(_as_structs(found))
-                near = []
+                near, counted = [], {}
                 for kind, a, z in found:
                     lo = max(0, a - REACH)
                     part = text[lo:z + REACH]
@@ -130,17 +133,24 @@ def scan(docs: DataFrame) -> DataFrame:
                     cut_l = lo > 0 and text[lo - 1].isalpha()
                     cut_r = z + REACH < len(text) and text[z + REACH].isalpha()
                     own = [(k, x - lo, y - lo) for k, x, y in found if y > lo and x < z + REACH]
-                    terms = [w for w, x, y in _terms(part, own)
+                    terms = [(w, x) for w, x, y in _terms(part, own)
                              if not (cut_l and x == 0) and not (cut_r and y == len(part))]
-                    near.append({"entity": _entity(kind, text[a:z]), "terms": sorted(set(terms)),
-                                 "context": xxhash.xxh64_intdigest(" ".join(terms).encode()) - (1 << 63)})
+                    entity = _entity(kind, text[a:z])
+                    # Spans of an entity come by start: what stands up to the last term counted was counted.
+                    last, times = counted.get(entity, -1), dict.fromkeys(sorted({w for w, _ in terms}), 0)
+                    for w, x in terms:
+                        times[w] += lo + x > last
+                    if terms:
+                        counted[entity] = max(last, lo + terms[-1][1])
+                    near.append({"entity": entity, "terms": list(times), "times": list(times.values()),
+                                 "context": xxhash.xxh64_intdigest(" ".join(w for w, _ in terms).encode()) - (1 << 63)})
                 contexts.append(near)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(contexts, pa.list_(context))],
                 ["doc_id", "text_hash", "spans", "contexts"])
 
     return docs.mapInArrow(run, f"doc_id long, text_hash long, spans {_SPAN}, "
-                                "contexts array<struct<entity: string, context: long, terms: array<string>>>")
+                                "contexts array<struct<entity: string, context: long, terms: array<string>, times: array<long>>>")
 
 
 def _occurrences(docs: DataFrame, terms: DataFrame, positions: bool) -> DataFrame:
@@ -189,7 +199,8 @@ def _occurrences(docs: DataFrame, terms: DataFrame, positions: bool) -> DataFram
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_contexts: int = MIN_CONTEXTS,
                      generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(term, entity, disclosure, action) of terms at or over the threshold, by the entity they tell most about."""
-    near = scanned.select(F.inline("contexts")).distinct()
+    every = scanned.select(F.inline("contexts"))
+    near = every.select("entity", "context", "terms").distinct()
     # Rows are (entity, context): unique, whatever the number of copies.
     pairs = staged(near.select("entity", F.explode("terms").alias("term"))
                    .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
@@ -198,11 +209,16 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_contexts: int = MI
     if not terms.head(1):
         return terms.select("term", F.lit("").alias("entity"), F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     counts = _occurrences(docs, terms, positions=False).groupBy("word").agg(F.sum("n").alias("n"))
+    # Occurrences beside the entity in all rows, as ``n`` counts them.
+    beside = (every.select("entity", F.explode(F.arrays_zip("terms", "times")).alias("t"))
+              .select("entity", F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
+              .groupBy("entity", "term").agg(F.sum("times").alias("beside")))
     entities = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = entities.agg(F.sum("n_entity")).first()[0]
-    p = F.least(F.lit(1.0), F.col("together") / F.col("n"))
+    p = F.col("beside") / F.col("n")
     q = F.col("n_entity") / F.lit(float(total + 1))
-    scored = (pairs.join(counts, F.col("term") == F.col("word")).join(entities, "entity")
+    scored = (pairs.join(beside, ["entity", "term"]).join(counts, F.col("term") == F.col("word")).join(entities, "entity")
+              .where("beside > 0")
               .withColumn("disclosure", 1 - F.log(p) / F.log(q)).where(F.col("disclosure") >= generalise_at))
     best = F.max(F.struct("disclosure", "entity")).alias("b")
     return staged(scored.groupBy("term").agg(best).select(

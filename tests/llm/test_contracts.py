@@ -74,6 +74,28 @@ def test_op2_discloses(spark):
     assert all(not got[i]["added"] for i, _ in rows[12:])
 
 
+def test_op2_discloses_with_copies(spark):
+    from gleaner.llm.pii import disclosing_terms, personal_data, scan
+
+    one = [f"note {'xyzw'[i % 4]}qq{chr(97 + i)}rs from Zanthor boss@corp.example.com today Zanthor fine" for i in range(12)]
+    one.append("Zanthor boss@corp.example.com and Zanthor boss@corp.example.com")  # beside both: counted once
+    rows = [(100 * i + k, t) for i, t in enumerate(one) for k in range(20)]
+    rows += [(10_000 + i, "plain words from today fine and note more") for i in range(40 * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in personal_data(docs).collect()}
+    for i, t in rows[:260]:
+        marked = [t[s["start"]:s["stop"]] for s in got[i]["added"]]
+        assert marked.count("Zanthor") == 2 and "today" not in marked
+
+    # Half of its occurrences stand far from the entity: p is a half, not more or less.
+    far = [(i, f"Zanthor qq{chr(97 + i % 4)}rs boss@corp.example.com" + " .. " * 40 + "Zanthor") for i in range(40)]
+    docs = spark.createDataFrame(far + [(90, "a@b.example.com")], "doc_id long, text string")
+    rows = docs.selectExpr("doc_id", "xxhash64(text) text_hash", "text")
+    terms = {r["term"]: r for r in disclosing_terms(rows, scan(rows), generalise_at=-9.0).collect()}
+    import math
+    assert abs(terms["zanthor"]["disclosure"] - (1 - math.log(1 / 2) / math.log(4 / 6))) < 1e-9
+
+
 def test_op3(spark, small):
     got = rows_of(Q["op3_positional_index"](spark, small[0]), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == Counter(B.contaminated([(i, t) for i, t, *_ in small[1]], small[2]))
