@@ -10,6 +10,12 @@ Every layer carries, for each of its characters, the stretch of the original
 text it came from; a secret found in a layer is reported at that stretch with
 the names of the layers, e.g. ``base64/url/assign``.
 
+Base64 is looked for in every run of its characters, from each of four phases (a
+value may be glued to a path or prefix), in the parts between ``-``, ``_`` and
+``/``, and in runs joined over line breaks and the blanks beside them. Of the
+bytes, all ASCII stretches long enough for a secret are read, and compressed data
+is unpacked wherever it starts, all members of it.
+
 Cases: a null or empty text has no span; rows that repeat are scanned row by row;
 very long texts are scanned whole. Data that unpacks to more than
 ``MAX_UNPACKED`` bytes (a decompression bomb) is not unpacked and counted in
@@ -18,7 +24,6 @@ very long texts are scanned whole. Data that unpacks to more than
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import lzma
@@ -45,8 +50,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PACKED = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x78\x01", "zlib"),
-           (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
+_PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+_BREAK = re.compile(r"(?<![ \t\r\n])[ \t]*+[\r\n][ \t\r\n]*+")
+_PACKED = {"gzip": rb"\x1f\x8b\x08", "bzip2": rb"BZh[1-9]", "xz": rb"\xfd7zXZ\x00", "zlib": rb"\x78[\x01\x5e\x9c\xda]"}
+_MAGIC = re.compile(b"|".join(b"(?P<%s>%s)" % (k.encode(), magic) for k, magic in _PACKED.items()), re.S)
+#: Secrets are ASCII and have 12 characters or more (``token=`` and six), encoded ones more.
+_ASCII = re.compile(rb"[\t\r\n\x20-\x7e]{12,}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -97,40 +106,87 @@ def _char(m: re.Match) -> str:
     return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else m.group()
 
 
-def _unpack(data: bytes, kind: str, limit: int) -> bytes | None:
-    """The unpacked bytes; raises OverflowError beyond ``limit``."""
-    d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor,
-         "xz": lzma.LZMADecompressor}[kind]()
-    try:
-        out = d.decompress(data, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
-
-
-def _as_text(data: bytes) -> str | None:
-    """``data`` as text if it is UTF-8 and nine tenths of it are printable."""
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if s and sum(c.isprintable() or c in "\r\n\t" for c in s) >= 0.9 * len(s) else None
-
-
-def _base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
+def _unpack(data, kind: str, limit: int) -> tuple[bytes, int, bool] | None:
+    """The bytes of all members that ``data`` starts with, the bytes read and if the
+    last member is whole; raises OverflowError beyond ``limit``."""
+    new = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor,
+           "xz": lzma.LZMADecompressor}[kind]
+    out, rest, size, ended = [], data, 0, True
+    while ended and (not out or re.match(_PACKED[kind], rest, re.S)):
+        d = new()
+        try:
+            part = d.decompress(rest, limit + 1 - size)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        out.append(part)
+        size += len(part)
+        if size > limit:
+            raise OverflowError
+        ended, rest = d.eof, d.unused_data
+        if kind in ("gzip", "xz"):  # zeros may stand between members
+            rest = rest.lstrip(b"\0")
+    return (b"".join(out), len(data) - len(rest), ended) if out else None
+
+
+def _unpacked(data: bytes, limit: int, above: tuple[bytes, ...] = ()) -> Iterator[tuple]:
+    """(kinds, start, stop, bytes) of the compressed data at any place in ``data``
+    and, one in the other, inside it; no bytes if they are more than ``limit``."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        kind, a = m.lastgroup, m.start()
+        at = a + 1
+        try:
+            got = _unpack(memoryview(data)[a:], kind, limit)
+        except OverflowError:
+            yield (kind,), a, len(data), None
+            continue
+        if got is None:
+            continue
+        out, used, ended = got
+        if ended:
+            at = max(at, a + used)
+        if out and out != data and out not in above:  # data may unpack to itself
+            yield (kind,), a, a + used, out
+            for kinds, _, _, inner in _unpacked(out, limit, (*above, data)):
+                yield (kind, *kinds), a, a + used, inner
+
+
+def _ascii(data: bytes) -> tuple[str, np.ndarray] | None:
+    """The long ASCII stretches, parted by NUL, and the place of each character in ``data``."""
+    found = [m.span() for m in _ASCII.finditer(data)]
+    if not found:
         return None
+    at = np.concatenate([np.arange(a, z + 1) for a, z in found])[:-1]
+    return "\0".join(data[a:z].decode("ascii") for a, z in found), np.minimum(at, len(data) - 1)
 
 
-def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | None]:
-    """The layers one step below; None for one that is too large to unpack."""
+def _base64_runs(text: str) -> Iterator[tuple]:
+    """(run, phases to decode it from, place in ``text`` of its characters by index)."""
+    for m in _BASE64.finditer(text):
+        run, start = m.group(), m.start()
+        yield run, 4, lambda i, start=start: start + i
+        if "-" in run or "_" in run or "/" in run:
+            for part in _PART.finditer(run):
+                yield part.group(), 1, lambda i, start=start + part.start(): start + i
+    breaks = [m.span() for m in _BREAK.finditer(text)] if "\n" in text or "\r" in text else []
+    if breaks:
+        cut = np.array(breaks)
+        gone = np.concatenate(([0], np.cumsum(cut[:, 1] - cut[:, 0])))
+        joints = cut[:, 0] - gone[:-1]  # in the joined text
+        for m in _BASE64.finditer(_BREAK.sub("", text)):
+            nth = np.searchsorted(joints, m.start(), "right")
+            if nth < len(joints) and joints[nth] < m.end():
+                yield m.group(), 4, lambda i, start=m.start(): start + i + gone[np.searchsorted(joints, start + i, "right")]
+
+
+def _base64_bytes(run: str, phase: int) -> bytes:
+    body = run.rstrip("=")[phase:].replace("-", "+").replace("_", "/")
+    body = body[:len(body) - (len(body) % 4 == 1)]
+    return binascii.a2b_base64(body + "=" * (-len(body) % 4))
+
+
+def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | tuple[int, int]]:
+    """The layers one step below; only the original's stretch for one that is too large to unpack."""
     text = layer.text
     if "%" in text:
         found = [(m.start(), m.end(), bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace"))
@@ -141,45 +197,38 @@ def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | None]
         found = [(m.start(), m.end(), new) for m in _UNICODE.finditer(text) if (new := _char(m)) != m.group()]
         if found:
             yield _replaced(layer, found, "unicode")
-    for m in _BASE64.finditer(text):
-        data = _base64_bytes(m.group())
-        if data is None:
-            continue
-        names, packed = layer.names + ("base64",), True
-        while data is not None and (kind := next((k for magic, k in _PACKED if data.startswith(magic)), None)):
-            try:
-                data = _unpack(data, kind, limit)
-            except OverflowError:
-                yield None
-                data = None
-                break
-            names, packed = names + (kind,), False
-        new = None if data is None else _as_text(data)
-        if new is None:
-            continue
-        if packed:  # each byte came from a group of four characters
-            first = np.cumsum([0] + [len(c.encode()) for c in new])
-            a = m.start() + first[:-1] // 3 * 4
-            z = np.minimum(m.start() + -(-first[1:] // 3) * 4, m.end())
-            frm = a if layer.frm is None else np.asarray(layer.frm)[a]
-            to = z if layer.to is None else np.asarray(layer.to)[z - 1]
-        else:
-            f, t = layer.span(m.start(), m.end())
-            frm, to = np.full(len(new), f), np.full(len(new), t)
-        yield Layer(new, frm, to, names)
+    for run, phases, place in _base64_runs(text):
+        for phase in range(phases):
+            data = _base64_bytes(run, phase)
+
+            def stretch(first, last):
+                """Where bytes come from: each came from a group of four characters."""
+                a = place(phase + first // 3 * 4)
+                z = place(np.minimum(phase + last // 3 * 4 + 4, len(run)) - 1) + 1
+                return (a, z) if layer.frm is None else (layer.frm[a], layer.to[z - 1])
+
+            if plain := _ascii(data):
+                yield Layer(plain[0], *stretch(plain[1], plain[1]), layer.names + ("base64",))
+            for kinds, a, z, out in _unpacked(data, limit):
+                f, t = map(int, stretch(np.int64(a), np.int64(z - 1)))
+                if out is None:
+                    yield f, t
+                elif plain := _ascii(out):
+                    n = len(plain[0])
+                    yield Layer(plain[0], np.full(n, f), np.full(n, t), layer.names + ("base64", *kinds))
 
 
 def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str, int, int]], int]:
     """All (kind, start, end) of one text, plain ones first, and the number of oversized layers."""
-    work, seen, spans, oversized = [Layer(text, None, None, ())], {(text, 0, len(text))}, {}, 0
+    work, seen, spans, oversized = [Layer(text, None, None, ())], {(text, 0, len(text))}, {}, set()
     while work:
         layer = work.pop()
         for kind, a, z in scan(layer.text):
             f, t = layer.span(a, z)
             spans.setdefault(("/".join((*layer.names, kind)), f, t))
         for new in unwrapped(layer, limit):
-            if new is None:
-                oversized += 1
+            if isinstance(new, tuple):
+                oversized.add(new[0])
             elif (key := (new.text, *new.span(0, len(new.text)))) not in seen:
                 seen.add(key)
                 work.append(new)
@@ -188,7 +237,7 @@ def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str,
     more = {(k, a, z) for k, a, z in spans if "/" in k and (k.rpartition("/")[2], a, z) not in plain}
     rank = {k: i for i, k in enumerate(KINDS)}
     by_start = lambda s: (s[1], rank[s[0].rpartition("/")[2]], s[0], s[2])
-    return sorted(plain, key=by_start) + sorted(more, key=by_start), oversized
+    return sorted(plain, key=by_start) + sorted(more, key=by_start), len(oversized)
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))

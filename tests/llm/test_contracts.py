@@ -186,6 +186,41 @@ def test_op5_layers():
     assert redacted(None) is None and redacted("") == ""
 
 
+def test_op5_glued_wrapped_and_members():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+
+    from gleaner.llm.secrets import find_secrets, redacted
+
+    enc = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n, br="\n": br.join(t[i:i + n] for i in range(0, len(t), n))
+    blob = enc(b"password: hunter2hunter2")
+    for prefix in ("host/cb/", "id-", "id_", "v", "ab", "abc", "abcd", "x/", "a-b_c/"):
+        spans, over = find_secrets(f"see {prefix}{blob}, {prefix}{blob}/end")
+        at = 4 + len(prefix)
+        for a in (at, at + len(blob) + 2 + len(prefix)):
+            assert any(k == "base64/assign" and x <= a + 12 and y >= a + len(blob) for k, x, y in spans), prefix
+        assert over == 0 and "yMmh1bnRlcj" not in redacted(f"see {prefix}{blob}/end")
+    body = b"".join(b"line %d of nothing\n" % i for i in range(9))
+    for n in (64, 76):
+        for br in ("\n", "\r\n", "\n    "):
+            for shift in range(0, 90, 7):  # so that the break falls on every part of the secret
+                t = wrap(enc(body[:shift] + b" token=abcdefgh1 " + body), n, br)
+                assert any(k == "base64/assign" for k, _, _ in find_secrets(t)[0])
+    noise = b"".join(zlib.crc32(b"%d" % i).to_bytes(4, "big").hex().encode() + b"\n" for i in range(400))
+    for kind, pack in (("gzip", gzip.compress), ("bzip2", bz2.compress), ("xz", lzma.compress), ("zlib", zlib.compress)):
+        t = f"<\n{wrap(enc(pack(noise + b'token=abcdefgh1')), 76)}\n>"
+        assert find_secrets(t)[0] == [(f"base64/{kind}/assign", 2, len(t) - 2)]
+        two = enc(pack(b"nothing in here") + pack(b"tok") + pack(b"en=abcdefgh1"))
+        assert find_secrets(two)[0] == [(f"base64/{kind}/assign", 0, len(two))]
+        assert find_secrets(enc(pack(b"-" * 600) + pack(b"-" * 600)), limit=1000) == ([], 1)
+        glued = "id-" + enc(pack(pack(b"token=abcdefgh1")))
+        assert any(k.endswith("/assign") and (a, z) == (3, len(glued)) for k, a, z in find_secrets(glued)[0])
+
+
 def test_op5_repeated_blob():
     import base64
 
@@ -196,7 +231,8 @@ def test_op5_repeated_blob():
     n = len(blob)
     assert [(a, z) for _, a, z in spans] == [(2, 2 + n), (5 + n, 5 + 2 * n)]
     assert redacted(f"x {blob} y {blob}") == "x [SECRET] y [SECRET]"
-    assert redacted(f"%41 {blob}\n{blob}.") == "%41 [SECRET]\n[SECRET]."
+    assert redacted(f"%41 {blob},\n{blob}.") == "%41 [SECRET],\n[SECRET]."
+    assert redacted(f"%41 {blob}\n{blob}.") == "%41 [SECRET]."  # may be one wrapped value
 
 
 def test_op6(spark, small):
