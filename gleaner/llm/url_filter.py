@@ -6,7 +6,8 @@ PageRank spreads trust along links from the hosts with allowed pages, and
 distrust against them (towards hosts that link to bad ones) from the hosts with
 blocked pages; a host whose distrust is at least ``BLOCK_SHARE`` of both is
 blocked, any other allowed. Both walks run as one iteration of a join and a sum
-over host edges, until the mass still to come is below ``TOLERANCE``. Mass that
+over host edges, until the mass still to come is below ``TOLERANCE`` and no host is
+reached for the first time, so a host is judged however far it is from the seeds. Mass that
 reaches a host without onward links is dropped and each walk normalised, which
 is the same as sending it back to the seeds.
 
@@ -28,7 +29,6 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
 TOLERANCE = 1e-6
-MAX_ITERATIONS = 40
 BLOCK_SHARE = 0.5
 #: Host of an absolute or protocol-relative link.
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -65,29 +65,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
-              max_iterations: int = MAX_ITERATIONS) -> DataFrame:
+              max_iterations: int | None = None) -> DataFrame:
     """(walk, host, mass): personalised PageRank of each walk, summing to 1.
-    ``seeds``: (walk, host, weight); ``edges``: (walk, src, dst, n)."""
+    ``seeds``: (walk, host, weight); ``edges``: (walk, src, dst, n). Raises if
+    ``max_iterations`` rounds do not reach the end; without it the walk ends by itself:
+    the mass to come shrinks by ``damping`` a round, and each further round finds a new host."""
     out = edges.groupBy("walk", "src").agg(F.sum("n").alias("out_n"))
     steps = staged(edges.join(out, ["walk", "src"]).select(
         "walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out_n") * damping).alias("share")), "steps")
     start = seeds.join(seeds.groupBy("walk").agg(F.sum("weight").alias("all")), "walk").where("all > 0").select(
         "walk", "host", (F.col("weight") / F.col("all")).alias("mass"))
-    moving = staged(start, "mass")
-    reached = [moving]
-    for _ in range(max_iterations):
-        moving = staged(moving.join(steps, ["walk", "host"])
-                        .groupBy("walk", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass")), "mass")
-        left = moving.agg(F.sum("mass")).first()[0] or 0.0
-        if left == 0.0:
+    # Mass on the move and mass so far, by host reached.
+    state = staged(start.groupBy("walk", "host").agg(F.sum("mass").alias("moving"), F.sum("mass").alias("mass")), "mass")
+    hosts, rounds = state.count(), 0
+    while True:
+        onward = state.where("moving > 0").join(steps, ["walk", "host"]).select(
+            "walk", F.col("dst").alias("host"), (F.col("moving") * F.col("share")).alias("moving"))
+        state = staged(state.select("walk", "host", F.lit(0.0).alias("moving"), "mass")
+                       .union(onward.select("walk", "host", "moving", F.col("moving").alias("mass")))
+                       .groupBy("walk", "host").agg(F.sum("moving").alias("moving"), F.sum("mass").alias("mass")), "mass")
+        rounds += 1
+        before = hosts
+        left, hosts = state.agg(F.coalesce(F.sum("moving"), F.lit(0.0)), F.count(F.lit(1))).first()
+        if left * damping / (1 - damping) < tolerance and hosts == before:
             break
-        reached.append(moving)
-        if left * damping / (1 - damping) < tolerance:
-            break
-    total = reached[0]
-    for part in reached[1:]:
-        total = total.union(part)
-    sums = total.groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
+        if rounds == max_iterations:
+            raise RuntimeError(f"the walk did not end in {rounds} rounds: {left} of the mass still moves")
+    sums = state.select("walk", "host", "mass")
     return sums.join(sums.groupBy("walk").agg(F.sum("mass").alias("all")), "walk").select(
         "walk", "host", (F.col("mass") / F.col("all")).alias("mass"))
 

@@ -55,6 +55,26 @@ def test_op1_walk_matches_power_iteration(spark):
     assert all(abs(got.get(n, 0.0) - x[n]) < 1e-6 for n in nodes)
 
 
+def test_op1_walk_has_no_round_limit(spark):
+    from gleaner.llm.url_filter import propagate, url_verdicts
+
+    n = 60
+    page = lambda i: f'<a href="http://h{i}.test/">' if i <= n else ""
+    pages = spark.createDataFrame([(i, f"http://h{i}.test/", page(i + 1)) for i in range(n + 1)]
+                                  + [(900, "http://alone.test/", "")], "page_id long, url string, html string")
+    rules = spark.createDataFrame([(f"h{n}.test", "/", "block")], "rule_host string, rule_path string, verdict string")
+    got = {r["page_id"]: r for r in url_verdicts(pages, rules).collect()}
+    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] > 0 for i in range(n + 1))
+    assert got[900]["verdict"] == "allow"
+    want = [0.85 ** (n - i) for i in range(n + 1)]
+    assert all(abs(got[i]["distrust"] - w / sum(want)) < 1e-6 for i, w in enumerate(want))
+
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "walk string, host string, weight double")
+    loop = spark.createDataFrame([("trust", "a", "b", 1), ("trust", "b", "a", 1)], "walk string, src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        propagate(seeds, loop, max_iterations=40)
+
+
 def test_op2_base(spark, small):
     got = rows_of(Q["op2_sanitise"](spark, small[0]), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
     assert got == Counter((i, *B.patterns(t, B.PII, False)) for i, t, *_ in small[1])
