@@ -19,7 +19,7 @@ is unpacked wherever it starts, all members of it.
 Cases: a null or empty text has no span; rows that repeat are scanned row by row;
 very long texts are scanned whole. Data that unpacks to more than
 ``MAX_UNPACKED`` bytes (a decompression bomb) is not unpacked and counted in
-``n_oversized``. An empty table gives an empty result; further columns are ignored.
+``n_oversized``; ``redacted`` masks the whole run that holds it. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,7 +220,13 @@ def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | tuple
 
 def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str, int, int]], int]:
     """All (kind, start, end) of one text, plain ones first, and the number of oversized layers."""
-    work, seen, spans, oversized = [Layer(text, None, None, ())], {(text, 0, len(text))}, {}, set()
+    spans, oversized = _find(text, limit)
+    return spans, len(oversized)
+
+
+def _find(text: str, limit: int) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
+    """As ``find_secrets``, with the end by start of the stretches of oversized layers."""
+    work, seen, spans, oversized = [Layer(text, None, None, ())], {(text, 0, len(text))}, {}, {}
     while work:
         layer = work.pop()
         for kind, a, z in scan(layer.text):
@@ -228,7 +234,7 @@ def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str,
             spans.setdefault(("/".join((*layer.names, kind)), f, t))
         for new in unwrapped(layer, limit):
             if isinstance(new, tuple):
-                oversized.add(new[0])
+                oversized[new[0]] = max(new[1], oversized.get(new[0], 0))
             elif (key := (new.text, *new.span(0, len(new.text)))) not in seen:
                 seen.add(key)
                 work.append(new)
@@ -237,7 +243,7 @@ def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str,
     more = {(k, a, z) for k, a, z in spans if "/" in k and (k.rpartition("/")[2], a, z) not in plain}
     rank = {k: i for i, k in enumerate(KINDS)}
     by_start = lambda s: (s[1], rank[s[0].rpartition("/")[2]], s[0], s[2])
-    return sorted(plain, key=by_start) + sorted(more, key=by_start), len(oversized)
+    return sorted(plain, key=by_start) + sorted(more, key=by_start), oversized
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
@@ -262,8 +268,10 @@ def secret_spans(docs: DataFrame, limit: int = MAX_UNPACKED, id_col: str = "doc_
 
 
 def redacted(text: str | None, limit: int = MAX_UNPACKED, mask: str = "[SECRET]") -> str | None:
-    """``text`` with every stretch that a secret came from replaced by ``mask``."""
-    spans = sorted((a, z) for _, a, z in find_secrets(text or "", limit)[0])
+    """``text`` with every stretch that a secret came from replaced by ``mask``, and every
+    stretch of an oversized layer, which nobody has looked into."""
+    found, oversized = _find(text or "", limit)
+    spans = sorted([(a, z) for _, a, z in found] + [*oversized.items()])
     if not spans:
         return text
     out, at = [], 0

@@ -241,6 +241,19 @@ def test_op5_glued_wrapped_and_members():
         assert any(k.endswith("/assign") and (a, z) == (3, len(glued)) for k, a, z in find_secrets(glued)[0])
 
 
+def test_redacted_masks_oversized():
+    import base64
+    import zlib
+
+    from gleaner.llm.secrets import find_secrets, redacted
+
+    big = base64.b64encode(zlib.compress(b"-" * 5000 + b"token=abcdefgh1")).decode()
+    text = f"see {big}, then {big} end"
+    assert find_secrets(text, limit=1000) == ([], 2)
+    assert redacted(text, limit=1000) == "see [SECRET], then [SECRET] end"
+    assert redacted(f"%41 {big}.", limit=1000) == "%41 [SECRET]."
+
+
 def test_op5_repeated_blob():
     import base64
 
