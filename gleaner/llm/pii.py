@@ -199,7 +199,8 @@ def _occurrences(docs: DataFrame, terms: DataFrame, positions: bool) -> DataFram
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_contexts: int = MIN_CONTEXTS,
                      generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(term, entity, disclosure, action) of terms at or over the threshold, by the entity they tell most about."""
-    every = scanned.select(F.inline("contexts"))
+    every = staged(scanned.select(F.inline("contexts")).groupBy("entity", "context", "terms", "times")
+                   .agg(F.count(F.lit(1)).alias("copies")), "pii-contexts")
     near = every.select("entity", "context", "terms").distinct()
     # Rows are (entity, context): unique, whatever the number of copies.
     pairs = staged(near.select("entity", F.explode("terms").alias("term"))
@@ -210,14 +211,15 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_contexts: int = MI
         return terms.select("term", F.lit("").alias("entity"), F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     counts = _occurrences(docs, terms, positions=False).groupBy("word").agg(F.sum("n").alias("n"))
     # Occurrences beside the entity in all rows, as ``n`` counts them.
-    beside = (every.select("entity", F.explode(F.arrays_zip("terms", "times")).alias("t"))
-              .select("entity", F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
+    beside = (every.select("entity", "copies", F.explode(F.arrays_zip("terms", "times")).alias("t"))
+              .select("entity", F.col("t.terms").alias("term"), (F.col("t.times") * F.col("copies")).alias("times"))
               .groupBy("entity", "term").agg(F.sum("times").alias("beside")))
+    pairs = staged(pairs.join(beside, ["entity", "term"]), "pii-beside")
     entities = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = entities.agg(F.sum("n_entity")).first()[0]
     p = F.col("beside") / F.col("n")
     q = F.col("n_entity") / F.lit(float(total + 1))
-    scored = (pairs.join(beside, ["entity", "term"]).join(counts, F.col("term") == F.col("word")).join(entities, "entity")
+    scored = (pairs.join(counts, F.col("term") == F.col("word")).join(entities, "entity")
               .where("beside > 0")
               .withColumn("disclosure", 1 - F.log(p) / F.log(q)).where(F.col("disclosure") >= generalise_at))
     best = F.max(F.struct("disclosure", "entity")).alias("b")
