@@ -154,7 +154,7 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in one statement: the level of the targets in closed form, the ranks in one sort of a source.
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':mix'), 1, 12) AS BIGINT)::DOUBLE + 0.5)
            / 281474976710656.0 AS u
   FROM documents),

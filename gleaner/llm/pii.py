@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, z) for a, z in _emails(text)]
     if "." in text:
         out += [("ip", m.start(), m.end()) for m in _IP.finditer(text)
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or "0") <= 255 for p in m.groups())]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 13 <= len(digits) <= 19 and _luhn(digits):

@@ -34,12 +34,34 @@ def small_rows():
              (49, "see " + base64.b64encode(b'password: hunter2hunter2').decode() + " end", "en", "c"),
              (50, "go token%3D%22zzzzzz99%22 and \\u0074oken=qqqqqqq", "en", "c"),
              (51, base64.b64encode(zlib.compress(f"api_key={key}".encode() * 3)).decode(), "en", "c"),
-             (52, "@" * 500 + "a" * 3000 + "@x " + "1" * 300 + "." * 50, "en", "c")]
+             (52, "@" * 500 + "a" * 3000 + "@x " + "1" * 300 + "." * 50, "en", "c"),
+             (53, "10." + "0" * 5000 + ".0.1 and 0." + "0" * 5000 + "7.0.300", "en", "c"), (54, "a\rb\x0bc\x0c d\te\nf", "en", "b")]
     rows += [(100 + i, passage + f" tail{i % 3}", "en", "hot") for i in range(30)]
     items = [(0, bench), (1, "maple oak"), (2, None), (3, ""), (1, "maple oak"), (None, "yew yew zinnia")]
     return rows, items
 
 
+def vector_rows():
+    """(vec_id, embedding, label): near copies, exact copies, nulls, zeros, other lengths, ties."""
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(6)]
+    rows = [(i, [x + rng.gauss(0, 0.12) for x in base[i % 6]], i % 2) for i in range(90)]
+    rows += [(100 + i, base[0], 0) for i in range(25)]
+    rows += [(200, None, 0), (201, [], 0), (202, [0.0] * 64, 0), (203, [float("nan")] + [1.0] * 63, 0),
+             (204, [float("inf")] + [1.0] * 63, 1), (205, [None] + [1.0] * 63, 1), (206, base[1], None), (207, base[1][:32], 1),
+             (208, base[1][:32], 1), (None, base[1], 1), (None, [3.0] * 64, 7), (3, base[2], 0), (3, base[2], 0),
+             (209, [-x for x in base[0]], 0), (210, [2 * x for x in base[0]], 0), (211, [1e-30] * 64, 3), (212, [1e30] * 64, 3)]
+    return rows
+
+
+def write_vectors(folder, rows):
+    pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()),
+                             "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32())),
+                             "label": pa.array([r[2] for r in rows], pa.int32()),
+                             "cluster": pa.array(["x"] * len(rows)), "key": pa.array([None] * len(rows), pa.int32()),
+                             "rank": pa.array([0] * len(rows))}), f"{folder}/embeddings.parquet")
+
+
 def write(folder, rows, items, labels, pages):
     kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())]
     cols = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)}
@@ -66,6 +88,7 @@ def small():
     labels = [(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(60)] + [(3, 0, 1), (None, 1, 1), (4, None, None)]
     folder = tempfile.mkdtemp(prefix="corpus-small-")
     write(folder, rows, items, labels, PAGES)
+    write_vectors(folder, vector_rows())
     return folder, rows, items
 
 
@@ -73,5 +96,6 @@ def small():
 def empty():
     folder = tempfile.mkdtemp(prefix="corpus-empty-")
     write(folder, [], [], [], [])
+    write_vectors(folder, [])
     assert os.path.exists(f"{folder}/pages.parquet")
     return folder
