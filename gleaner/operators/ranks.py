@@ -26,7 +26,8 @@ def exact_ranks(df: DataFrame, group_by: Sequence[Column], order_by: Sequence[Co
 
     ``order_by`` should be a total order: rows that tie on it are numbered in
     any order, and all of them go to one partition. Null groups are a group. An
-    empty ``group_by`` numbers the whole table. The sorted rows are staged once.
+    empty ``group_by`` numbers the whole table. The sorted rows are staged once, under
+    ``staged_path`` of the result.
     """
     keys = [f"__g{i}" for i in range(len(group_by))]
     named = df.withColumns({k: g for k, g in zip(keys, group_by)}) if keys else df
@@ -43,4 +44,6 @@ def exact_ranks(df: DataFrame, group_by: Sequence[Column], order_by: Sequence[Co
                           (before - F.col("__first")).alias("__shift"))
     same = [F.col("__part") == F.col("__p")] + [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
     out = placed.join(offsets, same).withColumn(rank_col, F.col("__place") + F.col("__shift") + 1)
-    return out.select(*df.columns, rank_col)
+    out = out.select(*df.columns, rank_col)
+    out.staged_path = placed.staged_path
+    return out

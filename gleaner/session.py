@@ -97,7 +97,9 @@ def stage(df, how: str = "checkpoint"):
     if how == "table":
         path = staging_path(spark, "stage")
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        out = spark.read.parquet(path)
+        out.staged_path = path
+        return out
     if how == "none":
         return df
     raise ValueError(how)
