@@ -140,14 +140,16 @@ def _window_links(threshold: float, window: int, step: int = 512):
 
 
 def pass_links(classes: DataFrame, n: int, threshold: float, window: int, block: int) -> DataFrame:
-    """Pass ``n``: (a, b) pairs of classes that connect what its windows link."""
+    """Pass ``n``: (a, b) pairs of classes that connect what its windows link; its sorted rows are removed."""
     ranked = exact_ranks(_key(classes, n), [], [F.col("space"), F.col("key"), F.col("cls")])
     own = F.expr(f"(rank - 1) div {block}")
     late = F.expr(f"(rank - 1) % {block} >= {block - window}")
     blocks = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = ranked.select("cls", "space", "vec", "rank", F.posexplode(blocks).alias("nth", "block"))
-    return (dealt.select("cls", "space", "vec", "rank", "block", (F.col("nth") == 0).alias("own"))
-            .groupBy("block").applyInPandas(_window_links(threshold, window), "a long, b long"))
+    found = staged(dealt.select("cls", "space", "vec", "rank", "block", (F.col("nth") == 0).alias("own"))
+                   .groupBy("block").applyInPandas(_window_links(threshold, window), "a long, b long"), "links")
+    dropped(ranked)
+    return found
 
 
 def _part_counts(threshold: float):
@@ -222,7 +224,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     if passes is None:
         largest = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
         passes = passes_needed(largest, threshold, window)
-    edges = [staged(pass_links(classes.select("cls", "space", "vec"), n, threshold, window, block), "links") for n in range(passes)]
+    edges = [pass_links(classes.select("cls", "space", "vec"), n, threshold, window, block) for n in range(passes)]
     pairs = edges[0]
     for e in edges[1:]:
         pairs = pairs.unionByName(e)
