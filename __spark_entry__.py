@@ -30,13 +30,14 @@ from gleaner.functions.metadata import build_metadata, derive_relevance
 from gleaner.operators.score import wire_prerank
 from gleaner.plans.funnel import run_funnel
 from gleaner.plans.feedback import feedback_block
-from gleaner.plans.backfill import backfill
+from gleaner.plans.backfill import backfill, backfill_merge
 from gleaner.plans.daily import daily_run, dry_run_view, fates_by_adapter
 from gleaner.operators.notes import render_note
 from gleaner.streaming.ingest import dedup_stream, ingest_stream, read_stream_parquet, run_to_parquet
 from gleaner.session import staging_path
 from gleaner.operators.metrics import adapter_counts
-from gleaner.operators.notes import harvest_labels, inbox_view, note_table, queue_view, select_exemplars
+from gleaner.sinks.store import NoteStore
+from gleaner.operators.notes import INBOX_FOLDER, harvest_labels, inbox_view, note_table, queue_view, select_exemplars
 from gleaner.operators.items import drop_blank_url
 from gleaner.sources.charts import chart_items, html_items
 from gleaner.sources.registry import classify_fetch, enabled_sources
@@ -164,6 +165,22 @@ def q_skip_known(spark, d):
     return skip_known(r.select("doc_id", "source_url"), known)
 
 
+def q_skip_known_index(spark, d):
+    """J1 through the store's key buckets: the labelled notes are stored, all notes are asked."""
+    r = S.note_rows(spark, d)
+    stored = r.where(F.col("status") != "inbox").select("source_url", "folder", F.substring("date", 1, 4).alias("year"))
+    store = NoteStore(spark, staging_path(spark, "note-store"), key="source_url", partition_by="year")
+    store.append(stored, "labelled")
+    return store.skip_known(r.select("doc_id", "source_url"))
+
+
+def q_skip_known_scope(spark, d):
+    """J1 with the inbox as its scope (T4): notes moved to the archive are not known."""
+    r = S.note_rows(spark, d)
+    known = r.where(F.col("status") != "inbox").select("source_url", "folder")
+    return skip_known(r.select("doc_id", "source_url"), known, scope=INBOX_FOLDER)
+
+
 def q_top_n_per_source(spark, d):
     items = community_items(S.community_entries(spark, d), S.AS_OF, top_n=5)
     return items.select("source", "source_url", "title", "body", F.col("published_date").cast("string").alias("published_date"),
@@ -420,6 +437,15 @@ def q_backfill(spark, d):
 
 
 
+def q_backfill_merge(spark, d):
+    """K4 into the store: the note table after the merge."""
+    month = F.substring(FM.fm_get(FM.frontmatter_map("value"), "date"), 1, 7)
+    store = NoteStore(spark, staging_path(spark, "note-store"), key="path", partition_by="month")
+    store.append(S.note_files(spark, d).withColumn("month", month), "load")
+    backfill_merge(store, S.AS_OF)
+    return store.rows().select("path", "month", F.md5("value").alias("digest"), F.length("value").cast("bigint").alias("n_chars"))
+
+
 def q_render_note(spark, d):
     good, bad = split_quarantine(_enriched(spark, d))
     r = render_note(good)
@@ -467,7 +493,7 @@ def q_stream_ingest(spark, d):
     sink = staging_path(spark, "ingest-sink")
     q = ingest_stream(stream, sink, as_of=S.AS_OF, to_entries=S.pages_as_entries)
     q.awaitTermination()
-    return spark.read.parquet(sink).select("source", "source_url", "title")
+    return NoteStore(spark, sink, key="source_url", partition_by="published_date").rows().select("source", "source_url", "title")
 
 
 def q_stream_dedup(spark, d):
@@ -549,6 +575,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_segment": q_url_segment,
     "dedup_first": q_dedup_first,
     "skip_known": q_skip_known,
+    "skip_known_index": q_skip_known_index,
+    "skip_known_scope": q_skip_known_scope,
+    "backfill_merge": q_backfill_merge,
     "top_n_per_source": q_top_n_per_source,
     "note_collisions": q_note_collisions,
 }
@@ -579,9 +608,13 @@ except ModuleNotFoundError as missing:
     _corpus = None
 
 
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the library itself; each has an oracle."""
+    return {k: _utc(v) for k, v in _QUERIES.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {k: _utc(v) for k, v in _QUERIES.items()}
-    return own | ({k: _utc(v) for k, v in _corpus.queries().items()} if _corpus else {})
+    return library_queries() | ({k: _utc(v) for k, v in _corpus.queries().items()} if _corpus else {})
 
 
 # ---------------------------------------------------------------- oracles
@@ -674,7 +707,7 @@ nr AS (
          WHEN l.quality = 1 THEN 'reacted' ELSE 'archived' END AS status,
     CASE WHEN d.lang = 'en' THEN 'https://www.reddit.com/r/' || d.source || '/comments/' || CAST(d.doc_id AS VARCHAR) || '/'
          ELSE 'https://' || d.source || '.example.org/a/' || CAST(d.doc_id AS VARCHAR) END AS source_url,
-    substring(regexp_extract(d.text, '^([^\n]*)', 1), 1, 60) AS title,
+    regexp_extract(d.text, '^([^\n]*)', 1) AS title,
     CAST(DATE '2023-01-01' + CAST(d.doc_id % 500 AS INTEGER) AS VARCHAR) AS date
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 nr2 AS (SELECT *, CASE WHEN status = 'archived' THEN 'Archived' ELSE 'Observation Inbox' END AS folder FROM nr)"""
@@ -859,6 +892,11 @@ _SQL["skip_known"] = "WITH " + NOTE_ROWS + """
 SELECT doc_id, source_url FROM nr a
 WHERE NOT EXISTS (SELECT 1 FROM nr b WHERE b.status <> 'inbox' AND b.source_url = a.source_url)"""
 
+_SQL["skip_known_index"] = _SQL["skip_known"]
+_SQL["skip_known_scope"] = "WITH " + NOTE_ROWS + """
+SELECT doc_id, source_url FROM nr2 n
+WHERE NOT EXISTS (SELECT 1 FROM nr2 k WHERE k.status <> 'inbox' AND k.folder = 'Observation Inbox' AND k.source_url = n.source_url)"""
+
 _CE_HTML = "coalesce(nullif(content, ''), nullif(summary, ''), '')"
 _LM2 = LINKMETA("html")
 _SQL["top_n_per_source"] = "WITH " + COMMUNITY_ENTRIES + f""",
@@ -1272,6 +1310,36 @@ SELECT path,
 FROM b2"""
 
 
+_BF_HEAD, _BF_TAIL = _SQL["backfill"].split("\nSELECT path,", 1)
+# The metadata fields of a note, in the order they are written.
+_BF_FIELDS = ("note_id", "title", "publication", "publication_date", "author", "topics", "entities", "summary", "claims",
+              "relevance", "time_sensitivity")
+
+
+def _bf_line(field: str) -> str:
+    if field in ("topics", "entities", "relevance"):
+        value = f"'[' || array_to_string({field}, ', ') || ']'"
+    elif field == "claims":
+        value = f"'[' || array_to_string(list_transform(claims, lambda c: {YQ('c')}), ', ') || ']'"
+    else:
+        value = field if field in ("note_id", "time_sensitivity") else YQ(field)
+    return f"'{field}: ' || {value}"
+
+
+def _backfill_merge_sql() -> str:
+    names = "|".join(_BF_FIELDS)
+    kept = f"regexp_replace({FM_TEXT}, '(?m)^(?:{names}):[^\\n]*(?:\\n[ \\t-][^\\n]*)*(?:\\n|\\z)', '', 'g')"
+    lines = " || chr(10) || ".join(map(_bf_line, _BF_FIELDS))
+    return _BF_HEAD + f""",
+bf AS (SELECT path, {_BF_TAIL}),
+bm AS (
+  SELECT np.path, substring({FM_GET('np.e', 'date')}, 1, 7) AS month,
+    CASE WHEN bf.changed THEN '---' || regexp_replace({kept}, '\\n+\\z', '') || chr(10) || {lines}
+         || chr(10) || '---' || np.body ELSE np.value END AS value
+  FROM np LEFT JOIN b2 USING (path) LEFT JOIN (SELECT path, changed FROM bf) bf USING (path))
+SELECT path, month, md5(value) AS digest, CAST(length(value) AS BIGINT) AS n_chars FROM bm"""
+
+
 def ENRICH_FROM(src: str) -> str:
     """en/e2/e3 CTEs: the enrichment verdict for every row of ``src``
     (needs source_url, title, raw_tags)."""
@@ -1301,6 +1369,9 @@ def YQ(x: str) -> str:
     return f"(CASE WHEN coalesce({x}, '') = '' THEN '\"\"' ELSE '\"' || replace(replace({inner}, '\\', '\\\\'), '\"', '\\\"') || '\"' END)"
 
 
+_SQL["backfill_merge"] = _backfill_merge_sql()
+
+
 def NOTE_ID(date: str, source: str, url: str) -> str:
     return f"concat_ws('-', {date}, substring({SLUG(source)}, 1, 8), substring(md5(coalesce({url}, '')), 1, 4))"
 

@@ -71,6 +71,19 @@ def inline_list(c) -> Column:
             .otherwise(F.array().cast("array<string>")))
 
 
+def replace_fields(c, fields: dict) -> Column:
+    """The text with the frontmatter lines of ``fields`` (name -> rendered value)
+    taken out, with the lines that continue them, and written anew at its end in
+    the given order. All other lines and the body stay as they are. Text without
+    frontmatter is returned unchanged."""
+    t = col_of(c)
+    names = "|".join(fields)
+    kept = F.regexp_replace(frontmatter_text(t), rf"(?m)^(?:{names}):[^\n]*(?:\n[ \t-][^\n]*)*(?:\n|\z)", "")
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in fields.items()])
+    new = F.concat(F.lit("---"), F.regexp_replace(kept, r"\n+\z", ""), F.lit("\n"), lines, F.lit("\n---"), note_body(t))
+    return F.when(_has_fm(t), new).otherwise(t)
+
+
 def lens_name(c) -> Column:
     """Lens file name: value of the first frontmatter line starting with
     ``name:`` (stripped, unquoted); '' when none."""

@@ -81,20 +81,24 @@ def _without(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
     return df.join(o, same, "left_anti")
 
 
-def skip_known(items: DataFrame, known: DataFrame, key: str = "source_url") -> DataFrame:
+def skip_known(items: DataFrame, known: DataFrame, key: str = "source_url", scope: str | None = None) -> DataFrame:
     """Drop items whose key is already stored (left anti join).
 
+    With ``scope`` only rows of ``known`` in that ``folder`` count as stored: the
+    inbox alone, as the reference looks it up, or any other (T4; by default all).
     No broadcast hint: AQE broadcasts ``known`` only when its runtime size is
     under the threshold, otherwise it shuffles both sides; a hot key on the
-    item side is split by AQE's skew handling. NULL keys survive an anti join,
-    so F1 runs first.
+    item side is split by AQE's skew handling. Items with a NULL key stay, so F1
+    runs first. Against a large store use ``NoteStore.skip_known``, which reads
+    only the key buckets it needs.
     """
-    k = known.select(F.col(key)).where(F.col(key).isNotNull())
-    return items.join(k, key, "left_anti")
+    return items.join(known_keys(known, key, scope), key, "left_anti")
 
 
-def known_keys(notes: DataFrame, key: str = "source_url") -> DataFrame:
-    """The distinct stored keys (non-blank)."""
+def known_keys(notes: DataFrame, key: str = "source_url", scope: str | None = None) -> DataFrame:
+    """The distinct stored keys (non-blank), of one folder if ``scope`` is given."""
+    if scope is not None:
+        notes = notes.where(F.col("folder") == scope)
     return notes.select(key).where(F.coalesce(F.col(key), F.lit("")) != "").distinct()
 
 

@@ -137,11 +137,16 @@ def queue_view(notes: DataFrame, folders=(INBOX_FOLDER, QUEUE_FOLDER)) -> DataFr
             .orderBy(F.col("date").desc_nulls_last()))
 
 
-def _list_line(name: str, arr: Column, quote: bool = False) -> Column:
+def list_value(arr: Column, quote: bool = False) -> Column:
+    """A list as it is written in frontmatter: ``[a, b]``."""
     a = F.coalesce(arr, empty_str_array())
     if quote:
         a = F.transform(a, yaml_quote)
-    return F.concat(F.lit(f"{name}: ["), F.array_join(a, ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(a, ", "), F.lit("]"))
+
+
+def _list_line(name: str, arr: Column, quote: bool = False) -> Column:
+    return F.concat(F.lit(f"{name}: "), list_value(arr, quote))
 
 
 def render_note(obs: DataFrame, status: str = "inbox") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import dedup_first
+from ..operators.items import item_key
 from ..session import stage
 
 
@@ -26,7 +27,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def stored_keys(spark: SparkSession, path: str, key: str = "source_url") -> DataFrame | None:
     if not _exists(spark, path):
         return None
-    return spark.read.parquet(path).select(key)
+    table = spark.read.parquet(path)
+    if key == "item_key" and key not in table.columns:  # written before notes carried it
+        table = table.select(item_key(table).alias(key))
+    return table.select(key)
 
 
 def write_notes(notes: DataFrame, path: str, key: str | None = None, partition_by: str = "date") -> DataFrame:

@@ -124,7 +124,7 @@ def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.concat(F.lit("https://www.reddit.com/r/"), F.col("source"), F.lit("/comments/"),
                            F.col("doc_id").cast("string"), F.lit("/")))
            .otherwise(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/a/"), F.col("doc_id").cast("string"))))
-    title = F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 60)
+    title = F.regexp_extract("text", r"^([^\n]*)", 1)
     date = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 500).cast("int")).cast("string")
     folder = F.when(status == "archived", F.lit("Archived")).otherwise(F.lit("Observation Inbox"))
     return j.select("doc_id", "source", "lang", "text", status.alias("status"), url.alias("source_url"),

@@ -1,10 +1,11 @@
 """Structured Streaming forms of the daily run's incremental parts.
 
 R1 ``ingest_stream``: landed entries arrive as files; each micro-batch is
-normalised (S1 row logic), deduplicated keep-first (X3) and appended to the
-item table after an anti join against what is already stored (J1). The
-foreachBatch sink is at-least-once; the anti join makes a replayed batch add
-nothing, so the table stays exactly-once by key.
+normalised (S1 row logic), deduplicated keep-first (X3), cleared of stored keys
+through the store's key index (J1) and appended as one commit named after the
+query and its batch number. The foreachBatch sink is at-least-once: a batch that
+died before its commit left nothing that is read, and one replayed after it is
+known by its name, so every batch counts exactly once and no run reads all keys.
 
 R2 ``dedup_stream``: bounded-state dedup of an event stream by key within a
 watermark (``dropDuplicatesWithinWatermark``).
@@ -19,38 +20,34 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import dedup_first
 from ..operators.items import feed_items
 from ..session import staging_path
-from ..sinks.notes import stored_keys
-
-
-def append_new(batch: DataFrame, path: str, key: str = "source_url", partition_by: str | None = None) -> None:
-    """Append rows whose key is not in the table at ``path`` yet."""
-    spark = batch.sparkSession
-    old = stored_keys(spark, path, key)
-    new = batch if old is None else batch.join(old, key, "left_anti")
-    w = new.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+from ..sinks.store import NoteStore
 
 
 def ingest_stream(entries: DataFrame, sink_path: str, checkpoint: str | None = None, *, as_of,
                   key: str = "source_url", available_now: bool = True,
-                  to_entries: Callable[[DataFrame], DataFrame] | None = None):
+                  to_entries: Callable[[DataFrame], DataFrame] | None = None, name: str | None = None,
+                  partition_by: str = "published_date", store: NoteStore | None = None):
     """Start the ingest query and return it (``StreamingQuery``).
 
     ``entries`` is a streaming DataFrame of landed rows; ``to_entries`` maps
-    them to the feed-entry schema when they are not already in it.
+    them to the feed-entry schema when they are not already in it. The rows go to
+    ``store`` (or a ``NoteStore`` at ``sink_path``; read it with ``NoteStore.rows``).
+    Batches are named ``name:<number>``; the name defaults to the checkpoint's
+    path, because batch numbers start anew with a new checkpoint.
     """
     spark = entries.sparkSession
     checkpoint = checkpoint or staging_path(spark, "ingest-ckpt")
+    name = name or checkpoint
+    store = store or NoteStore(spark, sink_path, key=key, partition_by=partition_by)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
+        label = f"{name}:{epoch_id}"
+        if store.committed(label):
+            return
         e = to_entries(df) if to_entries else df
-        items = dedup_first(feed_items(e, as_of), [key], ["seq"])
-        append_new(items.withColumn("batch_id", F.lit(epoch_id)), sink_path, key)
+        store.append(feed_items(e, as_of).withColumn("batch_id", F.lit(epoch_id)), label, order=["seq"])
 
     w = entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

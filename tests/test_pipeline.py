@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -12,6 +13,7 @@ from gleaner.plans.backfill import backfill
 from gleaner.plans.daily import FATES
 from gleaner.plans.funnel import run_funnel
 from gleaner.sinks.notes import write_notes
+from gleaner.sinks.store import NoteStore
 from gleaner.streaming.ingest import ingest_stream, read_stream_parquet
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +65,10 @@ def test_backfill_counts_and_keeps_author(spark):
     assert rows_over.first().meta.author == ""
 
 
+def _ingested(spark, sink):
+    return NoteStore(spark, sink, key="source_url", partition_by="published_date").rows()
+
+
 def test_stream_ingest_second_run_adds_nothing(spark, tmpdir_path):
     pages = S.table(spark, SF, "pages")
     sink = os.path.join(tmpdir_path, "sink")
@@ -70,12 +76,12 @@ def test_stream_ingest_second_run_adds_nothing(spark, tmpdir_path):
     for _ in range(2):
         stream = read_stream_parquet(spark, f"{SF}/pages*.parquet", pages.schema)
         ingest_stream(stream, sink, ckpt, as_of=S.AS_OF, to_entries=S.pages_as_entries).awaitTermination()
-    got = spark.read.parquet(sink)
+    got = _ingested(spark, sink)
     assert got.count() == got.select("source_url").distinct().count() == pages.select("url").distinct().count()
-    # a new checkpoint replays the same files: the anti join keeps the table unchanged
+    # a new checkpoint replays the same files under other batch names: the key index keeps the table unchanged
     stream = read_stream_parquet(spark, f"{SF}/pages*.parquet", pages.schema)
     ingest_stream(stream, sink, ckpt + "2", as_of=S.AS_OF, to_entries=S.pages_as_entries).awaitTermination()
-    assert spark.read.parquet(sink).count() == got.count()
+    assert _ingested(spark, sink).count() == got.count()
 
 
 def test_stream_multi_batch_equals_batch(spark, tmpdir_path):
@@ -87,13 +93,37 @@ def test_stream_multi_batch_equals_batch(spark, tmpdir_path):
     stream = read_stream_parquet(spark, landing, pages.schema, max_files=1)
     q = ingest_stream(stream, sink, os.path.join(tmpdir_path, "ck"), as_of=S.AS_OF, to_entries=S.pages_as_entries)
     q.awaitTermination()
-    got = spark.read.parquet(sink)
+    got = _ingested(spark, sink)
     assert got.select("batch_id").distinct().count() >= 2
     batch = dedup_first(E.feed_items(S.pages_as_entries(pages), S.AS_OF), ["source_url"], ["seq"])
     cols = ["source", "source_url", "title", "body"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
 
 
+def test_stream_batch_killed_before_its_commit_is_replayed_once(spark, tmpdir_path, monkeypatch):
+    pages = S.table(spark, SF, "pages")
+    sink, ckpt = os.path.join(tmpdir_path, "sink3"), os.path.join(tmpdir_path, "ck3")
+
+    def run():
+        stream = read_stream_parquet(spark, f"{SF}/pages*.parquet", pages.schema)
+        ingest_stream(stream, sink, ckpt, as_of=S.AS_OF, to_entries=S.pages_as_entries).awaitTermination()
+
+    def die(self, log, entry):
+        raise RuntimeError("killed between write and commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(NoteStore, "_commit", die)
+        with pytest.raises(Exception, match="killed"):
+            run()
+    store = NoteStore(spark, sink, key="source_url", partition_by="published_date")
+    assert store.rows() is None and os.listdir(os.path.join(sink, "rows"))   # written, but not read
+    run()                                                                    # Spark replays the batch
+    n = pages.select("url").distinct().count()
+    assert store.rows().count() == n == store.rows().select("source_url").distinct().count()
+    assert len(store.commits()) == 1
+    assert store.vacuum() == 3 and store.rows().count() == n                 # rows, keys and filters of the dead attempt
+
+
 def test_sinks_quarantine_and_partitioned_notes(spark, tmpdir_path):
     from gleaner.sinks.notes import write_quarantine
     bad = spark.createDataFrame([("u1", "enrich", "unparsable", "x")], "source_url string, stage string, error_kind string, payload string")
