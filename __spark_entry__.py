@@ -40,6 +40,7 @@ from gleaner.sinks.store import NoteStore
 from gleaner.operators.notes import INBOX_FOLDER, harvest_labels, inbox_view, note_table, queue_view, select_exemplars
 from gleaner.operators.items import drop_blank_url
 from gleaner.sources.charts import chart_items, html_items
+from gleaner.sources.files import parse_feed_files
 from gleaner.sources.registry import classify_fetch, enabled_sources
 from gleaner.session import stage
 from pyspark.sql import Window
@@ -379,6 +380,14 @@ def q_json_items(spark, d):
     return c.select("source_url", "title", F.col("chart_pos").cast("int").alias("chart_pos"))
 
 
+def q_feed_files(spark, d):
+    """Landed feed files entry by entry, broken entries to quarantine."""
+    entries, bad = parse_feed_files(S.feed_files(spark, d))
+    good = entries.select("feed", "pos", "link", "title", F.lit(None).cast("string").alias("error_kind"))
+    return good.unionByName(bad.select(F.regexp_extract("path", r"([^/]*)\.xml$", 1).alias("feed"), "pos",
+                                       F.lit(None).cast("string").alias("link"), F.lit(None).cast("string").alias("title"), "error_kind"))
+
+
 def q_enabled_sources(spark, d):
     return enabled_sources(S.registry(spark, d)).select("name", "slug", "url")
 
@@ -526,6 +535,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_items": q_html_items,
     "json_items": q_json_items,
     "enabled_sources": q_enabled_sources,
+    "feed_files": q_feed_files,
     "drop_blank_url": q_drop_blank_url,
     "classify_fetch": q_classify_fetch,
     "union_sources": q_union_sources,
@@ -1204,6 +1214,13 @@ ci AS (SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos AS s
 _SQL["html_items"] = "WITH " + CHARTS + """
 SELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos, 'Track charting in Beatport ' || genre || ' Top 100.' AS body,
   slug || '|chart|beatport' AS raw_tags FROM hi"""
+_SQL["feed_files"] = f"""
+WITH p AS (SELECT page_id, url, regexp_extract_all(html, {_LI}, 2) AS names FROM pages),
+e AS (SELECT page_id, url, unnest(names) AS name, unnest(generate_series(0, len(names) - 1)) AS i FROM p)
+SELECT CAST(page_id AS VARCHAR) AS feed, CAST(i AS INTEGER) AS pos,
+  CASE WHEN (page_id + i) % 5 <> 3 THEN url || '#' || CAST(i AS VARCHAR) END AS link,
+  CASE WHEN (page_id + i) % 5 <> 3 THEN name END AS title,
+  CASE WHEN (page_id + i) % 5 = 3 THEN 'unparsable_entry' END AS error_kind FROM e"""
 _SQL["json_items"] = "WITH " + CHARTS + "\nSELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos FROM ji"
 
 REGISTRY = r"""

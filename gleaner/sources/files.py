@@ -1,15 +1,16 @@
 """Scans of landed files (S1, S3, S6, S7, S10). Fixed schemas, no inference.
 
-Feeds: each file is read whole and parsed with ``from_xml`` so entry
-positions are kept (``posexplode``); a file that does not parse gives no
-rows and is reported, other files continue (fail open).
+Feeds: each file is read whole and cut into its entries (outside CDATA sections
+and comments), and each entry is parsed on its own with ``from_xml``: positions are
+kept (``posexplode``), and an entry that does not parse goes to quarantine with its
+position while the others of its file continue, as other files do (fail open).
 Listings: multi-line JSON with an explicit schema, children exploded with
 their position. Notes and lenses: whole-text reads with the file path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +22,6 @@ RSS_ITEM = T.StructType([
     T.StructField("author", _S), T.StructField("dc:creator", _S),
     T.StructField("category", T.ArrayType(T.StructType([T.StructField("_VALUE", _S), T.StructField("_domain", _S)]))),
 ])
-RSS_DOC = T.StructType([T.StructField("channel", T.StructType([
-    T.StructField("title", _S), T.StructField("item", T.ArrayType(RSS_ITEM))]))])
-
 ATOM_ENTRY = T.StructType([
     T.StructField("title", _S),
     T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", _S), T.StructField("_rel", _S)]))),
@@ -33,8 +31,6 @@ ATOM_ENTRY = T.StructType([
     T.StructField("summary", _S),
     T.StructField("category", T.ArrayType(T.StructType([T.StructField("_term", _S)]))),
 ])
-ATOM_DOC = T.StructType([T.StructField("title", _S), T.StructField("entry", T.ArrayType(ATOM_ENTRY))])
-
 LISTING_CHILD = T.StructType([
     T.StructField("permalink", _S), T.StructField("title", _S), T.StructField("selftext", _S),
     T.StructField("score", T.LongType()), T.StructField("num_comments", T.LongType()),
@@ -60,24 +56,49 @@ def _file_stem(path) -> F.Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+#: Stands for ``<`` inside CDATA while entries are cut; no XML text may hold it.
+_MASK = "\u0002"
+_BAD = "__bad"
+
+
+def entry_texts(c, tag: str) -> Column:
+    """The ``<tag>`` elements of a feed's text, in order. A start or end tag inside
+    a CDATA section or a comment is none; an entry that is not closed ends where
+    the next one starts. Comments are left out."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)<!\[CDATA\[.*?(?:\]\]>|\z)|<!--.*?(?:-->|\z)|<|[^<]+"), 0)
+    shown = F.transform(pieces, lambda p: F.when(p.startswith("<!--"), F.lit(""))
+                        .when(p.startswith("<![CDATA["), F.concat(F.lit("<"), F.translate(F.substr(p, F.lit(2)), "<", _MASK)))
+                        .otherwise(p))
+    # The section's own "<" is masked too, so that only tags are left to cut at.
+    masked = F.replace(F.array_join(shown, ""), F.lit("<![CDATA["), F.lit(_MASK + "![CDATA["))
+    found = F.regexp_extract_all(masked, F.lit(rf"(?s)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|(?=<{tag}\b)|\z)"), 0)
+    return F.transform(found, lambda e: F.replace(e, F.lit(_MASK), F.lit("<")))
+
+
 def parse_feed_files(files: DataFrame, kind: str = "rss") -> tuple[DataFrame, DataFrame]:
-    """(entries, bad_files) from (path, value, feed, feed_ord) rows.
+    """(entries, bad) from (path, value, feed, feed_ord) rows.
 
     ``kind`` is ``rss`` (``<rss><channel><item>``) or ``atom``
-    (``<feed><entry>``). Entries carry their position in the file. A file
-    whose root does not parse is returned in ``bad_files`` and gives no
-    entries.
+    (``<feed><entry>``). Entries carry their position in the file, broken ones
+    counted. ``bad`` (path, error_kind, pos, payload) has the entries that do not
+    parse (``unparsable_entry``) and, with a null ``pos``, the files that hold no
+    entry and are no whole feed either (``unparsable_feed``).
     """
-    body = F.regexp_replace("value", r"^\s*<\?xml[^>]*\?>\s*", "")
-    if kind == "rss":
-        doc = F.from_xml(body, RSS_DOC, {"mode": "PERMISSIVE", "rowTag": "rss"})
-        items = doc["channel"]["item"]
-    else:
-        doc = F.from_xml(body, ATOM_DOC, {"mode": "PERMISSIVE", "rowTag": "feed"})
-        items = doc["entry"]
-    parsed = files.withColumn("__items", items)
-    bad = parsed.where(F.col("__items").isNull()).select("path", F.lit("unparsable_feed").alias("error_kind"))
-    e = parsed.select("path", "feed", "feed_ord", F.posexplode("__items").alias("pos", "e"))
+    tag, root, fields = ("item", "rss", RSS_ITEM) if kind == "rss" else ("entry", "feed", ATOM_ENTRY)
+    cut = files.withColumn("__entries", entry_texts(F.col("value"), tag))
+    whole = F.coalesce(F.col("value"), F.lit("")).rlike(rf"(?s)<{root}\b.*</{root}\s*>\s*\z")
+    bad_files = cut.where((F.coalesce(F.size("__entries"), F.lit(0)) == 0) & ~whole).select(
+        "path", F.lit("unparsable_feed").alias("error_kind"), F.lit(None).cast("int").alias("pos"),
+        F.lit(None).cast("string").alias("payload"))
+    schema = T.StructType([*fields.fields, T.StructField(_BAD, _S)])
+    options = {"mode": "PERMISSIVE", "rowTag": tag, "columnNameOfCorruptRecord": _BAD}
+    e = cut.select("path", "feed", "feed_ord", F.posexplode("__entries").alias("pos", "__text"))
+    # An entry without its end tag is read leniently by the parser; it is broken all the same.
+    e = e.withColumn("e", F.from_xml(F.col("__text"), schema, options))
+    broken = F.col("e").isNull() | F.col("e").getField(_BAD).isNotNull() | ~F.col("__text").rlike(rf"</{tag}\s*>\z")
+    bad_entries = e.where(broken).select("path", F.lit("unparsable_entry").alias("error_kind"), F.col("pos").cast("int").alias("pos"),
+                                         F.col("__text").alias("payload"))
+    e = e.where(~broken)
     if kind == "rss":
         out = e.select(
             "feed", "feed_ord", F.col("pos").cast("int").alias("pos"),
@@ -95,7 +116,7 @@ def parse_feed_files(files: DataFrame, kind: str = "rss") -> tuple[DataFrame, Da
             F.col("e.published").alias("published"), F.col("e.updated").alias("updated"),
             F.col("e.author.name").alias("author"),
             F.transform(F.col("e.category"), lambda c: c["_term"]).alias("categories"))
-    return out, bad
+    return out, bad_files.unionByName(bad_entries)
 
 
 def read_feeds(spark: SparkSession, path: str, registry: DataFrame | None = None, kind: str = "rss",

@@ -209,6 +209,25 @@ CHART_ARTIST = r'href="/([^"]*)"'
 CHART_TITLE = r">([^<]*)</a>"
 
 
+def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed RSS files (path, value, feed, feed_ord) from ``pages``: one file per
+    page, one entry per list item, with CDATA titles, entries named inside CDATA
+    and a comment, and every fifth entry (by page and position) broken."""
+    p = table(spark, sf_dir, "pages")
+    names = F.regexp_extract_all("html", F.lit(r'<li><a href="/([^"]*)">([^<]*)</a></li>'), 2)
+
+    def entry(name, i):
+        link = F.concat(F.col("url"), F.lit("#"), i.cast("string"))
+        good = F.concat(F.lit("<item><title><![CDATA["), name, F.lit("]]></title><link>"), F.replace(link, F.lit("&"), F.lit("&amp;")),
+                        F.lit("</link><description><![CDATA[<item>no entry</item>]]></description></item><!-- <item> -->\n"))
+        return F.when((F.col("page_id") + i) % 5 == 3, F.concat(F.lit("<item><title>"), name, F.lit(" & <b></title></item>\n"))).otherwise(good)
+
+    value = F.concat(F.lit('<?xml version="1.0"?>\n<rss version="2.0"><channel><title>F</title>\n'),
+                     F.array_join(F.transform(names, entry), ""), F.lit("</channel></rss>\n"))
+    return p.select(F.concat(F.lit("/landing/"), F.col("page_id").cast("string"), F.lit(".xml")).alias("path"), value.alias("value"),
+                    F.col("page_id").cast("string").alias("feed"), F.lit(0).alias("feed_ord"))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source registry rows (adapter, name, slug, url, enabled) from ``pages``:
     one per page URL; every fourth is disabled, every seventh has no URL."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.items import community_items, feed_items, listing_items
 from gleaner.sources.charts import chart_items, html_items
-from gleaner.sources.files import read_feeds, read_listings, read_notes
+from gleaner.sources.files import parse_feed_files, read_feeds, read_listings, read_notes
 from gleaner.sources.registry import classify_fetch, enabled_sources, fetch_result
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
@@ -52,6 +52,31 @@ def test_rss_file_scan(spark, tmpdir_path):
     assert second.title == "(no title)" and second.body == "Only content"
 
 
+def test_one_broken_entry_of_ten(spark):
+    """Nine rows and one quarantine row; tags inside CDATA and comments are no entries."""
+    entry = "<item><title><![CDATA[T{i} </item> <item>]]></title><link>https://a.example/{i}</link><!-- <item></item> --></item>"
+    texts = [entry.format(i=i) for i in range(10)]
+    texts[3] = "<item><title>A & <b>B</title></item>"
+    texts[7] = "<item><title>open</title><link>https://a.example/7</link>"       # ends where the next one starts
+    feed = "<?xml version='1.0'?><rss><channel><title>F</title>" + "\n".join(texts) + "</channel></rss>"
+    rows = [("a.xml", feed, "a", 0), ("empty.xml", "<rss><channel></channel></rss>", "e", 0), ("html.xml", "<html>no</html>", "h", 0),
+            ("null.xml", None, "n", 0), ("cut.xml", "<rss><channel><item><title>x</ti", "c", 0)]
+    entries, bad = parse_feed_files(spark.createDataFrame(rows, "path string, value string, feed string, feed_ord int"))
+    got = {r.pos: (r.title, r.link) for r in entries.collect()}
+    assert got == {i: (f"T{i} </item> <item>", f"https://a.example/{i}") for i in range(10) if i not in (3, 7)}
+    assert sorted((r.path, r.error_kind, r.pos) for r in bad.collect() if r.path != "a.xml") == [
+        ("cut.xml", "unparsable_entry", 0), ("html.xml", "unparsable_feed", None), ("null.xml", "unparsable_feed", None)]
+    assert {r.pos: r.payload.strip() for r in bad.collect() if r.path == "a.xml"} == {3: texts[3], 7: texts[7]}
+
+
+def test_long_entries_do_not_overflow(spark):
+    body = "word <b>x</b> " * 40_000
+    feed = f"<feed><entry><title>big</title><content><![CDATA[{body}]]></content></entry><entry><title>t</title></entry></feed>"
+    entries, bad = parse_feed_files(spark.createDataFrame([("p", feed, "f", 0)], "path string, value string, feed string, feed_ord int"), "atom")
+    assert entries.count() == 2 and bad.count() == 0
+    assert abs(entries.where("pos = 0").selectExpr("length(content)").first()[0] - len(body)) <= 1
+
+
 def test_atom_community_scan(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "atom")
     os.makedirs(d)
