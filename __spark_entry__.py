@@ -24,10 +24,11 @@ from gleaner.functions import replies as R
 from gleaner.operators.gate import gate_prompts, survivor_budget, triage_gate
 from gleaner.operators.infer import infer_batch
 from gleaner.operators.items import listing_items, feed_items, union_sources
-from gleaner.operators.lenses import first_lens_col, lens_library, lookup_col, match_lenses, summary_col
+from gleaner.operators.lenses import first_lens_col, lens_library, lens_table, lookup_col, match_lenses_table, summary_col
 from gleaner.operators.enrich import enrich_prompts, interest_filter, parse_enrichment, split_quarantine
 from gleaner.functions.metadata import build_metadata, derive_relevance
-from gleaner.operators.score import wire_prerank
+from gleaner.operators.score import prerank, wire_prerank
+from gleaner.operators.aliases import alias_hits
 from gleaner.plans.funnel import run_funnel
 from gleaner.plans.feedback import feedback_block
 from gleaner.plans.backfill import backfill, backfill_merge
@@ -41,9 +42,8 @@ from gleaner.operators.notes import INBOX_FOLDER, harvest_labels, inbox_view, no
 from gleaner.operators.items import drop_blank_url
 from gleaner.sources.charts import chart_items, html_items
 from gleaner.sources.files import parse_feed_files
-from gleaner.sources.registry import classify_fetch, enabled_sources
+from gleaner.sources.registry import attach_source, classify_fetch, enabled_sources
 from gleaner.session import stage
-from pyspark.sql import Window
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -216,10 +216,8 @@ def q_wire_score(spark, d):
 
 
 def q_wire_prerank(spark, d):
-    s = wire_prerank(_listing(spark, d), S.LISTING_TAXONOMY)
-    w = Window.partitionBy("wire.subreddit").orderBy(F.col("wire_pre_score").desc(), F.col("seq").asc())
-    return s.select("source_url", F.col("wire.subreddit").alias("subreddit"), "wire_pre_score",
-                    F.row_number().over(w).cast("int").alias("prerank"))
+    r = prerank(_listing(spark, d), S.LISTING_TAXONOMY)
+    return r.select("source_url", F.col("wire.subreddit").alias("subreddit"), "wire_pre_score", F.col("prerank").cast("int").alias("prerank"))
 
 
 def q_infer_batch(spark, d):
@@ -307,6 +305,30 @@ def q_match_lenses(spark, d):
     return _enriched(spark, d).where(F.col("error_kind").isNull()).select("source_url", _j(F.col("lenses")).alias("lenses"))
 
 
+def q_match_lenses_join(spark, d):
+    """J2 / P15 with the library as a table."""
+    e = _enriched(spark, d).where(F.col("error_kind").isNull()).drop("lenses")
+    e = e.withColumn("names", R.lens_names(R.parse_reply(F.col("reply"))))
+    m = match_lenses_table(e.select("source_url", "names"), ["source_url"], "names", lens_table(S.lens_files(spark, d)))
+    return m.select("source_url", _j(F.col("lenses")).alias("lenses"))
+
+
+def q_alias_join(spark, d):
+    """J3 with the aliases as a table: the words of the documents against the notes' title lines."""
+    titles = S.note_rows(spark, d).select("doc_id", "title")
+    hits = alias_hits(titles, S.alias_table(spark, d), "doc_id", "title")
+    return hits.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_hits"), F.md5(F.array_join(F.array_sort(F.collect_list("alias")), "|")).alias("digest"))
+
+
+def q_item_sources(spark, d):
+    """Feed items with their (enabled) source definition."""
+    items = feed_items(S.feed_entries(spark, d), S.AS_OF)
+    reg = S.registry(spark, d).withColumnRenamed("url", "source_url").withColumn("url", F.col("source_url"))
+    return attach_source(items.select("source_url", "source"), reg.select("adapter", "name", "slug", "url", "enabled", "source_url"),
+                         "source_url").select("source_url", "source", "name", "slug")
+
+
 def q_scope_questions(spark, d):
     q = F.col("questions")
     return _enriched(spark, d).where(F.col("error_kind").isNull()).select(
@@ -362,7 +384,7 @@ def q_build_metadata(spark, d):
 
 
 
-_CHART_HTML = {"row_pattern": S.CHART_ROW, "artist_pattern": S.CHART_ARTIST, "title_pattern": S.CHART_TITLE}
+_CHART_HTML = {"row_pattern": S.CHART_ROW, "artist": S.CHART_ARTIST, "title": S.CHART_TITLE}
 
 
 def _charts(spark, d):
@@ -375,6 +397,12 @@ def q_html_items(spark, d):
                     F.array_join("raw_tags", "|").alias("raw_tags"))
 
 
+def q_html_items_default(spark, d):
+    """S4 by classes: the default selectors over rows in any quoting, with nested elements of the same name."""
+    h = html_items(S.marked_chart_pages(spark, d), S.AS_OF, 10)
+    return h.select("source_url", "title", F.col("chart_pos").cast("int").alias("chart_pos"))
+
+
 def q_json_items(spark, d):
     c = _charts(spark, d).where(F.col("via") == "json")
     return c.select("source_url", "title", F.col("chart_pos").cast("int").alias("chart_pos"))
@@ -533,6 +561,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fates_by_adapter": q_fates_by_adapter,
     "dry_run": q_dry_run,
     "html_items": q_html_items,
+    "html_items_default": q_html_items_default,
+    "match_lenses_join": q_match_lenses_join,
+    "alias_join": q_alias_join,
+    "item_sources": q_item_sources,
     "json_items": q_json_items,
     "enabled_sources": q_enabled_sources,
     "feed_files": q_feed_files,
@@ -1214,6 +1246,18 @@ ci AS (SELECT (CAST(2 AS BIGINT) << 56) + (CAST(ord AS BIGINT) << 32) + pos AS s
 _SQL["html_items"] = "WITH " + CHARTS + """
 SELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos, 'Track charting in Beatport ' || genre || ' Top 100.' AS body,
   slug || '|chart|beatport' AS raw_tags FROM hi"""
+_SQL["html_items_default"] = f"""
+WITH p AS (SELECT url, regexp_extract_all(html, {_LI}, 2) AS names, regexp_extract_all(html, {_LI}, 1) AS paths FROM pages),
+r AS (SELECT url, unnest(names) AS name, unnest(paths) AS path, unnest(generate_series(0, len(names) - 1)) AS pos FROM p),
+l AS (SELECT url, pos, {LABEL(TRIMWS("path"), TRIMWS("name") + " || 'mix'")} AS label FROM r WHERE pos < 10)
+SELECT url AS source_url, label AS title, CAST(pos AS INTEGER) AS chart_pos FROM l WHERE label IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY url, lower(label) ORDER BY pos) = 1"""
+_SQL["match_lenses_join"] = _SQL["match_lenses"]
+_SQL["alias_join"] = "WITH " + NOTE_ROWS + r""",
+w AS (SELECT DISTINCT unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) AS alias FROM documents),
+a AS (SELECT alias FROM w WHERE length(alias) >= 7)
+SELECT doc_id, count(*) AS n_hits, md5(string_agg(alias, '|' ORDER BY alias)) AS digest
+FROM nr JOIN a ON contains(lower(nr.title), a.alias) GROUP BY doc_id"""
 _SQL["feed_files"] = f"""
 WITH p AS (SELECT page_id, url, regexp_extract_all(html, {_LI}, 2) AS names FROM pages),
 e AS (SELECT page_id, url, unnest(names) AS name, unnest(generate_series(0, len(names) - 1)) AS i FROM p)
@@ -1226,6 +1270,9 @@ _SQL["json_items"] = "WITH " + CHARTS + "\nSELECT url AS source_url, label AS ti
 REGISTRY = r"""
 rg AS (SELECT 'rss' AS adapter, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS name, CAST(page_id AS VARCHAR) AS slug,
   CASE WHEN page_id % 7 = 3 THEN '' ELSE url END AS url, page_id % 4 <> 1 AS enabled FROM pages)"""
+_SQL["item_sources"] = "WITH " + FEED_ITEMS + ",\n" + REGISTRY.lstrip() + """
+SELECT fi.source_url, fi.source, rg.name, rg.slug FROM fi JOIN rg ON rg.url = fi.source_url
+WHERE coalesce(rg.enabled, false) AND nullif(rg.url, '') IS NOT NULL"""
 _SQL["enabled_sources"] = "WITH " + REGISTRY + "\nSELECT name, slug, url FROM rg WHERE coalesce(enabled, false) AND nullif(url, '') IS NOT NULL"
 _SQL["drop_blank_url"] = "WITH " + REGISTRY + "\nSELECT name, slug, url FROM rg WHERE coalesce(url, '') <> ''"
 

@@ -17,15 +17,22 @@ from ..functions._util import empty_str_array
 from .lenses import match_lenses
 
 
-def enrich_prompts(items: DataFrame, lens_summary: Column, purpose: str = "",
-                   system_template: str = ENRICH_SYSTEM, user_template: str = ENRICH_USER) -> DataFrame:
-    """P27 (enrich): ``system`` / ``user`` prompt columns. Templates may use
-    ``{item}`` (all fields as JSON) or the single fields."""
+def enrich_prompt_columns(lens_summary: Column, purpose: str = "", system_template: str = ENRICH_SYSTEM,
+                          user_template: str = ENRICH_USER) -> tuple[Column, Column]:
+    """P27 (enrich): the ``system`` and ``user`` prompts over item columns.
+    Templates may use ``{item}`` (all fields as JSON) or the single fields; the
+    system prompt is the same for all items."""
     fields = {c: F.coalesce(F.col(c).cast("string"), F.lit(""))
               for c in ("source", "source_url", "title", "body", "published_date")}
-    return items.withColumns({
-        "system": fill(system_template, purpose=F.lit(purpose.strip()), lens_summary=lens_summary),
-        "user": fill(user_template, item=item_json(**fields), **fields)})
+    return (fill(system_template, purpose=F.lit(purpose.strip()), lens_summary=lens_summary),
+            fill(user_template, item=item_json(**fields), **fields))
+
+
+def enrich_prompts(items: DataFrame, lens_summary: Column, purpose: str = "",
+                   system_template: str = ENRICH_SYSTEM, user_template: str = ENRICH_USER) -> DataFrame:
+    """``items`` with ``system`` and ``user`` prompt columns."""
+    system, user = enrich_prompt_columns(lens_summary, purpose, system_template, user_template)
+    return items.withColumns({"system": system, "user": user})
 
 
 def _str_list_or(v: Column, key: str, fallback: Column) -> Column:

@@ -9,12 +9,11 @@ from ..functions import replies as R
 from ..functions.prompts import GATE_SYSTEM, GATE_USER, fill, item_json
 
 
-def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
-                 system_template: str = GATE_SYSTEM, user_template: str = GATE_USER,
-                 body_chars: int = 500) -> DataFrame:
-    """P27 (gate): ``system`` and ``user`` prompt columns; the body is cut to
-    ``body_chars``. Templates may use ``{item}`` (all fields as JSON) or the
-    single fields."""
+def gate_prompt_columns(lens_summary: Column, exemplar_block: Column, system_template: str = GATE_SYSTEM,
+                        user_template: str = GATE_USER, body_chars: int = 500) -> tuple[Column, Column]:
+    """P27 (gate): the ``system`` and ``user`` prompts over item columns; the body
+    is cut to ``body_chars``. Templates may use ``{item}`` (all fields as JSON) or
+    the single fields; the system prompt is the same for all items."""
     w = F.col("wire")
     fields = {
         "subreddit": F.coalesce(w["subreddit"], F.lit("")),
@@ -24,9 +23,16 @@ def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
         "num_comments": F.coalesce(w["num_comments"], F.lit(0)),
         "upvote_ratio": F.coalesce(w["upvote_ratio"], F.lit(0.0)),
     }
-    return items.withColumns({
-        "system": fill(system_template, lens_summary=F.coalesce(lens_summary, F.lit("(none)"))),
-        "user": fill(user_template, exemplar_block=exemplar_block, item=item_json(**fields), **fields)})
+    return (fill(system_template, lens_summary=F.coalesce(lens_summary, F.lit("(none)"))),
+            fill(user_template, exemplar_block=exemplar_block, item=item_json(**fields), **fields))
+
+
+def gate_prompts(items: DataFrame, lens_summary: Column, exemplar_block: Column,
+                 system_template: str = GATE_SYSTEM, user_template: str = GATE_USER,
+                 body_chars: int = 500) -> DataFrame:
+    """``items`` with ``system`` and ``user`` prompt columns."""
+    system, user = gate_prompt_columns(lens_summary, exemplar_block, system_template, user_template, body_chars)
+    return items.withColumns({"system": system, "user": user})
 
 
 def triage_verdict(v: Column, error: str = "error", threshold: int = 3) -> tuple[Column, Column]:
@@ -74,20 +80,27 @@ def survivor_budget(gated: DataFrame, max_survivors: int | None, key: str = "seq
     (``overflow`` = true).
 
     The top-n is a ``TakeOrderedAndProject`` (each partition keeps n rows,
-    then one merge); the n chosen rows are joined back as a flag, by the item's
+    then one merge); the chosen rows are found again by the item's
     identity: ``key`` with its run number (``item_no``, where it has one), adapter,
-    source, URL and title, because positions start anew in every source. No global window, and AQE picks the join.
+    source, URL and title, because positions start anew in every source. Rows that
+    are equal in all of these are numbered, so that as many of them survive as were
+    chosen. No global window; only rows with a chosen identity meet in the numbering.
     """
     if max_survivors is None:
         return gated
     named = [c for c in (key, "item_no", "adapter", "source", "source_url", "title") if c in gated.columns]
     marked = gated.withColumn("__item", F.xxhash64(F.to_json(F.struct(*named), {"ignoreNullFields": "false"})))
     top = (marked.where(F.col("bucket") == "survivor").orderBy(*survivor_order())
-           .limit(int(max_survivors)).select("__item").distinct().withColumn("__keep", F.lit(True)))
-    over = (F.col("bucket") == "survivor") & F.col("__keep").isNull()
-    return (marked.join(top, "__item", "left").withColumn("overflow", over)
-            .withColumn("bucket", F.when(over, F.lit("maybe")).otherwise(F.col("bucket")))
-            .select(*gated.columns, "overflow"))
+           .limit(int(max_survivors)).groupBy("__item").agg(F.count(F.lit(1)).alias("__chosen")))
+    survives = F.col("bucket") == "survivor"
+    equal = Window.partitionBy("__item").orderBy(survives.desc(), *survivor_order())
+    met = marked.join(top, "__item").withColumn("__nth", F.row_number().over(equal))
+    over = survives & (F.col("__nth") > F.col("__chosen"))
+    columns = [c for c in gated.columns if c not in ("bucket", "overflow")]
+    bucket = lambda is_over: F.when(is_over, F.lit("maybe")).otherwise(F.col("bucket")).alias("bucket")
+    kept = met.select(*columns, bucket(over), over.alias("overflow"))
+    rest = marked.join(top, "__item", "left_anti").select(*columns, bucket(survives), survives.alias("overflow"))
+    return kept.unionByName(rest).select(*columns, "bucket", "overflow")
 
 
 def top_comments(comments: DataFrame, k: int = 12, key: str = "permalink") -> DataFrame:
@@ -108,19 +121,22 @@ def deep_dive(gated: DataFrame, comments: DataFrame, k: int = 12, body_chars: in
     """Survivors with a permalink get their top ``k`` comments appended to
     the body (cut to ``body_chars``) and ``deep_dived`` = true.
 
-    Comments are first semi-joined to survivor permalinks so only needed
-    threads are shuffled.
+    Only those survivors enter the join: all other rows, whose permalink may be
+    blank for most, go past it and are never shuffled. Comments are first
+    semi-joined to the permalinks so only needed threads are shuffled.
     """
     perm = F.col("wire.permalink")
-    want = (gated.where((F.col("bucket") == "survivor") & (F.coalesce(perm, F.lit("")) != ""))
-            .select(perm.alias("permalink")).distinct())
-    tc = top_comments(comments.join(want, "permalink", "left_semi"), k)
-    j = gated.join(tc, perm == tc["permalink"], "left").drop(tc["permalink"])
-    hit = (F.col("bucket") == "survivor") & F.col("top_comments").isNotNull()
+    asks = F.coalesce((F.col("bucket") == "survivor") & (F.coalesce(perm, F.lit("")) != ""), F.lit(False))
+    diving = gated.where(asks).withColumn("__permalink", perm)
+    want = diving.select(F.col("__permalink").alias("permalink")).distinct()
+    tc = top_comments(comments.join(want, "permalink", "left_semi"), k).withColumnRenamed("permalink", "__permalink")
+    j = diving.join(tc, "__permalink", "left")
+    hit = F.col("top_comments").isNotNull()
     body = F.substring(F.concat(F.coalesce(F.col("body"), F.lit("")), F.lit("\n\nTop comments: "), F.col("top_comments")),
                        1, body_chars)
-    return (j.withColumn("body", F.when(hit, body).otherwise(F.col("body")))
-            .withColumn("deep_dived", hit).drop("top_comments"))
+    dived = (j.withColumn("body", F.when(hit, body).otherwise(F.col("body")))
+             .withColumn("deep_dived", hit).drop("top_comments", "__permalink"))
+    return dived.unionByName(gated.where(~asks).withColumn("deep_dived", F.lit(False)))
 
 
 def run_order() -> list[Column]:

@@ -14,9 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
+
 
 class Backend:
     """A model endpoint: ``generate(system, user) -> text``; may raise."""
@@ -141,3 +144,46 @@ def infer_batch(df: DataFrame, backends: Sequence[Backend], system_col: str = "s
             yield pa.RecordBatch.from_arrays(cols, names=list(rb.schema.names) + [reply_col, backend_col, error_col])
 
     return df.mapInArrow(run, out)
+
+
+def _remembered(spark: SparkSession, path: str | None) -> DataFrame | None:
+    if path is None:
+        return None
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+        return None
+    return spark.read.schema("prompt_key string, reply string, backend string").parquet(path)
+
+
+def infer_distinct(items: DataFrame, system: Column, user: Column, backends: Sequence[Backend],
+                   partitions: int | None = None, memory: str | None = None) -> DataFrame:
+    """U1, each distinct prompt asked once: ``items`` with ``reply``, ``backend``
+    and ``error``.
+
+    ``user`` is an expression over the items, ``system`` one that is the same for
+    all of them. Prompts are known by a hash; only hash, reply, backend and error
+    are staged, never a prompt, and they are joined back to the items by the hash.
+    With ``memory`` (a folder) replies are kept there and later runs ask only
+    prompts that have no reply yet; a call that failed is not kept, so it is asked
+    again. ``partitions`` sets the number of concurrent calls.
+    """
+    spark = items.sparkSession
+    one = spark.range(1).select(system.alias("system"))
+    digest = F.sha2(F.concat(one.select(F.sha2("system", 256)).scalar(), F.sha2(F.coalesce(user, F.lit("")), 256)), 256)
+    keyed = items.withColumn("prompt_key", digest)
+    asked = items.select(digest.alias("prompt_key"), user.alias("user")).dropDuplicates(["prompt_key"])
+    known = _remembered(spark, memory)
+    if known is not None:
+        asked = asked.join(known, "prompt_key", "left_anti")
+    if partitions:
+        asked = asked.repartition(partitions)
+    called = infer_batch(asked.withColumn("system", one.scalar()), backends)
+    replies = stage(called.select("prompt_key", "reply", "backend", "error"), how="table")
+    if memory is not None:
+        replies.where(F.col("error").isNull()).select("prompt_key", "reply", "backend").write.mode("append").parquet(memory)
+    if known is not None:
+        # One reply per prompt, as two runs at the same time may both have asked.
+        old = known.groupBy("prompt_key").agg(F.min(F.struct("reply", "backend")).alias("r"))
+        replies = replies.unionByName(old.select("prompt_key", "r.reply", "r.backend", F.lit(None).cast("string").alias("error"))
+                                      .join(replies.select("prompt_key"), "prompt_key", "left_anti"))
+    return keyed.join(replies, "prompt_key", "left").drop("prompt_key")

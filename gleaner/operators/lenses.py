@@ -4,17 +4,21 @@ The library's summary goes whole into every prompt, so it is folded into ONE
 row: the lenses sorted by file path and numbered from 1. That row feeds prompts
 and lens matching as scalar subqueries (computed once, no join, no cross join).
 Its text is summed first, and a library beyond ``max_chars`` (more than a prompt
-can hold) raises before anything is gathered.
+can hold) raises before anything is gathered. Names can be matched against a
+library of any size by joins (``lens_table``, ``match_lenses_table``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as FM
 from ..functions._util import let
 from ..functions.text import first_sentence
+from .ranks import exact_ranks
 
 #: Characters of names and first sentences, about a quarter million tokens.
 MAX_CHARS = 1 << 20
@@ -85,3 +89,33 @@ def match_lenses(names, lookup: Column, first: Column, max_lenses: int = 3) -> C
         F.when(F.size(got) > 0, got)
         .when(first.isNotNull(), F.array(first))
         .otherwise(F.array().cast("array<string>"))))
+
+
+def lens_table(files: DataFrame) -> DataFrame:
+    """The library as a table of any size: (ord, name, first_sentence), numbered
+    from 1 in file path order like ``lens_library``."""
+    return exact_ranks(lens_rows(files), [], [F.col("path")], "ord").select("ord", "name", "first_sentence")
+
+
+def match_lenses_table(df: DataFrame, key: Sequence[str], names: str, library: DataFrame, max_lenses: int = 3,
+                       out: str = "lenses") -> DataFrame:
+    """P15 / J2 as joins: ``df`` (rows known by ``key``) with the lenses that its
+    array ``names`` names. Every entry is joined with the library on the lower-cased
+    name (of equal names the last file wins), the hits come back in entry order,
+    distinct, ``max_lenses`` at most; rows without any get the first lens.
+    """
+    key = list(key)
+    named = library.where(F.coalesce(F.col("name"), F.lit("")) != "")
+    by_name = named.groupBy(F.lower("name").alias("__lower")).agg(F.max_by("name", "ord").alias("__name"))
+    first = named.agg(F.min_by("name", "ord")).scalar()
+    entries = df.select(*key, F.posexplode(names).alias("__pos", "__entry")).withColumn("__lower", F.lower("__entry"))
+    hits = (entries.where(F.col("__lower").isNotNull()).join(by_name, "__lower")
+            .groupBy(*key, "__name").agg(F.min("__pos").alias("__pos")))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("__pos"))
+    top = hits.withColumn("__nth", nth).where(F.col("__nth") <= max_lenses)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__name"))), lambda x: x["__name"])
+    matched = top.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(listed.alias("__hits"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    fallback = F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>"))
+    return (df.join(matched, same, "left").withColumn(out, F.coalesce("__hits", fallback))
+            .drop("__hits", *[f"__k{i}" for i in range(len(key))]))

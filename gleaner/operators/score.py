@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from .ranks import exact_ranks
 
 # Domains treated as passive media (substring match), as in the
 # reference.
@@ -53,3 +54,10 @@ def wire_prerank(items: DataFrame, taxonomy=None, passive=PASSIVE_DOMAINS) -> Da
 def prerank_order():
     """The pre-rank order: score descending, then run order."""
     return [F.col("wire_pre_score").desc(), F.col("seq").asc()]
+
+
+def prerank(items: DataFrame, taxonomy=None, group: str = "wire.subreddit", rank_col: str = "prerank") -> DataFrame:
+    """The scored items with their exact rank in the pre-rank order of
+    their community. Range partitions and running offsets instead of a window, so
+    that a community holding all items is still sorted by many tasks."""
+    return exact_ranks(wire_prerank(items, taxonomy), [F.col(group)], prerank_order(), rank_col)

@@ -7,7 +7,6 @@ plus ``posexplode``, so a page never leaves its partition.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies as R
 from ..functions._util import let
+from ..functions.markup import Selector, elements, first_element
 from ..functions.prompts import fill
 from ..functions.text import strip_ws
 from ..operators.dedup import dedup_first
@@ -22,34 +22,11 @@ from ..operators.items import make_seq
 
 
 
-def _classed(tag: str, css: str) -> str:
-    """Start tag of an element with a class as given (a regular expression over the attribute)."""
-    return rf'<{tag}\b[^>]*?\bclass="{css}"[^>]*>'
-
-
-def _token(name: str) -> str:
-    return rf'(?:[^"]*\s)?{name}(?:\s[^"]*)?'
-
-
-_ANY_TAG = r"(\w+)"
-
-
-def _element(css: str) -> str:
-    return rf"(?s){_classed(_ANY_TAG, css)}(.*?)</\1>"
-
-
 # The class names that mark chart rows, their lists and fields, in the order they are tried.
-# A pattern gives its last capture group, or the whole match without its start tag. A row division ends
-# where the next one starts, as it may hold further divisions.
-_ROW_LI = f"(?:{_classed('li', _token('bucket-item'))}|{_classed('li', '[^\"]*track[^\"]*')})"
-_ROW_DIV = _classed("div", '[^"]*track-row[^"]*')
-ROW_PATTERN = rf"(?s){_ROW_LI}.*?</li>|{_ROW_DIV}.*?(?={_ROW_DIV}|\z)"
-LIST_PATTERN = (rf"(?s)(?:{_classed('ol', _token('bucket-items'))}.*?</ol>"
-                rf"|{_classed('ul', _token('tracks'))}.*?</ul>)")
-LIST_ROW_PATTERN = r"(?s)<li\b[^>]*>(.*?)</li>"
-ARTIST_PATTERNS = tuple(map(_element, (_token("artists"), _token("track-artists"), '[^"]*artist[^"]*')))
-TITLE_PATTERNS = (*map(_element, (_token("title"), _token("track-title"), '[^"]*title[^"]*')),
-                  rf"(?s){_classed('(span)', _token('name'))}(.*?)</\1>")
+ROWS = (Selector(["li"], token="bucket-item"), Selector(["li"], part="track"), Selector(["div"], part="track-row"))
+LISTS = (Selector(["ol"], token="bucket-items"), Selector(["ul"], token="tracks"))
+ARTIST = (Selector(token="artists"), Selector(token="track-artists"), Selector(part="artist"))
+TITLE = (Selector(token="title"), Selector(token="track-title"), Selector(part="title"), Selector(["span"], token="name"))
 SCRIPT_PATTERN = r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 # Where a track list may sit inside the embedded JSON, tried in order.
 TRACK_PATHS = (
@@ -100,40 +77,37 @@ def _chart_rows(pages: DataFrame, label: Column, pos_col: str, as_of, source_nam
     )
 
 
-def _groups(pattern: str) -> int:
-    return re.compile(pattern.replace(r"\z", r"\Z")).groups
-
-
-def _all_rows(c: Column, pattern: str) -> Column:
-    n = _groups(pattern)
-    found = F.regexp_extract_all(c, F.lit(pattern), n)
-    return found if n else F.transform(found, lambda r: F.regexp_replace(r, r"^<[^>]*>", ""))
-
-
-def _first_field(row: str, patterns: str | Sequence[str]) -> Column:
-    """Text of the first pattern that matches (an element found empty counts), else ''."""
-    patterns = [patterns] if isinstance(patterns, str) else patterns
-    return F.coalesce(*[F.when(F.col(row).rlike(p), node_text(F.regexp_extract(row, p, _groups(p)))) for p in patterns],
-                      F.lit(""))
+def _field(row: str, how: Sequence[Selector] | str) -> Column:
+    """Text of the first element that fits (one found empty counts), or of a
+    pattern's first group; '' when there is none."""
+    if isinstance(how, str):
+        return node_text(F.regexp_extract(row, how, 1))
+    return node_text(first_element(row, how))
 
 
-def html_items(pages: DataFrame, as_of, top_n: int = 10, row_pattern: str = ROW_PATTERN,
-               artist_pattern: str | Sequence[str] = ARTIST_PATTERNS,
-               title_pattern: str | Sequence[str] = TITLE_PATTERNS, source_name: str = CHART_SOURCE, body_template: str = CHART_BODY) -> DataFrame:
+def html_items(pages: DataFrame, as_of, top_n: int = 10, row_pattern: str | None = None,
+               artist: Sequence[Selector] | str = ARTIST, title: Sequence[Selector] | str = TITLE,
+               source_name: str = CHART_SOURCE, body_template: str = CHART_BODY, rows: Sequence[Selector] = ROWS,
+               lists: Sequence[Selector] = LISTS) -> DataFrame:
     """The first ``top_n`` chart rows of each page (cut before dedup, so a
     page may give fewer, T24; without a row by class, the items of its track
     lists), whole text of the artist and title parts, rows with neither dropped,
-    first row per page and lower-cased label kept."""
-    by_class = _all_rows(F.col("html"), row_pattern)
-    listed = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(LIST_PATTERN), 0),
-                                   lambda part: F.regexp_extract_all(part, F.lit(LIST_ROW_PATTERN), 1)))
-    found = let(by_class, lambda r: F.when(F.size(r) > 0, r).otherwise(listed))
-    rows = pages.select("url", "genre", "slug", "ord", F.posexplode(found).alias("pos", "row"))
-    rows = rows.where(F.col("pos") < top_n)
-    rows = rows.withColumn("label", chart_label(_first_field("row", artist_pattern), _first_field("row", title_pattern)))
-    rows = rows.where(F.col("label").isNotNull())
-    rows = dedup_first(rows.withColumn("__k", F.lower("label")), ["url", "__k"], ["pos"])
-    return _chart_rows(rows, F.col("label"), "pos", as_of, source_name, body_template, "html")
+    first row per page and lower-cased label kept.
+
+    Rows and fields are elements by their classes; pages without classes may give
+    a regular expression for rows (``row_pattern``), artist and title instead.
+    """
+    if row_pattern is not None:
+        found = F.regexp_extract_all("html", F.lit(row_pattern), 1)
+    else:
+        listed = F.flatten(F.transform(elements("html", lists), lambda part: elements(part, [Selector(["li"])], top_n)))
+        found = let(elements("html", rows, top_n), lambda r: F.when(F.size(r) > 0, r).otherwise(listed))
+    out = pages.select("url", "genre", "slug", "ord", F.posexplode(found).alias("pos", "row"))
+    out = out.where(F.col("pos") < top_n)
+    out = out.withColumn("label", chart_label(_field("row", artist), _field("row", title)))
+    out = out.where(F.col("label").isNotNull())
+    out = dedup_first(out.withColumn("__k", F.lower("label")), ["url", "__k"], ["pos"])
+    return _chart_rows(out, F.col("label"), "pos", as_of, source_name, body_template, "html")
 
 
 def _track_label(t: Column) -> Column:

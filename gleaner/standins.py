@@ -202,6 +202,30 @@ def chart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("page_id").cast("int").alias("ord"), html.alias("html"))
 
 
+def marked_chart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chart_pages`` whose list items are rows marked by class: double-quoted,
+    single-quoted behind an attribute with ``>``, or unquoted, by page; each holds
+    an artist, a title with a nested element of its own tag, and a list of its own."""
+    p = table(spark, sf_dir, "pages")
+    names = F.regexp_extract_all("html", F.lit(r'<li><a href="/([^"]*)">([^<]*)</a></li>'), 2)
+    paths = F.regexp_extract_all("html", F.lit(r'<li><a href="/([^"]*)">([^<]*)</a></li>'), 1)
+    start = (F.when(F.col("page_id") % 3 == 0, F.lit('<li class="bucket-item track">'))
+             .when(F.col("page_id") % 3 == 1, F.lit("<li data-of='a>b' class='x bucket-item'>")).otherwise(F.lit("<LI class=bucket-item>")))
+    row = F.transform(F.arrays_zip(names.alias("n"), paths.alias("p")), lambda z: F.concat(
+        start, F.lit("<ul><li>1</li></ul><!-- <li class=track> --><span class=artists>"), z["p"],
+        F.lit("</span><div class='title'><div><b>"), z["n"], F.lit("</b></div> <div>mix</div></div></li>\n")))
+    html = F.concat(F.lit("<html><script>'<li class=\"track\">'</script><ol>"), F.array_join(row, ""), F.lit("</ol></html>"))
+    genre = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return p.select("url", genre.alias("genre"), F.regexp_replace(genre, r"[^a-z0-9]+", "-").alias("slug"),
+                    F.col("page_id").cast("int").alias("ord"), html.alias("html"))
+
+
+def alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases: the distinct words of seven or more letters in the documents."""
+    words = F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")))
+    return table(spark, sf_dir, "documents").select(words.alias("alias")).where("length(alias) >= 7").distinct()
+
+
 # Patterns that find artist and title inside the stand-in chart rows
 # (<li><a href="/artist">title</a></li>).
 CHART_ROW = r"<li>(.*?)</li>"
