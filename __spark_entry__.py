@@ -26,7 +26,7 @@ from gleaner.operators.infer import infer_batch
 from gleaner.operators.items import listing_items, feed_items, union_sources
 from gleaner.operators.lenses import first_lens_col, lens_library, lens_table, lookup_col, match_lenses_table, summary_col
 from gleaner.operators.enrich import enrich_prompts, interest_filter, parse_enrichment, split_quarantine
-from gleaner.functions.metadata import build_metadata, derive_relevance
+from gleaner.functions.metadata import build_metadata, relevance_by_mode
 from gleaner.operators.score import prerank, wire_prerank
 from gleaner.operators.aliases import alias_hits
 from gleaner.plans.funnel import run_funnel
@@ -366,8 +366,8 @@ def q_fail_open(spark, d):
 
 def q_derive_relevance(spark, d):
     topics = F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")
-    return _docs(spark, d).select("doc_id", F.array_join(derive_relevance(topics), "|").alias("relevance"),
-                                  F.array_join(derive_relevance(topics, mode="token"), "|").alias("relevance_token"))
+    r = _docs(spark, d).select("doc_id", relevance_by_mode(topics).alias("r"))
+    return r.select("doc_id", F.array_join("r.substring", "|").alias("relevance"), F.array_join("r.token", "|").alias("relevance_token"))
 
 
 def q_build_metadata(spark, d):

@@ -32,8 +32,7 @@ def note_body(c) -> Column:
 
 
 def _unquote(v: Column) -> Column:
-    v = F.regexp_replace(strip_ws(v), '^"+|"+$', "")
-    return F.regexp_replace(v, "^'+|'+$", "")
+    return F.btrim(F.btrim(strip_ws(v), F.lit('"')), F.lit("'"))
 
 
 def frontmatter_map(c) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,24 +34,9 @@ def _alias_map(aliases) -> Column:
     return F.create_map(*[x for k, v in aliases for x in (F.lit(k), F.lit(v))])
 
 
-def _alias_array(aliases) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in aliases])
-
-
 _SEP = "\u0001"
 
 
-def _candidate_pattern(aliases, taxonomy) -> str:
-    """Whole topics (between separators) that are an alias key in any case,
-    or a taxonomy value as written. Keys containing a space would also match
-    the '-' spelling."""
-    def key_alt(k):
-        return "".join("[ -]" if ch == " " else re.escape(ch) for ch in k)
-    keys = "|".join(key_alt(k) for k, _ in aliases)
-    tax = "|".join(re.escape(x) for x in taxonomy)
-    return r"(?:^|\x01)((?iu:" + keys + r")|" + tax + r")(?=\x01|$)"
-
-
 def derive_relevance(topics, aliases=TAXONOMY_ALIASES, taxonomy=RELEVANCE_TAXONOMY,
                      default: str = DEFAULT_RELEVANCE, mode: str = "substring") -> Column:
     """Direct alias per topic (``-`` read as space; unknown topics stay as
@@ -64,30 +47,66 @@ def derive_relevance(topics, aliases=TAXONOMY_ALIASES, taxonomy=RELEVANCE_TAXONO
     hits ``techno``), as the reference does; ``mode="token"`` matches whole
     words only.
     """
+    return relevance_by_mode(topics, aliases, taxonomy, default, (mode,))[mode]
+
+
+def relevance_by_mode(topics, aliases=TAXONOMY_ALIASES, taxonomy=RELEVANCE_TAXONOMY,
+                      default: str = DEFAULT_RELEVANCE, modes=("substring", "token")) -> Column:
+    """``derive_relevance`` in several modes at once, a struct with a field per mode.
+
+    The topics are joined and lower-cased once, every alias is looked for with one
+    plain substring search, and only for those found is it asked whether one is a
+    whole topic (and where) or a whole word; no pattern runs over the text.
+    """
+    aliases, known = [(k, v) for k, v in aliases], set(taxonomy)
     amap = _alias_map(aliases)
-    tax = F.array(*[F.lit(x) for x in taxonomy])
-    cand_pattern = _candidate_pattern(aliases, taxonomy)
-
-    def derive(t):
-        # Only a topic equal to an alias key (case-insensitive, '-' read as a
-        # space) or to a taxonomy value can survive the taxonomy filter, so
-        # one regex pass over the joined topics picks those, in order; the
-        # lookup then runs on the few candidates instead of every topic.
-        cands = F.regexp_extract_all(F.array_join(t, _SEP), F.lit(cand_pattern), 1)
-        direct = F.transform(cands, lambda x: F.coalesce(
-            F.try_element_at(amap, F.replace(F.lower(x), F.lit("-"), F.lit(" "))), x))
-
-        def found_in(blob):
-            if mode == "token":
-                return let(F.split(blob, r"(?U)\s+"), lambda words: F.transform(
-                    F.filter(_alias_array(aliases), lambda a: F.array_contains(words, a["k"])), lambda a: a["v"]))
-            return F.transform(F.filter(_alias_array(aliases), lambda a: F.instr(blob, a["k"]) > 0), lambda a: a["v"])
-
-        found = let(F.lower(F.array_join(t, " ")), found_in)
-        return F.array_distinct(F.filter(F.concat(direct, found), lambda x: F.array_contains(tax, x)))
-
-    rel = let(F.coalesce(col_of(topics), empty_str_array()), derive)
-    return let(rel, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(F.lit(default))))
+    itself = {k for k, v in dict(aliases).items() if k == v}
+    # Topics that are taxonomy values as they stand count too, unless they are aliases of themselves.
+    bare = [x for x in taxonomy if x not in itself]
+    tax = F.array(*[F.lit(x) for x in taxonomy]).cast("array<string>")
+
+    def hit(k, v, blob, framed, words):
+        """(value, place of the first topic that is the alias, whether in the text, whether a word of it)."""
+        whole = F.lit(f"{_SEP}{k}{_SEP}")
+        inside = F.contains(blob, F.lit(k))
+        # An alias with a space may be a topic written with "-", which the text does not contain as it is.
+        maybe = inside | F.contains(framed, whole) if " " in k else inside
+        return F.when(maybe, F.struct(
+            F.lit(v).alias("v"), F.when(F.contains(framed, whole), F.locate(f"{_SEP}{k}{_SEP}", framed)).alias("at"),
+            inside.alias("substring"), F.contains(words(), F.lit(f" {k} ")).alias("token")))
+
+    def of_text(t):
+        def with_low(low):
+            blob = F.replace(low, F.lit(_SEP), F.lit(" "))
+            framed = F.concat(F.lit(_SEP), F.replace(low, F.lit("-"), F.lit(" ")), F.lit(_SEP))
+            return let(F.struct(blob.alias("blob"), framed.alias("framed")), lambda b: with_hits(low, b["blob"], F.array_compact(
+                F.array(*[hit(k, v, b["blob"], b["framed"], lambda: F.concat(
+                    F.lit(" "), F.regexp_replace(b["blob"], r"(?U)\s+", " "), F.lit(" "))) for k, v in aliases if v in known]))))
+
+        def with_hits(low, blob, hits):
+            by_place = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
+            mixed = F.filter(F.transform(t, lambda x: F.coalesce(F.try_element_at(amap, F.replace(F.lower(x), F.lit("-"), F.lit(" "))), x)),
+                             lambda x: F.array_contains(tax, x))
+            some_bare = F.lit(False)
+            for x in bare:
+                some_bare = some_bare | F.contains(low, F.lit(x.lower()))
+
+            def by_mode(h):
+                values = lambda rows: F.transform(rows, lambda r: r["v"])
+                # Rare: a taxonomy value among the topics, so each topic is looked at in order.
+                direct = F.when(some_bare, mixed).otherwise(values(F.array_sort(F.filter(h, lambda r: r["at"].isNotNull()), by_place)))
+                return let(direct, lambda d: F.struct(*[_or_default(F.array_distinct(F.concat(d, values(F.filter(h, lambda r: r[m])))),
+                                                                    default).alias(m) for m in modes]))
+
+            return let(hits, by_mode)
+
+        return let(F.lower(F.array_join(t, _SEP)), with_low)
+
+    return let(F.coalesce(col_of(topics), empty_str_array()), of_text)
+
+
+def _or_default(values: Column, default: str) -> Column:
+    return let(values, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(F.lit(default))))
 
 
 def _truthy_str(c) -> Column:

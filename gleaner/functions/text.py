@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ._util import col_of, lit_of
 
 
+# The characters Python's ``str.strip()`` takes off.
+_WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col_of(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace. A trim
+    looks at the ends only; a pattern would walk through the whole text."""
+    return F.btrim(col_of(c), F.lit(_WHITE))
 
 
 def squash_ws(c) -> Column:

@@ -208,34 +208,39 @@ def backfill_metadata(files: DataFrame, as_of, folders=(INBOX_FOLDER, ARCHIVE_FO
     reference wipes them). ``changed`` is true only when a field differs
     (T19). The body is kept as is; the caller writes a new version.
     """
-    n = parse_notes(files).where(F.col("folder").isin(*folders))
+    n = parse_notes(files).where(F.col("folder").isin(*folders) & F.col("has_fm"))
+    # every field is read out of the frontmatter once, before the many places that use it
+    fields = ("id", "note_id", "title", "source", "source_url", "date", "author", "observation", "publication",
+              "publication_date", "summary", "time_sensitivity")
+    lists = ("tags", "topics", "entities", "claims", "relevance")
     fm = F.col("fm")
+    stem = F.regexp_replace(_file_name(F.col("path")), r"\.md$", "")
+    n = n.select("path", "folder", "fm", "body", stem.alias("__stem"), observation_text(F.col("body")).alias("__context"),
+                 *[FM.fm_get(fm, k).alias(f"__{k}") for k in fields], *[FM.inline_list(FM.fm_get(fm, k)).alias(f"__{k}") for k in lists])
 
     def g(k):
-        return FM.fm_get(fm, k)
+        return F.col(f"__{k}")
 
-    stem = F.regexp_replace(_file_name(F.col("path")), r"\.md$", "")
-    tags = FM.inline_list(g("tags"))
+    tags = g("tags")
     meta = build_metadata(
-        as_of=as_of, note_id=F.coalesce(g("id"), stem), title=F.coalesce(nonblank(g("title")), g("observation")),
+        as_of=as_of, note_id=F.coalesce(g("id"), g("stem")), title=F.coalesce(nonblank(g("title")), g("observation")),
         source=g("source"), source_url=g("source_url"), published_date=g("date"), raw_tags=tags,
-        p_observation=g("observation"), p_expanded_context=observation_text(F.col("body")), p_tags=tags)
-    out = n.where(F.col("has_fm")).select("path", "folder", "fm", "body", meta.alias("meta"))
+        p_observation=g("observation"), p_expanded_context=g("context"), p_tags=tags)
+    out = n.withColumn("meta", meta)
     if not overwrite:
         # override from the computed column (a separate projection, so the
         # metadata expression is not re-inlined into every field access)
         m0 = F.col("meta")
-        old_entities = FM.inline_list(g("entities"))
+        old_entities = g("entities")
         out = out.withColumn("meta", m0.withField("author", F.coalesce(nonblank(g("author")), m0["author"]))
                              .withField("entities", F.when(F.size(old_entities) > 0, old_entities)
                                         .otherwise(m0["entities"])))
     old = F.struct(
         g("note_id").alias("note_id"), g("title").alias("title"), g("publication").alias("publication"),
         g("publication_date").alias("publication_date"), g("author").alias("author"),
-        F.array_join(FM.inline_list(g("topics")), "|").alias("topics"),
-        F.array_join(FM.inline_list(g("entities")), "|").alias("entities"),
-        g("summary").alias("summary"), F.array_join(FM.inline_list(g("claims")), "|").alias("claims"),
-        F.array_join(FM.inline_list(g("relevance")), "|").alias("relevance"),
+        F.array_join(g("topics"), "|").alias("topics"), F.array_join(g("entities"), "|").alias("entities"),
+        g("summary").alias("summary"), F.array_join(g("claims"), "|").alias("claims"),
+        F.array_join(g("relevance"), "|").alias("relevance"),
         g("time_sensitivity").alias("time_sensitivity"))
     m = F.col("meta")
     new = F.struct(
@@ -244,7 +249,7 @@ def backfill_metadata(files: DataFrame, as_of, folders=(INBOX_FOLDER, ARCHIVE_FO
         F.array_join(m["topics"], "|").alias("topics"), F.array_join(m["entities"], "|").alias("entities"),
         m["summary"].alias("summary"), F.array_join(m["claims"], "|").alias("claims"),
         F.array_join(m["relevance"], "|").alias("relevance"), m["time_sensitivity"].alias("time_sensitivity"))
-    return out.withColumn("changed", ~F.coalesce(old.eqNullSafe(new), F.lit(False)))
+    return out.select("path", "folder", "fm", "body", "meta", (~F.coalesce(old.eqNullSafe(new), F.lit(False))).alias("changed"))
 
 
 def backfill_counts(files: DataFrame, backfilled: DataFrame, folders=(INBOX_FOLDER, ARCHIVE_FOLDER)) -> DataFrame:

@@ -155,9 +155,11 @@ def daily_run(sources: Sequence[Source], *, known: DataFrame | None, lens_files:
     items = drop_blank_url(flagged).where(~F.col("__stored")).drop("__stored")
 
     lib = lens_library(lens_files)
-    summary = summary_col(lib)
-    funnel = {"backends": gate_backends, "lens_summary": summary,
-              "exemplar_block": exemplar_block if exemplar_block is not None else F.lit(""),
+    # the texts that every prompt shares come from whole tables: worked out once, as one row
+    block = exemplar_block if exemplar_block is not None else F.lit("")
+    shared = stage(lens_files.sparkSession.range(1).select(summary_col(lib).alias("summary"), block.alias("block")), "table")
+    summary = shared.select("summary").scalar()
+    funnel = {"backends": gate_backends, "lens_summary": summary, "exemplar_block": shared.select("block").scalar(),
               "taxonomy": taxonomy, "threshold": triage_threshold, "max_survivors": max_survivors, "comments": comments,
               "partitions": model_partitions, "memory": f"{memory}/gate" if memory else None}
     try:
