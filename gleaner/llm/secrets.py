@@ -3,7 +3,7 @@
 A text is scanned, then unwrapped: URL escapes, Unicode escapes, base64 runs and
 the compressed data inside them each give a new layer, which is scanned and
 unwrapped in turn, until no layer gives a new one. A layer is put on the
-worklist once (by its text and the stretch of the original it came from, so a
+worklist once (by its text or a digest of it, and the stretch of the original it came from, so a
 blob that repeats counts at every place), so encodings that lead back to
 themselves end.
 Every layer carries, for each of its characters, the stretch of the original
@@ -18,8 +18,11 @@ is unpacked wherever it starts, all members of it.
 
 Cases: a null or empty text has no span; rows that repeat are scanned row by row;
 very long texts are scanned whole. Data that unpacks to more than
-``MAX_UNPACKED`` bytes (a decompression bomb) is not unpacked and counted in
-``n_oversized``; ``redacted`` masks the whole run that holds it. An empty table gives an empty result; further columns are ignored.
+``MAX_UNPACKED`` bytes (a decompression bomb) is read window by window, of which two
+share more than a secret needs; only compressed data inside such a layer that itself
+reaches over several windows is not read to its end. Such layers are counted in
+``n_oversized``, and ``redacted`` masks the whole run that holds one. An empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,11 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-#: Bytes that one compressed layer may unpack to.
+#: Bytes of unpacked data that are looked at as a whole; a layer that unpacks to
+#: more is read in windows of ``WINDOW`` bytes that share ``OVERLAP`` with the next.
 MAX_UNPACKED = 64 << 20
+WINDOW = 16 << 20
+OVERLAP = 1 << 20
 KINDS = ("assign", "access", "hex")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _EITHER = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token"))
@@ -48,7 +55,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+                      r"|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 _BREAK = re.compile(r"(?<![ \t\r\n])[ \t]*+[\r\n][ \t\r\n]*+")
@@ -71,8 +79,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text with the stretch of the original that each character came from
-    (``None`` for the original itself)."""
+    """A text with the stretch of the original that each character came from: two
+    arrays, or two numbers if it is the same for all (unpacked data); ``None`` for
+    the original itself."""
 
     __slots__ = ("text", "frm", "to", "names")
 
@@ -80,11 +89,18 @@ class Layer:
         self.text, self.frm, self.to, self.names = text, frm, to, names
 
     def span(self, a: int, z: int) -> tuple[int, int]:
-        return (a, z) if self.frm is None else (int(self.frm[a:z].min()), int(self.to[a:z].max()))
+        if self.frm is None:
+            return a, z
+        return (self.frm, self.to) if isinstance(self.frm, int) else (int(self.frm[a:z].min()), int(self.to[a:z].max()))
 
 
 def _replaced(layer: Layer, found: list, name: str) -> Layer:
     """The layer with matches (start, end, new text) replaced."""
+    if isinstance(layer.frm, int):
+        cuts = [0, *(x for a, z, _ in found for x in (a, z)), len(layer.text)]
+        news = [*(new for _, _, new in found), ""]
+        whole = "".join(x for a, z, new in zip(cuts[::2], cuts[1::2], news) for x in (layer.text[a:z], new))
+        return Layer(whole, layer.frm, layer.to, layer.names + (name,))
     text, frm, to, at = [], [], [], 0
     src_f = np.arange(len(layer.text)) if layer.frm is None else layer.frm
     src_t = src_f + 1 if layer.frm is None else layer.to
@@ -101,16 +117,19 @@ def _replaced(layer: Layer, found: list, name: str) -> Layer:
 
 
 def _char(m: re.Match) -> str:
-    u, x, hx, dec = m.groups()
-    point = int(u or x or hx, 16) if u or x or hx else int(dec)
+    u, x, hx, dec, long, braced = m.groups()
+    point = int(dec) if dec else int(u or x or hx or long or braced, 16)
     return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else m.group()
 
 
+_DECODERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor,
+             "xz": lzma.LZMADecompressor}
+
+
 def _unpack(data, kind: str, limit: int) -> tuple[bytes, int, bool] | None:
     """The bytes of all members that ``data`` starts with, the bytes read and if the
     last member is whole; raises OverflowError beyond ``limit``."""
-    new = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor,
-           "xz": lzma.LZMADecompressor}[kind]
+    new = _DECODERS[kind]
     out, rest, size, ended = [], data, 0, True
     while ended and (not out or re.match(_PACKED[kind], rest, re.S)):
         d = new()
@@ -128,9 +147,39 @@ def _unpack(data, kind: str, limit: int) -> tuple[bytes, int, bool] | None:
     return (b"".join(out), len(data) - len(rest), ended) if out else None
 
 
+def _windows(data, kind: str, read: list[int]) -> Iterator[bytes]:
+    """What ``data`` unpacks to, in windows; never more than two of them in memory.
+    ``read`` gets the bytes of the whole members read so far."""
+    held, rest = b"", data
+    while re.match(_PACKED[kind], rest, re.S):
+        d = _DECODERS[kind]()
+        feed, ended = rest, False
+        while not ended:
+            try:
+                part = d.decompress(feed, WINDOW)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                break
+            # zlib hands back what it has not read yet, the others keep it.
+            feed = getattr(d, "unconsumed_tail", b"")
+            ended = d.eof or not part and not feed
+            held += part
+            while len(held) >= WINDOW + OVERLAP:
+                yield held[:WINDOW + OVERLAP]
+                held = held[WINDOW:]
+        if not d.eof:
+            break
+        rest = d.unused_data
+        if kind in ("gzip", "xz"):
+            rest = bytes(rest).lstrip(b"\0")
+        read[0] = len(data) - len(rest)
+    if held:
+        yield held
+
+
 def _unpacked(data: bytes, limit: int, above: tuple[bytes, ...] = ()) -> Iterator[tuple]:
-    """(kinds, start, stop, bytes) of the compressed data at any place in ``data``
-    and, one in the other, inside it; no bytes if they are more than ``limit``."""
+    """(kinds, start, stop, bytes, whole) of the compressed data at any place in
+    ``data`` and, one in the other, inside it. Data that unpacks to more than
+    ``limit`` comes in windows (``whole`` is false)."""
     at = 0
     while m := _MAGIC.search(data, at):
         kind, a = m.lastgroup, m.start()
@@ -138,7 +187,12 @@ def _unpacked(data: bytes, limit: int, above: tuple[bytes, ...] = ()) -> Iterato
         try:
             got = _unpack(memoryview(data)[a:], kind, limit)
         except OverflowError:
-            yield (kind,), a, len(data), None
+            read = [0]
+            for out in _windows(memoryview(data)[a:], kind, read):
+                yield (kind,), a, len(data), out, False
+                for kinds, _, _, inner, _ in _unpacked(out, limit, (*above, data)):
+                    yield (kind, *kinds), a, len(data), inner, False
+            at = max(at, a + read[0])
             continue
         if got is None:
             continue
@@ -146,18 +200,20 @@ def _unpacked(data: bytes, limit: int, above: tuple[bytes, ...] = ()) -> Iterato
         if ended:
             at = max(at, a + used)
         if out and out != data and out not in above:  # data may unpack to itself
-            yield (kind,), a, a + used, out
-            for kinds, _, _, inner in _unpacked(out, limit, (*above, data)):
-                yield (kind, *kinds), a, a + used, inner
+            yield (kind,), a, a + used, out, True
+            for kinds, _, _, inner, whole in _unpacked(out, limit, (*above, data)):
+                yield (kind, *kinds), a, a + used, inner, whole
 
 
-def _ascii(data: bytes) -> tuple[str, np.ndarray] | None:
-    """The long ASCII stretches, parted by NUL, and the place of each character in ``data``."""
+def _ascii(data: bytes) -> tuple[str, list] | None:
+    """The long ASCII stretches, parted by NUL, and where they are in ``data``."""
     found = [m.span() for m in _ASCII.finditer(data)]
-    if not found:
-        return None
-    at = np.concatenate([np.arange(a, z + 1) for a, z in found])[:-1]
-    return "\0".join(data[a:z].decode("ascii") for a, z in found), np.minimum(at, len(data) - 1)
+    return ("\0".join(data[a:z].decode("ascii") for a, z in found), found) if found else None
+
+
+def _places(found: list, size: int) -> np.ndarray:
+    """The place of each character of ``_ascii``'s text in its data."""
+    return np.minimum(np.concatenate([np.arange(a, z + 1) for a, z in found])[:-1], size - 1)
 
 
 def _base64_runs(text: str) -> Iterator[tuple]:
@@ -186,7 +242,7 @@ def _base64_bytes(run: str, phase: int) -> bytes:
 
 
 def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | tuple[int, int]]:
-    """The layers one step below; only the original's stretch for one that is too large to unpack."""
+    """The layers one step below; the original's stretch also for one that is read in windows."""
     text = layer.text
     if "%" in text:
         found = [(m.start(), m.end(), bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace"))
@@ -203,19 +259,26 @@ def unwrapped(layer: Layer, limit: int = MAX_UNPACKED) -> Iterator[Layer | tuple
 
             def stretch(first, last):
                 """Where bytes come from: each came from a group of four characters."""
+                if isinstance(layer.frm, int):
+                    return layer.frm, layer.to
                 a = place(phase + first // 3 * 4)
                 z = place(np.minimum(phase + last // 3 * 4 + 4, len(run)) - 1) + 1
                 return (a, z) if layer.frm is None else (layer.frm[a], layer.to[z - 1])
 
             if plain := _ascii(data):
-                yield Layer(plain[0], *stretch(plain[1], plain[1]), layer.names + ("base64",))
-            for kinds, a, z, out in _unpacked(data, limit):
+                at = 0 if isinstance(layer.frm, int) else _places(plain[1], len(data))
+                yield Layer(plain[0], *stretch(at, at), layer.names + ("base64",))
+            for kinds, a, z, out, whole in _unpacked(data, limit):
                 f, t = map(int, stretch(np.int64(a), np.int64(z - 1)))
-                if out is None:
+                if not whole:
                     yield f, t
-                elif plain := _ascii(out):
-                    n = len(plain[0])
-                    yield Layer(plain[0], np.full(n, f), np.full(n, t), layer.names + ("base64", *kinds))
+                if plain := _ascii(out):
+                    yield Layer(plain[0], f, t, layer.names + ("base64", *kinds))
+
+
+def _mark(text: str) -> str | bytes:
+    """The text, or a digest of it if it is longer."""
+    return text if len(text) <= 64 else blake2b(text.encode("utf-8", "surrogatepass"), digest_size=24).digest()
 
 
 def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str, int, int]], int]:
@@ -226,18 +289,20 @@ def find_secrets(text: str, limit: int = MAX_UNPACKED) -> tuple[list[tuple[str,
 
 def _find(text: str, limit: int) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
     """As ``find_secrets``, with the end by start of the stretches of oversized layers."""
-    work, seen, spans, oversized = [Layer(text, None, None, ())], {(text, 0, len(text))}, {}, {}
+    seen, spans, oversized = set(), {}, {}
+    work = [iter([Layer(text, None, None, ())])]  # a layer is finished before the next beside it is made
     while work:
-        layer = work.pop()
-        for kind, a, z in scan(layer.text):
-            f, t = layer.span(a, z)
-            spans.setdefault(("/".join((*layer.names, kind)), f, t))
-        for new in unwrapped(layer, limit):
-            if isinstance(new, tuple):
-                oversized[new[0]] = max(new[1], oversized.get(new[0], 0))
-            elif (key := (new.text, *new.span(0, len(new.text)))) not in seen:
-                seen.add(key)
-                work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif isinstance(new, tuple):
+            oversized[new[0]] = max(new[1], oversized.get(new[0], 0))
+        elif (key := (_mark(new.text), *new.span(0, len(new.text)))) not in seen:
+            seen.add(key)
+            for kind, a, z in scan(new.text):
+                f, t = new.span(a, z)
+                spans.setdefault(("/".join((*new.names, kind)), f, t))
+            work.append(unwrapped(new, limit))
     # A secret that a decoded layer only repeats from its surroundings is no new one.
     plain = {(k, a, z) for k, a, z in spans if "/" not in k}
     more = {(k, a, z) for k, a, z in spans if "/" in k and (k.rpartition("/")[2], a, z) not in plain}

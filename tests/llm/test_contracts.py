@@ -19,6 +19,20 @@ def rows_of(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
 
 
+def test_op6_sql_splits_at_every_blank_of_the_contract(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(1, "a\rb\x0bc", "s"), (2, "d\x0ce\tf g\nh", "s"), (3, "i-j", "t"), (4, "\x00 \x1f", "t")]
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]}),
+                   tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    want = Counter(con.execute(f"SELECT doc_id, size, source_size, taken FROM ({OP6_SQL})").fetchall())
+    got = rows_of(Q["op6_pareto_mix"](spark, str(tmp_path)), "doc_id", "size", "source_size", "taken")
+    assert got == want and {k[:2] for k in got} == {(1, 3), (2, 5), (3, 1), (4, 2)}
+
+
 @pytest.mark.parametrize("name", sorted(Q))
 def test_empty_tables(spark, empty, name):
     assert Q[name](spark, empty).count() == 0
@@ -202,7 +216,7 @@ def test_op5_layers():
     assert redacted(f"x {t} y").startswith("x [SECRET]")
     assert find_secrets("%2525252520 100%25 sure")[0] == []
     big = base64.b64encode(__import__("zlib").compress(b"0" * 100_000)).decode()
-    assert find_secrets(big, limit=1000) == ([], 1)
+    assert find_secrets(big, limit=1000) == ([("base64/zlib/hex", 0, len(big))], 1)
     assert redacted(None) is None and redacted("") == ""
 
 
@@ -249,11 +263,44 @@ def test_redacted_masks_oversized():
 
     big = base64.b64encode(zlib.compress(b"-" * 5000 + b"token=abcdefgh1")).decode()
     text = f"see {big}, then {big} end"
-    assert find_secrets(text, limit=1000) == ([], 2)
+    at = [(4, 4 + len(big)), (11 + len(big), 11 + 2 * len(big))]
+    assert find_secrets(text, limit=1000) == ([("base64/zlib/assign", a, z) for a, z in at], 2)
     assert redacted(text, limit=1000) == "see [SECRET], then [SECRET] end"
     assert redacted(f"%41 {big}.", limit=1000) == "%41 [SECRET]."
 
 
+def test_op5_layers_read_in_windows(monkeypatch):
+    """A layer far over the limit is read to its end, a secret on a window's edge and packed data inside found."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+
+    from gleaner.llm import secrets
+
+    monkeypatch.setattr(secrets, "WINDOW", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 512)
+    secret = b'password="hunter2hunter2"'
+    for pack, kind in ((gzip.compress, "gzip"), (zlib.compress, "zlib"), (bz2.compress, "bzip2"), (lzma.compress, "xz")):
+        for at in (0, 4090, 4100, 8190, 20_000, 39_900):
+            body = bytearray(b"lorem ipsum dolor " * 2300)[:40_000]
+            body[at:at + len(secret)] = secret
+            t = base64.b64encode(pack(bytes(body[:15_000])) + pack(bytes(body[15_000:]))).decode()
+            found, over = secrets.find_secrets(f"x {t} y", limit=1000)
+            assert (f"base64/{kind}/assign", 2, 2 + len(t)) in found and over == 1, (kind, at)
+        inner = pack(b"x " * 90_000 + base64.b64encode(gzip.compress(secret)) + b" " + gzip.compress(secret))
+        found, _ = secrets.find_secrets(base64.b64encode(inner).decode(), limit=1000)
+        assert {f"base64/{kind}/base64/gzip/assign", f"base64/{kind}/gzip/assign"} <= {k for k, _, _ in found}
+
+
+def test_op5_unicode_forms():
+    from gleaner.llm.secrets import find_secrets
+
+    for text in (r"\U00000074oken=qqqqqqq", r"\u{74}oken=qqqqqqq", "&#X74;oken=qqqqqqq", "&#116;oken=qqqqqqq"):
+        assert find_secrets(text) == ([("unicode/assign", 0, len(text))], 0)
+
+
 def test_op5_repeated_blob():
     import base64
 
