@@ -288,8 +288,8 @@ def test_op5_layers_read_in_windows(monkeypatch):
             body[at:at + len(secret)] = secret
             t = base64.b64encode(pack(bytes(body[:15_000])) + pack(bytes(body[15_000:]))).decode()
             found, over = secrets.find_secrets(f"x {t} y", limit=1000)
-            assert (f"base64/{kind}/assign", 2, 2 + len(t)) in found and over == 1, (kind, at)
-        inner = pack(b"x " * 90_000 + base64.b64encode(gzip.compress(secret)) + b" " + gzip.compress(secret))
+            assert (f"base64/{kind}/assign", 2, 2 + len(t)) in found and over >= 1, (kind, at)
+        inner = pack(b"x " * 90_000 + base64.b64encode(gzip.compress(secret)) + b" " + gzip.compress(b"api_key: other99"))
         found, _ = secrets.find_secrets(base64.b64encode(inner).decode(), limit=1000)
         assert {f"base64/{kind}/base64/gzip/assign", f"base64/{kind}/gzip/assign"} <= {k for k, _, _ in found}
 
