@@ -1,18 +1,22 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Classes: the ``HEAD_CLASSES`` commonest words, the end of a text, and
-``TAIL_CLASSES`` classes of all other words by their last bytes. The model
-predicts the next class from the two before it: the context vector is
-``c1 * R[one back] + c2 * R[two back]`` and a class scores its product with
-``Q[class]`` plus a bias. Inside a tail class a word has its add-one share of the
-class's counts, unknown words together one share, so the probabilities of all
-words, the unknown and the end sum to one.
+Two layers, both log-bilinear, factor the softmax. The first predicts a class: the
+``HEAD_CLASSES`` commonest words and the end of a text are classes of their own,
+``TAIL_CLASSES`` classes hold all other words by their last bytes. From the two
+classes before it the context vector is ``c1 * R[one back] + c2 * R[two back]``,
+and a class scores its product with ``Q[class]`` plus a bias. The second predicts
+the word inside a tail class: the ``own_words`` commonest words, ever more of them
+as the corpus grows (``OWN_SCALE * tokens ** OWN_POWER``), have a vector and a bias
+each, scored against a vector of the class one back; one further slot of each class
+stands for its rarer words, among which a word has its add-one share, unknown words
+together one. So the probabilities of all words, the unknown and the end sum to one.
+At 10^13 tokens some 2.6 million words have vectors (about 180 MB in a task).
 
 Training covers every training text. Each of ``ROUNDS`` rounds takes its share of
 the texts (by hash), every partition runs NCE in numpy from the common
-parameters over its tokens, and the parameters are averaged, weighted by tokens.
-Counts cover every training text; only the ``LOOKUP_WORDS`` commonest are
-broadcast, all other words of a text meet their counts in a join (no such word is
+parameters over its tokens, and the changes are averaged, weighted by tokens.
+Counts cover every training text; only the ``LOOKUP_WORDS`` commonest (or those
+with vectors, if more) are broadcast, all other words of a text meet their counts in a join (no such word is
 common, so the join has no hot key).
 
 Cases: null and empty texts are one end token; rows that repeat are scored (and
@@ -23,7 +27,9 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,9 @@ HEAD_CLASSES = 639
 TAIL_CLASSES = 128
 DIM = 16
 NOISE = 32
+#: Noise words of each token inside its class.
+NOISE_WORDS = 4
+OWN_SCALE, OWN_POWER = 16, 0.4
 BATCH = 2048
 ROUNDS = 3
 RATE = 0.05
@@ -45,10 +54,6 @@ LOOKUP_WORDS = 120_000
 END = ""  # no word is empty
 
 
-def _tail_class(word: bytes, head: int, tails: int) -> int:
-    return 1 + head + zlib.crc32(word[-3:]) % tails
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of ``docs`` (text); the end token is the empty word."""
 
@@ -76,35 +81,72 @@ def common_words(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(step >= least) if least is not None else counts.limit(0)
 
 
-class Classes:
-    """Class of every word: 0 the end, then the head words, then the tail classes."""
-
-    def __init__(self, head: list[bytes], tails: int):
-        self.head, self.tails, self.size = pa.array(head, pa.large_binary()), tails, 1 + len(head) + tails
-
-    def of(self, words: pa.Array) -> np.ndarray:
-        out = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy(zero_copy_only=False) + 1
-        for i in np.flatnonzero(out == 0):
-            out[i] = _tail_class(words[i].as_py(), len(self.head), self.tails)
-        return out
-
-
-def _contexts(texts: list[bytes], classes: Classes):
-    """(one back, two back, class) of every token of the texts, ends included;
-    before a text stands the end's class. Also words, dictionary and counts."""
+def own_words(tokens: int) -> int:
+    """Number of words with vectors of their own for a corpus of ``tokens`` tokens."""
+    return max(HEAD_CLASSES, int(OWN_SCALE * tokens ** OWN_POWER))
+
+
+class Vocabulary:
+    """Class and slot of every word. Classes: 0 the end, then the head words, then
+    the tail classes. Slots: for each tail class its rarer words, then its own words."""
+
+    def __init__(self, words: list[bytes], head: int = HEAD_CLASSES, tails: int = TAIL_CLASSES):
+        self.head, self.tails = min(head, len(words)), tails
+        self.size, self.first_tail = 1 + self.head + tails, 1 + self.head
+        self.words = pa.array(words, pa.large_binary())
+        tail = np.array([zlib.crc32(w[-3:]) % tails for w in words[self.head:]], dtype=np.int64)
+        #: First slot of each tail class, and the number of slots.
+        self.first = np.arange(tails + 1) + np.concatenate(([0], np.cumsum(np.bincount(tail, minlength=tails))))
+        order = np.argsort(tail, kind="stable")
+        slot = np.empty(len(tail), dtype=np.int64)
+        slot[order] = np.arange(len(tail)) + tail[order] + 1
+        self.class_of = np.concatenate((np.arange(1, self.first_tail), self.first_tail + tail))
+        self.slot_of = np.concatenate((np.full(self.head, -1), slot))
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(class, slot) by word; head words have slot -1."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        rare = np.flatnonzero(at < 0)
+        tail = np.array([zlib.crc32(words[i].as_py()[-3:]) % self.tails for i in rare], dtype=np.int64)
+        classes, slots = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        classes[at >= 0], slots[at >= 0] = self.class_of[at[at >= 0]], self.slot_of[at[at >= 0]]
+        classes[rare], slots[rare] = self.first_tail + tail, self.first[tail]
+        return classes, slots
+
+
+def _contexts(texts: list[bytes], vocabulary: Vocabulary):
+    """(one back, two back, class, slot) of every token of the texts, ends included
+    (slot -1); before a text stands the end's class. Also words, dictionary and
+    counts, and the slots of the dictionary."""
     ids, words, counts = encode_words(texts, SPLIT_BLANKS_LOWER)
-    of = classes.of(words)
+    of, slot_of = vocabulary.of(words)
     ends = np.cumsum(counts + 1) - 1
     tokens = np.zeros(len(ids) + len(texts), dtype=np.int64)
+    slots = np.full(len(tokens), -1, dtype=np.int64)
     inner = np.ones(len(tokens), dtype=bool)
     inner[ends] = False
-    tokens[inner] = of[ids]
+    tokens[inner], slots[inner] = of[ids], slot_of[ids]
     starts = ends - counts
     one = np.concatenate(([0], tokens[:-1]))
     two = np.concatenate(([0, 0], tokens[:-2]))[:len(tokens)]
     two[np.minimum(starts + 1, ends)] = 0
     one[starts] = two[starts] = 0
-    return one, two, tokens, ids, words, counts, of
+    return one, two, tokens, slots, ids, words, counts, of, slot_of
+
+
+def _by_row(index: np.ndarray, grad: np.ndarray):
+    """Distinct rows of ``index`` and the sums of their gradients."""
+    narrow = index.astype(np.uint16) if index.size and index.max() < 1 << 16 else index
+    order = np.argsort(narrow, kind="stable")
+    index = index[order]
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(index) != 0)))
+    return index[cut], np.add.reduceat(grad[order], cut, axis=0)
+
+
+def _step(param, square, index, grad, rate):
+    """AdaGrad on some rows of a parameter."""
+    square[index] += grad * grad
+    param[index] -= rate * grad / np.sqrt(square[index])
 
 
 class Model:
@@ -118,35 +160,13 @@ class Model:
         self.c = np.ones((2, dim), dtype=np.float32) * np.float32(0.7)
         self.bias = np.log(frequency).astype(np.float32)
 
-    def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.R, self.Q, self.c, self.bias)])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for name in ("R", "Q", "c", "bias"):
-            x = getattr(self, name)
-            setattr(self, name, flat[at:at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-
     def train(self, one, two, target, noise_p: np.ndarray, rng, noise: int = NOISE, rate: float = RATE, squares=None):
         """One pass of noise-contrastive estimation with the noise classes shared by a batch."""
         k = len(noise_p)
         log_noise = np.log(noise * noise_p).astype(np.float32)
         cumulative = np.cumsum(noise_p)
-        squares = squares if squares is not None else np.full(self.vector().size, 1e-8, np.float32)
-        parts = np.cumsum([0, self.R.size, self.Q.size, self.c.size, self.bias.size])
-        sq_r, sq_q, sq_c, sq_b = (squares[a:b] for a, b in zip(parts, parts[1:]))
-
-        def rows(index, grad):
-            order = np.argsort(index.astype(np.uint16), kind="stable")
-            index = index[order]
-            cut = np.flatnonzero(np.concatenate(([True], np.diff(index) != 0)))
-            return index[cut], np.add.reduceat(grad[order], cut, axis=0)
-
-        def step(param, square, index, grad):
-            square = square.reshape(param.shape)
-            square[index] += grad * grad
-            param[index] -= rate * grad / np.sqrt(square[index])
+        squares = squares or [np.full(x.shape, 1e-8, np.float32) for x in (self.R, self.Q, self.c, self.bias)]
+        sq_r, sq_q, sq_c, sq_b = squares
 
         for at in range(0, len(target), BATCH):
             i, j, w = one[at:at + BATCH], two[at:at + BATCH], target[at:at + BATCH]
@@ -159,16 +179,16 @@ class Model:
             g_neg = 1 / (1 + np.exp(-np.clip(neg, -30, 30)))
             scale = np.float32(1 / len(w))
             g_ctx = (g_pos[:, None] * qw + g_neg @ qn) * scale
-            wi, gq = rows(w, np.concatenate((g_pos[:, None] * ctx, g_pos[:, None]), axis=1) * scale)
-            ri_, gi = rows(np.concatenate((i, j)), np.concatenate((g_ctx * self.c[0], g_ctx * self.c[1])))
+            wi, gq = _by_row(w, np.concatenate((g_pos[:, None] * ctx, g_pos[:, None]), axis=1) * scale)
+            ri_, gi = _by_row(np.concatenate((i, j)), np.concatenate((g_ctx * self.c[0], g_ctx * self.c[1])))
             gn = np.concatenate((g_neg.T @ ctx, g_neg.sum(axis=0)[:, None]), axis=1) * scale
-            ni, gn = rows(drawn, gn)
+            ni, gn = _by_row(drawn, gn)
             gc = np.stack(((g_ctx * ri).sum(axis=0), (g_ctx * rj).sum(axis=0)))
             for index, g in ((wi, gq), (ni, gn)):
-                step(self.Q, sq_q, index, g[:, :-1])
-                step(self.bias, sq_b, index, g[:, -1])
-            step(self.R, sq_r, ri_, gi)
-            step(self.c, sq_c, slice(None), gc)
+                _step(self.Q, sq_q, index, g[:, :-1], rate)
+                _step(self.bias, sq_b, index, g[:, -1], rate)
+            _step(self.R, sq_r, ri_, gi, rate)
+            _step(self.c, sq_c, slice(None), gc, rate)
         return squares
 
     def log_tables(self, block: int = 32):
@@ -184,94 +204,215 @@ class Model:
         return a.astype(np.float32), b.astype(np.float32), z
 
 
+class WordLayer:
+    """Parameters of the words inside the tail classes: a word's slot scores
+    ``U[class one back] . Q[slot] + bias[slot]`` against the slots of its class."""
+
+    def __init__(self, vocabulary: Vocabulary, mass: np.ndarray, dim: int = DIM, seed: int = 19):
+        rng = np.random.default_rng(seed)
+        self.first = vocabulary.first
+        sizes = np.diff(self.first)
+        share = mass / np.repeat(np.add.reduceat(mass, self.first[:-1]), sizes)
+        noise = share ** 0.75
+        self.noise = noise / np.repeat(np.add.reduceat(noise, self.first[:-1]), sizes)
+        self.U = rng.normal(0, 0.1, (vocabulary.size, dim)).astype(np.float32)
+        self.Q = rng.normal(0, 0.1, (len(mass), dim)).astype(np.float32)
+        self.bias = np.log(share).astype(np.float32)
+
+    def train(self, one, tail, slot, rng, noise: int = NOISE_WORDS, rate: float = RATE, squares=None):
+        """One pass of noise-contrastive estimation over tokens of tail classes;
+        the noise of a token is drawn from its own class."""
+        squares = squares or [np.full(x.shape, 1e-8, np.float32) for x in (self.U, self.Q, self.bias)]
+        sq_u, sq_q, sq_b = squares
+        log_noise = np.log(noise * self.noise).astype(np.float32)
+        cumulative = np.cumsum(self.noise)  # every class adds one
+        for at in range(0, len(slot), BATCH):
+            i, k, w = one[at:at + BATCH], tail[at:at + BATCH], slot[at:at + BATCH]
+            drawn = np.searchsorted(cumulative, k[:, None] + rng.random((len(w), noise)), side="right")
+            drawn = np.clip(drawn, self.first[k][:, None], self.first[k + 1][:, None] - 1)
+            both = np.concatenate((w[:, None], drawn), axis=1)
+            ctx, q = self.U[i], self.Q[both]
+            z = np.einsum("td,tnd->tn", ctx, q) + self.bias[both] - log_noise[both]
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            g[:, 0] -= 1
+            g *= np.float32(1 / len(w))
+            ui, gu = _by_row(i, np.einsum("tn,tnd->td", g, q))
+            gq = np.concatenate((g[:, :, None] * ctx[:, None, :], g[:, :, None]), axis=2).reshape(both.size, -1)
+            qi, gq = _by_row(both.ravel(), gq)
+            _step(self.Q, sq_q, qi, gq[:, :-1], rate)
+            _step(self.bias, sq_b, qi, gq[:, -1], rate)
+            _step(self.U, sq_u, ui, gu, rate)
+        return squares
+
+    def log_norm(self) -> np.ndarray:
+        """Log of the sum over the slots of a tail class, by class one back and tail class."""
+        out = np.empty((len(self.U), len(self.first) - 1), dtype=np.float32)
+        for k, (a, b) in enumerate(zip(self.first, self.first[1:])):
+            scores = self.U @ self.Q[a:b].T + self.bias[a:b]
+            top = scores.max(axis=1)
+            out[:, k] = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+        return out
+
+    def log_p(self, norm: np.ndarray, one, tail, slot) -> np.ndarray:
+        """log P(slot | tail class, class one back) by token."""
+        out = np.empty(len(slot), dtype=np.float64)
+        for at in range(0, len(slot), 1 << 16):
+            i, k, w = (x[at:at + (1 << 16)] for x in (one, tail, slot))
+            out[at:at + (1 << 16)] = np.einsum("td,td->t", self.U[i], self.Q[w]) + self.bias[w] - norm[i, k]
+        return out
+
+
 _PIECE = 4096
+#: Partitions whose changes one task adds up.
+_FAN_IN = 64
+
+
+def _arrays(model: Model, layer: WordLayer) -> list[np.ndarray]:
+    return [model.R, model.Q, model.c, model.bias, layer.U, layer.Q, layer.bias]
+
+
+def _flat(model: Model, layer: WordLayer) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in _arrays(model, layer)])
 
 
-def fit(train: DataFrame, classes: Classes, frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Train on every row of ``train`` (text, share); ``frequency``: class probabilities, all above 0."""
+def _add(key, rows):
+    total = np.sum([np.frombuffer(x, dtype=np.float64) for x in rows["sums"]], axis=0)
+    out = rows.iloc[:1].copy()
+    out["tokens"], out["sums"] = rows["tokens"].sum(), [total.tobytes()]
+    return out
+
+
+def fit(train: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, mass: np.ndarray,
+        rounds: int = ROUNDS) -> tuple[Model, WordLayer]:
+    """Train on every row of ``train`` (text, share); ``frequency``: class
+    probabilities, ``mass``: counts by slot, all above 0."""
     spark = train.sparkSession
-    model = Model(frequency)
+    model, layer = Model(frequency), WordLayer(vocabulary, mass)
     noise_p = frequency ** 0.75
     noise_p /= noise_p.sum()
     for r in range(rounds):
-        state = spark.sparkContext.broadcast((model, classes, noise_p))
+        state = spark.sparkContext.broadcast((model, layer, vocabulary, noise_p))
 
         def part(batches):
-            start, classes, noise_p = state.value
-            local = Model(noise_p)
-            local.load(start.vector())
-            tokens, squares = 0, None
+            start, start_layer, vocabulary, noise_p = state.value
+            local, words = copy.deepcopy(start), copy.deepcopy(start_layer)
+            tokens, squares, word_squares = 0, None, None
             rng = np.random.default_rng(29)
             for b in batches:
                 for _, texts in text_slices(b, 0):
-                    one, two, target, *_ = _contexts(texts, classes)
+                    one, two, target, slots, *_ = _contexts(texts, vocabulary)
                     order = rng.permutation(len(target))
                     squares = local.train(one[order], two[order], target[order], noise_p, rng, squares=squares)
+                    order = order[slots[order] >= 0]
+                    word_squares = words.train(one[order], target[order] - vocabulary.first_tail, slots[order], rng,
+                                               squares=word_squares)
                     tokens += len(target)
             if tokens:
-                flat = local.vector().astype(np.float64) * tokens
-                cuts = range(0, len(flat), _PIECE)
+                change = (_flat(local, words).astype(np.float64) - _flat(start, start_layer)) * tokens
+                cuts = [c for c in range(0, len(change), _PIECE) if c == 0 or change[c:c + _PIECE].any()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(cuts)), pa.int32()), pa.array([tokens] * len(cuts), pa.int64()),
-                     pa.array([flat[c:c + _PIECE].tobytes() for c in cuts], pa.binary())], ["piece", "tokens", "sums"])
-
-        def add(key, rows):
-            total = np.sum([np.frombuffer(x, dtype=np.float64) for x in rows["sums"]], axis=0)
-            out = rows.iloc[:1].copy()
-            out["tokens"], out["sums"] = rows["tokens"].sum(), [total.tobytes()]
-            return out
-
-        schema = "piece int, tokens long, sums binary"
-        got = (train.where(F.pmod("share", F.lit(rounds)) == r).select("text").mapInArrow(part, schema)
-               .groupBy("piece").applyInPandas(add, schema).orderBy("piece").collect())
+                    [pa.array([c // _PIECE for c in cuts], pa.int32()), pa.array([tokens] * len(cuts), pa.int64()),
+                     pa.array([change[c:c + _PIECE].tobytes() for c in cuts], pa.binary())], ["piece", "tokens", "sums"])
+
+        schema = "piece int, salt int, tokens long, sums binary"
+        salt = F.floor(F.spark_partition_id() / _FAN_IN).cast("int")
+        got = (train.where(F.pmod("share", F.lit(rounds)) == r).select("text")
+               .mapInArrow(part, "piece int, tokens long, sums binary").withColumn("salt", salt)
+               .groupBy("piece", "salt").applyInPandas(_add, schema)
+               .groupBy("piece").applyInPandas(_add, schema).collect())
         if got:
-            model.load(np.concatenate([np.frombuffer(x["sums"], dtype=np.float64) / x["tokens"] for x in got]))
-    return model
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2),
-              rounds: int = ROUNDS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
-    (add-one unigram) and score (the model), log10 of the whole text."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                       (id_remainder(F.col(id_col), fold[0]) == fold[1]).alias("held_out"))
-    train = rows.where(~F.col("held_out")).withColumn("share", F.xxhash64("doc_id", "text"))
+            # The first piece comes from every partition, so it carries all tokens.
+            total = next(x["tokens"] for x in got if x["piece"] == 0)
+            flat = _flat(model, layer).astype(np.float64)
+            for x in got:
+                sums = np.frombuffer(x["sums"], dtype=np.float64)
+                flat[x["piece"] * _PIECE:x["piece"] * _PIECE + len(sums)] += sums / total
+            at = 0
+            for x in _arrays(model, layer):
+                x[...] = flat[at:at + x.size].reshape(x.shape)
+                at += x.size
+        state.destroy()
+    return model, layer
+
+
+@dataclass
+class Learned:
+    """A trained model with the counts it was trained on."""
+
+    vocabulary: Vocabulary
+    model: Model
+    layer: WordLayer
+    counts: DataFrame  # (word, n) of all training words
+    top: list  # the commonest rows of ``counts``
+    total: int
+    distinct: int
+    end_count: int
+    rest_share: np.ndarray  # by tail class: counts, words and one of its rarer words
+
+
+def learn(train: DataFrame, rounds: int = ROUNDS, head: int = HEAD_CLASSES, own: int | None = None) -> Learned:
+    """Count and train on every row of ``train`` (text, share: any hash of the row);
+    ``own`` words have vectors, by default as many as ``own_words`` gives for the corpus."""
     counts = staged(word_counts(train), "counts")
-    top = sorted(common_words(counts, LOOKUP_WORDS).collect(), key=lambda r: (-r["n"], r["word"]))
-    head = [r["word"].encode() for r in top if r["word"] != END][:HEAD_CLASSES]
-    classes = Classes(head, TAIL_CLASSES)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    headed = set(head)
     end_count = (counts.where(F.col("word") == END).first() or {"n": 0})["n"]
-    n_head = {r["word"].encode(): r["n"] for r in top if r["word"].encode() in headed}
+    own = own_words(total) if own is None else own
+    top = sorted(common_words(counts, max(LOOKUP_WORDS, own)).collect(), key=lambda r: (-r["n"], r["word"]))
+    picked = [r for r in top if r["word"] != END][:own]
+    vocabulary = Vocabulary([r["word"].encode() for r in picked], head)
+    n_own = np.array([r["n"] for r in picked], dtype=np.float64)
     last = F.expr("substring(cast(word as binary), -3, 3)")
-    tails = (counts.where(~F.col("word").isin([h.decode() for h in head] + [END]))
+    headed = [r["word"] for r in picked[:vocabulary.head]]
+    tails = (counts.where(~F.col("word").isin(headed + [END]))
              .groupBy((F.crc32(last) % TAIL_CLASSES).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect())
-    mass = np.array([end_count, *(n_head[h] for h in head), *[0] * TAIL_CLASSES], dtype=np.float64)
-    tail_share = np.ones(TAIL_CLASSES)  # N_k + V_k + 1
+    n_tail, v_tail = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in tails:
-        mass[1 + len(head) + r["k"]] = r["n"]
-        tail_share[r["k"]] = r["n"] + r["v"] + 1
+        n_tail[r["k"]], v_tail[r["k"]] = r["n"], r["v"]
+    of = vocabulary.class_of[vocabulary.head:] - vocabulary.first_tail
+    slot_n, at = np.zeros(vocabulary.first[-1]), vocabulary.slot_of[vocabulary.head:]
+    slot_n[at] = n_own[vocabulary.head:]
+    n_rest = n_tail - np.bincount(of, weights=n_own[vocabulary.head:], minlength=TAIL_CLASSES)
+    slot_n[vocabulary.first[:-1]] = n_rest
+    rest_share = n_rest + v_tail - np.bincount(of, minlength=TAIL_CLASSES) + 1
+    mass = np.concatenate(([end_count], n_own[:vocabulary.head], n_tail))
     frequency = (mass + 1) / (mass + 1).sum()
-    model = fit(train, classes, frequency, rounds)
-    known = pa.array([r["word"].encode() for r in top], pa.large_binary())
-    log_count = np.append(np.log10(np.array([r["n"] for r in top], dtype=np.float64) + 1), 0.0)
-    state = spark.sparkContext.broadcast((classes, model.log_tables(), known, log_count, np.log10(tail_share)))
-    first_tail = 1 + len(head)
+    model, layer = fit(train, vocabulary, frequency, slot_n + 1, rounds)
+    return Learned(vocabulary, model, layer, counts, top, total, distinct, end_count, rest_share)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2),
+              rounds: int = ROUNDS, learned: Learned | None = None) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
+    (add-one unigram) and score (the model), log10 of the whole text. The model is
+    learnt from the rows outside the fold unless one is given."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       (id_remainder(F.col(id_col), fold[0]) == fold[1]).alias("held_out"))
+    if learned is None:
+        learned = learn(rows.where(~F.col("held_out")).withColumn("share", F.xxhash64("doc_id", "text")), rounds)
+    counts, total, distinct, end_count = learned.counts, learned.total, learned.distinct, learned.end_count
+    known = pa.array([r["word"].encode() for r in learned.top], pa.large_binary())
+    log_count = np.append(np.log10(np.array([r["n"] for r in learned.top], dtype=np.float64) + 1), 0.0)
+    state = spark.sparkContext.broadcast((learned.vocabulary, learned.model.log_tables(), learned.layer, learned.layer.log_norm(),
+                                          known, log_count, np.log10(learned.rest_share)))
 
     def score(batches):
-        classes, (a, b, z), known, log_count, log_share = state.value
+        vocabulary, (a, b, z), layer, norm, known, log_count, log_share = state.value
+        first_tail = vocabulary.first_tail
         for batch in batches:
             for first, texts in text_slices(batch, 1):
-                one, two, target, ids, words, counts, of = _contexts(texts, classes)
-                log_p = a[one, target] + b[two, target] - z[one, two]
+                one, two, target, slots, ids, words, counts, of, slot_of = _contexts(texts, vocabulary)
+                log_p = (a[one, target] + b[two, target] - z[one, two]).astype(np.float64)
+                inner = np.flatnonzero(slots >= 0)
+                log_p[inner] += layer.log_p(norm, one[inner], target[inner] - first_tail, slots[inner])
                 at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-                unseen, tail = at < 0, of >= first_tail
+                unseen = at < 0
                 logs = log_count[at]  # of -1: 0.0, joined later
-                in_class = np.where(tail, logs - log_share[np.where(tail, of - first_tail, 0)], 0.0)
+                tail = np.maximum(of - first_tail, 0)
+                rare = (slot_of >= 0) & (slot_of == vocabulary.first[tail])
+                in_rest = np.where(rare, logs - log_share[tail], 0.0)
                 base = segment_sums(logs[ids], counts) + np.log10(end_count + 1)
-                model_score = segment_sums(log_p.astype(np.float64), counts + 1) / np.log(10) + segment_sums(in_class[ids], counts)
+                model_score = segment_sums(log_p, counts + 1) / np.log(10) + segment_sums(in_rest[ids], counts)
                 seen = segment_sums((~unseen)[ids].astype(np.int64), counts) + (end_count > 0)
                 # The other words: (text, word) with how often.
                 text = np.repeat(np.arange(len(texts)), counts)[unseen[ids]]
