@@ -206,17 +206,20 @@ def _answers(phrases, slop: int | None):
 
 def search(index: DataFrame, phrases: DataFrame, slop: int | None = None, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
     """(segment, nth, spans, items) for each document with a match of ``phrases``
-    (item_id, words): ``spans`` are [start, stop) in the document's words."""
+    (item_id, words): ``spans`` are [start, stop) in the document's words. The phrases
+    are answered block by block: a block's broadcast goes once its matches are written."""
     spark = index.sparkSession
     phrases = staged(phrases.select("item_id", "words"), "phrases")
     blocks = -(-phrases.count() // block_phrases)
     schema = "segment long, nth int, spans array<struct<start: int, stop: int>>, items array<long>"
-    found = spark.createDataFrame([], schema)
+    found = staged(spark.createDataFrame([], schema), "matches")
     for i in range(blocks):
         rows = phrases.where(F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks)) == i).collect()
         block = spark.sparkContext.broadcast(_Phrases(rows))
-        found = found.union(index.select("segment", "n_words", "terms", "term_starts", "postings")
-                            .mapInArrow(_answers(block, slop), schema))
+        (index.select("segment", "n_words", "terms", "term_starts", "postings")
+         .mapInArrow(_answers(block, slop), schema).write.mode("append").parquet(found.staged_path))
+        block.destroy()
+    found = spark.read.schema(schema).parquet(found.staged_path)
     return found.groupBy("segment", "nth").agg(F.flatten(F.collect_list("spans")).alias("spans"),
                                                F.flatten(F.collect_list("items")).alias("items"))
 
