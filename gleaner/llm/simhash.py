@@ -173,13 +173,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits:
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id
-    (rows without one come last; ties go by the text's hash, rows that repeat to any)."""
+    (rows without one come last; ties go by the text's hash, then by
+    a hash of the whole row; rows alike in all columns to any, so reruns agree)."""
     marked = staged(simhash_components(docs, shingle, max_bits), "simhash-marked")
     first = marked.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    one = Window.partitionBy("k_id", "k_hash").orderBy(F.lit(1))
+    one = Window.partitionBy("k_id", "k_hash").orderBy(F.xxhash64(F.to_json("row")))
     return (packed.withColumn("k_id", F.col("row.doc_id").cast("long")).withColumn("k_hash", F.xxhash64("row.text"))
             .join(keep.withColumnsRenamed({"k_id": "r_id", "k_hash": "r_hash"}),
                   F.col("k_id").eqNullSafe(F.col("r_id")) & (F.col("k_hash") == F.col("r_hash")), "left_semi")
