@@ -191,6 +191,51 @@ def test_op4_learns_misspellings(spark):
     assert right >= 0.9
 
 
+def test_op4_scores_and_gradient():
+    """Probabilities against plain Python over the n-grams of each word, and the
+    gradient by bucket against finite differences of the loss."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gleaner.llm import toxicity as T
+
+    texts = ["ab Abc abc dé", "", "x", "longerword ab ab", "zzz zzzz"]
+    rng = np.random.default_rng(1)
+    weight = rng.normal(0, 1, T.BUCKETS)
+
+    def grams(word):
+        w = "\n" + word + "\n"
+        return [w[a:a + n] for n in T.GRAMS for a in range(len(w) - n + 1)]
+
+    def one(word):
+        buckets, _ = T.word_grams(pa.array([word.encode()]))
+        assert len(buckets) == len(grams(word)), word
+        return sum(weight[b] for b in buckets) / max(len(buckets), 1)
+
+    # The same n-gram has one bucket wherever it stands, in words known and unknown.
+    a, b = (T.word_grams(pa.array([w]))[0].tolist() for w in (b"xabcy", b"zabcw"))
+    assert set(a) & set(b)
+    got = T.probabilities([t.encode() for t in texts], weight, 0.3)
+    for t, p in zip(texts, got):
+        ws = B.words(t.translate(B.LOW))
+        logit = (sum(map(one, ws)) / len(ws) if ws else 0.0) + 0.3
+        assert abs(p - 1 / (1 + math.exp(-logit))) < 1e-9
+    bags = T._Bags([t.encode() for t in texts])
+    toxic = np.array([1, 0, 1, 0, 1.0])
+
+    def loss(w):
+        z = bags.logits(w, 0.3)
+        return float((np.log1p(np.exp(z)) - toxic * z).sum())
+
+    grad = bags.back(1 / (1 + np.exp(-bags.logits(weight, 0.3))) - toxic)
+    for bucket in sorted(set(bags.grams.tolist())):
+        step = np.zeros(T.BUCKETS)
+        step[bucket] = 1e-5
+        assert abs((loss(weight + step) - loss(weight - step)) / 2e-5 - grad[bucket]) < 1e-6
+
+
 def test_op5(spark, small):
     rows = Q["op5_decoding_worklist"](spark, small[0])
     got = rows_of(rows, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -393,6 +438,115 @@ def test_op9(spark, small):
     assert all(abs(a - b) < 1e-6 for k in want for a, b in zip(sorted(got[k]), sorted(want[k]), strict=True))
 
 
+def _softmax(xs):
+    import math
+
+    top = max(xs)
+    total = sum(math.exp(x - top) for x in xs)
+    return [math.exp(x - top) / total for x in xs]
+
+
+def test_op9_score_follows_the_model(spark, small):
+    """Every score recomputed in plain Python from the parameters, with softmaxes written out."""
+    import math
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import lm_score as L
+
+    rows = [(i, t) for i, t, *_ in small[1]]
+    words = [[w.encode() for w in B.words((t or "").translate(B.LOW))] for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    count = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = (docs.where(L.id_remainder(F.col("doc_id"), 7) != 2).withColumn("share", F.xxhash64("doc_id", "text")))
+    learned = L.learn(train, head=20, own=60)
+    vocabulary, m, layer = learned.vocabulary, learned.model, learned.layer
+    named = vocabulary.words.to_pylist()
+    assert len(named) == min(len(count), 60)
+    place = {w: k for k, w in enumerate(named)}
+    classes = {w: 1 + k for k, w in enumerate(named[:vocabulary.head])}
+    tail_of = lambda w: zlib.crc32(w[-3:]) % L.TAIL_CLASSES
+    cls = lambda w: classes.get(w, vocabulary.first_tail + tail_of(w))
+    assert any(vocabulary.slot_of >= 0), "some words outside the head have vectors"
+    rest = {}
+    for w, n in count.items():
+        if w not in place:
+            rest[tail_of(w)] = rest.get(tail_of(w), 0) + n + 1
+    assert rest, "some known words have none"
+    cache = {}
+
+    def token(one, two, w):
+        if (one, two) not in cache:
+            ctx = m.R[one].astype(float) * m.c[0] + m.R[two].astype(float) * m.c[1]
+            cache[one, two] = _softmax((m.Q.astype(float) @ ctx + m.bias).tolist())
+        if w is None:
+            return cache[one, two][0]
+        p = cache[one, two][cls(w)]
+        if w in classes:
+            return p
+        k = tail_of(w)
+        a, b = vocabulary.first[k], vocabulary.first[k + 1]
+        inside = _softmax((layer.Q[a:b].astype(float) @ layer.U[one].astype(float) + layer.bias[a:b]).tolist())
+        if w in place:
+            return p * inside[vocabulary.slot_of[place[w]] - a]
+        return p * inside[0] * (count[w] + 1) / (rest.get(k, 0) + 1)
+
+    want = {}
+    for (i, _), ws in zip(rows, words):
+        one = two = 0
+        total = 0.0
+        for w in [*ws, None]:
+            total += math.log10(token(one, two, w))
+            one, two = (cls(w) if w is not None else 0), one
+        want.setdefault((i, len(ws) + 1), []).append(total)
+    got = {}
+    for r in L.lm_scores(docs, learned=learned).collect():
+        got.setdefault((r["doc_id"], r["n_tokens"]), []).append(r["score"])
+    assert got.keys() == want.keys()
+    for k in want:
+        for a, b in zip(sorted(got[k]), sorted(want[k]), strict=True):
+            assert abs(a - b) <= 1e-4 * k[1] + 1e-6, (k, a, b)
+
+
+def test_op9_word_layer():
+    """Inside every class the slots' probabilities sum to one, and training learns
+    which word of a class follows which class."""
+    import numpy as np
+
+    from gleaner.llm import lm_score as L
+
+    vocabulary = L.Vocabulary([f"w{i}abc".encode() for i in range(6)] + [f"v{i}xyz".encode() for i in range(9)], head=3, tails=2)
+    assert vocabulary.first[-1] == 2 + 12 and len(set(vocabulary.slot_of[3:])) == 12
+    classes, slots = vocabulary.of(vocabulary.words)
+    assert (classes == vocabulary.class_of).all() and (slots == vocabulary.slot_of).all()
+    layer = L.WordLayer(vocabulary, np.ones(14), dim=8)
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 4, 6000)
+    tail = np.full(6000, classes[-1] - vocabulary.first_tail)
+    members = np.arange(vocabulary.first[tail[0]], vocabulary.first[tail[0] + 1])
+    slot = members[one % len(members)]
+    before = layer.log_p(layer.log_norm(), one, tail, slot).mean()
+    squares = None
+    for _ in range(8):
+        squares = layer.train(one, tail, slot, rng, rate=0.3, squares=squares)
+    norm = layer.log_norm()
+    assert layer.log_p(norm, one, tail, slot).mean() > before + 0.5
+    for i in range(vocabulary.size):
+        for k in range(2):
+            every = np.arange(vocabulary.first[k], vocabulary.first[k + 1])
+            p = np.exp(layer.log_p(norm, np.full(len(every), i), np.full(len(every), k), every))
+            assert abs(p.sum() - 1) < 1e-4
+
+
+def test_op9_vocabulary_grows():
+    from gleaner.llm.lm_score import own_words
+
+    sizes = [own_words(n) for n in (0, 4 * 10**5, 4 * 10**6, 10**8, 10**13)]
+    assert sizes == sorted(set(sizes)) and sizes[-1] < 4 * 10**6
+
+
 def test_op9_probabilities_sum_to_one():
     import numpy as np
 
