@@ -206,7 +206,7 @@ class Model:
 
 class WordLayer:
     """Parameters of the words inside the tail classes: a word's slot scores
-    ``U[class one back] . Q[slot] + bias[slot]`` against the slots of its class."""
+    ``U[class one back] . Q[slot]`` plus its bias against the slots of its class."""
 
     def __init__(self, vocabulary: Vocabulary, mass: np.ndarray, dim: int = DIM, seed: int = 19):
         rng = np.random.default_rng(seed)
@@ -216,14 +216,14 @@ class WordLayer:
         noise = share ** 0.75
         self.noise = noise / np.repeat(np.add.reduceat(noise, self.first[:-1]), sizes)
         self.U = rng.normal(0, 0.1, (vocabulary.size, dim)).astype(np.float32)
-        self.Q = rng.normal(0, 0.1, (len(mass), dim)).astype(np.float32)
-        self.bias = np.log(share).astype(np.float32)
+        #: Vector and, in the last column, bias of every slot.
+        self.Q = np.concatenate((rng.normal(0, 0.1, (len(mass), dim)), np.log(share)[:, None]), axis=1).astype(np.float32)
 
     def train(self, one, tail, slot, rng, noise: int = NOISE_WORDS, rate: float = RATE, squares=None):
         """One pass of noise-contrastive estimation over tokens of tail classes;
         the noise of a token is drawn from its own class."""
-        squares = squares or [np.full(x.shape, 1e-8, np.float32) for x in (self.U, self.Q, self.bias)]
-        sq_u, sq_q, sq_b = squares
+        squares = squares or [np.full(x.shape, 1e-8, np.float32) for x in (self.U, self.Q)]
+        sq_u, sq_q = squares
         log_noise = np.log(noise * self.noise).astype(np.float32)
         cumulative = np.cumsum(self.noise)  # every class adds one
         for at in range(0, len(slot), BATCH):
@@ -231,16 +231,15 @@ class WordLayer:
             drawn = np.searchsorted(cumulative, k[:, None] + rng.random((len(w), noise)), side="right")
             drawn = np.clip(drawn, self.first[k][:, None], self.first[k + 1][:, None] - 1)
             both = np.concatenate((w[:, None], drawn), axis=1)
-            ctx, q = self.U[i], self.Q[both]
-            z = np.einsum("td,tnd->tn", ctx, q) + self.bias[both] - log_noise[both]
+            ctx, q = np.ones((len(i), self.Q.shape[1]), np.float32), self.Q[both]
+            ctx[:, :-1] = self.U[i]
+            z = np.einsum("td,tnd->tn", ctx, q) - log_noise[both]
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             g[:, 0] -= 1
             g *= np.float32(1 / len(w))
-            ui, gu = _by_row(i, np.einsum("tn,tnd->td", g, q))
-            gq = np.concatenate((g[:, :, None] * ctx[:, None, :], g[:, :, None]), axis=2).reshape(both.size, -1)
-            qi, gq = _by_row(both.ravel(), gq)
-            _step(self.Q, sq_q, qi, gq[:, :-1], rate)
-            _step(self.bias, sq_b, qi, gq[:, -1], rate)
+            ui, gu = _by_row(i, np.einsum("tn,tnd->td", g, q[:, :, :-1]))
+            qi, gq = _by_row(both.ravel(), (g[:, :, None] * ctx[:, None, :]).reshape(both.size, -1))
+            _step(self.Q, sq_q, qi, gq, rate)
             _step(self.U, sq_u, ui, gu, rate)
         return squares
 
@@ -248,7 +247,7 @@ class WordLayer:
         """Log of the sum over the slots of a tail class, by class one back and tail class."""
         out = np.empty((len(self.U), len(self.first) - 1), dtype=np.float32)
         for k, (a, b) in enumerate(zip(self.first, self.first[1:])):
-            scores = self.U @ self.Q[a:b].T + self.bias[a:b]
+            scores = self.U @ self.Q[a:b, :-1].T + self.Q[a:b, -1]
             top = scores.max(axis=1)
             out[:, k] = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
         return out
@@ -258,7 +257,7 @@ class WordLayer:
         out = np.empty(len(slot), dtype=np.float64)
         for at in range(0, len(slot), 1 << 16):
             i, k, w = (x[at:at + (1 << 16)] for x in (one, tail, slot))
-            out[at:at + (1 << 16)] = np.einsum("td,td->t", self.U[i], self.Q[w]) + self.bias[w] - norm[i, k]
+            out[at:at + (1 << 16)] = np.einsum("td,td->t", self.U[i], self.Q[w, :-1]) + self.Q[w, -1] - norm[i, k]
         return out
 
 
@@ -268,7 +267,7 @@ _FAN_IN = 64
 
 
 def _arrays(model: Model, layer: WordLayer) -> list[np.ndarray]:
-    return [model.R, model.Q, model.c, model.bias, layer.U, layer.Q, layer.bias]
+    return [model.R, model.Q, model.c, model.bias, layer.U, layer.Q]
 
 
 def _flat(model: Model, layer: WordLayer) -> np.ndarray:
@@ -276,9 +275,9 @@ def _flat(model: Model, layer: WordLayer) -> np.ndarray:
 
 
 def _add(key, rows):
-    total = np.sum([np.frombuffer(x, dtype=np.float64) for x in rows["sums"]], axis=0)
+    total = np.sum([np.frombuffer(x, dtype=np.float32) for x in rows["sums"]], axis=0, dtype=np.float64)
     out = rows.iloc[:1].copy()
-    out["tokens"], out["sums"] = rows["tokens"].sum(), [total.tobytes()]
+    out["tokens"], out["sums"] = rows["tokens"].sum(), [total.astype(np.float32).tobytes()]
     return out
 
 
@@ -308,7 +307,7 @@ def fit(train: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, mass: n
                                                squares=word_squares)
                     tokens += len(target)
             if tokens:
-                change = (_flat(local, words).astype(np.float64) - _flat(start, start_layer)) * tokens
+                change = (_flat(local, words) - _flat(start, start_layer)) * np.float32(tokens)
                 cuts = [c for c in range(0, len(change), _PIECE) if c == 0 or change[c:c + _PIECE].any()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c // _PIECE for c in cuts], pa.int32()), pa.array([tokens] * len(cuts), pa.int64()),
@@ -325,7 +324,7 @@ def fit(train: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, mass: n
             total = next(x["tokens"] for x in got if x["piece"] == 0)
             flat = _flat(model, layer).astype(np.float64)
             for x in got:
-                sums = np.frombuffer(x["sums"], dtype=np.float64)
+                sums = np.frombuffer(x["sums"], dtype=np.float32).astype(np.float64)
                 flat[x["piece"] * _PIECE:x["piece"] * _PIECE + len(sums)] += sums / total
             at = 0
             for x in _arrays(model, layer):

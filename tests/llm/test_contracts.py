@@ -488,7 +488,7 @@ def test_op9_score_follows_the_model(spark, small):
             return p
         k = tail_of(w)
         a, b = vocabulary.first[k], vocabulary.first[k + 1]
-        inside = _softmax((layer.Q[a:b].astype(float) @ layer.U[one].astype(float) + layer.bias[a:b]).tolist())
+        inside = _softmax((layer.Q[a:b, :-1].astype(float) @ layer.U[one].astype(float) + layer.Q[a:b, -1]).tolist())
         if w in place:
             return p * inside[vocabulary.slot_of[place[w]] - a]
         return p * inside[0] * (count[w] + 1) / (rest.get(k, 0) + 1)
