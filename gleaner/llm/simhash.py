@@ -6,7 +6,9 @@ exceeds the Hamming distance of the fingerprints, so a range join of the vectors
 loses no link. The grid: the 32 coordinates form six blocks; vectors at distance
 3 or less agree in at least three whole blocks, so each vector is put into the
 20 cells named by three of its blocks, and cell mates are compared, first by
-Manhattan and then by Hamming distance.
+Manhattan and then by Hamming distance. A crowded cell has a grid of its own over
+the halves of the three blocks it leaves open: mates at distance 3 or less agree in
+three of these six halves.
 
 Cases: a null or empty text has fingerprint zero and links like any other; rows
 that repeat, and documents with equal fingerprints, are one node; a row without
@@ -32,8 +34,10 @@ _LOW = 0x5555555555555555
 #: First coordinate of each block and the end.
 _BLOCKS = (0, 6, 12, 17, 22, 27, 32)
 #: Members of a cell that one task compares with each other; a larger cell is
-#: cut into parts and every pair of parts is compared somewhere.
+#: cut into parts and every pair of parts is compared somewhere. Beyond
+#: ``GRID_PARTS`` parts (a second grid sends each member 20 times) it is cut by a grid.
 CELL_PART = 4096
+GRID_PARTS = 20
 
 
 def simhash(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -70,8 +74,22 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "d
                        F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _block_mask(block: int) -> int:
-    return sum(0b11 << (2 * i) for i in range(_BLOCKS[block], _BLOCKS[block + 1]))
+def _mask(first: int, end: int) -> int:
+    """Bits of the coordinates from ``first`` up to ``end``."""
+    return sum(0b11 << (2 * i) for i in range(first, end))
+
+
+def _grid(pieces: list[int]) -> list[int]:
+    """Masks of every three of six pieces."""
+    return [_signed(sum(c)) for c in combinations(pieces, 3)]
+
+
+def _halves(chosen: tuple[int, ...]) -> list[int]:
+    """Masks of the halves of the blocks that are not ``chosen``."""
+    out = []
+    for a, z in (_BLOCKS[b:b + 2] for b in range(6) if b not in chosen):
+        out += [_mask(a, (a + z) // 2), _mask((a + z) // 2, z)]
+    return out
 
 
 def _signed(x: int) -> int:
@@ -141,26 +159,39 @@ def _cell_links(max_bits: int):
     return run
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, part: int = CELL_PART) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, part: int = CELL_PART, grid_parts: int = GRID_PARTS) -> DataFrame:
     """(a, b) pairs of distinct fingerprints ``fps`` (fp) at ``max_bits`` (at most
     3) or fewer differing bits that connect what all such pairs connect."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the grid of six blocks serves up to 3 bits")
-    masks = [_signed(sum(map(_block_mask, c))) for c in combinations(range(6), 3)]
+    masks = _grid([_mask(*_BLOCKS[b:b + 2]) for b in range(6)])
+    finer = F.array(*[F.array(*map(F.lit, _grid(_halves(c)))) for c in combinations(range(6), 3)])
     emb = fps.select("fp", embedding(F.col("fp")).alias("emb"))
-    rows = emb.select("fp", "emb", F.explode(F.array(*[
-        F.xxhash64(F.lit(i), F.col("emb").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
     # A cell name is a hash: cells that share one are compared together, which only adds comparisons.
-    full = rows.groupBy("cell").count().where("count > 1").select(
-        "cell", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-    met = (rows.join(full, "cell").withColumn("own", own)
-           .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-           .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp", "emb"))
+    rows = emb.select("fp", "emb", F.posexplode(F.array(*[
+        F.xxhash64(F.lit(i), F.col("emb").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("grid", "cell"))
+    sized = rows.join(_parts(rows, part), "cell")
+    fine = sized.where(F.col("parts") > grid_parts).select("fp", "emb", F.explode(F.transform(
+        F.element_at(finer, F.col("grid") + 1),
+        lambda m, i: F.xxhash64("cell", i, F.col("emb").bitwiseAND(m)))).alias("cell"))
+    met = _dealt(sized.where(F.col("parts") <= grid_parts)).union(_dealt(fine.join(_parts(fine, part), "cell")))
     return (met.repartition("grp").sortWithinPartitions("grp")
             .mapInArrow(_cell_links(max_bits), "a long, b long").distinct())
 
 
+def _parts(rows: DataFrame, part: int) -> DataFrame:
+    """(cell, parts) of the cells with more than one row."""
+    return rows.groupBy("cell").count().where("count > 1").select(
+        "cell", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+
+
+def _dealt(sized: DataFrame) -> DataFrame:
+    """(grp, fp, emb): every two parts of a cell meet in a group."""
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
+    return (sized.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp", "emb"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, component) per row; ``component`` is the smallest

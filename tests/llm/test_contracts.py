@@ -606,5 +606,7 @@ def test_links_lose_none_on_dense_fingerprints(spark):
     comp = B.components(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     fps = spark.createDataFrame([(s,) for s in signed], "fp long")
-    got = {r["node"]: r["root"] for r in connected_components(links(fps)).collect()}
-    assert all(got.get(s, s) == signed[c] for s, c in zip(signed, comp))
+    # One grid with parts, and a second grid inside every cell of two parts or more.
+    for how in ({}, {"part": 1, "grid_parts": 1}, {"part": 4, "grid_parts": 1}):
+        got = {r["node"]: r["root"] for r in connected_components(links(fps, **how)).collect()}
+        assert all(got.get(s, s) == signed[c] for s, c in zip(signed, comp)), how
