@@ -135,7 +135,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node of its component.
 
     Large-star and small-star steps as joins and partial aggregates; a hub's
-    edges are joined with its minimum, never gathered. Each round is staged.
+    edges are joined with its minimum, never gathered. Each round is staged and the one before removed.
     """
     cur = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                  .distinct(), "cc")
@@ -151,8 +151,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                  .where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        cur = staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        before, cur = cur, staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                      .union(small.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        dropped(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

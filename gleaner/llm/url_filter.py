@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, staged, table
+from ._common import ascii_lower, dropped, staged, table
 
 #: The rules of the contract (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -81,9 +81,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     while True:
         onward = state.where("moving > 0").join(steps, ["walk", "host"]).select(
             "walk", F.col("dst").alias("host"), (F.col("moving") * F.col("share")).alias("moving"))
-        state = staged(state.select("walk", "host", F.lit(0.0).alias("moving"), "mass")
-                       .union(onward.select("walk", "host", "moving", F.col("moving").alias("mass")))
-                       .groupBy("walk", "host").agg(F.sum("moving").alias("moving"), F.sum("mass").alias("mass")), "mass")
+        last, state = state, staged(
+            state.select("walk", "host", F.lit(0.0).alias("moving"), "mass")
+            .union(onward.select("walk", "host", "moving", F.col("moving").alias("mass")))
+            .groupBy("walk", "host").agg(F.sum("moving").alias("moving"), F.sum("mass").alias("mass")), "mass")
+        dropped(last)
         rounds += 1
         before = hosts
         left, hosts = state.agg(F.coalesce(F.sum("moving"), F.lit(0.0)), F.count(F.lit(1))).first()
