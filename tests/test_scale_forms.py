@@ -14,7 +14,7 @@ import __spark_entry__ as E
 from gleaner import standins as S
 from gleaner.functions.markup import Selector, elements, first_element
 from gleaner.functions.metadata import RELEVANCE_TAXONOMY, TAXONOMY_ALIASES, derive_relevance
-from gleaner.operators.aliases import alias_hits, alias_values
+from gleaner.operators.aliases import alias_candidates, alias_hits, alias_values
 from gleaner.operators.gate import deep_dive, survivor_budget
 from gleaner.operators.infer import FunctionBackend, infer_distinct
 from gleaner.operators.lenses import lens_table, match_lenses_table
@@ -66,6 +66,26 @@ def test_alias_hits_equal_contains(spark):
     assert alias_hits(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([], "alias string")).count() == 0
 
 
+def test_a_text_meets_few_aliases_of_a_large_table(spark):
+    # every run of three of these letters is in every text: only longer runs tell the aliases apart
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(9)) for _ in range(3000)})
+    texts = [(i, "".join(rng.choice("abcd") for _ in range(400))) for i in range(40)]
+    t = spark.createDataFrame(texts, "id long, text string")
+    a = spark.createDataFrame([(w,) for w in words], "alias string")
+    hits = alias_hits(t, a).count()
+    assert hits == sum(w in x for _, x in texts for w in words)
+    near = alias_candidates(t, a)
+    assert near.count() <= 20 * hits and alias_candidates(t, a, gram=3).count() > 100 * hits
+
+
+def test_aliases_outside_the_first_plane_and_over_lines(spark):
+    texts = [(1, "x\U0001F3B5y\nline two of it"), (2, "\U0001F3B5\U0001F3B6"), (3, "\U0001F3B6 y")]
+    words = ["\U0001F3B5", "\U0001F3B5y", "y\nline two", "\U0001F3B5\U0001F3B6", "\U0001F3B6", "y"]
+    got = alias_hits(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in words], "alias string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, w) for i, t in texts for w in words if w in t)
+
+
 def test_alias_values_equal_the_substring_pass(spark):
     texts = [(1, "techno mixing at the club"), (2, "travel"), (3, "nothing"), (4, "release the label artist")]
     df = spark.createDataFrame(texts, "id long, text string")
