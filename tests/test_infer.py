@@ -90,3 +90,21 @@ def test_batch_backend_with_row_fallback(spark):
     df = spark.createDataFrame([(1, "s", "ok"), (2, "s", "bad")], "id long, system string, user string")
     got = {r.user: (r.reply, r.backend) for r in infer_batch(df, [Batching(), Flaky("single")]).collect()}
     assert got == {"ok": ("B:ok", "batch"), "bad": ("single:bad", "single")}
+
+
+class Sized(Backend):
+    """Replies with the number of prompts it was given at once."""
+
+    name = "sized"
+
+    def generate_batch(self, systems, users):
+        return [f"{len(users)} {s}" for s in systems]
+
+
+def test_a_backend_gets_few_prompts_at_once_whatever_the_rows(spark):
+    df = spark.range(0, 3000, 1, 1).select("id", F.col("id").cast("string").alias("user"), F.lit("s").alias("system"))
+    out = infer_batch(df, [Sized()])
+    assert out.columns == ["id", "user", "system", "reply", "backend", "error"] and out.distinct().count() == 3000
+    assert out.agg(F.max(F.split("reply", " ")[0].cast("int"))).first()[0] <= 256
+    few = infer_batch(df.drop("system"), [Sized()], system="shared", keep=["id"])
+    assert few.columns == ["id", "reply", "backend", "error"] and few.where("reply like '% shared'").count() == 3000
