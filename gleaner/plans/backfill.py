@@ -38,15 +38,17 @@ def backfill_merge(store: NoteStore, as_of, batch: str | None = None, folders=(I
                    overwrite: bool = False) -> int:
     """K4: recompute the metadata of the store's notes (columns ``path``, the
     key, and ``value``, the Markdown text) and put the changed frontmatter into
-    them, body kept. Only changed notes are staged, and only partitions that hold
-    one are written anew; a run that finds nothing to change commits nothing.
+    them, body kept. Only the texts of changed notes are staged, and only partitions
+    that hold one are written anew; a run that finds nothing to change commits nothing.
     Returns the number of partitions written."""
     table = store.rows()
     if table is None:
         return 0
-    part = store.partition_by
-    backfilled = backfill_metadata(table.select("path", "value"), as_of, folders, overwrite).where("changed").select("path", "meta")
-    new = (table.select("path", "value", part).join(backfilled, "path")
-           .select("path", part, FM.replace_fields("value", _fields(F.col("meta"))).alias("value"), "value")
-           .toDF("path", part, "value", "old").where("value <> old").drop("old"))
-    return store.update(stage(new, how="table"), batch or f"backfill:{as_of}", ["value"])
+    # One pass, without a join of the table with itself. Nothing is filtered before it is
+    # staged: a filter pushed below the metadata would work them out again for every field.
+    rows = backfill_metadata(table, as_of, folders, overwrite, keep=("value", store.partition_by))
+    merged = rows.select("path", store.partition_by, "value", "changed",
+                         FM.replace_fields("value", _fields(F.col("meta"))).alias("merged"))
+    new = stage(merged.select("path", store.partition_by, F.when(F.col("changed") & (F.col("merged") != F.col("value")), F.col("merged"))
+                              .alias("value")), how="table").where(F.col("value").isNotNull())
+    return store.update(new, batch or f"backfill:{as_of}", ["value"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.dedup import known_keys, skip_known
 from gleaner.plans.backfill import backfill_merge
+from gleaner.session import stage
 from gleaner.sinks.notes import write_notes
 from gleaner.sinks.store import CommitConflict, NoteStore
 
@@ -122,3 +123,28 @@ def test_write_notes_to_a_table_without_item_key(spark, tmpdir_path):
     spark.createDataFrame([("u1", "2024-01-01")], "source_url string, date string").write.partitionBy("date").parquet(path)
     new = spark.createDataFrame([("u1", "u1", "2024-01-02"), ("u2", "u2", "2024-01-02")], "item_key string, source_url string, date string")
     assert [r.source_url for r in write_notes(new, path).collect()] == ["u2"]
+
+
+def test_backfill_merge_works_out_the_metadata_in_one_pass(spark, tmpdir_path, monkeypatch):
+    from gleaner.plans import backfill as B
+
+    note = "---\ntitle: T{i}\ndate: 2024-01-0{i}\nsource: s\nsource_url: u{i}\n---\n\n## Observation\n\nOne. Two!\n"
+    files = [(f"/v/Observation Inbox/{i}.md", note.replace("{i}", str(i)), f"2024-0{i}") for i in (1, 2, 3)]
+    s = NoteStore(spark, tmpdir_path + "/one-pass", key="path", partition_by="month")
+    s.append(spark.createDataFrame(files, "path string, value string, month string"), "load")
+    nodes = []
+
+    def names(plan):
+        nodes.append(plan.nodeName())
+        for i in range(plan.children().size()):
+            names(plan.children().apply(i))
+
+    def staged(df, how="table"):
+        names(df._jdf.queryExecution().optimizedPlan())
+        return stage(df, how)
+
+    monkeypatch.setattr(B, "stage", staged)
+    assert backfill_merge(s, "2024-01-10") == 3
+    # no join of the table with itself; the only filter is the one on path, folder and frontmatter
+    assert nodes.count("Filter") == 1 and not any("Join" in n for n in nodes), nodes
+    assert s.rows().where("value like '%claims: [\"One.\", \"Two!\"]%'").count() == 3
